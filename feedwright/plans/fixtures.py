@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 EXTRACT_DATE = "2024-01-15"
+# A table or view name; braces around digits are regex counts.
+NAME = r"\{([a-z]\w*)\}"
 
 VIEWS = {
     "scd_source": """
@@ -135,7 +137,7 @@ def view_sql(name: str, spark_side: bool = False) -> str:
             return f"({view_sql(inner, spark_side)})"
         return "{" + inner + "}" if spark_side else inner
 
-    return re.sub(r"\{(\w+)\}", inline, VIEWS[name])
+    return re.sub(NAME, inline, VIEWS[name])
 
 
 class Inputs:
@@ -154,18 +156,18 @@ class Inputs:
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over ``{table}`` and ``{view}`` names."""
         text = re.sub(
-            r"\{(\w+)\}",
+            NAME,
             lambda m: f"({view_sql(m.group(1), True)}) as {m.group(1)}" if m.group(1) in VIEWS else m.group(0),
             text,
         )
-        names = set(re.findall(r"\{(\w+)\}", text))
+        names = set(re.findall(NAME, text))
         return self.spark.sql(text, **{name: self.table(name) for name in names})
 
 
 def with_views(sql: str) -> str:
     """DuckDB text in which every ``{view}`` is inlined and every ``{table}`` is the table."""
     return re.sub(
-        r"\{(\w+)\}",
+        NAME,
         lambda m: f"({view_sql(m.group(1))})" if m.group(1) in VIEWS else m.group(1),
         sql,
     )

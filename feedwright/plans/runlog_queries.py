@@ -1 +1,299 @@
-"""Queries."""
+"""Run log, file matching, load order and hierarchies."""
+
+from __future__ import annotations
+
+from pyspark.sql import Row, functions as F
+
+from feedwright.operators import hierarchy, params, runlog
+from feedwright.plans.fixtures import Inputs
+from feedwright.plans.registry import query
+from feedwright.streaming import harvest
+
+
+@query(
+    "batch_jobs",
+    """select b.batch_id, b.batch_identifier, b.status as batch_status, j.job_id, j.identifier as job_identifier,
+              j.status as job_status, j.processing_time as job_processing_time
+       from {batch_ctl} b left join {job_ctl} j on b.batch_id = j.batch_id""",
+)
+def _(i: Inputs):
+    joined = runlog.batch_jobs(i.view("batch_ctl"), i.view("job_ctl"), limit=None)
+    return joined.select(
+        "batch_id", "batch_identifier", "batch_status", "job_id", "job_identifier", "job_status", "job_processing_time"
+    )
+
+
+@query(
+    "batch_jobs_recent",
+    """select b.batch_id, count(j.job_id) as n_jobs from {batch_ctl} b left join {job_ctl} j on b.batch_id = j.batch_id
+       where b.start_ts >= timestamp '2024-01-08 00:00:00' - interval 7 days group by b.batch_id""",
+)
+def _(i: Inputs):
+    joined = runlog.batch_jobs(
+        i.view("batch_ctl"),
+        i.view("job_ctl"),
+        days=7,
+        now=F.lit("2024-01-08 00:00:00").cast("timestamp_ntz"),
+        limit=None,
+    )
+    return joined.groupBy("batch_id").agg(F.count("job_id").alias("n_jobs"))
+
+
+@query(
+    "batch_status",
+    """select b.batch_id, count(*) filter (where j.status <> 'COMPLETE') as error_number,
+              case when count(*) filter (where j.status <> 'COMPLETE') > 0 then 'COMPLETE_WITH_ERROR' else 'COMPLETE' end
+                  as status
+       from {batch_ctl} b left join {job_ctl} j on b.batch_id = j.batch_id group by b.batch_id""",
+)
+def _(i: Inputs):
+    return runlog.batch_status(i.view("batch_ctl"), i.view("job_ctl"))
+
+
+@query("max_runtime", "select batch_identifier, max(processing_time) as max_runtime from {batch_ctl} b group by all")
+def _(i: Inputs):
+    return runlog.max_runtime(i.view("batch_ctl"))
+
+
+@query(
+    "runtime_progress",
+    """select batch_id, cast(b.processing_time / coalesce(nullif(m, 0), 1) * 100 as decimal(18,3)) as progress
+       from {batch_ctl} b join (select batch_identifier, max(processing_time) as m from {batch_ctl} x group by all) l
+            on l.batch_identifier = b.batch_identifier""",
+)
+def _(i: Inputs):
+    batches = i.view("batch_ctl")
+    running = batches.select("batch_id", "batch_identifier", F.col("processing_time").alias("seconds"))
+    return runlog.runtime_progress(running, batches).select("batch_id", "progress")
+
+
+@query(
+    "group_steps",
+    """select event_type as processing_group_name, 0 as disable_flag, count(event_id) as template_steps
+       from events group by event_type""",
+)
+def _(i: Inputs):
+    config = i.table("events").select(
+        F.col("event_type").alias("processing_group_name"), F.col("event_id").alias("sequence_order")
+    )
+    groups = config.select("processing_group_name").distinct().withColumn("disable_flag", F.lit(0))
+    return runlog.group_steps(config, groups)
+
+
+@query(
+    "job_steps",
+    """select job_id, sequence_order, load_execution_id, template_name, rows_affected,
+              coalesce(target_db_name, '') || '.' || target_schema_name || '.' || target_table_name as target
+       from {load_execution} l""",
+)
+def _(i: Inputs):
+    return runlog.job_steps(i.view("load_execution")).select(
+        "job_id", "sequence_order", "load_execution_id", "template_name", "rows_affected", "target"
+    )
+
+
+@query("last_value", "select max(job_id) as last_job from {job_ctl} j")
+def _(i: Inputs):
+    return runlog.last_value(i.view("job_ctl"), "job_id", "last_job")
+
+
+@query("log_types", "select distinct doc_id as load_execution_id, source as log_type from documents where source not in ('log', 'error')")
+def _(i: Inputs):
+    parts = i.table("documents").select(F.col("doc_id").alias("load_execution_id"), F.col("source").alias("log_type"))
+    return runlog.log_types(parts)
+
+
+@query(
+    "split_text_parts",
+    """select doc_id, cast(part_sequence as integer) as part_sequence,
+              substring(text, (part_sequence - 1) * 500 + 1, 500) as part_text
+       from (select doc_id, text, unnest(range(1, cast(floor(length(text) / 500) as bigint) + 2)) as part_sequence
+             from documents) d""",
+)
+def _(i: Inputs):
+    return runlog.split_text_parts(i.table("documents").select("doc_id", "text"), "text", 500)
+
+
+@query("reassemble_text", "select doc_id, text from documents")
+def _(i: Inputs):
+    parts = runlog.split_text_parts(i.table("documents").select("doc_id", "text"), "text", 500)
+    return runlog.reassemble_text(parts, ["doc_id"])
+
+
+@query(
+    "step_tree",
+    """with recursive cfg as materialized (select * from {config} c),
+       a as (select sequence_order, parent_sequence_order, 1 as lvl from cfg
+             union all
+             select d.sequence_order, d.parent_sequence_order, a.lvl + 1
+             from cfg d join a on a.sequence_order = d.parent_sequence_order)
+       select c.sequence_order, c.parent_sequence_order, c.template_name, cast(max(a.lvl) as integer) as recursion_level
+       from cfg c join a on a.sequence_order = c.sequence_order where c.disable_flag = 0 group by all""",
+)
+def _(i: Inputs):
+    return hierarchy.step_tree(i.view("config"), "nightly")
+
+
+@query(
+    "step_tree_below",
+    """with recursive cfg as materialized (select * from {config} c),
+       a as (select sequence_order, 1 as lvl from cfg where parent_sequence_order = 3
+             union all
+             select d.sequence_order, a.lvl + 1 from cfg d join a on a.sequence_order = d.parent_sequence_order)
+       select c.sequence_order, c.parent_sequence_order, c.template_name, cast(max(a.lvl) as integer) as recursion_level
+       from cfg c join a on a.sequence_order = c.sequence_order where c.disable_flag = 0 group by all""",
+)
+def _(i: Inputs):
+    return hierarchy.step_tree(i.view("config"), "nightly", root=3)
+
+
+@query(
+    "root_blocker",
+    """with recursive w as materialized (select * from {lock_waits} l),
+       walk as (select waiting, blocking, blocking as root, 1 as depth from w
+                union all
+                select k.waiting, k.blocking, w.blocking, k.depth + 1 from walk k join w on w.waiting = k.root
+                where k.depth < 50 and w.waiting <> w.blocking),
+       ends as (select waiting, root, depth from walk where root not in (select waiting from w))
+       select w.waiting, w.blocking, e.root, cast(e.depth as integer) as depth
+       from w left join ends e on e.waiting = w.waiting""",
+)
+def _(i: Inputs):
+    """Every 50th process waits for itself: a cycle, which has no root."""
+    return hierarchy.root_blocker(i.view("lock_waits"))
+
+
+CONTROL = [
+    Row(
+        file_regex=r"^orders_(\d{8})_(\d+)\.csv$",
+        processing_group_name="orders_compact",
+        perform_load_order_check=1,
+        pos_1="EXTRACT_DATE",
+        pos_2="SEQUENCE",
+        record_length=None,
+    ),
+    Row(
+        file_regex=r"^orders-(\d{4}-\d{2}-\d{2})-",
+        processing_group_name="orders_dashed",
+        perform_load_order_check=0,
+        pos_1="EXTRACT_DATE",
+        pos_2=None,
+        record_length=12,
+    ),
+    Row(
+        file_regex=r"^orders-\d{4}-(\d{2})",
+        processing_group_name="orders_other",
+        perform_load_order_check=0,
+        pos_1="MONTH",
+        pos_2=None,
+        record_length=None,
+    ),
+]
+MATCHED = r"""
+    select file,
+           case when regexp_matches(file, '^orders_(\d{8})_(\d+)\.csv$', 'i') then 'orders_compact'
+                when regexp_matches(file, '^orders-(\d{4}-\d{2}-\d{2})-', 'i') and first_line_length = 12
+                then 'orders_dashed'
+                when regexp_matches(file, '^orders-\d{4}-(\d{2})', 'i') then 'orders_other' end as feed
+    from {feed_files} f"""
+
+
+@query("match_file_patterns", f"select file, feed as processing_group_name from ({MATCHED}) m where feed is not null")
+def _(i: Inputs):
+    return harvest.match_file_patterns(i.view("feed_files"), CONTROL).select("file", "processing_group_name")
+
+
+@query(
+    "match_file_positions",
+    r"""select file, regexp_extract(file, '^orders_(\d{8})_(\d+)\.csv$', 1, 'i') as extract_date,
+               regexp_extract(file, '^orders_(\d{8})_(\d+)\.csv$', 2, 'i') as sequence
+        from {feed_files} f where regexp_matches(file, '^orders_(\d{8})_(\d+)\.csv$', 'i')""",
+)
+def _(i: Inputs):
+    matched = harvest.match_file_patterns(i.view("feed_files"), CONTROL[:1])
+    return matched.select(
+        "file", F.col("attributes")["EXTRACT_DATE"].alias("extract_date"), F.col("attributes")["SEQUENCE"].alias("sequence")
+    )
+
+
+@query(
+    "order_by_extract_date",
+    f"""select file, case feed when 'orders_compact'
+                     then concat(substring(file, 8, 4), '-', substring(file, 12, 2), '-', substring(file, 14, 2))
+                     when 'orders_dashed' then substring(file, 8, 10) else '2024-01-15 00:00:00' end as extract_date
+        from ({MATCHED}) m where feed is not null""",
+)
+def _(i: Inputs):
+    matched = harvest.match_file_patterns(i.view("feed_files"), CONTROL)
+    return harvest.order_by_extract_date(matched, now=F.lit("2024-01-15 00:00:00")).select("file", "extract_date")
+
+
+# Runs of a feed: the log holds days of even events, the files are all events moved on by up to three days.
+LOAD_LOG = """select job_id, processing_group_name, status, cast(extract_ts as date) as extract_ts from {job_ctl}"""
+LOAD_FILES = """select event_id as file_no, concat('feed_', cast(user_id % 25 as string)) as processing_group_name,
+                       date_add(cast(ts as date), cast(event_id % 9 as int)) as extract_ts from {events}"""
+
+
+@query(
+    "load_gap",
+    """with log as materialized (select job_id, processing_group_name, status, cast(extract_ts as date) as extract_ts
+                                 from {job_ctl} j),
+            files as (select event_id as file_no, concat('feed_', cast(user_id % 25 as varchar)) as processing_group_name,
+                             cast(ts as date) + cast(event_id % 9 as integer) as extract_ts from events),
+            last as (select processing_group_name, arg_max(extract_ts, job_id) as last_success from log
+                     where status = 'COMPLETE' group by all)
+       select f.file_no, f.processing_group_name,
+              case when l.last_success is null then 'FIRST' when l.last_success > f.extract_ts then 'ERROR_OLDER'
+                   when l.last_success + 1 = f.extract_ts then 'OK'
+                   when exists (select 1 from log e where e.processing_group_name = f.processing_group_name
+                                  and e.status <> 'COMPLETE' and e.extract_ts > l.last_success
+                                  and e.extract_ts < f.extract_ts) then 'ERROR_GAP'
+                   else 'WARNING_GAP' end as verdict
+       from files f left join last l on l.processing_group_name = f.processing_group_name""",
+)
+def _(i: Inputs):
+    judged = harvest.load_gap(i.sql(LOAD_LOG), i.sql(LOAD_FILES))
+    return judged.select("file_no", "processing_group_name", "verdict")
+
+
+@query(
+    "skip_in_flight",
+    """select f.file, f.processing_group_name
+       from (select concat('file_', cast(event_id as varchar)) as file,
+                    concat('feed_', cast(user_id % 20 as varchar)) as processing_group_name from events) f
+       where not exists (select 1 from {job_ctl} j where j.identifier = f.file
+                         and j.processing_group_name = f.processing_group_name and j.status in ('READY', 'RUNNING'))""",
+)
+def _(i: Inputs):
+    files = i.sql(
+        "select concat('file_', event_id) as file, concat('feed_', user_id % 20) as processing_group_name from {events}"
+    )
+    return harvest.skip_in_flight(files, i.view("job_ctl")).select("file", "processing_group_name")
+
+
+@query(
+    "query_params",
+    "select o_orderkey, o_custkey from orders where o_custkey > (select cast(avg(o_custkey) as integer) from orders)",
+)
+def _(i: Inputs):
+    """One row of a query feeds the arguments of the next."""
+    found = params.query_params(i.sql("select cast(round(avg(o_custkey)) as int) as `mean key` from {orders}"))
+    return i.spark.sql(
+        "select o_orderkey, o_custkey from {orders} where o_custkey > :mean_key", args=found, orders=i.table("orders")
+    )
+
+
+@query(
+    "for_each_row",
+    """select r_name as region, count(*) as n_customers
+       from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey group by all""",
+)
+def _(i: Inputs):
+    """One branch per region of the control table."""
+    customers = i.table("customer").join(i.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+
+    def one(row: Row):
+        here = customers.where(F.col("n_regionkey") == row["r_regionkey"])
+        return here.groupBy().agg(F.count("*").alias("n_customers")).select(F.lit(row["r_name"]).alias("region"), "n_customers")
+
+    return params.for_each_row(i.table("region"), one)

@@ -1 +1,282 @@
-"""Queries."""
+"""Readers, writers and loads: rows are rendered to files, read back and compared with the original columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from feedwright.plans.fixtures import Inputs
+from feedwright.plans.registry import query
+from feedwright.sources import catalog, delimited, load, logs, objects
+from feedwright.staging import scratch_path
+
+DOCUMENTS = "select cast(doc_id as varchar) as doc_id, lang, source, text from documents"
+NAMES = ["doc_id", "lang", "source", "text"]
+
+
+def _documents(i: Inputs) -> DataFrame:
+    """Whole texts, line breaks and quotes included."""
+    return i.table("documents").select(F.col("doc_id").cast("string"), "lang", "source", "text")
+
+
+def _orders(i: Inputs) -> DataFrame:
+    return i.view("orders_text")
+
+
+ORDER_NAMES = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+ORDERS = "select " + ", ".join(ORDER_NAMES) + " from {orders_text} t"
+
+
+@query("write_csv", DOCUMENTS)
+def _(i: Inputs):
+    """Texts with quotes and line breaks survive a quoted file."""
+    path = scratch_path(i.spark, "csv")
+    delimited.write_csv(_documents(i), path, escape='"', always_quote=True)
+    return delimited.read_delimited(
+        i.spark, path, escape='"', null_value="\\N", columns=NAMES, multiline=True
+    )
+
+
+@query("read_delimited", ORDERS)
+def _(i: Inputs):
+    path = scratch_path(i.spark, "tsv")
+    delimited.write_csv(_orders(i), path, sep="\\t", upper_headers=False)
+    return delimited.read_delimited(i.spark, path, sep="\\t", null_value="\\N")
+
+
+@query("export_table", ORDERS)
+def _(i: Inputs):
+    path = scratch_path(i.spark, "export")
+    delimited.export_table(_orders(i), path, "bcp", sep="\\001")
+    return delimited.read_delimited(
+        i.spark, path, sep="\\001", header=False, columns=ORDER_NAMES, null_value="\\N"
+    )
+
+
+@query("export_partitioned", "select count(*) as n_rows, true as several_parts from orders")
+def _(i: Inputs):
+    base = scratch_path(i.spark, "parts")
+    parts = delimited.export_partitioned(
+        i.table("orders").select("o_orderkey"), base, 7, max_records_per_file=400
+    )
+    rows = i.spark.read.option("header", True).csv(f"{base}/job-7.export")
+    listed = parts.select((F.count("*") > 1).alias("several_parts"))
+    return rows.agg(F.count("*").alias("n_rows")).withColumn("several_parts", listed.scalar())
+
+
+@query("list_objects", "select 'events.parquet' as file, 4 as n_listed, true as sized")
+def _(i: Inputs):
+    """The listing of a folder holding the events table written in four parts."""
+    base = scratch_path(i.spark, "objects")
+    i.table("events").repartition(4).write.parquet(f"{base}/events.parquet")
+    listed = objects.list_objects(i.spark, base, prefix="events", pattern="part-*")
+    return listed.agg(
+        F.max(F.regexp_extract("path", r"([^/]*)$", 1)).alias("file"),
+        F.count("*").cast("int").alias("n_listed"),
+        (F.min("size") > 0).alias("sized"),
+    )
+
+
+@query("write_ndjson", "select conv_id, turn, nullif(role, 'user') as role, text from conversations")
+def _(i: Inputs):
+    path = scratch_path(i.spark, "ndjson")
+    rows = i.table("conversations").withColumn("role", F.nullif("role", F.lit("user")))
+    delimited.write_ndjson(rows, path)
+    return i.spark.read.schema(rows.schema).json(path)
+
+
+@query(
+    "ndjson_null_keys",
+    """select count(*) as n_lines, count(*) as n_with_null_key from conversations""",
+)
+def _(i: Inputs):
+    path = scratch_path(i.spark, "ndjson")
+    rows = i.table("conversations").select("conv_id", F.lit(None).cast("string").alias("nothing"))
+    delimited.write_ndjson(rows, path)
+    return i.spark.read.text(path).agg(
+        F.count("*").alias("n_lines"), F.count_if(F.contains("value", F.lit('"nothing":null'))).alias("n_with_null_key")
+    )
+
+
+@query(
+    "transcode_csv",
+    """select cast(conv_id as varchar) as conv_id, role, replace(text, chr(10), chr(13)) as text from conversations""",
+)
+def _(i: Inputs):
+    source, target = scratch_path(i.spark, "in"), scratch_path(i.spark, "out")
+    rows = i.table("conversations").select(F.col("conv_id").cast("string"), "role", "text")
+    delimited.write_csv(rows, source, escape='"', always_quote=True, upper_headers=False)
+    delimited.transcode_csv(
+        i.spark,
+        source,
+        target,
+        {"escape": '"', "multiline": True, "columns": rows.columns},
+        {"sep": "|", "escape": "\\", "always_quote": True},
+        mangle_eols=True,
+    )
+    return delimited.read_delimited(
+        i.spark, target, sep="|", columns=rows.columns, multiline=True, eol=None
+    )
+
+
+@query(
+    "skip_leading_rows",
+    "select cast(o_orderkey as varchar) as o_orderkey, o_orderpriority from orders",
+)
+def _(i: Inputs):
+    """Three leading lines in every file of the folder are dropped."""
+    path = scratch_path(i.spark, "garbage")
+    body = i.table("orders").select(
+        F.spark_partition_id().alias("_p"), F.concat_ws(",", "o_orderkey", "o_orderpriority").alias("value")
+    )
+    lines = body.repartition(3, "value").select("value")
+    lines.mapInPandas(_with_preamble, "value string").write.text(path)
+    return delimited.skip_leading_rows(i.spark, path, 3, ["o_orderkey", "o_orderpriority"])
+
+
+def _with_preamble(batches):
+    """Put three lines before the rows of a part, also when it has none."""
+    import pandas as pd
+
+    yield pd.DataFrame({"value": ["report of orders", "made for a test", "o_orderkey,o_orderpriority"]})
+    yield from batches
+
+
+@query("number_lines", "select count(*) as n_lines, count(*) as n_numbers, count(*) as highest from lineitem")
+def _(i: Inputs):
+    """Lines of one file are numbered 1 … n whatever its splits are."""
+    path = scratch_path(i.spark, "lines")
+    i.table("lineitem").select(F.col("l_orderkey").cast("string").alias("value")).coalesce(1).write.text(path)
+    return delimited.number_lines(i.spark, path).agg(
+        F.count("*").alias("n_lines"), F.countDistinct("line_no").alias("n_numbers"), F.max("line_no").alias("highest")
+    )
+
+
+@query("read_csv_with_headings_file", ORDERS)
+def _(i: Inputs):
+    base = scratch_path(i.spark, "headed")
+    delimited.write_csv(_orders(i), f"{base}/orders.csv", headers=False)
+    headings = i.spark.createDataFrame([(",".join(ORDER_NAMES),)], "value string")
+    headings.coalesce(1).write.text(f"{base}/orders.csv.headers")
+    return delimited.read_csv_with_headings_file(i.spark, f"{base}/orders.csv", null_value="\\N")
+
+
+@query("schema_from_headings", "select cast(o_orderkey as bigint) as o_orderkey, o_orderstatus, cast(o_orderdate as date) as o_orderdate from orders")
+def _(i: Inputs):
+    from feedwright.functions.types import schema_from_headings
+
+    path = scratch_path(i.spark, "typed")
+    rows = i.table("orders").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("date"))
+    delimited.write_csv(rows, path, headers=False)
+    schema = schema_from_headings(rows.columns, {"o_orderkey": "INTEGER", "o_orderdate": "DATE"})
+    return i.spark.read.schema(schema).csv(path)
+
+
+@query(
+    "table_from_string",
+    "select cast(o_orderkey as varchar) as o_orderkey, o_orderpriority, o_orderstatus from orders",
+)
+def _(i: Inputs):
+    """One literal text per customer, parsed to a row per line."""
+    line = F.concat_ws(" , ", F.col("o_orderkey").cast("string"), "o_orderpriority", "o_orderstatus")
+    texts = (
+        i.table("orders")
+        .groupBy("o_custkey")
+        .agg(F.concat(F.lit("o_order key,priority,status\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
+    )
+    return delimited.table_from_text_column(texts, "text", ["o_orderkey", "o_orderpriority", "o_orderstatus"])
+
+
+LOG_REGEX = r"^(\d+) \[(\w+)\] user=(\d+) v=(-?[\d.]+)$"
+
+
+@query(
+    "parse_log_lines",
+    """select event_id as line_no, cast(event_id as varchar) as event_id, event_type, cast(user_id as varchar) as user_id,
+              cast(cast(value as decimal(18,2)) as varchar) as value
+       from events where event_id % 60 <> 0 and event_id % 50 <> 0""",
+)
+def _(i: Inputs):
+    return logs.parse_log_lines(i.view("log_lines"), LOG_REGEX, ["event_id", "event_type", "user_id", "value"])[0]
+
+
+@query(
+    "parse_log_lines_counts",
+    """select count(*) as lines_read, count(*) filter (where event_id % 60 <> 0 and event_id % 50 <> 0) as lines_parsed,
+              count(*) filter (where event_id % 60 = 0) as error_state_lines,
+              count(*) filter (where event_id % 50 = 0 and event_id % 60 <> 0) as bad_lines from events""",
+)
+def _(i: Inputs):
+    return logs.parse_log_lines(i.view("log_lines"), LOG_REGEX, error_state_regex="^#")[2]
+
+
+@query(
+    "parse_load_error_log",
+    """select cast(11 as bigint) as job_id, event_id as bad_no, event_id * 3 as input_row, event_id % 97 as byte_offset,
+              event_id % 9 as field_no, 'VARCHAR(5)' as declaration, 'text field too long' as diagnostic,
+              event_type as text_consumed, substring(event_type, 1, 1) as last_char_examined,
+              concat(cast(event_id as varchar), '|', event_type, '|', cast(user_id as varchar)) as bad_record,
+              'warehouse' as target_db, 'events' as target_table
+       from events where event_id % 4 <> 0""",
+)
+def _(i: Inputs):
+    return logs.parse_load_error_log(i.view("reject_log"), i.view("reject_records"), 11, "warehouse", "events")
+
+
+TYPED = "o_orderkey bigint, o_custkey int, o_orderstatus string, o_totalprice decimal(18,2), o_orderdate date, o_orderpriority string"
+
+
+@query(
+    "load_file",
+    """select count(*) filter (where not bad) as rows_loaded, count(*) filter (where bad) as rows_bad
+       from (select (o_custkey is not null and try_cast(o_custkey as integer) is null)
+                 or try_cast(replace(o_totalprice, '1e5', 'x') as decimal(18,2)) is null
+                 or try_cast(o_orderdate as date) is null as bad from {orders_text} t) b""",
+)
+def _(i: Inputs):
+    path = scratch_path(i.spark, "load")
+    rows = _orders(i).withColumn("o_totalprice", F.replace("o_totalprice", F.lit("1e5"), F.lit("x")))
+    delimited.write_csv(rows, path)
+    flagged = load.flag_load_rows(
+        i.spark, path, T.StructType.fromDDL(TYPED), header=True, null_value="\\N", date_style="YMD"
+    )
+    return flagged.agg(
+        F.count_if(~F.col("_bad")).alias("rows_loaded"), F.count_if(F.col("_bad")).alias("rows_bad")
+    )
+
+
+@query(
+    "load_file_json",
+    "select count(*) filter (where event_id % 10 <> 0) as rows_loaded, count(*) filter (where event_id % 10 = 0) as rows_bad from events",
+)
+def _(i: Inputs):
+    """NDJSON in which every tenth line has a key the table lacks."""
+    path = scratch_path(i.spark, "load")
+    known = F.to_json(F.struct("event_id", "event_type"))
+    unknown = F.to_json(F.struct("event_id", "event_type", F.lit(1).alias("surplus")))
+    i.table("events").select(
+        F.when(F.col("event_id") % 10 == 0, unknown).otherwise(known).alias("value")
+    ).write.text(path)
+    flagged = load.flag_load_rows(
+        i.spark, path, T.StructType.fromDDL("event_id bigint, event_type string"), fmt="json"
+    )
+    return flagged.agg(
+        F.count_if(~F.col("_bad")).alias("rows_loaded"), F.count_if(F.col("_bad")).alias("rows_bad")
+    )
+
+
+@query("archive_temp", "select c_custkey, c_name from customer")
+def _(i: Inputs):
+    base = scratch_path(i.spark, "archive")
+    i.table("customer").select("c_custkey", "c_name").createOrReplaceTempView("feedwright_archived")
+    catalog.archive_temp(i.spark, base, 7, ["feedwright_archived"])
+    return i.spark.read.parquet(f"{base}/job_id=7/feedwright_archived")
+
+
+@query(
+    "describe_table",
+    """select column_name, cast(rank as integer) as position
+       from (select unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate',
+                            'o_orderpriority']) as column_name, unnest([0, 1, 2, 3, 4, 5]) as rank) d""",
+)
+def _(i: Inputs):
+    return catalog.describe_table(i.table("orders")).select("column_name", "position")

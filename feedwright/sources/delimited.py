@@ -19,6 +19,15 @@ NULL_TEXT = "\\N"
 OPTION_CHARACTERS = {"\\t": "\t", "\\n": "\n", "\\001": "\x01"}
 
 
+# Encoding names of feeds and Spark's names for them.
+ENCODINGS = {"utf8": "utf-8", "latin1": "iso-8859-1", "ascii": "us-ascii"}
+
+
+def encoding_name(name: str) -> str:
+    """Spark's name of an encoding."""
+    return ENCODINGS.get(name.lower(), name)
+
+
 def option_character(value: str | None) -> str | None:
     """The character an option text stands for."""
     return OPTION_CHARACTERS.get(value, value) if value is not None else None
@@ -35,7 +44,7 @@ def _read_options(sep, quote, escape, encoding, null_value, multiline, eol) -> d
         "sep": option_character(sep),
         "quote": quote if quote is not None else "",
         "escape": escape if escape is not None else quote,
-        "encoding": encoding,
+        "encoding": encoding_name(encoding),
         "multiLine": multiline,
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT_COLUMN,
@@ -299,7 +308,7 @@ def write_csv(
         "header": headers,
         "nullValue": null_value,
         "emptyValue": "",
-        "encoding": encoding,
+        "encoding": encoding_name(encoding),
         "quoteAll": always_quote,
         "ignoreLeadingWhiteSpace": False,
         "ignoreTrailingWhiteSpace": False,
