@@ -18,8 +18,8 @@ from feedwright.sources.load import cast_rows
 
 # Shapes of inferred types. A leading zero makes a code, except 0 itself.
 INT_SHAPE = r"^(?:0|-\d*|[1-9]\d*|)$"
-DECIMAL_SHAPE = r"^-?(\d*)\.(\d*)$"
-AM_PM_END = r"(?i)(AM|PM)$"
+DECIMAL_SHAPE = r"^-?\d*\.\d*$"
+AM_PM = ("AM", "PM")
 
 # Exclusive magnitude bounds of the inferred integer types.
 INT_WIDTHS = (
@@ -61,7 +61,7 @@ def classify_cell(cell: Column) -> Column:
         F.when(cell.isNull(), F.lit(None).cast("string"))
         .when(cell.rlike(INT_SHAPE), F.when(F.coalesce(fits, F.lit(False)), "INT").otherwise("VARCHAR"))
         .when(cell.rlike(DECIMAL_SHAPE), "NUMERIC")
-        .when(cell.rlike(TIMESTAMP_SHAPE), F.when(cell.rlike(AM_PM_END), "AMPM").otherwise("DATETIME"))
+        .when(cell.rlike(TIMESTAMP_SHAPE), F.when(F.upper(F.right(cell, F.lit(2))).isin(*AM_PM), "AMPM").otherwise("DATETIME"))
         .when(cell.rlike(DATE_SHAPE), "DATE")
         .otherwise("VARCHAR")
     )
@@ -70,10 +70,10 @@ def classify_cell(cell: Column) -> Column:
 @operator("infer_precision")
 def infer_precision(cell: Column, kind: Column) -> tuple[Column, Column]:
     """Digits before and after the point of a numeric cell."""
-    left = F.when(kind == "NUMERIC", F.length(F.regexp_extract(cell, DECIMAL_SHAPE, 1))).when(
-        kind == "INT", F.length(F.replace(cell, F.lit("-"), F.lit("")))
-    )
-    right = F.when(kind == "NUMERIC", F.length(F.regexp_extract(cell, DECIMAL_SHAPE, 2))).when(kind == "INT", 0)
+    signed = F.startswith(cell, F.lit("-")).cast("int")
+    point = F.instr(cell, ".")
+    left = F.when(kind == "NUMERIC", point - 1 - signed).when(kind == "INT", F.length(cell) - signed)
+    right = F.when(kind == "NUMERIC", F.length(cell) - point).when(kind == "INT", 0)
     return left, right
 
 

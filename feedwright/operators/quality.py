@@ -23,9 +23,8 @@ DATA_TYPE_MISMATCH = "DATA_TYPE_MISMATCH"
 COLUMN_COUNT = "COLUMN_COUNT"
 
 # Shapes of numbers. Zero-padded integers such as 007 are codes, not numbers.
-INTEGER_SHAPE = r"^\s*(-?\d*)$"
-ZERO_PADDED_SHAPE = r"^0\d+$"
-NUMERIC_SHAPE = r"^-?(\d*)\.?(\d*)$"
+INTEGER_SHAPE = r"^(?!0\d+$)\s*-?\d*$"
+NUMERIC_SHAPE = r"^-?\d*\.?\d*$"
 
 # Rank of the integer types and their exclusive bounds (a value fits when -bound < value < bound).
 INTEGER_RANKS = {"byteint": 0, "tinyint": 1, "smallint": 2, "int": 3, "bigint": 4}
@@ -64,17 +63,14 @@ def validate_int(cell: Column, declared: str = "bigint", bounds: str = "sql") ->
     limits = INTEGER_BOUNDS[bounds]
     rank = INTEGER_RANKS[declared]
     number = cell.try_cast("bigint")
-    no_digits = cell.rlike(r"^\s*-?$")
-    mismatch = cell.rlike(ZERO_PADDED_SHAPE) | ~cell.rlike(INTEGER_SHAPE)
-    too_big = ~no_digits & (number.isNull() | (number == F.lit(LOWEST_BIGINT)))
-    code = F.when(mismatch | too_big, DATA_TYPE_MISMATCH)
-    # The narrowest type a value is detected as must not rank above the declared one.
-    fitting = [name for name in limits if INTEGER_RANKS[name] <= rank]
+    no_digits = F.trim(cell).isin("", "-")
+    code = F.when(~cell.rlike(INTEGER_SHAPE), DATA_TYPE_MISMATCH).when(
+        ~F.coalesce(number > F.lit(LOWEST_BIGINT), no_digits), DATA_TYPE_MISMATCH
+    )
     if rank < INTEGER_RANKS["bigint"]:
-        value = F.coalesce(number, F.lit(0))
-        fits = F.lit(False)
-        for name in fitting:
-            fits = fits | ((value > -limits[name]) & (value < limits[name]))
+        # The bounds are nested, so the widest type up to the declared one decides.
+        bound = max(limit for name, limit in limits.items() if INTEGER_RANKS[name] <= rank)
+        fits = F.coalesce(number, F.lit(0)).between(1 - bound, bound - 1)
         code = code.when(~fits, NUMERIC_OVERFLOW)
     return code
 
@@ -88,11 +84,13 @@ def validate_numeric(cell: Column, precision: int | None, scale: int | None, str
     code = F.when(~cell.rlike(NUMERIC_SHAPE), DATA_TYPE_MISMATCH)
     if precision is None:
         return code
-    left = F.length(F.regexp_extract(cell, NUMERIC_SHAPE, 1))
-    right = F.length(F.regexp_extract(cell, NUMERIC_SHAPE, 2))
-    overflow = (left + right > precision) | (right > (scale or 0))
+    point = F.instr(cell, ".")
+    marks = F.startswith(cell, F.lit("-")).cast("int") + (point > 0).cast("int")
+    digits = F.length(cell) - marks
+    right = F.when(point > 0, F.length(cell) - point).otherwise(0)
+    overflow = (digits > precision) | (right > (scale or 0))
     if strict:
-        overflow = overflow | (left > precision - (scale or 0))
+        overflow = overflow | (digits - right > precision - (scale or 0))
     return code.when(overflow, NUMERIC_OVERFLOW)
 
 
@@ -248,7 +246,7 @@ def datacop_issues_summary(
     columns = declared_columns(schema)
     found = (
         annotated.where(quoted(ANY_ISSUE).isNotNull())
-        .select(F.explode(ISSUES).alias("i"))
+        .select(F.explode_outer(ISSUES).alias("i"))
         .groupBy(F.col("i.name").alias("column_name"), F.col("i.issue").alias("issue_type"))
         .agg(F.count("*").alias("issue_count"))
     )
@@ -277,7 +275,7 @@ def datacop_row_report(annotated: DataFrame, row_no: str, with_bad_record_no: bo
     if with_bad_record_no:
         bad = number_rows(bad, ["row_no"], "bad_record_no", 1)
     carried = ["row_no"] + (["bad_record_no"] if with_bad_record_no else [])
-    cells = bad.select(*carried, F.explode(ISSUES).alias("i"))
+    cells = bad.select(*carried, F.explode_outer(ISSUES).alias("i"))
     message = (
         F.when(F.col("i.issue") == COLUMN_COUNT, "row width differs from the expected width")
         .when(F.col("i.issue") == MAX_LENGTH_EXCEEDED, F.concat(F.lit("length "), F.length("i.value")))

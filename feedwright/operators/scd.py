@@ -182,16 +182,15 @@ def scd2_close_missing(
     )
 
 
-def _version_rows(
-    source: DataFrame,
+def _version_columns(
     target: DataFrame,
     extract_date,
     ignore: Iterable[str],
     extra: Mapping[str, Column] | None,
     high_date: str,
-    alias: str | None = None,
-) -> DataFrame:
-    """Source rows in the target's layout: open = extract date, close = high date, ignored columns NULL."""
+    prefix: str = "",
+) -> list[Column]:
+    """A source row in the target's layout: open = extract date, close = high date, ignored columns NULL."""
     dropped = {name.strip().lower() for name in ignore}
     additions = dict(extra or {})
 
@@ -205,10 +204,10 @@ def _version_rows(
         elif field.name.lower() in dropped:
             column = F.lit(None)
         else:
-            column = F.col(f"{alias}.`{field.name}`") if alias else quoted(field.name)
+            column = F.col(f"{prefix}`{field.name}`")
         return column.cast(field.dataType).alias(field.name)
 
-    return source.select(*[value(field) for field in target.schema.fields])
+    return [value(field) for field in target.schema.fields]
 
 
 @operator("scd2_insert_new")
@@ -224,7 +223,7 @@ def scd2_insert_new(
 ) -> DataFrame:
     """Add a new open version for every source row without an open target row."""
     fresh = new_records(source, target.where(_is_open(high_date)), keys, case_insensitive)
-    return target.unionByName(_version_rows(fresh, target, extract_date, ignore, extra, high_date))
+    return target.unionByName(fresh.select(*_version_columns(target, extract_date, ignore, extra, high_date)))
 
 
 @operator("scd2_apply")
@@ -240,20 +239,34 @@ def scd2_apply(
 ) -> DataFrame:
     """Close changed, close missing and insert new in one plan; equals the three steps in that order.
 
-    The per-key verdict is one aggregate, used by both the open rows and the source rows (a reused exchange).
+    Open rows and source rows, laid out alike, meet the per-key verdict in a single left join, so the verdict is
+    computed once: two shuffles, one of keys and digests and one of the rows. When few keys need action adaptive
+    execution turns the join into a broadcast by the verdict's measured size.
     """
     ignore = list(ignore)
     open_rows, history = _split(target, high_date)
     folded = text_columns(open_rows) if case_insensitive else set()
     status = key_verdicts(open_rows, source, keys, ignore, case_insensitive)
-    closed = _closed(open_rows, status.where(F.col("_verdict").isin(CLOSE, REPLACE)), keys, folded, extract_date)
-    inserting = status.where(F.col("_verdict").isin(INSERT, REPLACE))
-    fresh = source.alias("s").join(inserting.alias("v"), _to_verdicts(source, "s", keys, folded), "left_semi")
-    unknown = source.where(~_known(keys))
-    versions = [
-        _version_rows(rows, target, extract_date, ignore, extra, high_date) for rows in (fresh, unknown)
-    ]
-    return history.unionByName(closed).unionByName(versions[0]).unionByName(versions[1])
+    acting = status.where(F.col("_verdict") != KEEP)
+    key_columns = [_folded(quoted(key), key in folded).alias(f"_k{i}") for i, key in enumerate(keys)]
+    versions = _version_columns(target, extract_date, ignore, extra, high_date)
+    both = open_rows.select(F.lit(1).alias("_side"), *key_columns, *[quoted(name) for name in target.columns]).unionByName(
+        source.select(F.lit(0).alias("_side"), *key_columns, *versions)
+    )
+    on_keys = reduce(lambda a, b: a & b, [F.col(f"_k{i}") == F.col(f"k{i}") for i in range(len(keys))])
+    judged = both.join(acting, on_keys, "left")
+    in_target, verdict = F.col("_side") == 1, F.coalesce(F.col("_verdict"), F.lit(KEEP))
+    known = reduce(lambda a, b: a & b, [F.col(f"_k{i}").isNotNull() for i in range(len(keys))])
+    kept = judged.where(in_target | verdict.isin(INSERT, REPLACE) | ~known)
+    closing = in_target & verdict.isin(CLOSE, REPLACE)
+    day_before = F.date_sub(_date(extract_date), 1).cast(target.schema[CLOSE_COLUMN].dataType)
+    current = kept.select(
+        *[
+            F.when(closing, day_before).otherwise(quoted(name)).alias(name) if name == CLOSE_COLUMN else quoted(name)
+            for name in target.columns
+        ]
+    )
+    return history.unionByName(current)
 
 
 @operator("scd2_apply_unique")
@@ -286,31 +299,16 @@ def scd2_apply_unique(
     )
     in_target, in_source = F.col("target._t").isNotNull(), F.col("source._s").isNotNull()
     known = reduce(lambda a, b: a & b, [F.col(f"target.`{key}`").isNotNull() for key in keys])
-    dropped = {name.strip().lower() for name in ignore}
-    additions = dict(extra or {})
 
     def old(field, closing: bool) -> Column:
         if closing and field.name == CLOSE_COLUMN:
             return F.date_sub(_date(extract_date), 1).cast(field.dataType).alias(field.name)
         return F.col(f"target.`{field.name}`").alias(field.name)
 
-    def new(field) -> Column:
-        if field.name == OPEN_COLUMN:
-            column = _date(extract_date)
-        elif field.name == CLOSE_COLUMN:
-            column = _date(high_date)
-        elif field.name in additions:
-            column = additions[field.name]
-        elif field.name.lower() in dropped:
-            column = F.lit(None)
-        else:
-            column = F.col(f"source.`{field.name}`")
-        return column.cast(field.dataType).alias(field.name)
-
     fields = target.schema.fields
     kept = F.struct(*[old(field, False) for field in fields])
     closed = F.struct(*[old(field, True) for field in fields])
-    fresh = F.struct(*[new(field) for field in fields])
+    fresh = F.struct(*_version_columns(target, extract_date, ignore, extra, high_date, "source."))
     rows = (
         F.when(in_target & ~in_source, F.when(known, F.array(closed)).otherwise(F.array(kept)))
         .when(~in_target, F.array(fresh))

@@ -32,13 +32,10 @@ FILE_SCHEMA = T.StructType(
         T.StructField("content", T.BinaryType(), True),
     ]
 )
-MATCH_TYPE = (
-    "struct<file_regex:string,processing_group_name:string,perform_load_order_check:int,"
-    "attributes:map<string,string>>"
-)
 
 
-def _match_of(control: Row, file: Column) -> Column:
+def _positions(control: Row, file: Column) -> Column:
+    """Capture groups of a control row's regex by position name."""
     pattern = f"(?i){control['file_regex']}"
     groups = re.compile(control["file_regex"]).groups
     pairs: list[Column] = []
@@ -49,16 +46,10 @@ def _match_of(control: Row, file: Column) -> Column:
         if index <= groups:
             value = F.nullif(F.regexp_extract(file, pattern, index), F.lit(""))
         else:
+            # A regex without groups captures 1.
             value = F.lit("1" if not groups and index == 1 else None).cast("string")
         pairs += [F.lit(name), value]
-    attributes = F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")
-    check = control["perform_load_order_check"] if "perform_load_order_check" in control else 0
-    return F.struct(
-        F.lit(control["file_regex"]),
-        F.lit(control["processing_group_name"]),
-        F.lit(int(check or 0)),
-        attributes,
-    ).cast(MATCH_TYPE)
+    return F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")
 
 
 @operator("match_file_patterns")
@@ -71,18 +62,33 @@ def match_file_patterns(files: DataFrame, control: DataFrame | Sequence[Row]) ->
     patterns are never joined.
     """
     rows = control.collect() if isinstance(control, DataFrame) else list(control)
+    rows = sorted(rows, key=lambda row: row["file_regex"])
     file = F.col("file")
-    match: Column | None = None
-    for row in sorted(rows, key=lambda r: r["file_regex"]):
+    which = F.lit(None).cast("int")
+    for index, row in reversed(list(enumerate(rows))):
         hit = file.rlike(f"(?i){row['file_regex']}")
         wanted = row["record_length"] if "record_length" in row else None
         if wanted:
             hit = hit & (F.col("first_line_length") == wanted)
-        value = _match_of(row, file)
-        match = F.when(hit, value) if match is None else match.when(hit, value)
-    if match is None:
-        return files.where(F.lit(False)).withColumn("m", F.lit(None).cast(MATCH_TYPE)).select("*", "m.*").drop("m")
-    return files.withColumn("m", match).where(F.col("m").isNotNull()).select("*", "m.*").drop("m")
+        which = F.when(hit, index).otherwise(which)
+    matched = files.withColumn("_which", which).where(F.col("_which").isNotNull())
+
+    def chosen(value, kind: str) -> Column:
+        column = F.lit(None).cast(kind)
+        for index, row in enumerate(rows):
+            column = F.when(F.col("_which") == index, value(row)).otherwise(column)
+        return column
+
+    def check(row: Row) -> Column:
+        return F.lit(int((row["perform_load_order_check"] if "perform_load_order_check" in row else 0) or 0))
+
+    return matched.select(
+        *files.columns,
+        chosen(lambda row: F.lit(row["file_regex"]), "string").alias("file_regex"),
+        chosen(lambda row: F.lit(row["processing_group_name"]), "string").alias("processing_group_name"),
+        chosen(check, "int").alias("perform_load_order_check"),
+        chosen(lambda row: _positions(row, file), "map<string,string>").alias("attributes"),
+    )
 
 
 @operator("route_by_record_length")
