@@ -102,7 +102,7 @@ def infer_columns(df: DataFrame, limit: int | None = None) -> DataFrame:
         F.coalesce(seen("DATETIME"), F.lit(0)).alias("has_datetime"),
         F.coalesce(seen("AMPM"), F.lit(0)).alias("has_ampm"),
         F.coalesce(seen("VARCHAR"), F.lit(0)).alias("has_varchar"),
-        F.max(F.greatest(F.length("cell"), F.lit(1))).alias("longest"),
+        F.max(F.when(F.col("cell").isNotNull(), F.greatest(F.length("cell"), F.lit(1)))).alias("longest"),
         F.max(F.when(F.col("kind") == "INT", F.coalesce(F.abs(F.col("cell").try_cast("bigint")), F.lit(0)))).alias(
             "magnitude"
         ),

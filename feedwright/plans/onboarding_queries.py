@@ -34,7 +34,7 @@ INFERRED = rf"""
         coalesce(bool_or(kind = 'INT'), false) as i, coalesce(bool_or(kind = 'NUMERIC'), false) as n,
         coalesce(bool_or(kind = 'DATE'), false) as d, coalesce(bool_or(kind = 'DATETIME'), false) as t,
         coalesce(bool_or(kind = 'AMPM'), false) as a, coalesce(bool_or(kind = 'VARCHAR'), false) as v,
-        max(greatest(length(cell), 1)) as longest,
+        max(case when cell is not null then greatest(length(cell), 1) end) as longest,
         max(case when kind = 'INT' then coalesce(abs(try_cast(cell as bigint)), 0) end) as magnitude,
         max(case kind when 'NUMERIC' then length(regexp_extract(cell, '^-?(\d*)\.(\d*)$', 1))
                       when 'INT' then length(replace(cell, '-', '')) end) as ld,

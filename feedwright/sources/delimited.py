@@ -183,7 +183,7 @@ def read_csv_with_headings_file(
 ) -> DataFrame:
     """A headerless CSV whose column names are the first row of a sibling ``.headers`` file.
 
-    ``verbatim`` keeps cells as they are: quotes and escapes are not interpreted and blanks stay empty strings.
+    ``verbatim`` keeps cells as they are: quotes and escapes are not interpreted. Blank cells are NULL either way.
     """
     first = spark.read.option("sep", option_character(sep)).csv(headings_path or path + ".headers").first()
     if first is None:
@@ -192,7 +192,7 @@ def read_csv_with_headings_file(
     if verbatim:
         return (
             spark.read.schema(text_schema(columns))
-            .options(sep=option_character(sep), quote="", escape="", emptyValue="", mode="PERMISSIVE")
+            .options(sep=option_character(sep), quote="", escape="", mode="PERMISSIVE")
             .csv(path)
         )
     return read_delimited(spark, path, sep=sep, header=False, columns=columns, **options)
