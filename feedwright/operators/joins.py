@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from feedwright.functions.logic import all_of, any_of
 from feedwright.functions.text import quoted
 from feedwright.registry import operator
 
@@ -28,7 +28,7 @@ def key_condition(target: DataFrame, keys: Sequence[str], case_insensitive: bool
         left, right = F.col(f"{SOURCE}.`{key}`"), F.col(f"{TARGET}.`{key}`")
         return F.lower(left) == F.lower(right) if key in folded else left == right
 
-    return reduce(lambda a, b: a & b, [equal(key) for key in keys])
+    return all_of(equal(key) for key in keys)
 
 
 @operator("join_on_keys")
@@ -94,9 +94,7 @@ def attribute_changed(
             left, right = F.lower(left), F.lower(right)
         return ~left.eqNullSafe(right)
 
-    return reduce(
-        lambda a, b: a | b, [differs(name) for name in compared_columns(source, target, ignore)], F.lit(False)
-    )
+    return any_of(differs(name) for name in compared_columns(source, target, ignore))
 
 
 @operator("changed_records")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from feedwright.functions.dates import DATE_SHAPE, TIMESTAMP_SHAPE
+from feedwright.functions.logic import pick
 from feedwright.functions.text import quoted
 from feedwright.operators.maintenance import insert_select
 from feedwright.operators.quality import DataCopResult, datacop
@@ -120,11 +120,6 @@ def infer_columns(df: DataFrame, limit: int | None = None) -> DataFrame:
         .otherwise("DATE")
     )
     # A frame without rows still has columns: start from the names.
-    names = reduce(
-        lambda shape, pair: F.when(F.col("position") == pair[0], pair[1]).otherwise(shape),
-        enumerate(df.columns),
-        F.lit(None).cast("string"),
-    )
     positions = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("int").alias("position"))
     merged = positions.join(folded, "position", "left")
     longest = F.coalesce(F.col("longest"), F.lit(EMPTY_COLUMN_LENGTH))
@@ -132,7 +127,7 @@ def infer_columns(df: DataFrame, limit: int | None = None) -> DataFrame:
     logical = F.coalesce(F.when(F.col("has_int").isNotNull(), logical), F.lit("VARCHAR"))
     return merged.select(
         (F.col("position") + 1).cast("int").alias("id"),
-        names.alias("name"),
+        pick(F.col("position"), df.columns).alias("name"),
         logical.alias("logical_type"),
         F.when(logical == "VARCHAR", size_varchar(longest)).cast("int").alias("varchar_length"),
         F.when(logical == "INT", infer_int_width(F.col("magnitude"))).alias("int_width"),
@@ -240,12 +235,11 @@ def detect_date_style(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         F.min("time_delim").alias("time_delim"),
     )
     positions = spark.range(len(chosen)).select(F.col("id").cast("int").alias("position"))
-    names = F.lit(None).cast("string")
-    for index, name in enumerate(chosen):
-        names = F.when(F.col("position") == index, name).otherwise(names)
     return positions.join(top, "position", "left").select(
-        names.alias("name"), date_style_of(F.col("d1"), F.col("d2"), F.col("d3")).alias("date_style"),
-        "date_delim", "time_delim",
+        pick(F.col("position"), chosen).alias("name"),
+        date_style_of(F.col("d1"), F.col("d2"), F.col("d3")).alias("date_style"),
+        "date_delim",
+        "time_delim",
     )
 
 
@@ -315,11 +309,8 @@ def _value_counts(df: DataFrame, columns: Sequence[str], min_count: int) -> Data
         F.posexplode(F.array(*[quoted(name).cast("string") for name in columns])).alias("position", "value")
     )
     counted = cells.groupBy("position", "value").agg(F.count("*").alias("count_of_field"))
-    names = F.lit(None).cast("string")
-    for index, name in enumerate(columns):
-        names = F.when(F.col("position") == index, name).otherwise(names)
     return counted.where(F.col("count_of_field") > min_count).select(
-        "value", "count_of_field", names.alias("profiled_field")
+        "value", "count_of_field", pick(F.col("position"), columns).alias("profiled_field")
     )
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from feedwright.functions.dates import DATE_SHAPE, TIMESTAMP_SHAPE
+from feedwright.functions.logic import first_case
 from feedwright.functions.text import global_substitute, quoted
 from feedwright.operators.numbering import number_rows
 from feedwright.registry import operator
@@ -250,11 +251,9 @@ def datacop_issues_summary(
         .groupBy(F.col("i.name").alias("column_name"), F.col("i.issue").alias("issue_type"))
         .agg(F.count("*").alias("issue_count"))
     )
-    type_of, extra_of = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for column in columns:
-        here = F.col("column_name") == column.name
-        type_of = F.when(here, column.type_name).otherwise(type_of)
-        extra_of = F.when(here, F.lit(column.extra)).otherwise(extra_of)
+    none = F.lit(None).cast("string")
+    type_of = first_case([(F.col("column_name") == c.name, F.lit(c.type_name)) for c in columns], none)
+    extra_of = first_case([(F.col("column_name") == c.name, F.lit(c.extra)) for c in columns], none)
     return found.select(
         *_identity(job_id, db, schema_name, table),
         "column_name",

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from feedwright.functions.logic import all_of
 from feedwright.functions.text import quoted, row_digest
 from feedwright.operators.joins import (
     SOURCE,
@@ -53,7 +53,7 @@ def _split(target: DataFrame, high_date: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _known(keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [quoted(key).isNotNull() for key in keys])
+    return all_of(quoted(key).isNotNull() for key in keys)
 
 
 def _folded(column: Column, fold: bool) -> Column:
@@ -106,12 +106,8 @@ def key_verdicts(
 
 
 def _to_verdicts(df: DataFrame, alias: str, keys: Sequence[str], folded: set[str]) -> Column:
-    return reduce(
-        lambda a, b: a & b,
-        [
-            _folded(F.col(f"{alias}.`{key}`"), key in folded) == F.col(f"v.k{i}")
-            for i, key in enumerate(keys)
-        ],
+    return all_of(
+        _folded(F.col(f"{alias}.`{key}`"), key in folded) == F.col(f"v.k{i}") for i, key in enumerate(keys)
     )
 
 
@@ -253,10 +249,10 @@ def scd2_apply(
     both = open_rows.select(F.lit(1).alias("_side"), *key_columns, *[quoted(name) for name in target.columns]).unionByName(
         source.select(F.lit(0).alias("_side"), *key_columns, *versions)
     )
-    on_keys = reduce(lambda a, b: a & b, [F.col(f"_k{i}") == F.col(f"k{i}") for i in range(len(keys))])
+    on_keys = all_of(F.col(f"_k{i}") == F.col(f"k{i}") for i in range(len(keys)))
     judged = both.join(acting, on_keys, "left")
     in_target, verdict = F.col("_side") == 1, F.coalesce(F.col("_verdict"), F.lit(KEEP))
-    known = reduce(lambda a, b: a & b, [F.col(f"_k{i}").isNotNull() for i in range(len(keys))])
+    known = all_of(F.col(f"_k{i}").isNotNull() for i in range(len(keys)))
     kept = judged.where(in_target | verdict.isin(INSERT, REPLACE) | ~known)
     closing = in_target & verdict.isin(CLOSE, REPLACE)
     day_before = F.date_sub(_date(extract_date), 1).cast(target.schema[CLOSE_COLUMN].dataType)
@@ -298,7 +294,7 @@ def scd2_apply_unique(
         )
     )
     in_target, in_source = F.col("target._t").isNotNull(), F.col("source._s").isNotNull()
-    known = reduce(lambda a, b: a & b, [F.col(f"target.`{key}`").isNotNull() for key in keys])
+    known = all_of(F.col(f"target.`{key}`").isNotNull() for key in keys)
 
     def old(field, closing: bool) -> Column:
         if closing and field.name == CLOSE_COLUMN:
@@ -368,7 +364,7 @@ def scd1_rewrite_changed(
     joined = target.alias(TARGET).join(
         source.alias(SOURCE), key_condition(target, keys, case_insensitive), "left"
     )
-    absent = reduce(lambda a, b: a & b, [F.col(f"source.`{key}`").isNull() for key in keys])
+    absent = all_of(F.col(f"source.`{key}`").isNull() for key in keys)
     return joined.select(
         F.col(f"target.`{surrogate}`").alias(surrogate),
         *[

@@ -69,14 +69,14 @@ def _(i: Inputs):
 
 @query(
     "conform_by_table",
-    "select cast(n_nationkey as bigint) as n_nationkey, n_name, cast(n_regionkey as bigint) as n_regionkey from nation",
+    "select p_partkey, p_name, p_brand, p_type, cast(p_size as bigint) as p_size from part",
 )
 def _(i: Inputs):
     mappings = i.sql(
         "select distinct 'spark' as source_db_type, 'int' as source_column_type, 'warehouse' as target_db_type, "
         "'bigint' as target_column_type from {region}"
     )
-    return types.conform_by_table(i.table("nation"), mappings, "spark", "warehouse")
+    return types.conform_by_table(i.table("part").drop("p_retailprice"), mappings, "spark", "warehouse")
 
 
 @query(
@@ -291,10 +291,10 @@ def _(i: Inputs):
     return columns.delta_filter(orders, loaded, "o_orderdate").select("o_orderkey", "o_custkey")
 
 
-@query("stamp_columns", "select n_nationkey, n_name, cast(7 as integer) as job_id, upper(n_name) as shout from nation")
+@query("stamp_columns", "select c_custkey, c_name, cast(7 as integer) as job_id, upper(c_name) as shout from customer")
 def _(i: Inputs):
-    rows = i.table("nation").select("n_nationkey", "n_name")
-    return columns.stamp_columns(rows, {"job_id": 7, "shout": F.upper("n_name")})
+    rows = i.table("customer").select("c_custkey", "c_name")
+    return columns.stamp_columns(rows, {"job_id": 7, "shout": F.upper("c_name")})
 
 
 @query("safe_identifier", 'select o_orderkey as "select", o_custkey as "odd name" from orders')

@@ -274,9 +274,12 @@ def _(i: Inputs):
 
 @query(
     "describe_table",
-    """select column_name, cast(rank as integer) as position
+    """select column_name, cast(rank as integer) as position, (select count(*) from orders) as n_rows
        from (select unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate',
                             'o_orderpriority']) as column_name, unnest([0, 1, 2, 3, 4, 5]) as rank) d""",
 )
 def _(i: Inputs):
-    return catalog.describe_table(i.table("orders")).select("column_name", "position")
+    """Columns of a table beside its row count."""
+    orders = i.table("orders")
+    described = catalog.describe_table(orders).select("column_name", "position")
+    return described.withColumn("n_rows", orders.select(F.count("*")).scalar())

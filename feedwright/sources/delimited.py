@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from feedwright.functions.logic import all_of
 from feedwright.functions.text import quoted, strip_newlines
 from feedwright.functions.types import schema_from_headings
 from feedwright.registry import operator
@@ -246,8 +246,7 @@ def table_from_text_column(
 
 def regex_keep(validators: Mapping[str, str]) -> Column:
     """True where every named regex matches: case-insensitive, unanchored, NULL matched as ''."""
-    tests = [F.coalesce(quoted(name), F.lit("")).rlike("(?i)" + regex) for name, regex in validators.items()]
-    return reduce(lambda left, right: left & right, tests, F.lit(True))
+    return all_of(F.coalesce(quoted(name), F.lit("")).rlike("(?i)" + regex) for name, regex in validators.items())
 
 
 @operator("regex_validators")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from feedwright.functions.dates import DATE_STYLES
+from feedwright.functions.logic import any_of
 from feedwright.functions.text import quoted
 from feedwright.registry import operator
 from feedwright.sources.delimited import (
@@ -149,9 +150,10 @@ def flag_load_rows(
             _wrong_width(len(names), character, quote, jagged, ignore_unknown).alias("_wrong"),
             F.coalesce(quoted(CORRUPT_COLUMN), rendered).alias("_text"),
         )
-    misfit = F.lit(False)
-    for name, value in zip(names, typed_columns(schema, date_style, date_delim)):
-        misfit = misfit | (quoted(name).isNotNull() & value.isNull())
+    misfit = any_of(
+        quoted(name).isNotNull() & value.isNull()
+        for name, value in zip(names, typed_columns(schema, date_style, date_delim))
+    )
     return parsed.select(*[quoted(name) for name in names], (F.col("_wrong") | misfit).alias("_bad"), "_text")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from feedwright.functions.logic import any_of
 from feedwright.functions.text import quoted
 from feedwright.registry import operator
 
@@ -118,7 +119,5 @@ def parse_load_error_log(
 def downgrade_errors(df: DataFrame, message_column: str, patterns: Sequence[str]) -> DataFrame:
     """Classify messages: any pattern that matches makes an error a warning."""
     message = F.coalesce(quoted(message_column), F.lit(""))
-    matches = F.lit(False)
-    for pattern in patterns:
-        matches = matches | message.rlike(pattern)
+    matches = any_of(message.rlike(pattern) for pattern in patterns)
     return df.withColumn("severity", F.when(matches, "WARNING").otherwise("ERROR"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, ty
 from pyspark.sql.streaming import StreamingQuery
 
 from feedwright.functions.dates import normalise_extract_date
+from feedwright.functions.logic import first_case
 from feedwright.operators.quality import datacop
 from feedwright.operators.runlog import COMPLETE, ERROR, READY, RUNNING
 from feedwright.registry import operator
@@ -64,20 +65,18 @@ def match_file_patterns(files: DataFrame, control: DataFrame | Sequence[Row]) ->
     rows = control.collect() if isinstance(control, DataFrame) else list(control)
     rows = sorted(rows, key=lambda row: row["file_regex"])
     file = F.col("file")
-    which = F.lit(None).cast("int")
-    for index, row in reversed(list(enumerate(rows))):
-        hit = file.rlike(f"(?i){row['file_regex']}")
+
+    def hits(row: Row) -> Column:
+        named = file.rlike(f"(?i){row['file_regex']}")
         wanted = row["record_length"] if "record_length" in row else None
-        if wanted:
-            hit = hit & (F.col("first_line_length") == wanted)
-        which = F.when(hit, index).otherwise(which)
+        return named & (F.col("first_line_length") == wanted) if wanted else named
+
+    which = first_case([(hits(row), F.lit(index)) for index, row in enumerate(rows)], F.lit(None).cast("int"))
     matched = files.withColumn("_which", which).where(F.col("_which").isNotNull())
 
     def chosen(value, kind: str) -> Column:
-        column = F.lit(None).cast(kind)
-        for index, row in enumerate(rows):
-            column = F.when(F.col("_which") == index, value(row)).otherwise(column)
-        return column
+        cases = [(F.col("_which") == index, value(row)) for index, row in enumerate(rows)]
+        return first_case(cases, F.lit(None).cast(kind)).cast(kind)
 
     def check(row: Row) -> Column:
         return F.lit(int((row["perform_load_order_check"] if "perform_load_order_check" in row else 0) or 0))
