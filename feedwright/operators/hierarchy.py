@@ -35,30 +35,29 @@ def chain_ends(links: DataFrame, on_cycle: str = "raise") -> DataFrame:
         "chain",
     )
     rounds = math.ceil(math.log2(max(state.count(), 2))) + 1
+    # Finished nodes are written once; only nodes still on their way are written again each round.
+    finished, going = state.where("done"), state.where("not done")
     for _ in range(rounds):
-        if not state.where(~F.col("done")).limit(1).count():
+        if going.isEmpty():
             break
-        going = state.where(~F.col("done")).alias("a")
-        ahead = state.select(
-            F.col("node").alias("_node"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("done").alias("_done")
-        )
-        moved = going.join(ahead, F.col("a.at") == F.col("_node"), "left").select(
-            F.col("a.node").alias("node"),
+        ahead = finished.unionByName(going).select(*[F.col(name).alias(f"_{name}") for name in finished.columns])
+        moved = going.join(ahead, F.col("at") == F.col("_node"), "left").select(
+            "node",
             F.col("_at").alias("at"),
-            (F.col("a.steps") + F.col("_steps")).alias("steps"),
+            (F.col("steps") + F.col("_steps")).alias("steps"),
             F.col("_done").alias("done"),
         )
-        state = stage(state.where("done").unionByName(moved), "chain")
-    if state.where(~F.col("done")).limit(1).count():
-        if on_cycle == "raise":
-            raise ValueError("the parent pointers form a cycle")
-        lost = ~F.col("done")
-        return state.select(
-            "node",
-            F.when(lost, F.lit(None)).otherwise(F.col("at")).alias("end"),
-            F.when(lost, F.lit(None)).otherwise(F.col("steps")).alias("steps"),
-        )
-    return state.select("node", F.col("at").alias("end"), "steps")
+        moved = stage(moved, "chain")
+        finished, going = finished.unionByName(moved.where("done")), moved.where("not done")
+    ends = finished.select("node", F.col("at").alias("end"), "steps")
+    if going.isEmpty():
+        return ends
+    if on_cycle == "raise":
+        raise ValueError("the parent pointers form a cycle")
+    nothing = F.lit(None).cast("bigint")
+    return ends.unionByName(
+        going.select("node", nothing.cast(ends.schema["end"].dataType).alias("end"), nothing.alias("steps"))
+    )
 
 
 @operator("step_tree")

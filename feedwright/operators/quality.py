@@ -6,14 +6,13 @@ the good branch evaluates nothing else, and the issue array is built for failing
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from feedwright.functions.dates import DATE_SHAPE, TIMESTAMP_SHAPE
-from feedwright.functions.logic import first_case
-from feedwright.functions.text import global_substitute, quoted
+from feedwright.functions.text import global_substitute, quoted, safe_identifier, text_literal
 from feedwright.operators.numbering import number_rows
 from feedwright.registry import operator
 from feedwright.sources.delimited import CORRUPT_COLUMN
@@ -35,80 +34,109 @@ INTEGER_BOUNDS = {
 }
 LOWEST_BIGINT = -9223372036854775808
 
-ISSUE_TYPE = "struct<position:int,name:string,value:string,issue:string>"
+ISSUES_TYPE = "array<struct<position:int,name:string,value:string,issue:string>>"
+NO_ISSUES = f"cast(array() as {ISSUES_TYPE})"
 ANY_ISSUE = "_any_issue"
 ISSUES = "_issues"
 
 
+# The rules are SQL text over a cell expression: a wide table needs one parsed expression instead of dozens of calls
+# per column from Python to the JVM.
+
+
+def _raw(regex: str) -> str:
+    return f"r'{regex}'"
+
+
+def _char_rule(cell: str, length: int) -> str:
+    return f"case when greatest(length({cell}), 1) > {length} then '{MAX_LENGTH_EXCEEDED}' end"
+
+
+def _timestamp_rule(cell: str) -> str:
+    shapes = f"{cell} rlike {_raw(TIMESTAMP_SHAPE)} or {cell} rlike {_raw(DATE_SHAPE)}"
+    return f"case when not ({shapes}) then '{DATA_TYPE_MISMATCH}' end"
+
+
+def _date_rule(cell: str) -> str:
+    return f"case when not ({cell} rlike {_raw(DATE_SHAPE)}) then '{DATA_TYPE_MISMATCH}' end"
+
+
+def _int_rule(cell: str, declared: str, bounds: str) -> str:
+    limits, rank = INTEGER_BOUNDS[bounds], INTEGER_RANKS[declared]
+    number = f"try_cast({cell} as bigint)"
+    overflow = ""
+    if rank < INTEGER_RANKS["bigint"]:
+        # The bounds are nested, so the widest type up to the declared one decides.
+        bound = max(limit for name, limit in limits.items() if INTEGER_RANKS[name] <= rank)
+        fits = f"coalesce({number}, 0) between {1 - bound} and {bound - 1}"
+        overflow = f"when not ({fits}) then '{NUMERIC_OVERFLOW}'"
+    return (
+        f"case when not ({cell} rlike {_raw(INTEGER_SHAPE)}) "
+        f"or not coalesce({number} > {LOWEST_BIGINT}, trim({cell}) in ('', '-')) then '{DATA_TYPE_MISMATCH}' "
+        f"{overflow} end"
+    )
+
+
+def _numeric_rule(cell: str, precision: int | None, scale: int | None, strict: bool) -> str:
+    mismatch = f"case when not ({cell} rlike {_raw(NUMERIC_SHAPE)}) then '{DATA_TYPE_MISMATCH}'"
+    if precision is None:
+        return f"{mismatch} end"
+    point = f"instr({cell}, '.')"
+    digits = f"length({cell}) - int(startswith({cell}, '-')) - int({point} > 0)"
+    right = f"if({point} > 0, length({cell}) - {point}, 0)"
+    overflow = f"{digits} > {precision} or {right} > {scale or 0}"
+    if strict:
+        overflow += f" or {digits} - {right} > {precision - (scale or 0)}"
+    return f"{mismatch} when {overflow} then '{NUMERIC_OVERFLOW}' end"
+
+
 @operator("validate_char")
-def validate_char(cell: Column, length: int) -> Column:
-    """Longer than declared; an empty text counts as one character."""
-    return F.when(F.greatest(F.length(cell), F.lit(1)) > length, MAX_LENGTH_EXCEEDED)
+def validate_char(name: str, length: int) -> Column:
+    """Issue code of a column: longer than declared. An empty text counts as one character."""
+    return F.expr(_char_rule(safe_identifier(name), length))
 
 
 @operator("validate_timestamp")
-def validate_timestamp(cell: Column) -> Column:
+def validate_timestamp(name: str) -> Column:
     """Neither a timestamp nor a date by shape."""
-    return F.when(~(cell.rlike(TIMESTAMP_SHAPE) | cell.rlike(DATE_SHAPE)), DATA_TYPE_MISMATCH)
+    return F.expr(_timestamp_rule(safe_identifier(name)))
 
 
 @operator("validate_date")
-def validate_date(cell: Column) -> Column:
+def validate_date(name: str) -> Column:
     """Not a date by shape."""
-    return F.when(~cell.rlike(DATE_SHAPE), DATA_TYPE_MISMATCH)
+    return F.expr(_date_rule(safe_identifier(name)))
 
 
 @operator("validate_int")
-def validate_int(cell: Column, declared: str = "bigint", bounds: str = "sql") -> Column:
+def validate_int(name: str, declared: str = "bigint", bounds: str = "sql") -> Column:
     """Not an integer, or needs a wider integer type than declared. Empty text and a lone minus count as 0."""
-    limits = INTEGER_BOUNDS[bounds]
-    rank = INTEGER_RANKS[declared]
-    number = cell.try_cast("bigint")
-    no_digits = F.trim(cell).isin("", "-")
-    code = F.when(~cell.rlike(INTEGER_SHAPE), DATA_TYPE_MISMATCH).when(
-        ~F.coalesce(number > F.lit(LOWEST_BIGINT), no_digits), DATA_TYPE_MISMATCH
-    )
-    if rank < INTEGER_RANKS["bigint"]:
-        # The bounds are nested, so the widest type up to the declared one decides.
-        bound = max(limit for name, limit in limits.items() if INTEGER_RANKS[name] <= rank)
-        fits = F.coalesce(number, F.lit(0)).between(1 - bound, bound - 1)
-        code = code.when(~fits, NUMERIC_OVERFLOW)
-    return code
+    return F.expr(_int_rule(safe_identifier(name), declared, bounds))
 
 
 @operator("validate_numeric")
-def validate_numeric(cell: Column, precision: int | None, scale: int | None, strict: bool = False) -> Column:
+def validate_numeric(name: str, precision: int | None, scale: int | None, strict: bool = False) -> Column:
     """Not a plain decimal, or too many digits in total or after the point.
 
     Leading zeros count. The rule lets 1234567.8 into decimal(8,2); ``strict`` also limits digits before the point.
     """
-    code = F.when(~cell.rlike(NUMERIC_SHAPE), DATA_TYPE_MISMATCH)
-    if precision is None:
-        return code
-    point = F.instr(cell, ".")
-    marks = F.startswith(cell, F.lit("-")).cast("int") + (point > 0).cast("int")
-    digits = F.length(cell) - marks
-    right = F.when(point > 0, F.length(cell) - point).otherwise(0)
-    overflow = (digits > precision) | (right > (scale or 0))
-    if strict:
-        overflow = overflow | (digits - right > precision - (scale or 0))
-    return code.when(overflow, NUMERIC_OVERFLOW)
+    return F.expr(_numeric_rule(safe_identifier(name), precision, scale, strict))
 
 
 @dataclass(frozen=True)
 class Declared:
-    """A target column: its type name and size text for the summary, and its check."""
+    """A target column: its type name and size text for the summary, and its rule from cell text to issue code."""
 
     name: str
     type_name: str
     extra: str | None
-    check: object
+    rule: Callable[[str], str] | None
 
 
 def declared_columns(
     schema: T.StructType | str, bounds: str = "sql", strict_decimal: bool = False
 ) -> list[Declared]:
-    """Checks of a target schema (a ``StructType`` or DDL text)."""
+    """Rules of a target schema (a ``StructType`` or DDL text); plain strings have none."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     return [_declared(field, bounds, strict_decimal) for field in schema.fields]
@@ -116,28 +144,27 @@ def declared_columns(
 
 def _declared(field: T.StructField, bounds: str, strict: bool) -> Declared:
     kind = field.dataType
-    unchecked = lambda cell: F.lit(None).cast("string")
     if isinstance(kind, (T.VarcharType, T.CharType)):
         name = "char" if isinstance(kind, T.CharType) else "varchar"
-        return Declared(field.name, name, f"Length: [{kind.length}]", lambda cell: validate_char(cell, kind.length))
+        return Declared(field.name, name, f"Length: [{kind.length}]", lambda cell: _char_rule(cell, kind.length))
     if isinstance(kind, T.StringType):
-        return Declared(field.name, "string", None, unchecked)
+        return Declared(field.name, "string", None, None)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return Declared(field.name, "timestamp", None, validate_timestamp)
+        return Declared(field.name, "timestamp", None, _timestamp_rule)
     if isinstance(kind, T.DateType):
-        return Declared(field.name, "date", None, validate_date)
+        return Declared(field.name, "date", None, _date_rule)
     integers = {T.ByteType: "tinyint", T.ShortType: "smallint", T.IntegerType: "int", T.LongType: "bigint"}
     if type(kind) in integers:
         name = integers[type(kind)]
         return Declared(
-            field.name, name, f"Size: [{INTEGER_RANKS[name]}]", lambda cell: validate_int(cell, name, bounds)
+            field.name, name, f"Size: [{INTEGER_RANKS[name]}]", lambda cell: _int_rule(cell, name, bounds)
         )
     if isinstance(kind, T.DecimalType):
         return Declared(
             field.name,
             "decimal",
             f"Scale: [{kind.precision}], Precision: [{kind.scale}]",
-            lambda cell: validate_numeric(cell, kind.precision, kind.scale, strict),
+            lambda cell: _numeric_rule(cell, kind.precision, kind.scale, strict),
         )
     raise ValueError(f"column {field.name}: type {kind.simpleString()} has no validation rule")
 
@@ -152,9 +179,13 @@ def strip_extra_columns(df: DataFrame, n_columns: int, keep: Sequence[str] = ())
 
 
 @operator("check_column_count")
-def check_column_count(df: DataFrame, corrupt_column: str = CORRUPT_COLUMN) -> Column:
+def check_column_count(corrupt_column: str = CORRUPT_COLUMN) -> Column:
     """COLUMN_COUNT where the reader kept the record text because its width was not the expected one."""
-    return F.when(quoted(corrupt_column).isNotNull(), COLUMN_COUNT)
+    return F.expr(_column_count_rule(safe_identifier(corrupt_column)))
+
+
+def _column_count_rule(record: str) -> str:
+    return f"case when {record} is not null then '{COLUMN_COUNT}' end"
 
 
 @operator("mangle_column_count")
@@ -186,36 +217,32 @@ def annotate(
     if global_sub:
         df = global_substitute(df, global_sub[0], global_sub[1], skip=carried)
     data = [name for name in df.columns if name not in set(carried)]
-    none = F.expr(f"cast(array() as array<{ISSUE_TYPE}>)")
+    codes, issues = [], []
 
-    def issue(position: Column, name: Column, value: Column, code: Column) -> Column:
-        entry = F.struct(
-            position.cast("int").alias("position"), name.alias("name"), value.alias("value"), code.alias("issue")
-        )
-        return F.when(code.isNotNull(), F.array(entry).cast(f"array<{ISSUE_TYPE}>")).otherwise(none)
+    def add(position: str, name: str, cell: str, code: str) -> None:
+        entry = f"struct({position} as position, {name} as name, {cell} as value, {code} as issue)"
+        codes.append(code)
+        issues.append(f"if({code} is null, {NO_ISSUES}, cast(array({entry}) as {ISSUES_TYPE}))")
 
-    codes, issues = [], []
     for index, (name, declared) in enumerate(zip(data, columns)):
-        cell = quoted(name)
-        code = F.when(cell.isNotNull(), declared.check(cell))
-        codes.append(code)
-        issues.append(issue(F.lit(index), F.lit(declared.name), cell, code))
+        if declared.rule:
+            cell = safe_identifier(name)
+            code = f"case when {cell} is not null then {declared.rule(cell)} end"
+            add(str(index), text_literal(declared.name), cell, code)
     if CORRUPT_COLUMN in df.columns:
-        code = check_column_count(df)
-        codes.append(code)
-        issues.append(issue(F.lit(None), F.lit(None).cast("string"), quoted(CORRUPT_COLUMN), code))
-    return df.select(
-        *[quoted(name) for name in data],
-        *[quoted(name) for name in carried if name != CORRUPT_COLUMN],
-        F.coalesce(*codes).alias(ANY_ISSUE),
-        F.concat(*issues).alias(ISSUES),
+        add("cast(null as int)", "cast(null as string)", CORRUPT_COLUMN, _column_count_rule(CORRUPT_COLUMN))
+    return df.selectExpr(
+        *[safe_identifier(name) for name in data],
+        *[safe_identifier(name) for name in carried if name != CORRUPT_COLUMN],
+        f"coalesce({', '.join(['cast(null as string)', *codes])}) as {ANY_ISSUE}",
+        f"concat({', '.join([NO_ISSUES, *issues])}) as {ISSUES}",
     )
 
 
 @operator("datacop_split")
 def datacop_split(annotated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows and bad rows of an annotated frame."""
-    data = [quoted(name) for name in annotated.columns if name not in (ANY_ISSUE, ISSUES)]
+    data = [safe_identifier(name) for name in annotated.columns if name not in (ANY_ISSUE, ISSUES)]
     good = annotated.where(quoted(ANY_ISSUE).isNull()).select(*data)
     bad = annotated.where(quoted(ANY_ISSUE).isNotNull()).select(*data, quoted(ISSUES).alias("issues"))
     return good, bad
@@ -239,6 +266,12 @@ def _identity(job_id: int, db: str, schema_name: str, table: str) -> list[Column
     ]
 
 
+def _lookup(values: dict[str, str]) -> Column:
+    """Value of the column name in a small literal map, NULL when absent."""
+    pairs = ", ".join(f"{text_literal(name)}, {text_literal(value)}" for name, value in values.items())
+    return F.expr(f"try_element_at(map({pairs}), column_name)" if values else "cast(null as string)")
+
+
 @operator("datacop_issues_summary")
 def datacop_issues_summary(
     annotated: DataFrame, schema: T.StructType | str, job_id: int, db: str, schema_name: str, table: str
@@ -251,9 +284,9 @@ def datacop_issues_summary(
         .groupBy(F.col("i.name").alias("column_name"), F.col("i.issue").alias("issue_type"))
         .agg(F.count("*").alias("issue_count"))
     )
-    none = F.lit(None).cast("string")
-    type_of = first_case([(F.col("column_name") == c.name, F.lit(c.type_name)) for c in columns], none)
-    extra_of = first_case([(F.col("column_name") == c.name, F.lit(c.extra)) for c in columns], none)
+    names = {column.name: column for column in columns}
+    type_of = _lookup({name: column.type_name for name, column in names.items()})
+    extra_of = _lookup({name: column.extra for name, column in names.items() if column.extra})
     return found.select(
         *_identity(job_id, db, schema_name, table),
         "column_name",

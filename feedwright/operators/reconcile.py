@@ -10,17 +10,25 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from feedwright.functions.text import HASH_COLUMN, cell_text, quoted, row_hash
+from feedwright.functions.text import HASH_COLUMN, quoted, row_digest, row_hash
 from feedwright.registry import operator
 
 
-def _compare(left: DataFrame, right: DataFrame, keys: Sequence[str], digest: str, names: Sequence[str]) -> DataFrame:
+def _compare(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], digests: Sequence[str], names: Sequence[str]
+) -> DataFrame:
+    sides = left.withColumn("_left", F.lit(True)).unionByName(right.withColumn("_left", F.lit(False)))
+    return _compare_tagged(sides, "_left", keys, digests, names)
+
+
+def _compare_tagged(
+    sides: DataFrame, side: str, keys: Sequence[str], digests: Sequence[str], names: Sequence[str]
+) -> DataFrame:
     only_left, only_right, different = names
-    sides = left.withColumns({"_l": F.lit(1), "_r": F.lit(0)}).unionByName(
-        right.withColumns({"_l": F.lit(0), "_r": F.lit(1)})
-    )
     key_columns = [quoted(key) for key in keys]
-    versions = sides.groupBy(*key_columns, quoted(digest)).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    versions = sides.groupBy(*key_columns, *[quoted(name) for name in digests]).agg(
+        F.count_if(F.col(side)).alias("_l"), F.count_if(~F.col(side)).alias("_r")
+    )
     per_key = versions.groupBy(*key_columns).agg(
         F.sum("_l").alias("_l"),
         F.sum("_r").alias("_r"),
@@ -43,7 +51,7 @@ def reconcile_tables(
         row_hash(source, keys, columns),
         row_hash(target, keys, columns),
         keys,
-        HASH_COLUMN,
+        [HASH_COLUMN],
         ("only_source", "only_target", "different"),
     )
 
@@ -56,8 +64,10 @@ def snapshot_diff(
     dropped = set(ignore) | set(keys)
     columns = [name for name in base.columns if name not in dropped]
 
-    def digests(df: DataFrame) -> DataFrame:
-        text = F.concat(*[cell_text(quoted(name)) for name in columns]) if columns else F.lit("")
-        return df.select(*[quoted(key) for key in keys], F.sha2(text, 256).alias("_digest"))
-
-    return _compare(digests(base), digests(release), keys, "_digest", ("removed", "added", "changed"))
+    # Digests of one union, so both sides are hashed under the same types.
+    sides = base.select(*keys, *columns).withColumn("_base", F.lit(True)).unionByName(
+        release.select(*keys, *columns).withColumn("_base", F.lit(False))
+    )
+    digests = row_digest(sides, columns)
+    narrow = sides.select(*[quoted(key) for key in keys], "_base", digests[0].alias("_d1"), digests[1].alias("_d2"))
+    return _compare_tagged(narrow, "_base", keys, ["_d1", "_d2"], ("removed", "added", "changed"))

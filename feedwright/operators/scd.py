@@ -16,7 +16,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedwright.functions.logic import all_of
-from feedwright.functions.text import quoted, row_digest
+from feedwright.functions.text import names_of, quoted, row_digest, safe_identifier, text_literal
 from feedwright.operators.joins import (
     SOURCE,
     TARGET,
@@ -56,8 +56,10 @@ def _known(keys: Sequence[str]) -> Column:
     return all_of(quoted(key).isNotNull() for key in keys)
 
 
-def _folded(column: Column, fold: bool) -> Column:
-    return F.lower(column) if fold else column
+def _key_columns(keys: Sequence[str], folded: set[str], name: str) -> list[Column]:
+    """Keys as compared: string keys in lower case when versioning ignores case."""
+    columns = [(f"lower({safe_identifier(key)})" if key in folded else safe_identifier(key)) for key in keys]
+    return [F.expr(f"{column} as {name}{i}") for i, column in enumerate(columns)]
 
 
 def key_verdicts(
@@ -77,12 +79,12 @@ def key_verdicts(
     needed = list(dict.fromkeys([*keys, *compared]))
 
     def side(df: DataFrame, is_target: int) -> DataFrame:
-        return df.where(_known(keys)).select(*[quoted(name) for name in needed], F.lit(is_target).alias("_side"))
+        return df.where(_known(keys)).selectExpr(*names_of(needed), f"{is_target} as _side")
 
     both = side(open_rows, 1).unionByName(side(source, 0))
     digests = row_digest(both, compared, folded)
     narrow = both.select(
-        *[_folded(quoted(key), key in folded).alias(f"k{i}") for i, key in enumerate(keys)],
+        *_key_columns(keys, folded, "k"),
         "_side",
         digests[0].alias("_d1"),
         digests[1].alias("_d2"),
@@ -105,12 +107,6 @@ def key_verdicts(
     return per_key.select(*[f"k{i}" for i in range(len(keys))], verdict.alias("_verdict"))
 
 
-def _to_verdicts(df: DataFrame, alias: str, keys: Sequence[str], folded: set[str]) -> Column:
-    return all_of(
-        _folded(F.col(f"{alias}.`{key}`"), key in folded) == F.col(f"v.k{i}") for i, key in enumerate(keys)
-    )
-
-
 def _close_where(
     target: DataFrame,
     source: DataFrame,
@@ -131,19 +127,23 @@ def _close_where(
 def _closed(
     open_rows: DataFrame, closing: DataFrame, keys: Sequence[str], folded: set[str], extract_date
 ) -> DataFrame:
-    day_before = F.date_sub(_date(extract_date), 1)
-    joined = open_rows.alias("t").join(closing.alias("v"), _to_verdicts(open_rows, "t", keys, folded), "left")
-    return joined.select(
-        *[
-            F.when(F.col("v._verdict").isNotNull(), day_before)
-            .otherwise(F.col(f"t.{CLOSE_COLUMN}"))
-            .cast(open_rows.schema[CLOSE_COLUMN].dataType)
-            .alias(CLOSE_COLUMN)
-            if name == CLOSE_COLUMN
-            else F.col(f"t.`{name}`")
-            for name in open_rows.columns
-        ]
-    )
+    keyed = open_rows.select("*", *_key_columns(keys, folded, "_k"))
+    joined = keyed.join(closing, _same_keys(keys), "left")
+    return joined.selectExpr(*_closing_columns(open_rows, "_verdict is not null", extract_date))
+
+
+def _same_keys(keys: Sequence[str]) -> Column:
+    return all_of(F.col(f"_k{i}") == F.col(f"k{i}") for i in range(len(keys)))
+
+
+def _closing_columns(target: DataFrame, condition: str, extract_date) -> list[str]:
+    """The target's columns, with the close date set to the day before where the condition holds."""
+    kind = target.schema[CLOSE_COLUMN].dataType.simpleString()
+    day_before = f"cast(date_sub(date '{extract_date}', 1) as {kind})"
+    return [
+        f"if({condition}, {day_before}, {CLOSE_COLUMN}) as {CLOSE_COLUMN}" if name == CLOSE_COLUMN else safe_identifier(name)
+        for name in target.columns
+    ]
 
 
 @operator("scd2_close_changed")
@@ -178,6 +178,11 @@ def scd2_close_missing(
     )
 
 
+def _with_extras(source: DataFrame, extra: Mapping[str, Column] | None) -> DataFrame:
+    """Extra columns computed under internal names, so they may replace source columns."""
+    return source.withColumns({f"_extra_{name}": value for name, value in extra.items()}) if extra else source
+
+
 def _version_columns(
     target: DataFrame,
     extract_date,
@@ -185,25 +190,32 @@ def _version_columns(
     extra: Mapping[str, Column] | None,
     high_date: str,
     prefix: str = "",
-) -> list[Column]:
-    """A source row in the target's layout: open = extract date, close = high date, ignored columns NULL."""
+) -> dict[str, str]:
+    """A source row in the target's layout: open = extract date, close = high date, ignored columns NULL.
+
+    Expression texts by target column, over the source with its extra columns.
+    """
     dropped = {name.strip().lower() for name in ignore}
-    additions = dict(extra or {})
+    additions = set(extra or ())
 
-    def value(field) -> Column:
+    def value(field) -> str:
         if field.name == OPEN_COLUMN:
-            column = _date(extract_date)
+            text = f"date '{extract_date}'"
         elif field.name == CLOSE_COLUMN:
-            column = _date(high_date)
+            text = f"date '{high_date}'"
         elif field.name in additions:
-            column = additions[field.name]
+            text = prefix + safe_identifier(f"_extra_{field.name}")
         elif field.name.lower() in dropped:
-            column = F.lit(None)
+            text = "null"
         else:
-            column = F.col(f"{prefix}`{field.name}`")
-        return column.cast(field.dataType).alias(field.name)
+            text = prefix + safe_identifier(field.name)
+        return f"cast({text} as {field.dataType.simpleString()})"
+
+    return {field.name: value(field) for field in target.schema.fields}
 
-    return [value(field) for field in target.schema.fields]
+
+def _aliased(columns: Mapping[str, str]) -> list[str]:
+    return [f"{text} as {safe_identifier(name)}" for name, text in columns.items()]
 
 
 @operator("scd2_insert_new")
@@ -219,7 +231,8 @@ def scd2_insert_new(
 ) -> DataFrame:
     """Add a new open version for every source row without an open target row."""
     fresh = new_records(source, target.where(_is_open(high_date)), keys, case_insensitive)
-    return target.unionByName(fresh.select(*_version_columns(target, extract_date, ignore, extra, high_date)))
+    versions = _version_columns(target, extract_date, ignore, extra, high_date)
+    return target.unionByName(_with_extras(fresh, extra).selectExpr(*_aliased(versions)))
 
 
 @operator("scd2_apply")
@@ -244,25 +257,18 @@ def scd2_apply(
     folded = text_columns(open_rows) if case_insensitive else set()
     status = key_verdicts(open_rows, source, keys, ignore, case_insensitive)
     acting = status.where(F.col("_verdict") != KEEP)
-    key_columns = [_folded(quoted(key), key in folded).alias(f"_k{i}") for i, key in enumerate(keys)]
-    versions = _version_columns(target, extract_date, ignore, extra, high_date)
-    both = open_rows.select(F.lit(1).alias("_side"), *key_columns, *[quoted(name) for name in target.columns]).unionByName(
-        source.select(F.lit(0).alias("_side"), *key_columns, *versions)
+    compare_keys = _key_columns(keys, folded, "_k")
+    versions = _aliased(_version_columns(target, extract_date, ignore, extra, high_date))
+    both = open_rows.select(F.lit(1).alias("_side"), *compare_keys, "*").unionByName(
+        _with_extras(source, extra)
+        .select("*", *compare_keys)
+        .selectExpr("0 as _side", *[f"_k{i}" for i in range(len(keys))], *versions)
     )
-    on_keys = all_of(F.col(f"_k{i}") == F.col(f"k{i}") for i in range(len(keys)))
-    judged = both.join(acting, on_keys, "left")
-    in_target, verdict = F.col("_side") == 1, F.coalesce(F.col("_verdict"), F.lit(KEEP))
+    judged = both.join(acting, _same_keys(keys), "left")
     known = all_of(F.col(f"_k{i}").isNotNull() for i in range(len(keys)))
-    kept = judged.where(in_target | verdict.isin(INSERT, REPLACE) | ~known)
-    closing = in_target & verdict.isin(CLOSE, REPLACE)
-    day_before = F.date_sub(_date(extract_date), 1).cast(target.schema[CLOSE_COLUMN].dataType)
-    current = kept.select(
-        *[
-            F.when(closing, day_before).otherwise(quoted(name)).alias(name) if name == CLOSE_COLUMN else quoted(name)
-            for name in target.columns
-        ]
-    )
-    return history.unionByName(current)
+    kept = judged.where((F.col("_side") == 1) | F.col("_verdict").isin(INSERT, REPLACE) | ~known)
+    closing = f"_side = 1 and _verdict in ({CLOSE}, {REPLACE})"
+    return history.unionByName(kept.selectExpr(*_closing_columns(target, closing, extract_date)))
 
 
 @operator("scd2_apply_unique")
@@ -288,7 +294,7 @@ def scd2_apply_unique(
         open_rows.withColumn("_t", F.lit(1))
         .alias(TARGET)
         .join(
-            source.withColumn("_s", F.lit(1)).alias(SOURCE),
+            _with_extras(source, extra).withColumn("_s", F.lit(1)).alias(SOURCE),
             key_condition(open_rows, keys, case_insensitive),
             "full_outer",
         )
@@ -296,15 +302,15 @@ def scd2_apply_unique(
     in_target, in_source = F.col("target._t").isNotNull(), F.col("source._s").isNotNull()
     known = all_of(F.col(f"target.`{key}`").isNotNull() for key in keys)
 
-    def old(field, closing: bool) -> Column:
-        if closing and field.name == CLOSE_COLUMN:
-            return F.date_sub(_date(extract_date), 1).cast(field.dataType).alias(field.name)
-        return F.col(f"target.`{field.name}`").alias(field.name)
+    def struct_of(columns: Mapping[str, str]) -> Column:
+        pairs = ", ".join(f"{text_literal(name)}, {text}" for name, text in columns.items())
+        return F.expr(f"named_struct({pairs})")
 
-    fields = target.schema.fields
-    kept = F.struct(*[old(field, False) for field in fields])
-    closed = F.struct(*[old(field, True) for field in fields])
-    fresh = F.struct(*_version_columns(target, extract_date, ignore, extra, high_date, "source."))
+    old = {name: f"target.{safe_identifier(name)}" for name in target.columns}
+    kind = target.schema[CLOSE_COLUMN].dataType.simpleString()
+    kept = struct_of(old)
+    closed = struct_of({**old, CLOSE_COLUMN: f"cast(date_sub(date '{extract_date}', 1) as {kind})"})
+    fresh = struct_of(_version_columns(target, extract_date, ignore, extra, high_date, "source."))
     rows = (
         F.when(in_target & ~in_source, F.when(known, F.array(closed)).otherwise(F.array(kept)))
         .when(~in_target, F.array(fresh))

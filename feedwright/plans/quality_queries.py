@@ -144,7 +144,7 @@ def _single(name: str, view_column: str, oracle_issue: str, check):
     @query(name, f"select row_id, cell, {oracle_issue} as issue from ({texts}) t")
     def _(i: Inputs):
         cells = i.sql(texts)
-        return cells.select("row_id", "cell", F.when(F.col("cell").isNotNull(), check(F.col("cell"))).alias("issue"))
+        return cells.select("row_id", "cell", F.when(F.col("cell").isNotNull(), check("cell")).alias("issue"))
 
 
 _single("validate_char", "o_orderstatus", char_issue("cell", 1), lambda c: quality.validate_char(c, 1))
