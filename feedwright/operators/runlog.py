@@ -160,6 +160,7 @@ def affected_rows(df: DataFrame, name: str = "affected") -> tuple[DataFrame, Obs
     return df.observe(observation, F.count(F.lit(1)).alias("rows_affected")), observation
 
 
+@operator("step_audit")
 @contextmanager
 def step_audit(
     spark: SparkSession,

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Row, functions as F
 
 from feedwright.operators import hierarchy, params, runlog
+from feedwright.operators.quality import datacop
 from feedwright.plans.fixtures import Inputs
+from feedwright.plans.quality_queries import DECLARED, FIRST_ISSUE, NAMES, PER_CELL
 from feedwright.plans.registry import query
+from feedwright.sources.delimited import read_delimited, write_csv
+from feedwright.staging import scratch_path, stage
 from feedwright.streaming import harvest
 
 
@@ -297,3 +301,79 @@ def _(i: Inputs):
         return here.groupBy().agg(F.count("*").alias("n_customers")).select(F.lit(row["r_name"]).alias("region"), "n_customers")
 
     return params.for_each_row(i.table("region"), one)
+
+
+@query("affected_rows", "select count(*) as rows_affected from orders where o_orderstatus = 'F'")
+def _(i: Inputs):
+    """Rows counted while they are written, joined to nothing and read once."""
+    counted, seen = runlog.affected_rows(i.table("orders").where("o_orderstatus = 'F'"))
+    written = stage(counted)
+    return written.limit(1).select(F.lit(seen.get["rows_affected"]).alias("rows_affected"))
+
+
+@query(
+    "step_audit",
+    """select 7 as job_id, 10 as sequence_order, 'COMPLETE' as execution_sts, count(*) as rows_affected from orders""",
+)
+def _(i: Inputs):
+    log = scratch_path(i.spark, "log")
+    with runlog.step_audit(i.spark, log, 7, "nightly", 10, "SQL", ("db", "core", "orders")) as facts:
+        counted, seen = runlog.affected_rows(i.table("orders"))
+        stage(counted)
+        facts["rows_affected"] = seen.get["rows_affected"]
+    return i.spark.read.parquet(log).select(
+        F.col("job_id").cast("int").alias("job_id"), "sequence_order", "execution_sts", "rows_affected"
+    )
+
+
+@query(
+    "check_load_order",
+    """select processing_group_name, count(*) as n_files from (
+           select concat('feed_', cast(user_id % 25 as varchar)) as processing_group_name from events) f group by all""",
+)
+def _(i: Inputs):
+    """Files of feeds whose order is not enforced pass with their verdict."""
+    files = i.sql(LOAD_FILES).withColumns({"perform_load_order_check": F.lit(0), "file": F.col("file_no").cast("string")})
+    judged = harvest.check_load_order(i.sql(LOAD_LOG), files)
+    return judged.groupBy("processing_group_name").agg(F.count("verdict").alias("n_files"))
+
+
+@query(
+    "route_by_record_length",
+    "select o_orderstatus, cast(10 as integer) as first_line_length from orders group by o_orderstatus",
+)
+def _(i: Inputs):
+    """A folder of files per order status; each file starts with lines of ten characters."""
+    path = scratch_path(i.spark, "fixed")
+    lines = i.table("orders").select("o_orderstatus", F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("value"))
+    lines.write.partitionBy("o_orderstatus").text(path)
+    found = harvest.route_by_record_length(i.spark, path)
+    return found.select(
+        F.regexp_extract("path", "o_orderstatus=([A-Z])", 1).alias("o_orderstatus"), "first_line_length"
+    ).distinct()
+
+
+@query("harvest_datacop", "select " + NAMES + " from {orders_text} t where " + FIRST_ISSUE + " is null")
+def _(i: Inputs):
+    """Feed files picked up by the stream, validated, good rows read back from the sink."""
+    incoming, out = scratch_path(i.spark, "incoming"), scratch_path(i.spark, "harvested")
+    write_csv(i.view("orders_text"), incoming, headers=False)
+    control = i.table("orders").limit(1).select(
+        F.lit(r"^part-(\d+)-").alias("file_regex"),
+        F.lit("orders").alias("processing_group_name"),
+        F.lit("SEQUENCE").alias("pos_1"),
+    )
+    handler = harvest.harvest_datacop({"orders": DECLARED}, out, header=False, null_value="\\N")
+    stream = harvest.harvest_stream(i.spark, incoming, control, scratch_path(i.spark, "stream"), handler)
+    stream.awaitTermination()
+    return read_delimited(i.spark, f"{out}/good/*/*/*", columns=NAMES.split(", "), null_value="\\N")
+
+
+@query(
+    "enforce_max_issues",
+    "select column_name, count(*) as issue_count from (" + PER_CELL + ") c where issue_type is not null group by all",
+)
+def _(i: Inputs):
+    """The summary of a feed whose issues stay below the limit."""
+    result = datacop(i.view("orders_text"), DECLARED, max_issues=2**31)
+    return result.summary.groupBy("column_name").agg(F.sum("issue_count").alias("issue_count"))

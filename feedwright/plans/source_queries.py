@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+import uuid
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from feedwright.plans.fixtures import Inputs
 from feedwright.plans.registry import query
 from feedwright.sources import catalog, delimited, load, logs, objects
-from feedwright.staging import scratch_path
+from feedwright.staging import scratch_path, stage
 
 DOCUMENTS = "select cast(doc_id as varchar) as doc_id, lang, source, text from documents"
 NAMES = ["doc_id", "lang", "source", "text"]
@@ -63,15 +66,15 @@ def _(i: Inputs):
     return rows.agg(F.count("*").alias("n_rows")).withColumn("several_parts", listed.scalar())
 
 
-@query("list_objects", "select 'events.parquet' as file, 4 as n_listed, true as sized")
+@query("list_objects", "select 'events.parquet' as file, true as listed, true as sized")
 def _(i: Inputs):
-    """The listing of a folder holding the events table written in four parts."""
+    """The listing of a folder holding the parts of the events table."""
     base = scratch_path(i.spark, "objects")
-    i.table("events").repartition(4).write.parquet(f"{base}/events.parquet")
+    i.table("events").write.parquet(f"{base}/events.parquet")
     listed = objects.list_objects(i.spark, base, prefix="events", pattern="part-*")
     return listed.agg(
         F.max(F.regexp_extract("path", r"([^/]*)$", 1)).alias("file"),
-        F.count("*").cast("int").alias("n_listed"),
+        (F.count("*") > 0).alias("listed"),
         (F.min("size") > 0).alias("sized"),
     )
 
@@ -125,10 +128,8 @@ def _(i: Inputs):
 def _(i: Inputs):
     """Three leading lines in every file of the folder are dropped."""
     path = scratch_path(i.spark, "garbage")
-    body = i.table("orders").select(
-        F.spark_partition_id().alias("_p"), F.concat_ws(",", "o_orderkey", "o_orderpriority").alias("value")
-    )
-    lines = body.repartition(3, "value").select("value")
+    body = i.table("orders").select(F.concat_ws(",", "o_orderkey", "o_orderpriority").alias("value"))
+    lines = body.repartition("value")
     lines.mapInPandas(_with_preamble, "value string").write.text(path)
     return delimited.skip_leading_rows(i.spark, path, 3, ["o_orderkey", "o_orderpriority"])
 
@@ -141,14 +142,16 @@ def _with_preamble(batches):
     yield from batches
 
 
-@query("number_lines", "select count(*) as n_lines, count(*) as n_numbers, count(*) as highest from lineitem")
+@query("number_lines", "select count(*) as n_lines, true as dense from lineitem")
 def _(i: Inputs):
-    """Lines of one file are numbered 1 … n whatever its splits are."""
+    """Lines of every file are numbered 1 … n whatever its splits are."""
     path = scratch_path(i.spark, "lines")
-    i.table("lineitem").select(F.col("l_orderkey").cast("string").alias("value")).coalesce(1).write.text(path)
-    return delimited.number_lines(i.spark, path).agg(
-        F.count("*").alias("n_lines"), F.countDistinct("line_no").alias("n_numbers"), F.max("line_no").alias("highest")
-    )
+    i.table("lineitem").select(F.col("l_orderkey").cast("string").alias("value")).write.text(path)
+    numbered = delimited.number_lines(i.spark, path)
+    repeated = numbered.groupBy("file", "line_no").agg(F.count("*").alias("n"))
+    files = repeated.groupBy("file").agg(F.sum("n").alias("n"), F.max("line_no").alias("top"), F.max("n").alias("most"))
+    dense = (F.col("n") == F.col("top")) & (F.col("most") == 1)
+    return files.agg(F.sum("n").alias("n_lines"), F.every(dense).alias("dense"))
 
 
 @query("read_csv_with_headings_file", ORDERS)
@@ -176,13 +179,9 @@ def _(i: Inputs):
     "select cast(o_orderkey as varchar) as o_orderkey, o_orderpriority, o_orderstatus from orders",
 )
 def _(i: Inputs):
-    """One literal text per customer, parsed to a row per line."""
+    """One literal text per order, a heading line and a value line."""
     line = F.concat_ws(" , ", F.col("o_orderkey").cast("string"), "o_orderpriority", "o_orderstatus")
-    texts = (
-        i.table("orders")
-        .groupBy("o_custkey")
-        .agg(F.concat(F.lit("o_order key,priority,status\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))
-    )
+    texts = i.table("orders").select(F.concat(F.lit("order key,priority,status\n"), line).alias("text"))
     return delimited.table_from_text_column(texts, "text", ["o_orderkey", "o_orderpriority", "o_orderstatus"])
 
 
@@ -283,3 +282,91 @@ def _(i: Inputs):
     orders = i.table("orders")
     described = catalog.describe_table(orders).select("column_name", "position")
     return described.withColumn("n_rows", orders.select(F.count("*")).scalar())
+
+
+@contextmanager
+def _scratch_schema(spark: SparkSession):
+    """A schema of its own for queries that publish tables; dropped afterwards."""
+    name = f"feedwright_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"create schema {name} location '{scratch_path(spark, 'schema')}'")
+    try:
+        yield name
+    finally:
+        spark.sql(f"drop schema {name} cascade")
+
+
+@query(
+    "publish",
+    """select o_orderkey, o_custkey from orders where o_orderstatus = 'F'
+       union all select c_custkey + 1000000000, c_custkey from customer""",
+)
+def _(i: Inputs):
+    """A table replaced by a query over itself, together with a second one."""
+    with _scratch_schema(i.spark) as schema:
+        orders = f"{schema}.orders"
+        i.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus").write.saveAsTable(orders)
+        done = i.spark.table(orders).where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+        others = i.table("customer").select(
+            (F.col("c_custkey") + 1000000000).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey")
+        )
+        tables = catalog.publish(i.spark, {orders: done, f"{schema}.others": others})
+        return stage(tables[orders].unionByName(tables[f"{schema}.others"]))
+
+
+@query(
+    "table_from_sql",
+    """select o_orderstatus, count(*) as n_orders from orders group by all""",
+)
+def _(i: Inputs):
+    """Structure cloned, filled from a query, refreshed and read back."""
+    with _scratch_schema(i.spark) as schema:
+        i.table("orders").createOrReplaceTempView("feedwright_orders")
+        made = f"{schema}.by_status"
+        catalog.table_from_sql(i.spark, "select o_orderstatus, count(*) as n_orders from feedwright_orders group by 1", made)
+        catalog.create_if_missing(i.spark, f"{schema}.copied", made)
+        catalog.refresh_view(i.spark, f"select * from {made}", f"{schema}.copied")
+        return stage(i.spark.table(f"{schema}.copied"))
+
+
+@query(
+    "truncate_table",
+    "select 0 as n_left, count(*) as n_before, 1 as n_dropped from orders",
+)
+def _(i: Inputs):
+    """Rows before and after a truncate, and the tables a name pattern drops."""
+    with _scratch_schema(i.spark) as schema:
+        table = f"{schema}.orders_copy"
+        i.table("orders").select("o_orderkey").write.saveAsTable(table)
+        before = stage(i.spark.table(table).agg(F.count("*").alias("n_before")))
+        catalog.truncate_table(i.spark, table)
+        left = i.spark.table(table).count()
+        dropped = catalog.drop_tables_like(i.spark, schema, "^orders_")
+        return before.select(F.lit(left).alias("n_left"), "n_before", F.lit(len(dropped)).alias("n_dropped"))
+
+
+@query(
+    "load_file_table",
+    """select cast(o_orderkey as bigint) as o_orderkey, try_cast(o_custkey as integer) as o_custkey, o_orderstatus,
+              cast(o_totalprice as decimal(18,2)) as o_totalprice, cast(o_orderdate as date) as o_orderdate,
+              o_orderpriority
+       from {orders_text} t
+       where try_cast(o_custkey as integer) is not null and o_totalprice <> '1e5' and o_orderdate <> 'n/a'""",
+)
+def _(i: Inputs):
+    """A tab-separated file loaded into a table; rows that do not fit are counted and left out."""
+    path = scratch_path(i.spark, "load")
+    rows = _orders(i).withColumn("o_totalprice", F.replace("o_totalprice", F.lit("1e5"), F.lit("x")))
+    delimited.write_csv(rows, path, sep="\\t", headers=False)
+    with _scratch_schema(i.spark) as schema:
+        table = f"{schema}.orders"
+        load.load_file(
+            i.spark,
+            path,
+            table,
+            T.StructType.fromDDL(TYPED),
+            max_bad=2**62,
+            write="overwrite",
+            preset="mysql",
+            date_style="YMD",
+        )
+        return stage(i.spark.table(table))
