@@ -9,6 +9,7 @@ from feedwright.registry import operator
 # Shapes of dates and times in feeds. Only the shape counts: month 99 passes.
 TIMESTAMP_SHAPE = r"(?i)^\d+[-/]\d+[-/]\d+\s\d+:?\d+:?[\d.]+\s?(?:AM|PM)?$"
 DATE_SHAPE = r"^\d+[-/]\d+[-/]\d+$"
+DATE_OR_TIMESTAMP_SHAPE = r"(?i)^\d+[-/]\d+[-/]\d+(?:\s\d+:?\d+:?[\d.]+\s?(?:AM|PM)?)?$"
 
 # Order of the date parts and the pattern that reads it.
 DATE_STYLES = {
