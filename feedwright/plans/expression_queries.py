@@ -330,5 +330,7 @@ def _(i: Inputs):
     "select c_mktsegment, count(*) as n from customer group by all",
 )
 def _(i: Inputs):
-    view = catalog.materialize_temp(i.table("customer"), "feedwright_customers", cache=False)
-    return view.sparkSession.sql("select c_mktsegment, count(*) as n from feedwright_customers group by c_mktsegment")
+    catalog.materialize_temp(i.table("customer"), "feedwright_customers", cache=False)
+    counted = i.spark.sql("select c_mktsegment, count(*) as n from feedwright_customers group by c_mktsegment")
+    i.spark.catalog.dropTempView("feedwright_customers")
+    return counted

@@ -268,6 +268,7 @@ def _(i: Inputs):
     base = scratch_path(i.spark, "archive")
     i.table("customer").select("c_custkey", "c_name").createOrReplaceTempView("feedwright_archived")
     catalog.archive_temp(i.spark, base, 7, ["feedwright_archived"])
+    i.spark.catalog.dropTempView("feedwright_archived")
     return i.spark.read.parquet(f"{base}/job_id=7/feedwright_archived")
 
 
@@ -325,6 +326,7 @@ def _(i: Inputs):
         catalog.table_from_sql(i.spark, "select o_orderstatus, count(*) as n_orders from feedwright_orders group by 1", made)
         catalog.create_if_missing(i.spark, f"{schema}.copied", made)
         catalog.refresh_view(i.spark, f"select * from {made}", f"{schema}.copied")
+        i.spark.catalog.dropTempView("feedwright_orders")
         return stage(i.spark.table(f"{schema}.copied"))
 
 
