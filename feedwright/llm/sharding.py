@@ -37,20 +37,23 @@ class Feistel:
         name = F.concat(F.lit(f"{self.key}/{round_number}/"), half.cast("string"))
         return F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("long")
 
+    def _half_step(self, number: int, changed: str, other: str, cells: int):
+        """Lambda that shifts one half by a function of the other."""
+
+        def step(s: Column) -> Column:
+            moved = ((s[changed] + self._mix(number, s[other])) % cells).alias(changed)
+            return F.struct(moved, s["r"].alias("r")) if changed == "l" else F.struct(s["l"].alias("l"), moved)
+
+        return step
+
     def once(self, at: Column) -> Column:
         """The permutation of the whole grid."""
-        state = F.struct(F.floor(at / self.right).cast("long").alias("l"), (at % self.right).alias("r"))
-        state = F.struct(F.expr("0L").alias("l"), F.expr("0L").alias("r")) if self.size == 0 else state
+        low = at % self.right
+        state = F.struct(((at - low) / self.right).cast("long").alias("l"), low.alias("r"))
+        # A one-element array binds the state of a step, so it is computed once.
         for number in range(self.rounds):
-            # Each half is changed by the other; a one-element array binds the state, so it is computed once.
-            state = F.transform(
-                F.array(state),
-                lambda s, n=number: F.struct(((s["l"] + self._mix(2 * n, s["r"])) % self.left).alias("l"), s["r"].alias("r")),
-            )[0]
-            state = F.transform(
-                F.array(state),
-                lambda s, n=number: F.struct(s["l"].alias("l"), ((s["r"] + self._mix(2 * n + 1, s["l"])) % self.right).alias("r")),
-            )[0]
+            state = F.transform(F.array(state), self._half_step(2 * number, "l", "r", self.left))[0]
+            state = F.transform(F.array(state), self._half_step(2 * number + 1, "r", "l", self.right))[0]
         return F.transform(F.array(state), lambda s: s["l"] * self.right + s["r"])[0]
 
     def _longest_walk(self, spark: SparkSession) -> int:
