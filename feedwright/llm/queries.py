@@ -1,4 +1,4 @@
 """Imports every operator module, which registers its query."""
 
-from feedwright.llm import decontaminate, sharding, simhash, url_filter  # noqa: F401
+from feedwright.llm import decontaminate, quality_rules, sharding, simhash, url_filter  # noqa: F401
 from feedwright.llm.common import ORACLES, QUERIES  # noqa: F401
