@@ -1,4 +1,4 @@
 """Imports every operator module, which registers its query."""
 
-from feedwright.llm import decontaminate, packing, quality_rules, sharding, simhash, suffix_dedup, url_filter, warc  # noqa: F401
+from feedwright.llm import decontaminate, language_model, packing, quality_rules, sharding, simhash, suffix_dedup, url_filter, warc  # noqa: F401
 from feedwright.llm.common import ORACLES, QUERIES  # noqa: F401
