@@ -48,18 +48,17 @@ GRAM_ENTRIES = 64
 REPEAT, OPEN, ENTRIES = 0, 1, 2
 NO_ID = (1 << 63) - 1  # stands for a NULL id, which sorts last
 
-MARK = T.StructType(
-    [
-        T.StructField("kind", T.IntegerType()),
-        T.StructField("bucket", T.IntegerType()),
-        T.StructField("did", T.LongType()),
-        T.StructField("digest", T.LongType()),
-        T.StructField("data", T.BinaryType()),
-    ]
+# What travels between tasks: kind, the bucket or (for marks) the group of documents it goes to, packed arrays.
+SENT = T.StructType(
+    [T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("data", T.BinaryType())]
 )
-ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("did", pa.int64()), ("digest", pa.int64()), ("data", pa.binary())])
+SENT_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
+# Runs of one document.
+MARKED = "did long, digest long, repeats binary, opened binary"
+MARKED_ARROW = pa.schema([("did", pa.int64()), ("digest", pa.int64()), ("repeats", pa.binary()), ("opened", pa.binary())])
 RUN = np.dtype([("start", "<i8"), ("end", "<i8")])  # first and last window start
 ENTRY = np.dtype([("gram", "<u4"), ("key", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("width", "u1"), ("open", "u1")])
+PLACE = np.dtype([("doc", "<u4"), ("start", "<u4"), ("end", "<u4")])
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -184,51 +183,68 @@ def _later(group: Sequence[np.ndarray], rank: np.ndarray, start: np.ndarray) ->
     return later, first
 
 
-def _marks(kind: int, did: np.ndarray, digest: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """One row per document with its runs of window starts; neighbouring runs are joined if they are repeats."""
+def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs by document and start, those that touch or overlap joined."""
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
-    if kind == REPEAT and len(doc):
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != end[:-1] + 1)])
-        at = np.flatnonzero(new)
-        doc, start, end = doc[at], start[at], end[np.append(at[1:], len(end)) - 1]
-    runs = np.empty(len(doc), dtype=RUN)
-    runs["start"], runs["end"] = start, end
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, dtype=int)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        k = doc[a]
-        yield kind, int(digest[k] % buckets), int(did[k]), int(digest[k]), runs[a:b].tobytes()
+    if not len(doc):
+        return doc, start, end
+    # A document's runs are apart from the others' in this order, so one running maximum serves all.
+    shift = doc.astype(np.int64) << 33
+    reach = np.maximum.accumulate(end + shift)
+    new = np.concatenate([[True], (start + shift)[1:] > reach[:-1] + 1])
+    at = np.flatnonzero(new)
+    return doc[at], start[at], (reach - shift)[np.append(at[1:], len(end)) - 1]
+
+
+def _marks(kind: int, did: np.ndarray, digest: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Runs of window starts for the groups of documents they belong to, one row per group."""
+    if kind == REPEAT:
+        doc, start, end = _joined(doc, start, end)
+    places = np.empty(len(doc), dtype=PLACE)
+    places["doc"], places["start"], places["end"] = doc, start, end
+    yield from _packed(kind, did, digest, places, digest[doc] % buckets)
 
 
-def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(rows), 5000):
-        columns = list(zip(*rows[at : at + 5000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+def _rows(rows: list[tuple], schema: pa.Schema = SENT_ARROW) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 1000):
+        columns = list(zip(*rows[at : at + 1000], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _entries(did: np.ndarray, digest: np.ndarray, entries: np.ndarray, bucket: np.ndarray) -> Iterator[tuple]:
-    """One row per bucket: its entries with the keys of the documents they name."""
+def _packed(kind: int, did: np.ndarray, digest: np.ndarray, records: np.ndarray, bucket: np.ndarray) -> Iterator[tuple]:
+    """One row per bucket: its records with the keys of the documents they name."""
     order = np.argsort(bucket, kind="stable")
-    entries, bucket = entries[order], bucket[order]
+    records, bucket = records[order], bucket[order]
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, dtype=int)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        own = entries[a:b].copy()
+        own = records[a:b].copy()
         named, own["doc"] = np.unique(own["doc"], return_inverse=True)
         head = np.array([len(named)], dtype="<i8").tobytes() + did[named].tobytes() + digest[named].tobytes()
         # Columns apart, so that what repeats compresses.
-        yield ENTRIES, int(bucket[a]), 0, 0, head + b"".join([own[name].tobytes() for name in ENTRY.names])
-
-
-def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    did, digest = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i8", n, 8 + 8 * n)
-    at = 8 + 16 * n
-    count = (len(data) - at) // ENTRY.itemsize
-    entries = np.empty(count, dtype=ENTRY)
-    for name in ENTRY.names:
-        entries[name] = np.frombuffer(data, ENTRY[name], count, at)
-        at += count * ENTRY[name].itemsize
-    return did, digest, entries
+        yield kind, int(bucket[a]), head + b"".join([own[name].tobytes() for name in own.dtype.names])
+
+
+def _unpacked(rows: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, digests, records) of several packed rows together."""
+    dids, digests, parts, before = [], [], [], 0
+    for value in rows["data"]:
+        data = value.as_py()
+        n = int(np.frombuffer(data, "<i8", 1)[0])
+        dids.append(np.frombuffer(data, "<i8", n, 8))
+        digests.append(np.frombuffer(data, "<i8", n, 8 + 8 * n))
+        at = 8 + 16 * n
+        count = (len(data) - at) // kind.itemsize
+        records = np.empty(count, dtype=kind)
+        for name in kind.names:
+            records[name] = np.frombuffer(data, kind[name], count, at)
+            at += count * kind[name].itemsize
+        records["doc"] += before
+        before += n
+        parts.append(records)
+    if not parts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind)
+    return np.concatenate(dids), np.concatenate(digests), np.concatenate(parts)
 
 
 class _Sender:
@@ -275,28 +291,22 @@ class _Sender:
             for name in ("key", "doc", "start", "width"):
                 entries[name] = all_[name][at]
             entries["open"] = opened
-            rows += _entries(did, digest, entries, (gram % np.uint64(self.buckets)).astype(np.int64))
+            rows += _packed(ENTRIES, did, digest, entries, (gram % np.uint64(self.buckets)).astype(np.int64))
             self.clear()
             yield from _rows(rows)
 
 
+def _kind(group: pa.Table, kind: int) -> pa.Table:
+    return group.filter(pa.compute.equal(group["kind"], kind))
+
+
 def _bucket_task(buckets: int, split: bool):
     """Group function: settles the entries of one bucket and passes on the marks that travel with it."""
 
     def run(group: pa.Table) -> pa.Table:
-        entries = group.filter(pa.compute.equal(group["kind"], ENTRIES))
-        passed = group.filter(pa.compute.not_equal(group["kind"], ENTRIES))
+        did, digest, own = _unpacked(_kind(group, ENTRIES), ENTRY)
         rows: list[tuple] = []
-        if entries.num_rows:
-            dids, digests, parts, n = [], [], [], 0
-            for data in entries["data"]:
-                did, digest, own = _opened(data.as_py())
-                own["doc"] += n
-                n += len(did)
-                dids.append(did)
-                digests.append(digest)
-                parts.append(own)
-            did, digest, own = np.concatenate(dids), np.concatenate(digests), np.concatenate(parts)
+        if len(own):
             start, doc = own["start"].astype(np.int64), own["doc"].astype(np.int64)
             end = start + own["width"]
             later, first = _later([own["gram"], own["key"]], _ranks(did, digest)[doc], start)
@@ -305,15 +315,47 @@ def _bucket_task(buckets: int, split: bool):
                 _, which, counts = np.unique(own["gram"], return_inverse=True, return_counts=True)
                 classes = np.bincount(which, weights=first, minlength=len(counts))
                 opened = np.bincount(which, weights=own["open"], minlength=len(counts))
-                still = first & (own["open"] == 0) & ((classes[which] > 1) | (opened[which] > 0))
                 # The first of a class may be the one that its task has opened already.
+                still = first & (own["open"] == 0) & ((classes[which] > 1) | (opened[which] > 0))
                 rows += _marks(OPEN, did, digest, doc[still], start[still], end[still], buckets)
-        made = pa.Table.from_batches(_rows(rows), schema=ARROW)
-        return pa.concat_tables([passed.select(ARROW.names).cast(ARROW), made]) if passed.num_rows else made
+        passed = group.filter(pa.compute.not_equal(group["kind"], ENTRIES)).select(SENT_ARROW.names).cast(SENT_ARROW)
+        return pa.concat_tables([passed, pa.Table.from_batches(_rows(rows), schema=SENT_ARROW)])
 
     return run
 
 
+def _document_task(group: pa.Table) -> pa.Table:
+    """Group function: the runs of each document of a group of documents."""
+    found: dict[tuple[int, int], list[bytes | None]] = {}
+    for slot, kind in enumerate((REPEAT, OPEN)):
+        did, digest, places = _unpacked(_kind(group, kind), PLACE)
+        if not len(places):
+            continue
+        rank = _ranks(did, digest)
+        doc, start, end = rank[places["doc"]], places["start"].astype(np.int64), places["end"].astype(np.int64)
+        if kind == REPEAT:
+            doc, start, end = _joined(doc, start, end)
+        else:
+            order = np.lexsort((start, doc))
+            doc, start, end = doc[order], start[order], end[order]
+        runs = np.empty(len(doc), dtype=RUN)
+        runs["start"], runs["end"] = start, end
+        one = np.zeros(rank.max() + 1, dtype=np.int64)
+        one[rank] = np.arange(len(rank))
+        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = one[doc[a]]
+            found.setdefault((int(did[key]), int(digest[key])), [None, None])[slot] = runs[a:b].tobytes()
+    rows = [(*key, *data) for key, data in found.items()]
+    return pa.Table.from_batches(_rows(rows, MARKED_ARROW), schema=MARKED_ARROW)
+
+
+def _marked(sent: DataFrame, buckets: int, split: bool) -> DataFrame:
+    """What tasks have sent, settled by bucket and brought together by document."""
+    settled = sent.groupBy("bucket").applyInArrow(_bucket_task(buckets, split), SENT)
+    return settled.groupBy("bucket").applyInArrow(_document_task, MARKED)
+
+
 def _keyed(docs: DataFrame, text: str, doc_id: str, row: bool = False) -> DataFrame:
     """Text as binary with the key of its document; with ``row`` all columns too."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -364,7 +406,7 @@ def _open_windows(buckets: int):
             for did, digest, texts, a, b in _texts(batch):
                 found: dict[str, list[np.ndarray]] = {"key": [], "doc": [], "start": []}
                 for k, (text, data) in enumerate(zip(texts, batch.column("opened").slice(a, b - a).to_pylist(), strict=True)):
-                    runs = np.unique(np.concatenate([np.frombuffer(part, dtype=RUN) for part in data]))
+                    runs = np.unique(np.frombuffer(data, dtype=RUN))
                     body = np.frombuffer(text, dtype=np.uint8)
                     # Long texts segment by segment, each with the stretches that begin in it.
                     for offset in range(0, len(body), SEGMENT_BYTES):
@@ -394,17 +436,15 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("n")).first()["n"]
     buckets = max(least, -(-total // (BUCKET_ENTRIES * (LENGTH - GRAM) // 2)))
-    found = keyed.mapInArrow(_find_stretches(buckets), MARK).groupBy("bucket").applyInArrow(_bucket_task(buckets, True), MARK)
-    first = stage(found, "stretches")
-    opened = first.where(F.col("kind") == OPEN).groupBy("did", "digest").agg(F.collect_list("data").alias("opened"))
+    first = stage(_marked(keyed.mapInArrow(_find_stretches(buckets), SENT), buckets, True), "stretches")
+    opened = first.where("opened is not null").select("did", "digest", "opened")
     # About half a window span per open stretch; each run is 16 bytes.
-    size = first.where(F.col("kind") == OPEN).agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"]
+    size = opened.agg(F.coalesce(F.sum(F.octet_length("opened")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(least, -(-(size // RUN.itemsize * SPAN // 2) // BUCKET_ENTRIES))
     texts = keyed.join(opened.hint("shuffle_hash"), ["did", "digest"]).select("did", "digest", "body", "opened")
-    found = texts.mapInArrow(_open_windows(buckets), MARK).groupBy("bucket").applyInArrow(_bucket_task(buckets, False), MARK)
-    second = stage(found, "windows")
-    marks = first.unionByName(second).where(F.col("kind") == REPEAT)
-    return marks.groupBy("did", "digest").agg(F.collect_list("data").alias("runs"))
+    second = stage(_marked(texts.mapInArrow(_open_windows(buckets), SENT), buckets, False), "windows")
+    marks = first.select("did", "digest", "repeats").unionByName(second.select("did", "digest", "repeats"))
+    return marks.where("repeats is not null").groupBy("did", "digest").agg(F.collect_list("repeats").alias("runs"))
 
 
 def removed_spans(runs: Sequence[bytes] | None) -> list[tuple[int, int]]:
