@@ -158,6 +158,8 @@ class Vocabulary:
 def _send(keys: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """Distinct keys with their counts, one row per bucket."""
     key, count = np.unique(np.concatenate(keys), return_counts=True)
+    if not len(key):
+        return
     bucket = (_mixed(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedwright.llm.common import query, table
 from feedwright.operators.numbering import number_rows
+from feedwright.staging import stage
 
 SHARDS = 8
 ROUNDS = 4
@@ -57,13 +58,17 @@ class Feistel:
         return F.transform(F.array(state), lambda s: s["l"] * self.right + s["r"])[0]
 
     def _longest_walk(self, spark: SparkSession) -> int:
-        """Steps after which every row is inside: the longest chain of cells outside, plus one."""
+        """Steps after which every row is inside: the longest chain of cells outside that leads inside, plus one.
+
+        Each step shortens every such chain by one cell, so the cells still outside grow fewer until only cycles that
+        lie outside as a whole are left, which no row enters.
+        """
         outside = spark.range(self.size, self.left * self.right).select("id")
-        steps = 1
-        while outside.count():
-            outside = outside.select(self.once(F.col("id")).alias("id")).where(F.col("id") >= self.size)
-            steps += 1
-        return steps
+        steps, before, now = 0, None, self.left * self.right - self.size
+        while now and now != before:
+            outside = stage(outside.select(self.once(F.col("id")).alias("id")).where(F.col("id") >= self.size), "walk")
+            steps, before, now = steps + 1, now, outside.count()
+        return steps if now else steps + 1
 
     def permute(self, at: Column) -> Column:
         """Place of row number ``at`` (from 0) in the shuffled order."""

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from feedwright.llm.common import query, table
+from feedwright.llm.common import query, table, unpacked
 from feedwright.llm.components import components
 from feedwright.staging import stage
 
@@ -191,9 +191,12 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
         .select(F.col(doc_id).alias("_id"), F.col("digest").alias("_other"))
         .distinct()
     )
-    given = docs.withColumn("_digest", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    kept = given.join(dropped, (F.col("_digest") == F.col("_other")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
-    return kept.dropDuplicates([doc_id, "_digest"]).drop("_digest")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    given = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(body).alias("digest")
+    )
+    kept = given.join(dropped, (F.col("digest") == F.col("_other")) & F.col("id").eqNullSafe(F.col("_id")), "left_anti")
+    return unpacked(kept.dropDuplicates(["id", "digest"]), docs.columns)
 
 
 @query("op8_simhash_near_duplicates")
