@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -25,8 +26,9 @@ from feedwright.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
-# Words whose ids a task remembers at a time.
-CACHE_WORDS = 400_000
+# Words and parts of words whose ids a task remembers at a time.
+CACHE_WORDS = 800_000
+PUNCTUATION = ".,;:!?#$%&*|"
 
 
 def public_tokenizer() -> str:
@@ -39,41 +41,69 @@ def public_tokenizer() -> str:
 class WordTokenizer:
     """Ids of whole texts from a byte-level BPE tokenizer file, each distinct word encoded once.
 
-    The pre-tokenizer of such a file never joins what stands before a single space between two other characters with
-    what follows, so the text may be encoded in pieces cut there. Other texts are encoded whole.
+    The pre-tokenizer of such a file never joins what stands before a single space or newline between two other
+    characters with what follows, nor letters with the punctuation after them, so a text may be encoded in pieces cut
+    there. Texts with other white space, or with more of it in a row, are encoded whole.
     """
 
     def __init__(self, definition: str):
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_str(definition)
         self.encoder.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.irregular = re.compile(r"\s \s?| \s|\A\s|\s\Z")
+        self.newline = self._encoded(["\n"])[0]
         self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _encoded(self, texts: Sequence[str]) -> list[bytes]:
         found = self.encoder.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [np.array(one.ids, dtype="<u4").tobytes() for one in found]
+        return [array("I", one.ids).tobytes() for one in found]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Remember the ids of words as they stand after a space, or with ``\\n`` in front after a newline."""
+        words = self.words
+        after_space = {word for word in missing if word[-1].isalpha() and word[0] != "\n"}
+        lines, punctuated = [], []
+        for word in missing.difference(after_space):
+            stem = word.rstrip(PUNCTUATION)
+            if word[0] == "\n":
+                lines.append(word)
+            elif len(stem) < len(word) and stem.isalpha():
+                punctuated.append((word, stem, word[len(stem) :]))
+                after_space.add(stem)
+            else:
+                after_space.add(word)
+        new = list(after_space.difference(words))
+        words.update(zip(new, self._encoded([f" {word}" for word in new]), strict=True))
+        marks = list({mark for _, _, mark in punctuated}.difference(self.marks))
+        self.marks.update(zip(marks, self._encoded(marks), strict=True))
+        words.update([(word, words[stem] + self.marks[mark]) for word, stem, mark in punctuated])
+        words.update([(word, self.newline + ids) for word, ids in zip(lines, self._encoded([word[1:] for word in lines]), strict=True)])
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        whole = [k for k, text in enumerate(texts) if self.irregular.search(text)]
-        split: dict[int, list[str]] = {}
-        for k in set(range(len(texts))).difference(whole):
-            first, *rest = texts[k].split(" ")
-            split[k] = [first, *rest]
+        whole, split = [], {}
+        for k, text in enumerate(texts):
+            plain = text.split()
+            gaps = text.count(" ") + text.count("\n")
+            if plain and len(plain) == gaps + 1 and len("".join(plain)) + gaps == len(text):
+                first, *rest = text.replace("\n", " \n").split(" ")
+                split[k] = (first, rest)
+            else:
+                whole.append(k)
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
+            self.marks.clear()
         words = self.words
-        missing = list(set().union(*[parts[1:] for parts in split.values()]).difference(words)) if split else []
-        words.update(zip(missing, self._encoded([f" {word}" for word in missing]), strict=True))
-        starts = dict(zip(split, self._encoded([parts[0] for parts in split.values()]), strict=True))
+        missing = set().union(*[rest for _, rest in split.values()]).difference(words)
+        if missing:
+            self._learn(missing)
+        starts = dict(zip(split, self._encoded([first for first, _ in split.values()]), strict=True))
         others = dict(zip(whole, self._encoded([texts[k] for k in whole]), strict=True))
+        get = words.__getitem__
         out = []
         for k in range(len(texts)):
-            data = others[k] if k in others else starts[k] + b"".join([words[word] for word in split[k][1:]])
+            data = others[k] if k in others else starts[k] + b"".join(map(get, split[k][1]))
             out.append(np.frombuffer(data, dtype="<u4"))
         return out
 
