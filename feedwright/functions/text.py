@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from feedwright.registry import operator
 
 HASH_COLUMN = "hash_value"
+# Fixed value: characters of a number in the older form of row hashes.
 NUMBER_TEXT_LENGTH = 20
 
 # Windows-1252 code points and the ISO-8859-15 code points they become.
@@ -51,32 +52,37 @@ def coalesce_text(expression: Column, default: str = "") -> Column:
     return F.coalesce(expression.cast("string"), F.lit(default))
 
 
-def _as_text(name: str, data_type: T.DataType) -> Column:
+def _as_text(name: str, data_type: T.DataType, number_length: int | None) -> Column:
     column = quoted(name).cast("string")
-    if isinstance(data_type, T.NumericType):
-        column = F.substring(column, 1, NUMBER_TEXT_LENGTH)
+    if number_length is not None and isinstance(data_type, T.NumericType):
+        column = F.substring(column, 1, number_length)
     return column
 
 
 @operator("concat_columns")
-def concat_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    """One string from many columns: numbers as text of at most 20 characters, NULL as '', no separator.
+def concat_columns(
+    df: DataFrame, columns: Sequence[str] | None = None, number_length: int | None = None
+) -> Column:
+    """One string from many columns: whole values as text, NULL as '', no separator.
 
+    ``number_length=NUMBER_TEXT_LENGTH`` gives the older form, in which numbers are cut after 20 characters.
     Floating point text differs between engines; cast such columns to a decimal before comparing across systems.
     """
     types = {field.name: field.dataType for field in df.schema.fields}
     chosen = list(columns) if columns is not None else df.columns
     if not chosen:
         return F.lit("")
-    return F.concat(*[coalesce_text(_as_text(name, types[name])) for name in chosen])
+    return F.concat(*[coalesce_text(_as_text(name, types[name], number_length)) for name in chosen])
 
 
 @operator("row_hash")
-def row_hash(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Keys followed by ``0x`` + upper-case MD5 of the concatenated non-key columns. Narrow: no shuffle."""
+def row_hash(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, number_length: int | None = None
+) -> DataFrame:
+    """Keys followed by ``0x`` + upper-case MD5 of :func:`concat_columns` of the others. Narrow: no shuffle."""
     if columns is None:
         columns = [name for name in df.columns if name not in set(keys)]
-    digest = F.concat(F.lit("0x"), F.upper(F.md5(concat_columns(df, columns))))
+    digest = F.concat(F.lit("0x"), F.upper(F.md5(concat_columns(df, columns, number_length))))
     return df.select(*[quoted(key) for key in keys], digest.alias(HASH_COLUMN))
 
 

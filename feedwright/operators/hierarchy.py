@@ -93,16 +93,26 @@ def step_tree(config: DataFrame, group: str, root: int | None = None, ordered: b
 
 @operator("root_blocker")
 def root_blocker(edges: DataFrame) -> DataFrame:
-    """Per waiting process the blocker that is not itself waiting: (waiting, blocking, root, depth).
+    """Per waiting process every blocker that is not itself waiting: (waiting, blocking, root, depth).
 
-    A process waiting for several blockers follows the lowest. Processes in a wait cycle have a NULL root.
+    One row per direct blocker and root behind it, with the fewest steps. A direct blocker behind which only a wait
+    cycle lies has one row with a NULL root. Rounds follow all paths at once; each place is reached once per direct
+    blocker, so cycles end. What a round has found is staged.
     """
-    waits = edges.groupBy("waiting").agg(F.min("blocking").alias("blocking"))
-    nodes = waits.select(F.col("waiting").alias("node"), F.col("blocking").alias("next"))
-    # Blockers that wait for nobody are nodes without a next one.
-    free = waits.select("blocking").distinct().join(waits.select("waiting"), F.col("blocking") == F.col("waiting"), "left_anti")
-    links = nodes.unionByName(free.select(F.col("blocking").alias("node"), F.lit(None).cast("bigint").alias("next")))
-    ends = chain_ends(links, on_cycle="null")
-    return waits.join(ends, F.col("waiting") == F.col("node")).select(
-        "waiting", "blocking", F.col("end").alias("root"), F.col("steps").cast("int").alias("depth")
+    waits = stage(edges.select("waiting", "blocking").distinct(), "waits")
+    step = waits.select(F.col("waiting").alias("_from"), F.col("blocking").alias("_to"))
+    front = waits.select("waiting", "blocking", F.col("blocking").alias("at"), F.lit(1).alias("depth"))
+    seen = front
+    while not front.isEmpty():
+        onward = (
+            front.join(step, F.col("at") == F.col("_from"))
+            .select("waiting", "blocking", F.col("_to").alias("at"), (F.col("depth") + 1).alias("depth"))
+            .distinct()
+        )
+        front = stage(onward.join(seen, ["waiting", "blocking", "at"], "left_anti"), "waits")
+        seen = seen.unionByName(front)
+    waiting = waits.select(F.col("waiting").alias("_waiting")).distinct()
+    ends = seen.join(waiting, F.col("at") == F.col("_waiting"), "left_anti").select(
+        "waiting", "blocking", F.col("at").alias("root"), "depth"
     )
+    return waits.join(ends, ["waiting", "blocking"], "left").select("waiting", "blocking", "root", "depth")

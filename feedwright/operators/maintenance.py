@@ -12,7 +12,6 @@ from feedwright.operators.joins import semi_by_key
 from feedwright.registry import operator
 from feedwright.sources.delimited import write_csv
 
-MAX_DISTRIBUTION_KEYS = 4
 
 
 @operator("insert_select")
@@ -98,9 +97,9 @@ def distribute_by_keys(
     unique: Sequence[Sequence[str]] = (),
     partitions: int | None = None,
 ) -> DataFrame:
-    """Hash-distribute by the declared keys, else the primary key, else the first unique key; four columns at most."""
+    """Hash-distribute by all of the declared keys, else of the primary key, else of the first unique key."""
     chosen = list(declared) or list(primary) or (list(unique[0]) if unique else [])
-    columns = [quoted(name) for name in chosen[:MAX_DISTRIBUTION_KEYS]]
+    columns = [quoted(name) for name in chosen]
     if not columns:
         return df
     return df.repartition(partitions, *columns) if partitions else df.repartition(*columns)
@@ -109,8 +108,9 @@ def distribute_by_keys(
 @operator("write_distributed")
 def write_distributed(df: DataFrame, table: str, keys: Sequence[str], buckets: int) -> None:
     """Save a table bucketed by its distribution keys, so later joins on them need no shuffle."""
-    chosen = list(keys)[:MAX_DISTRIBUTION_KEYS]
-    df.write.bucketBy(buckets, chosen[0], *chosen[1:]).sortBy(*chosen).saveAsTable(table)
+    chosen = list(keys)
+    # Dealt out by bucket first: one file per bucket rather than one per bucket and task.
+    df.repartition(buckets, *[quoted(name) for name in chosen]).write.bucketBy(buckets, chosen[0], *chosen[1:]).sortBy(*chosen).saveAsTable(table)
 
 
 @operator("cascade_delete")

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Row
 
 from feedwright.registry import operator
+from feedwright.staging import stage
 
-MAX_ITERATIONS = 1000
+BRANCHES = 100
 
 
 @operator("query_params")
@@ -20,13 +21,19 @@ def query_params(df: DataFrame) -> dict:
 
 
 @operator("for_each_row")
-def for_each_row(control: DataFrame, fn: Callable[[Row], DataFrame], max_rows: int = MAX_ITERATIONS) -> DataFrame | None:
-    """Union of ``fn(row)`` over a small control frame; more rows than ``max_rows`` raise.
+def for_each_row(control: DataFrame, fn: Callable[[Row], DataFrame], branches: int = BRANCHES) -> DataFrame | None:
+    """Union of ``fn(row)`` over a control frame, None for an empty one.
 
-    For large control frames join with them instead: this loop plans one branch per row.
+    Each row is a branch of a plan. Rows are taken from the frame one after the other, and after every ``branches`` of
+    them the union so far is staged, so neither the driver nor a plan holds more. Where ``fn`` is a join or filter by
+    the row's values, joining with the control frame does the same in one pass.
     """
-    rows = control.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"control frame has more than {max_rows} rows: join with it instead")
-    frames = [fn(row) for row in rows]
-    return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
+    frames: list[DataFrame] = []
+    staged: list[DataFrame] = []
+    for row in control.toLocalIterator():
+        frames.append(fn(row))
+        if len(frames) == branches:
+            staged.append(stage(reduce(DataFrame.unionByName, frames), "rows"))
+            frames = []
+    parts = staged + frames
+    return reduce(DataFrame.unionByName, parts) if parts else None

@@ -42,11 +42,21 @@ def _compare_tagged(
 
 @operator("reconcile_tables")
 def reconcile_tables(
-    source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None
+    source: DataFrame,
+    target: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str] | None = None,
+    by_hash: bool = False,
 ) -> DataFrame:
-    """Keys whose row hash differs or that exist on one side: only_source, only_target, different."""
+    """Keys whose rows differ or that exist on one side: only_source, only_target, different.
+
+    Rows are compared column by column, NULL told apart from every value. ``by_hash`` compares :func:`row_hash` instead,
+    for tables whose hashes are all that can be had: it cannot tell NULL from '' nor ('ab', 'c') from ('a', 'bc').
+    """
     if columns is None:
         columns = [name for name in source.columns if name in target.columns and name not in set(keys)]
+    if not by_hash:
+        return _diff(source, target, keys, columns, ("only_source", "only_target", "different"))
     return _compare(
         row_hash(source, keys, columns),
         row_hash(target, keys, columns),
@@ -63,11 +73,16 @@ def snapshot_diff(
     """Keys added, removed or changed from one version of a table to the next; NULL-aware."""
     dropped = set(ignore) | set(keys)
     columns = [name for name in base.columns if name not in dropped]
+    return _diff(base, release, keys, columns, ("removed", "added", "changed"))
+
 
+def _diff(
+    base: DataFrame, release: DataFrame, keys: Sequence[str], columns: Sequence[str], names: Sequence[str]
+) -> DataFrame:
     # Digests of one union, so both sides are hashed under the same types.
-    sides = base.select(*keys, *columns).withColumn("_base", F.lit(True)).unionByName(
-        release.select(*keys, *columns).withColumn("_base", F.lit(False))
+    sides = base.select(*[quoted(name) for name in [*keys, *columns]]).withColumn("_base", F.lit(True)).unionByName(
+        release.select(*[quoted(name) for name in [*keys, *columns]]).withColumn("_base", F.lit(False))
     )
     digests = row_digest(sides, columns)
     narrow = sides.select(*[quoted(key) for key in keys], "_base", digests[0].alias("_d1"), digests[1].alias("_d2"))
-    return _compare_tagged(narrow, "_base", keys, ["_d1", "_d2"], ("removed", "added", "changed"))
+    return _compare_tagged(narrow, "_base", keys, ["_d1", "_d2"], names)

@@ -19,7 +19,6 @@ ERROR = "ERROR"
 READY = "READY"
 RUNNING = "RUNNING"
 TEXT_PART_SIZE = 60000
-MAX_BATCH_ROWS = 1000
 
 STEP_SCHEMA = (
     "load_execution_id string, job_id bigint, processing_group_name string, sequence_order int, target_db_name string, "
@@ -36,9 +35,12 @@ def batch_jobs(
     ids: Sequence[int] | None = None,
     days: int | None = None,
     now: Column | None = None,
-    limit: int | None = MAX_BATCH_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Batches with their jobs (batches without jobs included), by ids or by age; at most ``limit`` rows."""
+    """Batches with their jobs (batches without jobs included), by ids or by age.
+
+    With ``limit`` the latest rows only, by batch and job id.
+    """
     chosen = batches
     if ids is not None:
         chosen = chosen.where(F.col("batch_id").isin(*ids))
@@ -63,7 +65,7 @@ def batch_jobs(
         F.col("processing_time").alias("job_processing_time"),
     )
     joined = left.join(right, "batch_id", "left")
-    return joined.limit(limit) if limit else joined
+    return joined.orderBy(F.desc("batch_id"), F.desc("job_id")).limit(limit) if limit is not None else joined
 
 
 @operator("batch_status")

@@ -122,7 +122,9 @@ VIEWS = {
     "lock_waits": """
         select c_custkey as waiting, case when c_custkey % 50 = 3 then c_custkey
                                           else cast(floor(c_custkey / 3) as bigint) end as blocking
-        from {customer} where c_custkey > 5""",
+        from {customer} where c_custkey > 5
+        union all
+        select c_custkey, cast(floor(c_custkey / 2) as bigint) from {customer} where c_custkey > 5 and c_custkey % 7 = 0""",
     "documents_parts": """
         select doc_id, text from {documents}""",
 }

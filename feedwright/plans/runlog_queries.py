@@ -21,7 +21,7 @@ from feedwright.streaming import harvest
        from {batch_ctl} b left join {job_ctl} j on b.batch_id = j.batch_id""",
 )
 def _(i: Inputs):
-    joined = runlog.batch_jobs(i.view("batch_ctl"), i.view("job_ctl"), limit=None)
+    joined = runlog.batch_jobs(i.view("batch_ctl"), i.view("job_ctl"))
     return joined.select(
         "batch_id", "batch_identifier", "batch_status", "job_id", "job_identifier", "job_status", "job_processing_time"
     )
@@ -153,17 +153,18 @@ def _(i: Inputs):
 
 @query(
     "root_blocker",
-    """with recursive w as materialized (select * from {lock_waits} l),
-       walk as (select waiting, blocking, blocking as root, 1 as depth from w
+    """with recursive w as materialized (select distinct waiting, blocking from {lock_waits} l),
+       walk as (select waiting, blocking, blocking as root, [blocking] as path from w
                 union all
-                select k.waiting, k.blocking, w.blocking, k.depth + 1 from walk k join w on w.waiting = k.root
-                where k.depth < 50 and w.waiting <> w.blocking),
-       ends as (select waiting, root, depth from walk where root not in (select waiting from w))
+                select k.waiting, k.blocking, w.blocking, list_append(k.path, w.blocking)
+                from walk k join w on w.waiting = k.root where not list_contains(k.path, w.blocking)),
+       ends as (select waiting, blocking, root, min(len(path)) as depth from walk
+                where root not in (select waiting from w) group by all)
        select w.waiting, w.blocking, e.root, cast(e.depth as integer) as depth
-       from w left join ends e on e.waiting = w.waiting""",
+       from w left join ends e on e.waiting = w.waiting and e.blocking = w.blocking""",
 )
 def _(i: Inputs):
-    """Every 50th process waits for itself: a cycle, which has no root."""
+    """Every 50th process waits for itself, a cycle that has no root; every seventh waits for a second blocker."""
     return hierarchy.root_blocker(i.view("lock_waits"))
 
 

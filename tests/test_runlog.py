@@ -44,6 +44,15 @@ def test_root_blocker(spark, rows):
         (5, 6, None, None),
         (6, 5, None, None),
     ]
+    several = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (2, 5), (3, 5)], "waiting bigint, blocking bigint")
+    assert rows(hierarchy.root_blocker(several)) == [
+        (1, 2, 4, 2),
+        (1, 2, 5, 2),
+        (1, 3, 5, 2),
+        (2, 4, 4, 1),
+        (2, 5, 5, 1),
+        (3, 5, 5, 1),
+    ]
 
 
 def test_text_parts(spark, rows):
@@ -67,7 +76,9 @@ def test_batch_filters(spark):
     )
     assert runlog.batch_jobs(batches, jobs, ids=[1, 2]).count() == 2
     assert runlog.batch_jobs(batches, jobs, days=7, now=F.lit(moment)).count() == 8
-    assert runlog.batch_jobs(batches, jobs, limit=3).count() == 3
+    assert sorted(row["batch_id"] for row in runlog.batch_jobs(batches, jobs, limit=3).collect()) == [7, 8, 9]
+    many = spark.range(1500).select(F.col("id").alias("batch_id")).join(batches.drop("batch_id").limit(1))
+    assert runlog.batch_jobs(many, jobs).count() == 1500
 
 
 CONTROL_SCHEMA = (

@@ -182,8 +182,9 @@ def test_delete_and_update(spark, rows):
 def test_params_and_audit(spark, rows, tmp_path):
     assert params.query_params(spark.sql("select 1 as `max sk`, 'x' as t")) == {"max_sk": 1, "t": "x"}
     assert params.query_params(spark.range(0)) == {}
-    with pytest.raises(ValueError, match="more than 2 rows"):
-        params.for_each_row(spark.range(3), lambda row: spark.range(1), max_rows=2)
+    looped = params.for_each_row(spark.range(5), lambda row: spark.range(row["id"], row["id"] + 1), branches=2)
+    assert rows(looped) == [(k,) for k in range(5)]
+    assert params.for_each_row(spark.range(0), lambda row: spark.range(1)) is None
     counted, seen = runlog.affected_rows(spark.range(7))
     counted.write.format("noop").mode("overwrite").save()
     assert seen.get["rows_affected"] == 7
