@@ -15,6 +15,7 @@ from feedwright.functions.dates import DATE_OR_TIMESTAMP_SHAPE, DATE_SHAPE
 from feedwright.functions.text import global_substitute, quoted, safe_identifier, text_literal
 from feedwright.operators.numbering import number_rows
 from feedwright.registry import operator
+from feedwright.staging import stage
 from feedwright.sources.delimited import CORRUPT_COLUMN
 
 MAX_LENGTH_EXCEEDED = "MAX_LENGTH_EXCEEDED"
@@ -365,11 +366,18 @@ def datacop(
     bounds: str = "sql",
     strict_decimal: bool = False,
     row_no: str | None = None,
+    staged: bool = False,
 ) -> DataCopResult:
-    """Validate a feed. With ``max_issues`` the summary is computed at once and too many issues raise."""
+    """Validate a feed. With ``max_issues`` the summary is computed at once and too many issues raise.
+
+    ``staged`` writes the annotated rows once and derives every frame from them, so that the feed is read and checked
+    in one pass whatever number of frames is used.
+    """
     annotated = annotate(
         df, schema, global_sub, mangle_column_count, bounds, strict_decimal, [row_no] if row_no else []
     )
+    if staged:
+        annotated = stage(annotated, "annotated")
     good, bad = datacop_split(annotated)
     summary = datacop_issues_summary(annotated, schema, job_id, db, schema_name, table)
     if max_issues is not None:

@@ -354,19 +354,43 @@ def _(i: Inputs):
     ).distinct()
 
 
+@query(
+    "harvest_stream",
+    """select strftime(d, '%Y-%m-%d') as extract_date, row_number() over (order by d) as nth, n_lines
+       from (select date_trunc('month', cast(o_orderdate as date)) as d, count(*) as n_lines from orders group by all) f""",
+)
+def _(i: Inputs):
+    """A file per month, discovered a few at a time in any order and handled by date over all; a dry run changes nothing."""
+    written, incoming, checkpoint = (scratch_path(i.spark, name) for name in ("written", "incoming", "stream"))
+    month = F.date_format(F.trunc(F.col("o_orderdate").cast("date"), "month"), "yyyyMMdd").alias("month")
+    lines = i.table("orders").select(month, F.col("o_orderkey").cast("string").alias("value"))
+    lines.repartition("month").write.partitionBy("month").text(written)
+    hadoop = i.spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(incoming).getFileSystem(i.spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop.Path(incoming))
+    for row in i.spark.read.format("binaryFile").load(written).select("path", "month").collect():
+        system.rename(hadoop.Path(row["path"]), hadoop.Path(f"{incoming}/orders_{row['month']}.csv"))
+    feed = Row(file_regex=r"^orders_(\d+)", processing_group_name="orders", pos_1="EXTRACT_DATE", perform_load_order_check=0)
+    feeds = i.spark.createDataFrame([feed])
+    counts = []
+
+    def handler(spark, date, files, batch_id):
+        counts.append((date, len(counts) + 1, spark.read.text([row["path"] for row in files]).count()))
+
+    options = {"spark": i.spark, "incoming": incoming, "control": feeds, "checkpoint": checkpoint, "handler": handler}
+    harvest.harvest_stream(**options, dry_run=True)
+    harvest.harvest_stream(**options, max_files=20)
+    return i.spark.createDataFrame(counts, "extract_date string, nth bigint, n_lines bigint")
+
+
 @query("harvest_datacop", "select " + NAMES + " from {orders_text} t where " + FIRST_ISSUE + " is null")
 def _(i: Inputs):
     """Feed files picked up by the stream, validated, good rows read back from the sink."""
     incoming, out = scratch_path(i.spark, "incoming"), scratch_path(i.spark, "harvested")
     write_csv(i.view("orders_text"), incoming, headers=False)
-    control = i.table("orders").limit(1).select(
-        F.lit(r"^part-(\d+)-").alias("file_regex"),
-        F.lit("orders").alias("processing_group_name"),
-        F.lit("SEQUENCE").alias("pos_1"),
-    )
+    feed = Row(file_regex=r"^part-(\d+)-", processing_group_name="orders", pos_1="SEQUENCE")
     handler = harvest.harvest_datacop({"orders": DECLARED}, out, header=False, null_value="\\N")
-    stream = harvest.harvest_stream(i.spark, incoming, control, scratch_path(i.spark, "stream"), handler)
-    stream.awaitTermination()
+    harvest.harvest_stream(i.spark, incoming, i.spark.createDataFrame([feed]), scratch_path(i.spark, "stream"), handler)
     return read_delimited(i.spark, f"{out}/good/*/*/*", columns=NAMES.split(", "), null_value="\\N")
 
 

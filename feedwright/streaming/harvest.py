@@ -1,15 +1,18 @@
 """Incremental ingestion of feed files.
 
-The stream discovers files (paths and sizes only, no content is read), so the checkpoint is the list of files already
-seen. Each micro-batch matches file names to feeds, orders files by extract date, checks the load order against the run
-log and hands each date to a handler that reads the files in parallel. What a handler writes is keyed by the batch id,
-so a repeated micro-batch overwrites itself.
+A stream discovers files (paths and sizes only, no content is read) and adds them to a list of files seen, which is all
+that its checkpoint stands for. A run takes every file seen that the job log does not call complete, whenever it was
+seen: matches file names to feeds, orders all of them by extract date, and goes date by date, checking the load order
+against the log as it is then, logging RUNNING, calling a handler that reads the files in parallel, and logging the
+outcome. Files that failed, matched no feed or were in flight stay on the list for the next run.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
@@ -21,8 +24,8 @@ from feedwright.operators.quality import datacop
 from feedwright.operators.runlog import COMPLETE, ERROR, READY, RUNNING
 from feedwright.registry import operator
 from feedwright.sources.delimited import read_delimited, write_csv
+from feedwright.staging import stage
 
-MAX_POSITIONS = 15
 EXTRACT_DATE = "EXTRACT_DATE"
 FILES_PER_BATCH = 1000
 FILE_SCHEMA = T.StructType(
@@ -40,8 +43,8 @@ def _positions(control: Row, file: Column) -> Column:
     pattern = f"(?i){control['file_regex']}"
     groups = re.compile(control["file_regex"]).groups
     pairs: list[Column] = []
-    for index in range(1, MAX_POSITIONS + 1):
-        name = control[f"pos_{index}"] if f"pos_{index}" in control else None
+    named = [(int(field[4:]), control[field]) for field in control.__fields__ if re.fullmatch(r"pos_\d+", field)]
+    for index, name in sorted(named):
         if not name:
             continue
         if index <= groups:
@@ -58,7 +61,7 @@ def match_file_patterns(files: DataFrame, control: DataFrame | Sequence[Row]) ->
     """Files with the feed whose regex matches their name; files that match none are left out.
 
     Regexes are unanchored and ignore case; the lowest one that matches wins, and a pattern with a record length also
-    needs the file's ``first_line_length`` to be equal. Capture groups are named by ``pos_1 … pos_15``. The control
+    needs the file's ``first_line_length`` to be equal. Capture groups are named by the columns ``pos_1``, ``pos_2`` and so on. The control
     table is configuration, one row per feed: its patterns become one CASE projection over the files, so files and
     patterns are never joined.
     """
@@ -176,21 +179,49 @@ def files_of(batch: DataFrame) -> DataFrame:
     return batch.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.col("length").alias("size"))
 
 
-def file_stream(
-    spark: SparkSession, incoming: str, max_files: int = FILES_PER_BATCH, archive: str | None = None
-) -> DataFrame:
-    """Stream of new files. ``archive`` moves finished files there."""
+def file_stream(spark: SparkSession, incoming: str, max_files: int = FILES_PER_BATCH) -> DataFrame:
+    """Stream of new files, at most ``max_files`` in a micro-batch."""
     reader = (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", max_files)
     )
-    if archive:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader.load(incoming).select("path", "length")
 
 
+@operator("discover_files")
+def discover_files(spark: SparkSession, incoming: str, checkpoint: str, max_files: int = FILES_PER_BATCH) -> StreamingQuery:
+    """Add all files that arrived since the last call to the list of files seen, then stop.
+
+    A repeated micro-batch replaces its own part of the list.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{_seen(checkpoint)}/seen_in={batch_id}")
+
+    return (
+        file_stream(spark, incoming, max_files)
+        .writeStream.option("checkpointLocation", f"{checkpoint}/discovery")
+        .trigger(availableNow=True)
+        .foreachBatch(add)
+        .start()
+    )
+
+
+def _seen(checkpoint: str) -> str:
+    return f"{checkpoint}/seen"
+
+
+def _read_if_there(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as error:  # no folder before the first write
+        if "PATH_NOT_FOUND" in str(error):
+            return spark.createDataFrame([], schema)
+        raise
+
+
 Handler = Callable[[SparkSession, str, list[Row], int], None]
 
 
@@ -205,60 +236,82 @@ def harvest_stream(
     max_files: int = FILES_PER_BATCH,
     archive: str | None = None,
     dry_run: bool = False,
-) -> StreamingQuery:
-    """Process all files that arrived since the last run, then stop.
+    group: str | None = None,
+) -> DataFrame:
+    """Process all waiting files; returns the jobs of this run (path, feed, file, extract_date, batch_id, status).
+
+    ``handler(spark, extract_date, files, batch_id)`` is called once per extract date, dates ascending over all waiting
+    files whatever ``max_files`` is; ``files`` are the rows of that date. The job log is ``log_path`` or a folder beside
+    the checkpoint. An error verdict of the load order or an exception of the handler ends the run; what was done
+    before stays done, the rest waits. Job ids grow with time and do not depend on any setting.
 
-    ``handler(spark, extract_date, files, batch_id)`` is called once per extract date, dates ascending; ``files`` are
-    the rows of that date, at most ``max_files``. With ``log_path`` jobs are logged there, files in flight skipped and
-    the load order checked. ``dry_run`` runs everything but the handler and the log.
+    ``archive`` moves a file there once it is complete. ``group`` takes only the control rows with that
+    ``grouping_code``. ``dry_run`` lists what is in the folder now and returns the files in their order with status
+    ``PLANNED``; it checks the first date and changes no state.
     """
-    rows = control.collect()
-    by_length = any(row["record_length"] for row in rows if "record_length" in row)
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        files = files_of(batch)
-        if by_length:
-            paths = [row["path"] for row in files.select("path").collect()]
-            if not paths:
-                return
-            lengths = route_by_record_length(session, paths).withColumn("path", _plain_path("path"))
-            files = files.withColumn("path", _plain_path("path")).join(lengths, "path", "left")
-        dated = order_by_extract_date(match_file_patterns(files, rows))
-        log = read_log(session, log_path, exclude_batch=batch_id)
-        if log is not None:
-            dated = skip_in_flight(dated, log)
-            latest = log.where(F.col("status").isin(COMPLETE, ERROR))
-            dated = check_load_order(
-                latest, dated.withColumn("extract_ts", F.col("extract_date").try_cast("timestamp"))
-            )
-        plan = dated.orderBy("extract_date", "file").collect()
+    log_path = log_path or f"{checkpoint}/jobs"
+    if dry_run:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(incoming).select("path", "length")
+    else:
+        stream = discover_files(spark, incoming, checkpoint, max_files)
+        stream.awaitTermination()
+        if stream.exception() is not None:
+            raise stream.exception()
+        listed = _read_if_there(spark, "path string, length bigint", _seen(checkpoint))
+    rows = [row for row in control.collect() if group is None or row["grouping_code"] == group]
+    log = read_log(spark, log_path)
+    done = log.where(F.col("status") == COMPLETE).select(_plain_path("path").alias("path"))
+    waiting = listed.withColumn("path", _plain_path("path")).join(done, "path", "left_anti").distinct()
+    files = files_of(waiting)
+    if any(row["record_length"] for row in rows if "record_length" in row):
+        # Only files that match a feed by name are opened.
+        names = [row.asDict() | {"record_length": None} for row in rows]
+        named = match_file_patterns(files, [Row(**row) for row in names]).select(*files.columns)
+        paths = [row["path"] for row in named.select("path").toLocalIterator()]
+        lengths = route_by_record_length(spark, paths) if paths else spark.createDataFrame([], "path string, first_line_length int")
+        files = named.join(lengths.withColumn("path", _plain_path("path")), "path", "left")
+    dated = skip_in_flight(order_by_extract_date(match_file_patterns(files, rows), ordered=False), log)
+    # The log changes while the run goes on; what is to be done does not.
+    plan = stage(dated.withColumn("extract_ts", F.col("extract_date").try_cast("timestamp")), "harvest")
+    jobs: list[tuple] = []
+    ordered = plan.orderBy("extract_date", "file").toLocalIterator()
+    for date, dated_files in itertools.groupby(ordered, key=lambda row: row["extract_date"]):
+        chosen = list(dated_files)
+        if not dry_run or not jobs:
+            past = read_log(spark, log_path).where(F.col("status").isin(COMPLETE, ERROR))
+            check_load_order(past, plan.where(F.col("extract_date") == date))
+        batch_id = time.time_ns() // 1000
+        found = [
+            (batch_id + n, row["processing_group_name"], row["file"], row["path"], date) for n, row in enumerate(chosen)
+        ]
         if dry_run:
-            return
-        results: list[tuple] = []
+            jobs += [(*job, batch_id, "PLANNED") for job in found]
+            continue
+        write_log(spark, log_path, batch_id, [(*job, RUNNING) for job in found])
+        status = ERROR
         try:
-            for date, group in itertools.groupby(plan, key=lambda row: row["extract_date"]):
-                chosen = list(group)
-                status = ERROR
-                try:
-                    handler(session, date, chosen, batch_id)
-                    status = COMPLETE
-                finally:
-                    results += [
-                        (i, row["processing_group_name"], row["file"], date, status)
-                        for i, row in enumerate(chosen, start=batch_id * max_files + len(results))
-                    ]
+            handler(spark, date, chosen, batch_id)
+            status = COMPLETE
         finally:
-            if log_path is not None and results:
-                write_log(session, log_path, batch_id, results)
-
-    return (
-        file_stream(spark, incoming, max_files, archive)
-        .writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(process)
-        .start()
+            write_log(spark, log_path, batch_id, [(*job, status) for job in found])
+        if archive:
+            _move(spark, [row["path"] for row in chosen], archive)
+        jobs += [(*job, batch_id, status) for job in found]
+    schema = (
+        "job_id bigint, processing_group_name string, file string, path string, extract_date string, batch_id bigint, "
+        "status string"
     )
+    return spark.createDataFrame(jobs, schema)
+
+
+def _move(spark: SparkSession, paths: Sequence[str], target: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folder = hadoop.Path(target)
+    folder.getFileSystem(conf).mkdirs(folder)
+    for path in paths:
+        source = hadoop.Path(path)
+        source.getFileSystem(conf).rename(source, hadoop.Path(folder, source.getName()))
 
 
 def _plain_path(name: str) -> Column:
@@ -266,27 +319,21 @@ def _plain_path(name: str) -> Column:
 
 
 def write_log(spark: SparkSession, log_path: str, batch_id: int, rows: list[tuple]) -> None:
-    """Job rows of one micro-batch; a repeated batch replaces its own rows."""
-    schema = "job_id bigint, processing_group_name string, identifier string, extract_date string, status string"
+    """Job rows of one extract date: the outcome replaces what was written when the jobs began."""
+    schema = (
+        "job_id bigint, processing_group_name string, identifier string, path string, extract_date string, status string"
+    )
     frame = spark.createDataFrame(rows, schema).withColumn("extract_ts", F.col("extract_date").try_cast("timestamp"))
     frame.drop("extract_date").coalesce(1).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 
 
-def read_log(spark: SparkSession, log_path: str | None, exclude_batch: int | None = None) -> DataFrame | None:
-    """The job log, or NULL when there is none yet."""
-    if log_path is None:
-        return None
+def read_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """The job log; empty when there is none yet."""
     schema = (
-        "job_id bigint, processing_group_name string, identifier string, status string, extract_ts timestamp, "
-        "batch_id bigint"
+        "job_id bigint, processing_group_name string, identifier string, path string, status string, "
+        "extract_ts timestamp, batch_id bigint"
     )
-    try:
-        frame = spark.read.schema(schema).parquet(log_path)
-    except Exception as error:  # no folder before the first batch
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    return frame.where(F.col("batch_id") != exclude_batch) if exclude_batch is not None else frame
+    return _read_if_there(spark, schema, log_path)
 
 
 @operator("harvest_datacop")
@@ -296,18 +343,25 @@ def harvest_datacop(
     max_issues: int | None = None,
     **read_options,
 ) -> Handler:
-    """A handler that validates each feed's files into good and bad CSV sinks, keyed by feed, date and batch."""
+    """A handler that validates each feed's files into good and bad CSV sinks, keyed by feed, date and set of files.
+
+    A date that is run again with the same files replaces what it wrote. Rows are validated once: the annotated rows
+    are staged and both sinks are derived from them.
+    """
 
     def handler(spark: SparkSession, date: str, files: list[Row], batch_id: int) -> None:
         by_feed = lambda row: row["processing_group_name"]
-        for feed, group in itertools.groupby(sorted(files, key=by_feed), key=by_feed):
+        for feed, feed_files in itertools.groupby(sorted(files, key=by_feed), key=by_feed):
+            group = list(feed_files)
             schema = schemas[feed]
             names = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).names
             rows = read_delimited(
                 spark, [row["path"] for row in group], columns=names, corrupt=True, **read_options
             )
-            result = datacop(rows, schema, job_id=batch_id, table=feed, max_issues=max_issues)
-            place = f"feed={feed}/extract_date={date.replace(':', '').replace(' ', 'T')}/batch_id={batch_id}"
+            result = datacop(rows, schema, job_id=batch_id, table=feed, max_issues=max_issues, staged=True)
+            paths = sorted(row["path"] for row in group)
+            part = hashlib.sha256("\n".join(paths).encode()).hexdigest()[:16]
+            place = f"feed={feed}/extract_date={date.replace(':', '').replace(' ', 'T')}/files={part}"
             write_csv(result.good, f"{output}/good/{place}", upper_headers=False, mode="overwrite")
             write_csv(
                 result.bad.withColumn("issues", F.to_json("issues")),

@@ -151,75 +151,133 @@ def put(folder, name, text):
         handle.write(text)
 
 
+def harvester(spark, tmp_path, feeds, handler=None, incoming="incoming"):
+    """(seen, run): what handlers were called with, and a function that runs the harvest."""
+    seen = []
+
+    def record(session, date, files, batch_id):
+        seen.append((date, [row["file"] for row in files]))
+        if handler:
+            handler(session, date, files, batch_id)
+
+    def run(control_rows=feeds, **options):
+        return harvest.harvest_stream(
+            spark, str(tmp_path / incoming), control_rows, str(tmp_path / "checkpoint"), record, str(tmp_path / "log"), **options
+        )
+
+    return seen, run
+
+
 def test_harvest_runs_in_date_order_and_once(spark, rows, tmp_path):
     incoming, out = str(tmp_path / "incoming"), str(tmp_path / "out")
     put(incoming, "sales_20240102.csv", "k,v\n1,a\nx,b\n")
     put(incoming, "sales_20240101.csv", "k,v\n2,c\n")
     put(incoming, "readme.txt", "not a feed")
     feeds = control(spark, (r"sales_(\d+)", "sales", "EXTRACT_DATE", None, None, 1))
-    seen = []
     sink = harvest.harvest_datacop({"sales": "k int, v varchar(3)"}, out)
-
-    def handler(session, date, files, batch_id):
-        seen.append((date, [row["file"] for row in files]))
-        sink(session, date, files, batch_id)
-
-    def run(**options):
-        query = harvest.harvest_stream(
-            spark, incoming, feeds, str(tmp_path / "checkpoint"), handler, log_path=str(tmp_path / "log"), **options
-        )
-        query.awaitTermination(120)
-        assert query.exception() is None
-
-    run()
+    seen, run = harvester(spark, tmp_path, feeds, sink)
+    assert rows(run(), "file", "status") == [("sales_20240101.csv", "COMPLETE"), ("sales_20240102.csv", "COMPLETE")]
     assert seen == [("2024-01-01", ["sales_20240101.csv"]), ("2024-01-02", ["sales_20240102.csv"])]
-    run()
-    assert len(seen) == 2
+    assert run().count() == 0 and len(seen) == 2
     good = spark.read.option("header", True).csv(f"{out}/good")
     bad = spark.read.option("header", True).csv(f"{out}/bad")
     assert rows(good, "k", "v") == [("1", "a"), ("2", "c")]
     assert rows(bad, "k", "v") == [("x", "b")]
     log = harvest.read_log(spark, str(tmp_path / "log"))
     assert rows(log, "identifier", "status") == [("sales_20240101.csv", "COMPLETE"), ("sales_20240102.csv", "COMPLETE")]
-    put(incoming, "sales_20240103.csv.gz", "")
     put(incoming, "sales_20231231.csv", "k,v\n9,z\n")
-    query = harvest.harvest_stream(
-        spark, incoming, feeds, str(tmp_path / "checkpoint"), handler, log_path=str(tmp_path / "log")
-    )
-    with pytest.raises(Exception, match="load order"):
-        query.awaitTermination(120)
+    with pytest.raises(ValueError, match="load order"):
+        run()
 
 
-def test_harvest_dry_run_and_record_length(spark, tmp_path):
+def test_harvest_order_does_not_depend_on_arrival_or_batches(spark, rows, tmp_path):
     incoming = str(tmp_path / "incoming")
-    put(incoming, "fixed_a.dat", "123456789\n1\n")
-    put(incoming, "fixed_b.dat", "1234\n123456789\n")
-    feeds = control(spark, (r"fixed", "nine", None, None, 9, 0), (r"fixed_", "four", None, None, 4, 0))
-    seen = []
-    handler = lambda session, date, files, batch_id: seen.extend((r["processing_group_name"], r["file"]) for r in files)
-    for dry, checkpoint in ((True, "c1"), (False, "c2")):
-        query = harvest.harvest_stream(
-            spark, incoming, feeds, str(tmp_path / checkpoint), handler, dry_run=dry
-        )
-        query.awaitTermination(120)
-        assert query.exception() is None
-    assert sorted(seen) == [("four", "fixed_b.dat"), ("nine", "fixed_a.dat")]
+    for age, name in enumerate(["sales_20240101.csv", "sales_20240102.csv", "sales_20240103.csv"]):
+        put(incoming, name, "k\n1\n")
+        os.utime(os.path.join(incoming, name), (1_700_000_000 - age * 1000,) * 2)
+    feeds = control(spark, (r"sales_(\d+)", "sales", "EXTRACT_DATE", None, None, 1))
+    seen, run = harvester(spark, tmp_path, feeds)
+    first = run(max_files=1)
+    assert [date for date, _ in seen] == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    put(incoming, "sales_20240104.csv", "k\n1\n")
+    second = run(max_files=7)
+    assert first.agg(F.max("job_id")).first()[0] < second.agg(F.min("job_id")).first()[0]
+    # The order was checked before each date: each one followed the one before it.
+    put(incoming, "sales_20240106.csv", "k\n1\n")
+    run()
+    put(incoming, "sales_20240105.csv", "k\n1\n")
+    with pytest.raises(ValueError, match="ERROR_OLDER"):
+        run()
+    assert len(seen) == 5
 
 
-def test_failed_handler_is_logged(spark, rows, tmp_path):
+def test_a_gap_with_a_failed_run_in_it_raises(spark, rows, tmp_path):
     incoming = str(tmp_path / "incoming")
-    put(incoming, "sales_20240101.csv", "k\n1\n")
-    feeds = control(spark, (r"sales_(\d+)", "sales", "EXTRACT_DATE", None, None, 0))
+    feeds = control(spark, (r"sales_(\d+)", "sales", "EXTRACT_DATE", None, None, 1))
 
     def handler(session, date, files, batch_id):
-        raise RuntimeError("handler failed")
+        if date == "2024-01-02":
+            raise RuntimeError("handler failed")
+
+    seen, run = harvester(spark, tmp_path, feeds, handler)
+    for day in (1, 2, 4):
+        put(incoming, f"sales_2024010{day}.csv", "k\n1\n")
+    with pytest.raises(RuntimeError, match="handler failed"):
+        run()
+    log = harvest.read_log(spark, str(tmp_path / "log"))
+    assert rows(log, "identifier", "status") == [("sales_20240101.csv", "COMPLETE"), ("sales_20240102.csv", "ERROR")]
+    os.remove(os.path.join(incoming, "sales_20240102.csv"))
+    only = control(spark, (r"sales_(2024010[14])", "sales", "EXTRACT_DATE", None, None, 1))
+    with pytest.raises(ValueError, match="ERROR_GAP"):
+        run(only)
 
-    query = harvest.harvest_stream(
-        spark, incoming, feeds, str(tmp_path / "checkpoint"), handler, log_path=str(tmp_path / "log")
+
+def test_no_file_is_lost(spark, rows, tmp_path):
+    incoming = str(tmp_path / "incoming")
+    put(incoming, "sales_20240101.csv", "k\n1\n")
+    put(incoming, "stock_20240101.csv", "k\n1\n")
+    sales = control(spark, (r"sales_(\d+)", "sales", "EXTRACT_DATE", None, None, 0))
+    both = control(spark, (r"sales_(\d+)", "sales", "EXTRACT_DATE", None, None, 0), (r"stock_", "stock", None, None, None, 0))
+    seen, run = harvester(spark, tmp_path, sales)
+    # A dry run plans, and changes nothing.
+    assert rows(run(dry_run=True), "file", "status") == [("sales_20240101.csv", "PLANNED")]
+    assert seen == [] and not (tmp_path / "checkpoint").exists() and not (tmp_path / "log").exists()
+    # A file in flight waits, and comes back.
+    busy = [(1, "sales", "sales_20240101.csv", "elsewhere", "2024-01-01", "RUNNING")]
+    harvest.write_log(spark, str(tmp_path / "log"), 1, busy)
+    assert run().count() == 0 and seen == []
+    harvest.write_log(spark, str(tmp_path / "log"), 1, [(*busy[0][:-1], "ERROR")])
+    assert rows(run(archive=str(tmp_path / "done")), "file") == [("sales_20240101.csv",)]
+    assert os.listdir(tmp_path / "done") == ["sales_20240101.csv"]
+    # A file that matched no feed is there for the right pattern.
+    assert rows(run(both), "file") == [("stock_20240101.csv",)]
+
+
+def test_groups_of_feeds(spark, rows, tmp_path):
+    put(str(tmp_path / "incoming"), "a_1.csv", "k\n")
+    put(str(tmp_path / "incoming"), "b_1.csv", "k\n")
+    feeds = control(spark, ("a_", "a", None, None, None, 0), ("b_", "b", None, None, None, 0)).withColumn(
+        "grouping_code", F.col("processing_group_name")
     )
-    with pytest.raises(Exception, match="handler failed"):
-        query.awaitTermination(120)
-    assert rows(harvest.read_log(spark, str(tmp_path / "log")), "identifier", "status") == [("sales_20240101.csv", "ERROR")]
+    seen, run = harvester(spark, tmp_path, feeds)
+    assert rows(run(group="b"), "file") == [("b_1.csv",)]
+    assert rows(run(), "file") == [("a_1.csv",)]
+
+
+def test_harvest_record_length(spark, rows, tmp_path):
+    incoming = str(tmp_path / "incoming")
+    put(incoming, "fixed_a.dat", "123456789\n1\n")
+    put(incoming, "fixed_b.dat", "1234\n123456789\n")
+    put(incoming, "other.txt", "12")
+    feeds = control(spark, (r"fixed", "nine", None, None, 9, 0), (r"fixed_", "four", None, None, 4, 0))
+    seen, run = harvester(spark, tmp_path, feeds)
+    assert rows(run(), "processing_group_name", "file") == [("four", "fixed_b.dat"), ("nine", "fixed_a.dat")]
+
+
+def test_positions_past_fifteen(spark):
+    row = Row(file_regex="".join(r"(\w)" for _ in range(20)), processing_group_name="g", **{f"pos_{k}": f"p{k}" for k in range(1, 21)})
+    files = spark.createDataFrame([("abcdefghijklmnopqrst",)], "file string")
+    assert harvest.match_file_patterns(files, [row]).first()["attributes"]["p20"] == "t"
 
 
 def test_in_flight(spark, rows):
