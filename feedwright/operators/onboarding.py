@@ -14,7 +14,8 @@ from feedwright.operators.maintenance import insert_select
 from feedwright.operators.quality import DataCopResult, datacop
 from feedwright.registry import operator
 from feedwright.sources.catalog import publish
-from feedwright.sources.load import cast_rows
+from feedwright.sources.delimited import CORRUPT_COLUMN
+from feedwright.sources.load import cast_rows, typed_columns
 
 # Shapes of inferred types. A leading zero makes a code, except 0 itself.
 INT_SHAPE = r"^(?:0|-\d*|[1-9]\d*|)$"
@@ -458,15 +459,26 @@ def onboard_feed(
 ) -> DataCopResult:
     """The generated load of a feed: validate, replace the staging table by the good rows, insert into the target.
 
-    The target's schema drives the validation. Nothing is published when there are too many issues or on ``dry_run``.
+    The target's schema drives the validation, and a cell that passes it by shape but has no value of its type (month
+    99, a lone minus) makes its row a bad one: no cell is lost on the way. Nothing is published when there are too many issues or on ``dry_run``.
     """
     target = spark.table(target_table)
     stamped = set(extra or {})
     schema = T.StructType([field for field in target.schema.fields if field.name not in stamped])
-    result = datacop(feed, schema, job_id=job_id, table=target_table, max_issues=max_issues)
-    good = result.good.toDF(*[field.name for field in schema.fields])
+    names = [field.name for field in schema.fields]
+    data = [name for name in feed.columns if name != CORRUPT_COLUMN]
+    renamed = feed.withColumnsRenamed(dict(zip(data, names)))
+    result = datacop(
+        renamed,
+        schema,
+        job_id=job_id,
+        table=target_table,
+        max_issues=max_issues,
+        staged=True,
+        fits=typed_columns(schema, date_style, loose=True),
+    )
     if not dry_run:
-        publish(spark, {staging_table: cast_rows(good, schema, date_style)})
+        publish(spark, {staging_table: cast_rows(result.good, schema, date_style, loose=True)})
         rows = insert_select(target.where(F.lit(False)), spark.table(staging_table), extra=extra)
         rows.write.insertInto(target_table)
     return result

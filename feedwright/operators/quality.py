@@ -36,6 +36,7 @@ INTEGER_BOUNDS = {
 LOWEST_BIGINT = -9223372036854775808
 
 ISSUES_TYPE = "array<struct<position:int,name:string,value:string,issue:string>>"
+MISFIT = "VALUE DOES NOT FIT THE TYPE"
 NO_ISSUES = f"cast(array() as {ISSUES_TYPE})"
 ANY_ISSUE = "_any_issue"
 ISSUES = "_issues"
@@ -246,6 +247,26 @@ def annotate(
     )
 
 
+def flag_misfits(annotated: DataFrame, typed: Sequence[Column]) -> DataFrame:
+    """Annotated rows in which a cell that its typed expression turns into NULL is an issue as well."""
+    names = [name for name in annotated.columns if name not in (ANY_ISSUE, ISSUES)][: len(typed)]
+    misfit = [quoted(name).isNotNull() & value.isNull() for name, value in zip(names, typed)]
+    entries = [
+        F.when(
+            wrong,
+            F.struct(
+                F.lit(index).alias("position"), F.lit(name).alias("name"), quoted(name).alias("value"), F.lit(MISFIT).alias("issue")
+            ),
+        )
+        for index, (name, wrong) in enumerate(zip(names, misfit))
+    ]
+    # A cell that has an issue already is not named twice.
+    known = F.transform(ISSUES, lambda issue: issue["position"])
+    new = F.filter(F.array_compact(F.array(*entries)), lambda entry: ~F.coalesce(F.array_contains(known, entry["position"]), F.lit(False)))
+    found = F.coalesce(quoted(ANY_ISSUE), F.when(F.size(new) > 0, F.lit(MISFIT)))
+    return annotated.withColumns({ANY_ISSUE: found, ISSUES: F.concat(F.col(ISSUES), new.cast(ISSUES_TYPE))})
+
+
 @operator("datacop_split")
 def datacop_split(annotated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows and bad rows of an annotated frame."""
@@ -367,15 +388,19 @@ def datacop(
     strict_decimal: bool = False,
     row_no: str | None = None,
     staged: bool = False,
+    fits: Sequence[Column] = (),
 ) -> DataCopResult:
     """Validate a feed. With ``max_issues`` the summary is computed at once and too many issues raise.
 
+    ``fits`` has a typed expression per column, in order: a cell that is not NULL and becomes NULL by it is an issue.
     ``staged`` writes the annotated rows once and derives every frame from them, so that the feed is read and checked
     in one pass whatever number of frames is used.
     """
     annotated = annotate(
         df, schema, global_sub, mangle_column_count, bounds, strict_decimal, [row_no] if row_no else []
     )
+    if fits:
+        annotated = flag_misfits(annotated, fits)
     if staged:
         annotated = stage(annotated, "annotated")
     good, bad = datacop_split(annotated)

@@ -357,19 +357,19 @@ def _(i: Inputs):
 @query(
     "harvest_stream",
     """select strftime(d, '%Y-%m-%d') as extract_date, row_number() over (order by d) as nth, n_lines
-       from (select date_trunc('month', cast(o_orderdate as date)) as d, count(*) as n_lines from orders group by all) f""",
+       from (select date_trunc('year', cast(o_orderdate as date)) as d, count(*) as n_lines from orders group by all) f""",
 )
 def _(i: Inputs):
-    """A file per month, discovered a few at a time in any order and handled by date over all; a dry run changes nothing."""
+    """A file per year, discovered a few at a time in any order and handled by date over all; a dry run changes nothing."""
     written, incoming, checkpoint = (scratch_path(i.spark, name) for name in ("written", "incoming", "stream"))
-    month = F.date_format(F.trunc(F.col("o_orderdate").cast("date"), "month"), "yyyyMMdd").alias("month")
-    lines = i.table("orders").select(month, F.col("o_orderkey").cast("string").alias("value"))
-    lines.repartition("month").write.partitionBy("month").text(written)
+    year = F.date_format(F.trunc(F.col("o_orderdate").cast("date"), "year"), "yyyyMMdd").alias("year")
+    lines = i.table("orders").select(year, F.col("o_orderkey").cast("string").alias("value"))
+    lines.repartition("year").write.partitionBy("year").text(written)
     hadoop = i.spark.sparkContext._jvm.org.apache.hadoop.fs
     system = hadoop.Path(incoming).getFileSystem(i.spark.sparkContext._jsc.hadoopConfiguration())
     system.mkdirs(hadoop.Path(incoming))
-    for row in i.spark.read.format("binaryFile").load(written).select("path", "month").collect():
-        system.rename(hadoop.Path(row["path"]), hadoop.Path(f"{incoming}/orders_{row['month']}.csv"))
+    for row in i.spark.read.format("binaryFile").load(written).select("path", "year").collect():
+        system.rename(hadoop.Path(row["path"]), hadoop.Path(f"{incoming}/orders_{row['year']}.csv"))
     feed = Row(file_regex=r"^orders_(\d+)", processing_group_name="orders", pos_1="EXTRACT_DATE", perform_load_order_check=0)
     feeds = i.spark.createDataFrame([feed])
     counts = []
@@ -379,7 +379,7 @@ def _(i: Inputs):
 
     options = {"spark": i.spark, "incoming": incoming, "control": feeds, "checkpoint": checkpoint, "handler": handler}
     harvest.harvest_stream(**options, dry_run=True)
-    harvest.harvest_stream(**options, max_files=20)
+    harvest.harvest_stream(**options, max_files=2)
     return i.spark.createDataFrame(counts, "extract_date string, nth bigint, n_lines bigint")
 
 

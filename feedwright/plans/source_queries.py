@@ -7,7 +7,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from feedwright.plans.fixtures import Inputs
+from feedwright.operators import scd
+from feedwright.operators.onboarding import onboard_feed
+from feedwright.plans.dimension_queries import APPLIED
+from feedwright.plans.fixtures import EXTRACT_DATE, Inputs
 from feedwright.plans.registry import query
 from feedwright.sources import catalog, delimited, load, logs, objects
 from feedwright.staging import scratch_path, stage
@@ -314,6 +317,98 @@ def _(i: Inputs):
         return stage(tables[orders].unionByName(tables[f"{schema}.others"]))
 
 
+# Dates with slashes, some of a month 13; clock times with AM and PM, some at minute 99; a lone minus for a number.
+ONBOARDED = """
+    select cast(o_orderkey as string) as k,
+           case when o_orderkey % 7 = 0 then '13/28/2020'
+                else concat(cast(1 + o_orderkey % 12 as string), '/', cast(1 + o_orderkey % 28 as string), '/2020') end as d,
+           case when o_orderkey % 5 = 0 then '1/2/2020 10:99:30 PM' else concat('1/2/2020 ', cast(1 + o_orderkey % 12 as string),
+                ':02:03 PM') end as t,
+           case when o_orderkey % 11 = 0 then '-' else cast(o_custkey as string) end as c
+    from {orders}"""
+REFUSED = "k % 7 = 0 or k % 5 = 0 or k % 11 = 0"
+
+
+@query(
+    "onboard_feed",
+    f"""with f as (select cast(k as bigint) as k, d, t, c from ({ONBOARDED}) o)
+        select 'good' as kind, cast(k as varchar) as k, strftime(date '2020-01-01' + interval (k % 12) month
+                   + interval (k % 28) day, '%Y-%m-%d') as d,
+               strftime(timestamp '2020-01-02 12:02:03' + interval ((k + 1) % 12) hour, '%Y-%m-%d %H:%M:%S') as t, c,
+               0 as n_issues
+        from f where not ({REFUSED})
+        union all
+        select 'bad', cast(k as varchar), d, t, c,
+               cast((k % 7 = 0) as int) + cast((k % 5 = 0) as int) + cast((k % 11 = 0) as int)
+        from f where {REFUSED}""",
+)
+def _(i: Inputs):
+    """Target rows and refused rows of one onboarding: every cell is in one or the other."""
+    with _scratch_schema(i.spark) as schema:
+        target = f"{schema}.target"
+        i.spark.createDataFrame([], "k bigint, d date, t timestamp, c int").write.saveAsTable(target)
+        result = onboard_feed(i.spark, i.sql(ONBOARDED), f"{schema}.staging", target, max_issues=None, date_style="MDY")
+        good = i.spark.table(target).select(
+            F.lit("good").alias("kind"),
+            F.col("k").cast("string"),
+            F.col("d").cast("string"),
+            F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("t"),
+            F.col("c").cast("string"),
+            F.lit(0).alias("n_issues"),
+        )
+        bad = result.bad.select(F.lit("bad").alias("kind"), "k", "d", "t", "c", F.size("issues").alias("n_issues"))
+        return stage(good.unionByName(bad))
+
+
+@query(
+    "publish_partitions",
+    f"""with after as ({APPLIED})
+        select c_custkey, c_mktsegment, open_date, close_date, 'close_date' as partition_column, true as kept_others
+        from after""",
+)
+def _(i: Inputs):
+    """A type 2 load published into a table partitioned by close date: only the open and the newly closed change."""
+    with _scratch_schema(i.spark) as schema:
+        table = f"{schema}.dim"
+        i.view("scd2_target").write.partitionBy("close_date").saveAsTable(table)
+        history = F.col("close_date") < F.lit(EXTRACT_DATE).cast("date") - F.expr("interval 1 day")
+        files = lambda: {row[0] for row in i.spark.table(table).where(history).select("_metadata.file_path").distinct().collect()}
+        before = files()
+        after = scd.scd2_apply(i.spark.table(table), i.view("scd_source"), ["c_custkey"], EXTRACT_DATE)
+        catalog.publish_partitions(i.spark, table, after.where(~history))
+        parts = [column.name for column in i.spark.catalog.listColumns(table) if column.isPartition]
+        return stage(
+            i.spark.table(table).select(
+                "c_custkey",
+                "c_mktsegment",
+                "open_date",
+                "close_date",
+                F.lit(",".join(parts)).alias("partition_column"),
+                F.lit(before == files()).alias("kept_others"),
+            )
+        )
+
+
+@query(
+    "clone_schema",
+    "select 'by_status' as table_name, 0 as n_rows, 'o_orderstatus' as partition_column, count(*) as n_source from orders",
+)
+def _(i: Inputs):
+    """A schema cloned without rows, partitioning kept."""
+    with _scratch_schema(i.spark) as schema:
+        i.table("orders").select("o_orderkey", "o_orderstatus").write.partitionBy("o_orderstatus").saveAsTable(f"{schema}.by_status")
+        copy = f"{schema}_copy"
+        made = catalog.clone_schema(i.spark, schema, copy)
+        parts = [column.name for column in i.spark.catalog.listColumns(f"{copy}.{made[0]}") if column.isPartition]
+        counts = i.spark.table(f"{copy}.{made[0]}").agg(F.count("*").cast("int").alias("n_rows"))
+        source = i.spark.table(f"{schema}.by_status").agg(F.count("*").alias("n_source"))
+        result = stage(
+            counts.select(F.lit(made[0]).alias("table_name"), "n_rows", F.lit(",".join(parts)).alias("partition_column"), source.scalar().alias("n_source"))
+        )
+        i.spark.sql(f"drop schema {copy} cascade")
+        return result
+
+
 @query(
     "table_from_sql",
     """select o_orderstatus, count(*) as n_orders from orders group by all""",

@@ -5,11 +5,18 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from feedwright.functions.text import safe_identifier
+from feedwright.functions.text import quoted, safe_identifier, text_literal
 from feedwright.registry import operator
+from feedwright.staging import stage
+
+# Fixed value: how a NULL is named in a partition path.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+# Table properties that Spark and its metastore write themselves.
+KEPT_BY_SPARK = re.compile(r"transient_lastDdlTime$|num(Files|Rows)$|(raw|total)(Data)?Size$|spark\.sql\.|EXTERNAL$")
 
 
 def _sql_name(table: str) -> str:
@@ -90,8 +97,18 @@ def refresh_view(spark: SparkSession, query: str, table: str) -> None:
 
 @operator("clone_structure")
 def clone_structure(spark: SparkSession, source: str, target: str) -> None:
-    """Empty copy of a table."""
-    spark.table(source).limit(0).write.mode("errorifexists").saveAsTable(target)
+    """Empty copy of a table, with its partitioning, buckets and properties."""
+    spark.sql(f"CREATE TABLE {_sql_name(target)} LIKE {_sql_name(source)}")
+    _copy_properties(spark, source, target)
+
+
+def _copy_properties(spark: SparkSession, source: str, target: str) -> None:
+    """Properties that users have set; those that Spark keeps about files and statistics are left out."""
+    rows = spark.sql(f"SHOW TBLPROPERTIES {_sql_name(source)}").collect()
+    own = {row["key"]: row["value"] for row in rows if not KEPT_BY_SPARK.match(row["key"])}
+    if own:
+        pairs = ", ".join(f"{text_literal(key)} = {text_literal(value)}" for key, value in own.items())
+        spark.sql(f"ALTER TABLE {_sql_name(target)} SET TBLPROPERTIES ({pairs})")
 
 
 @operator("clone_schema")
@@ -138,12 +155,71 @@ def drop_tables_like(spark: SparkSession, schema: str, pattern: str) -> list[str
     return dropped
 
 
+def _write_like(spark: SparkSession, frame: DataFrame, name: str, table: str) -> None:
+    """Write a new table in the layout of an existing one."""
+    if not spark.catalog.tableExists(table):
+        frame.write.saveAsTable(name)
+        return
+    old = spark.table(table)
+    if {(f.name, f.dataType) for f in old.schema.fields} == {(f.name, f.dataType) for f in frame.schema.fields}:
+        clone_structure(spark, table, name)
+        frame.select(*[quoted(column) for column in old.columns]).write.insertInto(name)
+        return
+    parts = [column.name for column in spark.catalog.listColumns(table) if column.isPartition and column.name in frame.columns]
+    (frame.write.partitionBy(*parts) if parts else frame.write).saveAsTable(name)
+    _copy_properties(spark, table, name)
+
+
+def _relocate_partitions(spark: SparkSession, table: str) -> None:
+    """After a rename, point the partitions at the table's folder where the catalog has not done so itself."""
+    if not any(column.isPartition for column in spark.catalog.listColumns(table)):
+        return
+    name = _sql_name(table)
+
+    def location(partition: str = "") -> str:
+        rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name} {partition}").collect()
+        # For a partition its own location comes before the table's.
+        return next(row["data_type"] for row in rows if row["col_name"] == "Location").rstrip("/")
+
+    def spec(path: str) -> str:
+        pairs = [part.split("=", 1) for part in path.split("/")]
+        values = ["null" if value == NO_VALUE else text_literal(unquote(value)) for _, value in pairs]
+        return ", ".join(f"{safe_identifier(unquote(key))} = {value}" for (key, _), value in zip(pairs, values))
+
+    root = location()
+    for row in spark.sql(f"SHOW PARTITIONS {name}").toLocalIterator():
+        path = row["partition"]
+        if location(f"PARTITION ({spec(path)})") == f"{root}/{path}":
+            continue  # the catalog has moved it with the table
+        spark.sql(f"ALTER TABLE {name} PARTITION ({spec(path)}) SET LOCATION {text_literal(f'{root}/{path}')}")
+    spark.catalog.refreshTable(table)
+
+
+@operator("publish_partitions")
+def publish_partitions(spark: SparkSession, table: str, frame: DataFrame) -> None:
+    """Replace the partitions of a table that occur in ``frame`` by its rows; the others are not touched.
+
+    The frame may read the table: it is staged first. An empty frame changes nothing.
+    """
+    columns = [quoted(name) for name in spark.table(table).columns]
+    rows = stage(frame.select(*columns), "partitions")
+    # A table insert takes the mode from the session, not from the writer's options.
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        rows.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
+
+
 @operator("publish")
 def publish(spark: SparkSession, frames: Mapping[str, DataFrame], dry_run: bool = False) -> dict[str, DataFrame]:
     """All-or-nothing publication of a step's tables.
 
-    Every frame is first written to a staging table, so a frame may read the table it replaces. Only when all are
-    written are the names swapped; a failure while swapping restores the old tables. ``dry_run`` writes nothing.
+    Every frame is first written to a staging table, so a frame may read the table it replaces. A table of the same
+    columns keeps its partitioning, buckets and properties; one whose columns change keeps the partition columns that
+    are left. Only when all are written are the names swapped; a failure while swapping restores the old tables. ``dry_run`` writes nothing.
     """
     if dry_run:
         return dict(frames)
@@ -153,20 +229,23 @@ def publish(spark: SparkSession, frames: Mapping[str, DataFrame], dry_run: bool
     try:
         for table, frame in frames.items():
             name = f"{table}__new_{suffix}"
-            frame.write.saveAsTable(name)
             staged[table] = name
+            _write_like(spark, frame, name, table)
         for table, name in staged.items():
             old = None
             if spark.catalog.tableExists(table):
                 old = f"{table}__old_{suffix}"
                 spark.sql(f"ALTER TABLE {_sql_name(table)} RENAME TO {_sql_name(old)}")
+                _relocate_partitions(spark, old)  # else dropping it would take files of its successor
             swapped.append((table, old))
             spark.sql(f"ALTER TABLE {_sql_name(name)} RENAME TO {_sql_name(table)}")
+            _relocate_partitions(spark, table)
     except Exception:
         for table, old in reversed(swapped):
             if old and spark.catalog.tableExists(old):
                 drop_table(spark, table)
                 spark.sql(f"ALTER TABLE {_sql_name(old)} RENAME TO {_sql_name(table)}")
+                _relocate_partitions(spark, table)
             elif old is None:
                 drop_table(spark, table)
         for name in staged.values():
@@ -183,8 +262,3 @@ def ddl_from_schema(schema: T.StructType, table: str | None = None) -> str:
     """Column list or CREATE TABLE text of a schema."""
     columns = ", ".join(f"{safe_identifier(field.name)} {field.dataType.simpleString()}" for field in schema.fields)
     return f"CREATE TABLE {_sql_name(table)} ({columns})" if table else f"({columns})"
-
-
-def empty_like(df: DataFrame) -> DataFrame:
-    """A frame with the same schema and no rows."""
-    return df.where(F.lit(False))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from feedwright.functions.dates import DATE_STYLES
+from feedwright.functions.dates import DATE_STYLES, ampm_to_timestamp
 from feedwright.functions.logic import any_of
 from feedwright.functions.text import quoted
 from feedwright.registry import operator
@@ -40,19 +41,30 @@ def date_format(style: str | None, delimiter: str = "-") -> str | None:
     return DATE_STYLES[style].replace("-", delimiter) if style else None
 
 
-def typed_columns(schema: T.StructType, date_style: str | None = None, delimiter: str = "-") -> list[Column]:
-    """Expressions from string columns to the declared types, by name; a cell that does not fit becomes NULL."""
+def typed_columns(
+    schema: T.StructType, date_style: str | None = None, delimiter: str = "-", loose: bool = False
+) -> list[Column]:
+    """Expressions from string columns to the declared types, by name; a cell that does not fit becomes NULL.
+
+    ``loose`` reads every date and time that validation by shape lets through: either delimiter, AM and PM, fractions
+    of a second; without a style, year, month, day.
+    """
     pattern = date_format(date_style, delimiter)
 
     def typed(field: T.StructField) -> Column:
         column = quoted(field.name)
+        if loose and isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return ampm_to_timestamp(column, date_style or "YMD").cast(field.dataType)
         if pattern and isinstance(field.dataType, T.DateType):
             return F.try_to_date(column, pattern)
         if pattern and isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             times = (" H:mm:ss", " H:mm", "")
             parsed = F.coalesce(*[F.try_to_timestamp(column, F.lit(pattern + time)) for time in times])
             return parsed.cast(field.dataType)
-        if isinstance(field.dataType, (T.VarcharType, T.CharType, T.StringType)):
+        if isinstance(field.dataType, (T.VarcharType, T.CharType)):
+            # A text too long for the column does not fit either.
+            return F.when(F.length(F.rtrim(column)) <= field.dataType.length, column)
+        if isinstance(field.dataType, T.StringType):
             return column
         return column.try_cast(field.dataType.simpleString())
 
@@ -60,16 +72,19 @@ def typed_columns(schema: T.StructType, date_style: str | None = None, delimiter
 
 
 @operator("cast_rows")
-def cast_rows(df: DataFrame, schema: T.StructType, date_style: str | None = None, delimiter: str = "-") -> DataFrame:
+def cast_rows(
+    df: DataFrame, schema: T.StructType, date_style: str | None = None, delimiter: str = "-", loose: bool = False
+) -> DataFrame:
     """All-string rows as rows of the declared types."""
-    return df.select(*typed_columns(schema, date_style, delimiter))
+    return df.select(*typed_columns(schema, date_style, delimiter, loose))
 
 
 def _wrong_width(n_columns: int, sep: str, quote: str | None, jagged: bool, ignore_unknown: bool) -> Column:
     if jagged and ignore_unknown:
         return F.lit(False)
     record = quoted(CORRUPT_COLUMN)
-    unquoted = F.regexp_replace(record, f"{quote}(?:[^{quote}]|{quote}{quote})*{quote}", "") if quote else record
+    sign = re.escape(quote) if quote else None
+    unquoted = F.regexp_replace(record, f"{sign}(?:[^{sign}]|{sign}{sign})*{sign}", "") if quote else record
     width = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) + 1
     refused = F.lit(False)
     if not jagged:

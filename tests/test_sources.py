@@ -130,6 +130,26 @@ def test_publish_swaps_and_restores(spark, rows, schema):
     assert spark.table(table).count() == 2
 
 
+def test_publish_keeps_the_layout(spark, rows, schema):
+    table = f"{schema}.parts"
+    frame = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c d/e'"), (4, None)], "id int, v string")
+    frame.write.partitionBy("v").saveAsTable(table)
+    spark.sql(f"alter table {table} set tblproperties ('owner_team' = 'it''s us')")
+    parts = lambda name: [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    owner = lambda: {r["key"]: r["value"] for r in spark.sql(f"show tblproperties {table}").collect()}.get("owner_team")
+    catalog.publish(spark, {table: spark.table(table).where("id > 1")})
+    assert (rows(spark.table(table), "id", "v"), parts(table), owner()) == ([(2, "b"), (3, "c d/e'"), (4, None)], ["v"], "it's us")
+    catalog.publish(spark, {table: frame.withColumn("more", F.lit(1))})
+    assert (spark.table(table).count(), parts(table), owner()) == (4, ["v"], "it's us")
+    catalog.publish_partitions(spark, table, spark.table(table).where("v = 'a'").withColumn("id", F.lit(7)))
+    assert rows(spark.table(table), "id", "v") == [(2, "b"), (3, "c d/e'"), (4, None), (7, "a")]
+    bucketed = f"{schema}.bucketed"
+    frame.write.bucketBy(3, "id").saveAsTable(bucketed)
+    catalog.publish(spark, {bucketed: frame})
+    assert "Num Buckets" in {r["col_name"] for r in spark.sql(f"describe extended {bucketed}").collect()}
+    assert spark.table(bucketed).count() == 4
+
+
 def test_catalog(spark, rows, schema):
     spark.createDataFrame([(1, "a")], "k int, v string").write.saveAsTable(f"{schema}.src")
     assert catalog.create_if_missing(spark, f"{schema}.copy", f"{schema}.src")
