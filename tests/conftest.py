@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from feedwright.session import build_session  # noqa: E402
+from feedwright.staging import clear_staged  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,6 +21,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_staged(session)
     session.stop()
 
 
