@@ -91,20 +91,20 @@ def passages(templates: DataFrame) -> DataFrame:
     return given.select("license", "total", F.posexplode(cut)).toDF("license", "total", "passage", "shingles").where(F.size("shingles") > 0)
 
 
-def _window_minima(hashes: Column, seed: int) -> Column:
-    """Least permuted hash of every window; a text of one segment has one window."""
+def _segments(hashes: Column) -> Column:
+    """Shingle hashes by segment; the last one may be shorter."""
     last = F.ceil(F.size(hashes) / SEGMENT).cast("int") - 1
-    segment = let(
-        F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(seed))),
-        lambda x: F.transform(F.sequence(F.lit(0), last), lambda k: F.array_min(F.slice(x, k * SEGMENT + 1, SEGMENT))),
-    )
-    return let(segment, lambda m: F.transform(m, lambda low, k: F.least(low, F.coalesce(F.get(m, k + 1), low))))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(hashes, k * SEGMENT + 1, SEGMENT))
 
 
 def _least(hashes: Column | str, seed: int) -> Column:
     return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(seed))))
 
 
+def _least_by(seed: int):
+    return lambda segment: _least(segment, seed)
+
+
 def band_values(parts: DataFrame, bands: int) -> DataFrame:
     """(license, passage, values): MinHash of each passage per band."""
 
@@ -124,37 +124,36 @@ def candidate_windows(docs: DataFrame, wanted: list[list[int]], text: str, doc_i
     given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("digest"), F.col(f"`{text}`"))
 
     def places(minima: Column) -> Column:
-        """Windows with a hit, as structs; a text without any is passed by on whole arrays."""
-
-        def hit(k: int) -> Column:
-            return F.arrays_overlap(minima[k], sets[k])
+        """Windows with a hit, as structs, from the minima by band and segment; NULL for a text without any.
 
-        any_hit = hit(0)
-        for k in range(1, bands):
-            any_hit = any_hit | hit(k)
+        The minimum of a window is that of one of its segments, so a text whose segments have no wanted value has no
+        window with one, and its windows need not be made.
+        """
+        any_hit = F.lit(False)
+        for k in range(bands):
+            any_hit = any_hit | F.arrays_overlap(minima[k], sets[k])
 
         def values(i: Column) -> Column:
-            return F.array(*[F.get(minima[k], i) for k in range(bands)])
+            return F.array(*[F.least(F.get(minima[k], i), F.get(minima[k], i + 1)) for k in range(bands)])
 
         def here(window: Column) -> Column:
-            found = F.array_contains(sets[0], window["values"][0])
-            for k in range(1, bands):
+            found = F.lit(False)
+            for k in range(bands):
                 found = found | F.array_contains(sets[k], window["values"][k])
             return found
 
         windows = F.transform(F.sequence(F.lit(0), F.size(minima[0]) - 1), lambda i: F.struct(i.alias("i"), values(i).alias("values")))
-        none = F.slice(windows, 1, 0)
-        return F.when((F.size(minima[0]) > 0) & any_hit, F.filter(windows, here)).otherwise(F.when(F.size(minima[0]) > 0, none))
+        return F.when(any_hit, F.filter(windows, here))
 
-    def minima(hashes: Column) -> Column:
-        return F.array(*[_window_minima(hashes, seed) for seed in seeds(bands)])
+    def minima(segments: Column) -> Column:
+        return F.array(*[F.transform(segments, _least_by(seed)) for seed in seeds(bands)])
 
     def spans(of: Column) -> Column:
         def span(window: Column) -> Column:
             at = window["i"] * SEGMENT
             return F.struct(at.alias("at"), F.slice(of, at + 1, 2 * SEGMENT + SHINGLE - 1).alias("span"), window["values"].alias("values"))
 
-        found = let(let(shingle_hashes(of), minima), places)
+        found = let(let(let(shingle_hashes(of), _segments), minima), places)
         return F.when(F.size(of) > 0, F.transform(found, span))
 
     # Outer, since for an inner one Spark would evaluate the spans once more as a filter.
