@@ -203,7 +203,9 @@ def _marks(kind: int, did: np.ndarray, digest: np.ndarray, doc: np.ndarray, star
         doc, start, end = _joined(doc, start, end)
     places = np.empty(len(doc), dtype=PLACE)
     places["doc"], places["start"], places["end"] = doc, start, end
-    yield from _packed(kind, did, digest, places, digest[doc] % buckets)
+    # By id and digest: all copies of one text share the digest.
+    home = _mixed(_mixed(did.view(np.uint64)) ^ digest.view(np.uint64)) % np.uint64(buckets)
+    yield from _packed(kind, did, digest, places, home.astype(np.int64)[doc])
 
 
 def _rows(rows: list[tuple], schema: pa.Schema = SENT_ARROW) -> Iterator[pa.RecordBatch]:

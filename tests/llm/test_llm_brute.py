@@ -130,6 +130,18 @@ def test_suffix_dedup_hard_texts(spark, monkeypatch):
     assert got == brute_repeats(rows)
 
 
+def test_marks_of_copies_spread_over_buckets():
+    n, buckets = 4000, 16
+    did, digest, doc = np.arange(n), np.full(n, 12345), np.arange(n)
+    rows = list(suffix_dedup._marks(suffix_dedup.OPEN, did, digest, doc, np.zeros(n, dtype=np.int64), np.full(n, 9), buckets))
+    sizes = collections.Counter({bucket: np.frombuffer(data, "<i8", 1)[0] for _, bucket, data in rows})
+    assert len(sizes) == buckets and sum(sizes.values()) == n and max(sizes.values()) < 2 * n / buckets
+    # Marks of one document stay together, whatever task sends them.
+    alone = [list(suffix_dedup._marks(suffix_dedup.REPEAT, did[k : k + 1], digest[:1], doc[:1], doc[:1], doc[:1], buckets))[0][1] for k in range(50)]
+    again = [list(suffix_dedup._marks(suffix_dedup.OPEN, did, digest, doc[k : k + 1], doc[:1], doc[:1], buckets))[0][1] for k in range(50)]
+    assert alone == again
+
+
 def test_packing_query(spark, docs):
     from tokenizers import Tokenizer
 
