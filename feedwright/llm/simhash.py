@@ -7,7 +7,8 @@ meet). Whoever meets in a variant with a one-bit sender is a verified link, and
 smallest one-bit sender keeps components whole with as many links as senders: no pairs within a group.
 
 Variants are shuffled by prefix: a fingerprint goes to every cell that holds one of its variants, and the cell's task
-makes the variants there, in blocks. Only distinct fingerprints take part, so exact copies cost one.
+makes the variants there, in blocks. Cells that texts of one template fill get longer prefixes. Only distinct
+fingerprints take part, so exact copies cost one.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ RADIUS = 3
 SEED = 42
 # Fingerprints per cell that the number of prefix bits aims at.
 CELL_FINGERPRINTS = 1024
-# Variants made at a time in a cell's task.
+# Variants made at a time in a cell's task, and the most one-bit variants of a cell.
 BLOCK_VARIANTS = 1 << 20
+# Bits by which the prefix of a cell above that grows at a time.
+SPLIT_BITS = 4
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
@@ -150,17 +153,48 @@ def links_in_cell(fps: np.ndarray, cell: int, prefix_bits: int) -> tuple[np.ndar
     return fps[touched[moved]], fps[roots[moved]]
 
 
+def cell_members(distinct: DataFrame, prefix_bits: int) -> DataFrame:
+    """(fp, cell, bits): the cells that each fingerprint goes to, none with more than ``BLOCK_VARIANTS`` one-bit variants.
+
+    A cell above that is taken apart by further bits of the prefix under the same rule: a fingerprint goes to those parts
+    that hold one of its variants. A cell of all 64 bits is one variant, so this ends however alike fingerprints are.
+    """
+    bits, parts = prefix_bits, []
+    pending = distinct.select("fp", F.explode(cells(bits)).alias("cell"))
+    while bits < 64:
+        own = F.shiftrightunsigned("fp", 64 - bits) == F.col("cell")
+        sizes = pending.groupBy("cell").agg(F.sum(F.when(own, 64 - bits + 1).otherwise(1)).alias("n"))
+        hot = stage(sizes.where(F.col("n") > BLOCK_VARIANTS).select("cell"), "hot-cells")
+        if hot.isEmpty():
+            break
+        parts.append(pending.join(hot, "cell", "left_anti").select("fp", "cell", F.lit(bits).alias("bits")))
+        step = min(SPLIT_BITS, 64 - bits)
+        mask = (1 << step) - 1
+        apart = F.bit_count(F.col("cell").bitwiseXOR(F.shiftrightunsigned("fp", 64 - bits)))
+        left = F.when(F.bit_count("fp") % 2 == 0, 2).otherwise(1) - apart
+        following = F.shiftrightunsigned("fp", 64 - bits - step).bitwiseAND(F.lit(mask).cast("long"))
+        ways = F.array(*[F.lit(k).cast("long") for k in range(mask + 1)])
+        near = F.filter(ways, lambda way: F.bit_count(way.bitwiseXOR(following)) <= left)
+        inner = F.transform(near, lambda way: F.shiftleft("cell", step).bitwiseOR(way))
+        pending = stage(pending.join(hot, "cell", "left_semi").select("fp", F.explode(inner).alias("cell")), "cells")
+        bits += step
+    parts.append(pending.select("fp", "cell", F.lit(bits).alias("bits")))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def near_links(distinct: DataFrame) -> DataFrame:
     """Links (u, v) between the fingerprints ``fp`` of a table of distinct ones that keep components at radius 3 whole."""
     prefix_bits = min(24, max(4, math.ceil(math.log2(max(1, distinct.count()) / CELL_FINGERPRINTS + 1))))
 
     def run(group: pa.Table) -> pa.Table:
         fps = group["fp"].to_numpy().view(np.uint64)
-        u, v = links_in_cell(fps, int(group["cell"][0].as_py()), prefix_bits)
+        u, v = links_in_cell(fps, group["cell"][0].as_py() & ((1 << 64) - 1), group["bits"][0].as_py())
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    sent = distinct.select("fp", F.explode(cells(prefix_bits)).alias("cell"))
-    return sent.groupBy("cell").applyInArrow(run, "u long, v long")
+    return cell_members(distinct, prefix_bits).groupBy("cell", "bits").applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(fps: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -308,3 +308,43 @@ def test_equal_keys_are_confirmed_by_text(tmp_path):
     (tmp_path / "ends").write_bytes(np.array([0, 5, 11], dtype="<i8").tobytes())
     (tmp_path / "texts").write_bytes(b"otherwanted")
     assert url_filter.DigestArray([str(tmp_path)]).contains([b"wanted", b"other"]).tolist() == [True, False]
+
+
+def test_crowded_cells_get_longer_prefixes(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "BLOCK_VARIANTS", 2000)
+    rng = np.random.default_rng(8)
+    centre = 0xF123456789ABCDEF
+    fps = {centre}
+    while len(fps) < 300:  # texts of one template: a few bits around one fingerprint
+        fp = centre
+        for bit in rng.choice(64, int(rng.integers(1, 9)), replace=False):
+            fp ^= 1 << int(bit)
+        fps.add(fp)
+    fps = sorted(fps)
+    signed = [fp - (1 << 64) if fp >> 63 else fp for fp in fps]
+    distinct = spark.createDataFrame([(fp,) for fp in signed], "fp long")
+    members = simhash.cell_members(distinct, 4).collect()
+    sizes = {}
+    for row in members:
+        own = (row["fp"] % (1 << 64)) >> (64 - row["bits"]) == row["cell"] % (1 << row["bits"])
+        key = (row["cell"], row["bits"])
+        sizes[key] = sizes.get(key, 0) + (64 - row["bits"] + 1 if own else 1)
+    assert max(sizes.values()) <= 2000 and len({bits for _, bits in sizes}) > 1
+
+    def groups(links):
+        parent = {fp: fp for fp in signed}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for u, v in links:
+            u, v = sorted((root(u), root(v)))
+            parent[v] = u
+        return [root(fp) for fp in signed]
+
+    near = [(a, b) for k, a in enumerate(signed) for b in signed[:k] if ((a ^ b) % (1 << 64)).bit_count() <= 3]
+    assert groups([(r["u"], r["v"]) for r in simhash.near_links(distinct).collect()]) == groups(near)
