@@ -6,7 +6,8 @@ Templates are cut into passages of at most ``SEGMENT + 1`` shingles: wherever a
 
 A band is one MinHash value (one row per band). A window of 2s places that holds a passage of t shingles meets it in a
 band with probability t / 2s at least, so ``bands_for`` bands miss it with at most the given probability; a collision is
-only a candidate. The shingles of a candidate window are then intersected with the passage's.
+only a candidate. Once a passage of a license is met, all its passages are counted in all windows of that document by their
+exact shingles, so bands only retrieve: a passage that an edit or a cut has left too few shingles for them still counts.
 
 Everything is DataFrame and SQL functions.
 """
@@ -161,6 +162,33 @@ def candidate_windows(docs: DataFrame, wanted: list[list[int]], text: str, doc_i
     return found.where("w is not null").select("doc_id", "digest", "w.*")
 
 
+def common_shingles(docs: DataFrame, candidates: DataFrame, parts: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, digest, license, total, passage, common, at): the best window of each passage of candidate licenses.
+
+    Counted from all shingles of the documents, whether or not a window meets the passage in a band.
+    """
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    given = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(body).alias("_digest"), F.col(f"`{text}`").alias("_text"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest"))
+    named = candidates.select("doc_id", "digest").distinct()
+    chosen = stage(given.join(named, same, "left_semi").dropDuplicates(["_id", "_digest"]), "chosen")
+    placed = chosen.select("_id", "_digest", F.posexplode(shingles(words("_text"))).alias("p", "shingle"))
+    wanted = parts.select("license", "total", "passage", F.explode("shingles").alias("shingle"))
+    hits = placed.join(wanted, "shingle").join(candidates.withColumnRenamed("license", "_license"), same & (F.col("license") == F.col("_license")))
+    segment = F.floor(F.col("p") / SEGMENT)
+    shared = (
+        hits.select("doc_id", "digest", "license", "total", "passage", "shingle", F.explode(F.array(segment, segment - 1)).alias("i"))
+        .where("i >= 0")
+        .groupBy("doc_id", "digest", "license", "total", "passage", "i")
+        .agg(F.count_distinct("shingle").cast("int").alias("common"))
+    )
+    return (
+        shared.groupBy("doc_id", "digest", "license", "total", "passage")
+        .agg(F.max(F.struct("common", (-F.col("i")).alias("back"))).alias("best"))
+        .select("doc_id", "digest", "license", "total", "passage", "best.common", (-F.col("best.back") * SEGMENT).alias("at"))
+    )
+
+
 def find_licenses(docs: DataFrame, templates: DataFrame, *, text: str = "text", doc_id: str = "doc_id", miss: float = MISS) -> DataFrame:
     """(doc_id, license, containment, n_shingles, first_word) of every template contained in a text to 0.8 or more.
 
@@ -195,14 +223,10 @@ def find_licenses(docs: DataFrame, templates: DataFrame, *, text: str = "text",
         found = candidate_windows(docs.limit(0), [[0]] * bands, text, doc_id).select(
             "doc_id", "digest", "at", "span", F.lit("").alias("license"), F.lit(0).alias("passage")
         )
-    checked = found.join(parts, ["license", "passage"]).select(
-        "doc_id", "digest", "license", "total", "passage", "at", F.size(F.array_intersect(shingles(F.col("span")), "shingles")).alias("common")
-    ).where("common > 0")
-    best = (
-        checked.groupBy("doc_id", "digest", "license", "total", "passage")
-        .agg(F.max(F.struct("common", (-F.col("at")).alias("back"))).alias("best"))
-        .select("doc_id", "digest", "license", "total", "best.common", (-F.col("best.back")).alias("at"))
-    )
+    # Only a passage that shares a shingle with its window makes a candidate.
+    met = found.join(parts, ["license", "passage"]).where(F.arrays_overlap(shingles(F.col("span")), "shingles"))
+    candidates = stage(met.select("doc_id", "digest", "license").distinct(), "candidates")
+    best = common_shingles(docs, candidates, parts, text, doc_id)
     return (
         best.groupBy("doc_id", "digest", "license", "total")
         .agg(F.sum("common").alias("n_shingles"), F.min("at").cast("long").alias("first_word"))

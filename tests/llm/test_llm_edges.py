@@ -348,3 +348,18 @@ def test_crowded_cells_get_longer_prefixes(spark, monkeypatch):
 
     near = [(a, b) for k, a in enumerate(signed) for b in signed[:k] if ((a ^ b) % (1 << 64)).bit_count() <= 3]
     assert groups([(r["u"], r["v"]) for r in simhash.near_links(distinct).collect()]) == groups(near)
+
+
+def test_license_passages_without_a_band_count(spark, monkeypatch):
+    # One band meets few of the passages that are left in part; those that it does not meet count all the same.
+    monkeypatch.setattr(license_scan, "bands_for", lambda *args, **named: 1)
+    template = [f"t{k}" for k in range(102)]
+    text = [word if k % 15 != 7 else f"x{k}" for k, word in enumerate(template)]
+    rows = [(k, " ".join([f"n{k}x{j}" for j in range(k)] + text)) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    templates = spark.createDataFrame([("T", " ".join(template))], "license string, text string")
+    whole = {" ".join(template[k : k + 3]) for k in range(100)}
+    n = len(whole & {" ".join(text[k : k + 3]) for k in range(100)})
+    monkeypatch.setattr(license_scan, "CONTAINMENT", 0.5)
+    got = {r["doc_id"]: r["n_shingles"] for r in license_scan.find_licenses(docs, templates).collect()}
+    assert got == {k: n for k in range(12)}
