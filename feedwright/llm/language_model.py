@@ -1,13 +1,18 @@
 """Language-model scoring with a weighted backoff automaton.
 
-N-grams are counted over the whole training part, in numpy inside tasks and by key bucket across them. Those of at least
-a given share of the training tokens become the automaton: states are retained contexts, arcs carry discounted log
-probabilities, and failure arcs carry backoff weights to the next shorter context; the root has every word with its
-add-one probability. A share of 1/k keeps at most k n-grams of an order, so the automaton, which every task holds, has a
-size that does not depend on the corpus; the unigram table, which grows with it, is joined instead: words too rare for
-the automaton take their root arc from the join.
-
-Words are known by 64-bit hashes (unequal words share one with a probability of 2**-64 per pair).
+N-grams are counted over the whole training part and those that occur ``LEAST`` times become the automaton, whatever the
+size of the corpus: states are retained contexts, arcs carry discounted log probabilities, and failure arcs carry backoff
+weights to the next shorter context; the root has every word with its add-one probability.
+
+The automaton grows with the corpus, so it lies in buckets of hashed n-grams (``score_corpus``). Texts are taken in groups
+of bounded size. A group sends its distinct n-grams to the buckets, which answer with their counts; from these it has its
+arcs. For each retained n-gram one group sends its share of the backoff weight to the bucket of the context, which answers
+with the weights of the contexts that a group fails from.
+
+``train`` and ``score_texts`` are for an automaton cut to n-grams of a given share, small enough for every task to hold.
+
+Words are known by 64-bit hashes (unequal words share one with a probability of 2**-64 per pair), n-grams in buckets by
+63 bits and one that parts words from longer ones.
 """
 
 from __future__ import annotations
@@ -18,22 +23,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from feedwright.llm.common import query, table
 from feedwright.staging import stage
 
 ORDER = 3
-# Least share of the training tokens of a word, and of a longer n-gram, in the automaton.
+# Least share of the training tokens of a word, and of a longer n-gram, in an automaton that every task holds.
 WORD_SHARE = 1e-6
 GRAM_SHARE = 5e-6
 DISCOUNT = 0.75
+# Least occurrences of a longer n-gram in the distributed automaton.
+LEAST = 2
 FOLDS, HELD_OUT = 7, 2
 
 BLOCK_BYTES = 4 << 20
 FLUSH_TOKENS = 3_000_000
 # Bytes of text per bucket of n-gram keys.
 BUCKET_BYTES = 24 << 20
+# Tokens after which a group of texts ends, and bytes of text per bucket of n-grams that groups ask for.
+GROUP_TOKENS = 1_500_000
+GRAM_BUCKET_BYTES = 8 << 20
 
 # A-Z to lower case, white space to a space.
 FOLD = bytes(byte + 32 if 65 <= byte <= 90 else 32 if 9 <= byte <= 13 else byte for byte in range(256))
@@ -306,11 +317,15 @@ def _body(text: str) -> Column:
     return F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("body")
 
 
+def texts_bytes(texts: DataFrame, text: str) -> int:
+    return texts.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("n")).first()["n"]
+
+
 def train(texts: DataFrame, text: str = "text", *, order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE):
     """(model, unigram table with key and n) from every text of the frame; a null text is an end token alone."""
     spark = texts.sparkSession
     given = texts.select(_body(text))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("n")).first()["n"]
+    size = texts_bytes(texts, text)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     unigrams = stage(_counted(given, buckets, None, 1), "unigrams")
     line = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
@@ -401,6 +416,276 @@ def score_texts(docs: DataFrame, model: Model, unigrams: DataFrame, text: str =
     )
 
 
+# What a group sends to buckets: the group, distinct keys, and counts (kind 0 of ``_arcs``) or sums (kind 0 of ``_contexts``).
+ASKED = "kind int, bucket int, gid long, keys binary, first binary, second binary, size long"
+ASKED_ARROW = pa.schema(
+    [("kind", pa.int32()), ("bucket", pa.int32()), ("gid", pa.int64()), ("keys", pa.binary()), ("first", pa.binary()), ("second", pa.binary()), ("size", pa.int64())]
+)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of equal weight together, so that what is alike compresses."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()
+
+
+def _values(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, len(data) // width).T).view(kind).ravel()
+
+
+def _asked(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(ASKED_ARROW)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, ASKED_ARROW, strict=True)], schema=ASKED_ARROW)
+
+
+def _by_bucket(kind: int, gid: int, keys: np.ndarray, first: np.ndarray | None, second: np.ndarray | None, buckets: int) -> list[tuple]:
+    """Rows of sorted keys, one per bucket (a range of keys), as differences."""
+    bucket = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else np.zeros(1, dtype=int)
+    part = lambda values, a, b: None if values is None else _planes(values[a:b])
+    return [
+        (kind, int(bucket[a]), gid, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), part(first, a, b), part(second, a, b), int(b - a))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+    ]
+
+
+def _keys(row: dict) -> np.ndarray:
+    return np.cumsum(_values(row["keys"], "<u8"), dtype=np.uint64)
+
+
+def _groups(schema: T.StructType):
+    """Map function: texts (row, train, body) as groups of tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker, part = WordKeys(), TaskContext.get().partitionId()
+        base = made = 0
+        keys, docs, rows, train, context, size = [], [], [], [], 0, 0
+
+        def group() -> pa.RecordBatch:
+            key, doc = np.concatenate(keys), np.concatenate(docs)
+            words, index = np.unique(key, return_inverse=True)
+            given = pa.concat_arrays(rows)
+            values = [
+                part << 33 | made,
+                part << 33 | int(doc[0]),
+                context,
+                int(np.concatenate(train)[doc - doc[0]][context:].sum()),
+                words.tobytes(),
+                _planes(index.astype("<u4")),
+                np.bincount(doc - doc[0]).astype("<i8").tobytes(),
+                np.concatenate(train).astype("u1").tobytes(),
+            ]
+            arrays = [pa.array([value]) for value in values]
+            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array([0, len(given)], pa.int32()), given)], names=schema.names)
+
+        for batch in batches:
+            row, trained = batch.column("row"), batch.column("train").to_numpy(zero_copy_only=False)
+            for block in token_blocks(maker, [value.as_py() or b"" for value in batch.column("body")]):
+                lo, hi = int(block.doc[0]), int(block.doc[-1])
+                skip = block.context if size else 0  # the group has these tokens already
+                context = context if size else block.context
+                if size and int(docs[-1][-1]) == base + lo:
+                    lo += 1
+                keys.append(block.key[skip:])
+                docs.append(block.doc[skip:].astype(np.int64) + base)
+                if lo <= hi:
+                    rows.append(row.slice(lo, hi - lo + 1))
+                    train.append(trained[lo : hi + 1])
+                size += len(keys[-1])
+                if size >= GROUP_TOKENS:
+                    yield group()
+                    made += 1
+                    keys, docs, rows, train, context, size = [], [], [], [], 0, 0
+            base += batch.num_rows
+        if size:
+            yield group()
+
+    return run
+
+
+class _Group:
+    """Tokens of a group of texts with the keys of their n-grams; those of words are odd, of longer ones even."""
+
+    def __init__(self, row: dict):
+        self.gid, self.context = row["gid"], row["context"]
+        words = np.frombuffer(row["words"], dtype="<u8")
+        w = words[_values(row["tokens"], "<u4")]
+        lengths = np.frombuffer(row["lengths"], dtype="<i8")
+        self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        self.train = np.frombuffer(row["trained"], dtype="u1")[self.doc].astype(np.int64)
+        self.train[: self.context] = 0  # counted in the group before
+        two = np.zeros(len(w), dtype=np.uint64)
+        three = np.zeros(len(w), dtype=np.uint64)
+        two[1:] = _mixed(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:])
+        three[2:] = _mixed(two[1:-1] * np.uint64(0xD6E8FEB86659FD93) + w[2:])
+        self.at2 = np.flatnonzero(np.concatenate([[False], self.doc[1:] == self.doc[:-1]]))
+        self.at3 = np.flatnonzero(np.concatenate([[False, False], self.doc[2:] == self.doc[:-2]])[: len(w)])
+        every = np.concatenate([w | np.uint64(1), two[self.at2] & ~np.uint64(1), three[self.at3] & ~np.uint64(1)])
+        self.keys, self.index, inverse = np.unique(every, return_index=True, return_inverse=True)
+        n, n2 = len(w), len(self.at2)
+        self.one = inverse[:n]
+        self.two, self.three = np.full(n, -1), np.full(n, -1)
+        self.two[self.at2] = inverse[n : n + n2]
+        self.three[self.at3] = inverse[n + n2 :]
+        weight = np.concatenate([self.train, self.train[self.at2], self.train[self.at3]])
+        self.counts = np.bincount(inverse, weights=weight, minlength=len(self.keys)).astype("<i8")
+
+    def arcs(self, n: np.ndarray, space: float) -> None:
+        """From the counts of the keys the probabilities at each token and the contexts it fails from."""
+        self.known = n[self.one] > 0
+        self.p1 = (n[self.one] + 1.0) / space
+        count2, count3 = np.where(self.two >= 0, n[self.two], 0), np.where(self.three >= 0, n[self.three], 0)
+        self.has2, self.has3 = count2 > 0, count3 > 0
+        self.p2, self.p3 = np.ones(len(self.one)), np.ones(len(self.one))
+        at = np.flatnonzero(self.has2)
+        self.p2[at] = (count2[at] - DISCOUNT) / n[self.one[at - 1]]
+        at = np.flatnonzero(self.has3)
+        self.p3[at] = (count3[at] - DISCOUNT) / count2[at - 1]
+        own = np.arange(len(self.one)) >= self.context
+        self.fails2 = np.flatnonzero(own & (self.three >= 0) & ~self.has3 & np.concatenate([[False], self.has2[:-1]]))
+        self.fails1 = np.flatnonzero(own & (self.two >= 0) & ~self.has2 & np.concatenate([[False], self.known[:-1]]))
+        self.asked = np.unique(np.concatenate([self.two[self.fails2 - 1], self.one[self.fails1 - 1]]))
+
+    def shares(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(contexts, sums of their arcs, sums at the next shorter context) over the retained n-grams that are ``mine``."""
+        n, n2 = len(self.one), len(self.at2)
+        place = self.index[mine]
+        a, b = self.at2[place[(place >= n) & (place < n + n2)] - n], self.at3[place[place >= n + n2] - n - n2]
+        a, b = a[self.has2[a]], b[self.has3[b]]
+        which, inverse = np.unique(np.concatenate([self.one[a - 1], self.two[b - 1]]), return_inverse=True)
+        mass = np.bincount(inverse, weights=np.concatenate([self.p2[a], self.p3[b]]), minlength=len(which))
+        lower = np.bincount(inverse, weights=np.concatenate([self.p1[a], self.p2[b]]), minlength=len(which))
+        return self.keys[which], mass, lower
+
+    def scores(self, back: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(tokens, known, base, score) per text, from the backoff weights of the contexts asked for."""
+        weight = np.zeros(len(self.keys))
+        weight[self.asked] = back
+        base = np.log10(self.p1)
+        score = np.where(self.has2, np.log10(self.p2), base)
+        score[self.fails1] += weight[self.one[self.fails1 - 1]]
+        score = np.where(self.has3, np.log10(self.p3), score)
+        score[self.fails2] += weight[self.two[self.fails2 - 1]]
+        doc, texts = self.doc[self.context :], int(self.doc[-1]) + 1
+        per = lambda values: np.bincount(doc, weights=values[self.context :], minlength=texts)
+        return np.bincount(doc, minlength=texts), per(self.known).astype(np.int64), per(base), per(score)
+
+
+def _ask(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                group = _Group(row)
+                yield from _asked(_by_bucket(0, group.gid, group.keys, group.counts, None, buckets)).to_batches()
+
+    return run
+
+
+def _arcs(least: int):
+    """Group function of a bucket: answers each group with the counts of its keys and which of them it settles."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        rows = table_.to_pylist()
+        key = np.concatenate([_keys(row) for row in rows])
+        count = np.concatenate([_values(row["first"], "<i8") for row in rows])
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        n = np.add.reduceat(count[order], np.flatnonzero(new))
+        odd = key[order][new] & np.uint64(1) == 1
+        n[~odd & (n < least)] = 0
+        types = int((odd & (n > 0)).sum())
+        answer, mine = np.empty(len(key), dtype="<i8"), np.empty(len(key), dtype=bool)
+        answer[order], mine[order] = n[np.cumsum(new) - 1], new
+        ends = np.cumsum([row["size"] for row in rows]).tolist()
+        made = [
+            (0, row["bucket"], row["gid"], None, _planes(answer[end - row["size"] : end]), mine[end - row["size"] : end].astype("u1").tobytes(), types * (k == 0))
+            for k, (row, end) in enumerate(zip(rows, ends, strict=True))
+        ]
+        return _asked(made)
+
+    return run
+
+
+def _contexts(table_: pa.Table) -> pa.Table:
+    """Group function of a bucket: answers each group with the backoff weights of the contexts it asks for."""
+    given, asking = [], []
+    for row in table_.to_pylist():
+        (asking if row["kind"] else given).append(row)
+    key = np.concatenate([np.zeros(0, dtype=np.uint64), *[_keys(row) for row in given]])
+    known, inverse = np.unique(key, return_inverse=True)
+    sums = [np.bincount(inverse, weights=np.concatenate([np.zeros(0), *[_values(row[name], "<f8") for row in given]]), minlength=len(known)) for name in ("first", "second")]
+    back = np.log10((1 - sums[0]) / np.maximum(1 - sums[1], 1e-12))
+    made = []
+    for row in asking:
+        at = Vocabulary._find(known, _keys(row))
+        found = np.zeros(len(at))
+        found[at >= 0] = back[at[at >= 0]]
+        made.append((1, row["bucket"], row["gid"], None, _planes(found), None, 0))
+    return _asked(made)
+
+
+def _answers(table_: pa.Table, kind: int) -> list[dict]:
+    return sorted((row for row in table_.to_pylist() if row["kind"] == kind), key=lambda row: row["bucket"])
+
+
+def _joined(rows: list[dict], name: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *[_values(row[name], kind) for row in rows]])
+
+
+def score_corpus(docs: DataFrame, train: Column, text: str = "text", keep: Sequence[str] = ("doc_id",), *, least: int = LEAST) -> tuple[DataFrame, int]:
+    """(``keep`` columns as ``row`` with n_tokens, n_known, base_score and score of every row, tokens of training).
+
+    The automaton is trained on the rows where ``train`` holds, with all n-grams that occur ``least`` times in them.
+    """
+    spark = docs.sparkSession
+    given = docs.select(F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row"), F.coalesce(train, F.lit(False)).alias("train"), _body(text))
+    numbers = [T.StructField(name, T.LongType()) for name in ("gid", "rid", "context", "n")]
+    packs = [T.StructField(name, T.BinaryType()) for name in ("words", "tokens", "lengths", "trained")]
+    schema = T.StructType([*numbers, *packs, T.StructField("rows", T.ArrayType(given.schema["row"].dataType))])
+    groups = stage(given.mapInArrow(_groups(schema), schema), "groups")
+    size = texts_bytes(docs, text)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GRAM_BUCKET_BYTES))
+    counts = stage(groups.drop("rows").mapInArrow(_ask(buckets), ASKED).groupBy("bucket").applyInArrow(_arcs(least), ASKED), "counts")
+    tokens = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    types = counts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    space = float(tokens + types + 1)
+
+    def fail(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _asked([])
+        group, answers = _Group(left.to_pylist()[0]), _answers(right, 0)
+        group.arcs(_joined(answers, "first", "<i8"), space)
+        mine = np.frombuffer(b"".join(row["second"] for row in answers), dtype=bool)
+        contexts, mass, lower = group.shares(mine)
+        return _asked(_by_bucket(0, group.gid, contexts, mass, lower, buckets) + _by_bucket(1, group.gid, group.keys[group.asked], None, None, buckets))
+
+    slim = groups.drop("rows", "n", "rid").groupBy("gid")
+    sent = slim.cogroup(counts.groupBy("gid")).applyInArrow(fail, ASKED)
+    weights = stage(sent.groupBy("bucket").applyInArrow(_contexts, ASKED), "weights")
+
+    result = T.StructType([T.StructField("rid", T.LongType()), given.schema["row"], *SCORED.fields[:2], *SCORED.fields[2:4]])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.drop_columns(["rows"]).to_pylist()[0]
+        group = _Group(row)
+        group.arcs(_joined(_answers(right, 0), "first", "<i8"), space)
+        found = group.scores(_joined(_answers(right, 1), "first", "<f8"))
+        rid = np.arange(len(found[0])) + row["rid"]
+        return pa.table([pa.array(rid), left["rows"].combine_chunks().flatten(), *[pa.array(values) for values in found]], names=result.names)
+
+    answers = counts.unionByName(weights).groupBy("gid")
+    scored = groups.groupBy("gid").cogroup(answers).applyInArrow(score, result)
+    # A long text has a row in each of its groups.
+    whole = scored.groupBy("rid").agg(
+        F.first("row").alias("row"),
+        F.sum("n_tokens").alias("n_tokens"),
+        F.sum("n_frequent").alias("n_known"),
+        F.sum("base").alias("base_score"),
+        F.sum("score").alias("score"),
+    )
+    return whole.drop("rid"), tokens
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept out of training; a NULL id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
@@ -409,15 +694,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 @query("op5_backoff_automaton")
 def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by the automaton trained on the documents that are not held out."""
-    docs = table(spark, sf_dir, "documents")
-    model, unigrams = train(docs.where(~held_out()))
-    scored = score_texts(docs, model, unigrams)
+    scored, tokens = score_corpus(table(spark, sf_dir, "documents"), ~held_out())
     return scored.select(
         "row.doc_id",
         held_out("row.doc_id").alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
         "base_score",
         "score",
     )

@@ -287,3 +287,47 @@ def test_pipeline_equals_its_stages_by_hand(spark, docs):
         got[row["doc_id"]] += row["length"]
     assert sorted(got.items()) == want
     assert labelled.count() > len(want)
+
+
+def test_score_corpus_keeps_every_repeated_ngram(spark, monkeypatch):
+    from feedwright.llm import language_model as lm
+
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 300)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 400)
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(rng.choice([f"w{j}" for j in range(30)], int(rng.integers(0, 60))))) for k in range(60)]
+    rows += [(60, "a b c " * 700), (61, None), (62, "rare pair here"), (63, "rare pair here")]
+    held = {k for k, _ in rows if k % 7 == 2}
+    words = {k: [*(text or "").split(), "<end>"] for k, text in rows}
+    counts = [collections.Counter(), collections.Counter(), collections.Counter()]
+    for k, own in words.items():
+        for order in () if k in held else (1, 2, 3):
+            counts[order - 1].update(zip(*[own[j:] for j in range(order)]))
+    tokens, types = sum(counts[0].values()), len(counts[0])
+    kept = [counts[0], *[{gram: n for gram, n in level.items() if n >= 2} for level in counts[1:]]]
+
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[0][gram] + 1) / (tokens + types + 1)
+        return (kept[len(gram) - 1][gram] - 0.75) / kept[len(gram) - 2][gram[:-1]]
+
+    follow = collections.defaultdict(list)
+    for gram in [*kept[1], *kept[2]]:
+        follow[gram[:-1]].append(gram)
+    back = {context: math.log10((1 - sum(map(p, grams))) / max(1 - sum(p(gram[1:]) for gram in grams), 1e-12)) for context, grams in follow.items()}
+
+    def log(gram):
+        if len(gram) == 1 or gram in kept[len(gram) - 1]:
+            return math.log10(p(gram))
+        return back.get(gram[:-1], 0.0) + log(gram[1:])
+
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scored, n = lm.score_corpus(frame, F.col("doc_id") % 7 != 2)
+    got = {r["row"]["doc_id"]: r for r in scored.collect()}
+    assert n == tokens and set(got) == set(words)
+    for k, own in words.items():
+        want = sum(log(tuple(own[max(0, j - 2) : j + 1])) for j in range(len(own)))
+        assert got[k]["n_tokens"] == len(own) and got[k]["n_known"] == sum(counts[0][(w,)] > 0 for w in own)
+        assert got[k]["score"] == pytest.approx(want, rel=1e-9), k
