@@ -43,7 +43,7 @@ FLUSH_TOKENS = 3_000_000
 # Bytes of text per bucket of n-gram keys.
 BUCKET_BYTES = 24 << 20
 # Tokens after which a group of texts ends, and bytes of text per bucket of n-grams that groups ask for.
-GROUP_TOKENS = 1_500_000
+GROUP_TOKENS = 400_000
 GRAM_BUCKET_BYTES = 8 << 20
 
 # A-Z to lower case, white space to a space.
