@@ -43,7 +43,7 @@ class WordTokenizer:
 
     The pre-tokenizer of such a file never joins what stands before a single space or newline between two other
     characters with what follows, nor letters with the punctuation after them, so a text may be encoded in pieces cut
-    there. Texts with other white space, or with more of it in a row, are encoded whole.
+    there. Texts with other white space, with more of it in a row, or with the string of an added token are encoded whole.
     """
 
     def __init__(self, definition: str):
@@ -51,7 +51,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_str(definition)
-        self.encoder.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [token.content for token in self.encoder.get_added_tokens_decoder().values()]
         self.newline = self._encoded(["\n"])[0]
         self.words: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -86,7 +86,8 @@ class WordTokenizer:
         for k, text in enumerate(texts):
             plain = text.split()
             gaps = text.count(" ") + text.count("\n")
-            if plain and len(plain) == gaps + 1 and len("".join(plain)) + gaps == len(text):
+            ordinary = not any(content in text for content in self.added)
+            if ordinary and plain and len(plain) == gaps + 1 and len("".join(plain)) + gaps == len(text):
                 first, *rest = text.replace("\n", " \n").split(" ")
                 split[k] = (first, rest)
             else:

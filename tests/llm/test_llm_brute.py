@@ -211,6 +211,18 @@ def test_word_tokenizer_equals_whole_texts():
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_strings_of_added_tokens_have_their_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.public_tokenizer()
+    with open(path, encoding="utf-8") as source:
+        mine = packing.WordTokenizer(source.read())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nz", "a <|endoftext| b", "plain text"]
+    whole = Tokenizer.from_file(path)
+    for text, ids in zip(texts, mine.encode(texts)):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_language_model_query(spark, docs):
     tokens = {name: [*(text or "").encode().lower().split(), b"\0end"] for name, text in docs}
     out = {name for name in tokens if zlib.crc32(str(name).encode()) % 7 == 2}
