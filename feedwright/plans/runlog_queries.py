@@ -329,14 +329,42 @@ def _(i: Inputs):
 
 @query(
     "check_load_order",
-    """select processing_group_name, count(*) as n_files from (
-           select concat('feed_', cast(user_id % 25 as varchar)) as processing_group_name from events) f group by all""",
+    """with n as (select concat('feed_', cast(o_custkey % 25 as varchar)) as feed, count(*) as days from orders group by all)
+       select feed as processing_group_name,
+              case cast(substr(feed, 6) as integer) % 4 when 0 then 'OK' when 1 then 'ERROR_OLDER' when 2 then 'ERROR_GAP'
+                   else 'WARNING_GAP' end as verdict,
+              cast(substr(feed, 6) as integer) % 4 in (1, 2) as stopped
+       from n""",
 )
 def _(i: Inputs):
-    """Files of feeds whose order is not enforced pass with their verdict."""
-    files = i.sql(LOAD_FILES).withColumns({"perform_load_order_check": F.lit(0), "file": F.col("file_no").cast("string")})
-    judged = harvest.check_load_order(i.sql(LOAD_LOG), files)
-    return judged.groupBy("processing_group_name").agg(F.count("verdict").alias("n_files"))
+    """A log with one run per order; a new file per feed, on the next day, before, after a failed run or after a gap.
+
+    The check is on for every feed; it is made for each kind of file, and those of an error kind stop there.
+    """
+    log = i.sql(
+        """with o as (select concat('feed_', o_custkey % 25) as processing_group_name, o_custkey % 25 as k, o_orderkey from {orders}),
+                r as (select *, row_number() over (partition by processing_group_name order by o_orderkey) as d from o)
+           select processing_group_name, k, d as job_id, timestamp_seconds(d * 86400) as extract_ts, 'COMPLETE' as status from r
+           union all
+           select processing_group_name, k, max(d) + 1, timestamp_seconds((max(d) + 2) * 86400), 'ERROR' from r where k % 4 = 2 group by 1, 2"""
+    )
+    last = log.where("status = 'COMPLETE'").groupBy("processing_group_name", "k").agg(F.max("extract_ts").alias("last"))
+    days = F.element_at(F.array(*map(F.lit, (1, -1, 4, 4))), (F.col("k") % 4 + 1).cast("int"))
+    files = stage(
+        last.select(
+            "processing_group_name", F.concat(F.lit("file of "), "processing_group_name").alias("file"), "k",
+            F.timestamp_seconds(F.unix_timestamp("last") + days * 86400).alias("extract_ts"), F.lit(1).alias("perform_load_order_check"),
+        )
+    )
+    parts = []
+    for kind in range(4):
+        mine = files.where(F.col("k") % 4 == kind)
+        try:
+            judged, stopped = harvest.check_load_order(log, mine), False
+        except ValueError:
+            judged, stopped = harvest.load_gap(log, mine), True
+        parts.append(judged.select("processing_group_name", "verdict", F.lit(stopped).alias("stopped")))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 @query(
@@ -383,6 +411,59 @@ def _(i: Inputs):
     return i.spark.createDataFrame(counts, "extract_date string, nth bigint, n_lines bigint")
 
 
+@query(
+    "harvest_versions",
+    """select feed, extract_date, sum(n_lines) as n_lines, count(*) as n_jobs, sum(case when failed then 1 else 0 end) as n_errors from (
+           select o_orderstatus as feed, strftime(date_trunc('year', cast(o_orderdate as date)), '%Y-%m-%d') as extract_date,
+                  count(*) as n_lines, false as failed from orders group by all
+           union all
+           select 'F', strftime(date_trunc('year', cast(o_orderdate as date)), '%Y-%m-%d'), count(*), false from orders
+           where o_orderstatus = 'O' and year(cast(o_orderdate as date)) = 1996 group by all
+           union all
+           select 'P', '1995-01-01', 0, true) j
+       group by all""",
+)
+def _(i: Inputs):
+    """A file per order status and year, a feed per status. Feed P fails once in 1995, which leaves the others of that
+    date complete; then a file of feed F is delivered again under its name with other rows, and only it is read again."""
+    written, incoming, checkpoint = (scratch_path(i.spark, name) for name in ("written", "incoming", "stream"))
+    year = F.date_format(F.trunc(F.col("o_orderdate").cast("date"), "year"), "yyyyMMdd").alias("year")
+    lines = i.table("orders").select("o_orderstatus", year, F.col("o_orderkey").cast("string").alias("value"))
+    lines.repartition("o_orderstatus", "year").write.partitionBy("o_orderstatus", "year").text(written)
+    hadoop = i.spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(incoming).getFileSystem(i.spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop.Path(incoming))
+    paths = {(row["o_orderstatus"], str(row["year"])): row["path"] for row in i.spark.read.format("binaryFile").load(written).select("path", "o_orderstatus", "year").collect()}
+
+    def deliver(status: str, when: str, name: str) -> None:
+        target = hadoop.Path(f"{incoming}/{name}_{when}.csv")
+        system.delete(target, False)
+        hadoop.FileUtil.copy(system, hadoop.Path(paths[status, when]), system, target, False, i.spark.sparkContext._jsc.hadoopConfiguration())
+
+    for status, when in paths:
+        deliver(status, when, status)
+    feeds = i.spark.createDataFrame([Row(file_regex=rf"^{name}_(\d+)", processing_group_name=name, pos_1="EXTRACT_DATE", perform_load_order_check=0) for name in "FOP"])
+    broken, counts = [True], []
+
+    def handler(spark, date, files, batch_id):
+        feed = files[0]["processing_group_name"]
+        if broken[0] and (feed, date) == ("P", "1995-01-01"):
+            broken[0] = False
+            counts.append((feed, date, 0, True))
+            raise RuntimeError("feed P fails once")
+        counts.append((feed, date, spark.read.text([row["path"] for row in files]).count(), False))
+
+    options = {"spark": i.spark, "incoming": incoming, "control": feeds, "checkpoint": checkpoint, "handler": handler, "parallel": 3}
+    try:
+        harvest.harvest_stream(**options)
+    except RuntimeError:
+        harvest.harvest_stream(**options)
+    deliver("O", "19960101", "F")
+    harvest.harvest_stream(**options)
+    done = i.spark.createDataFrame(counts, "feed string, extract_date string, n_lines bigint, failed boolean")
+    return done.groupBy("feed", "extract_date").agg(F.sum("n_lines").alias("n_lines"), F.count("*").alias("n_jobs"), F.count_if("failed").alias("n_errors"))
+
+
 @query("harvest_datacop", "select " + NAMES + " from {orders_text} t where " + FIRST_ISSUE + " is null")
 def _(i: Inputs):
     """Feed files picked up by the stream, validated, good rows read back from the sink."""

@@ -10,6 +10,7 @@ from feedwright.functions.logic import all_of
 from feedwright.functions.text import quoted, strip_newlines
 from feedwright.functions.types import schema_from_headings
 from feedwright.registry import operator
+from feedwright.sources.records import drop_leading_lines, first_lines, quoted_records
 from feedwright.staging import scratch_path, stage
 
 CORRUPT_COLUMN = "_corrupt_record"
@@ -84,12 +85,35 @@ def read_delimited(
 
     With ``corrupt`` a row whose width differs from the schema keeps its text in ``_corrupt_record``: that is the
     column-count check. Short rows are padded with NULL and long ones cut, as the parser does in permissive mode.
-    Without ``columns`` the names come from the header row of the first file, or are ``COLUMN_n``.
+    Without ``columns`` the names come from the header rows, or are ``COLUMN_n``; files whose header has the same names in
+    another order are read by name, and files with other names are an error. ``multiline`` allows newlines in quoted
+    cells; large files are still read by many tasks. A quote inside an unquoted cell is plain text.
     """
+    if columns is None and header:
+        groups = _files_by_header(spark, path, sep, quote, escape, encoding)
+        if groups:
+            first = groups[0][0]
+            settings = dict(sep=sep, quote=quote, escape=escape, encoding=encoding, null_value=null_value, multiline=multiline, eol=eol, corrupt=corrupt)
+            order = [*first, *([CORRUPT_COLUMN] if corrupt else [])]
+            parts = [
+                read_delimited(spark, path if len(groups) == 1 else paths, columns=names, **settings).select(*map(quoted, order))
+                for names, paths in groups
+            ]
+            whole = parts[0]
+            for part in parts[1:]:
+                whole = whole.unionByName(part)
+            return whole
     options = _read_options(sep, quote, escape, encoding, null_value, multiline, eol)
     if columns is None:
         probe = spark.read.options(**options).option("header", header).csv(path)
         columns = probe.columns if header else [f"COLUMN_{i + 1}" for i in range(len(probe.columns))]
+    if multiline and quote and not encoding_name(encoding or "utf-8").lower().startswith(("utf-16", "utf-32")):
+        records = quoted_records(
+            spark, path, sep=option_character(sep), quote=quote, escape=escape if escape is not None else quote,
+            header=header, encoding=encoding_name(encoding), eol=option_character(eol),
+        )
+        lines = records.where("value <> ''").select("value")
+        return parse_delimited_lines(lines, columns, sep, quote, escape if escape is not None else quote, null_value, corrupt=corrupt)
     frame = (
         spark.read.schema(text_schema(columns, corrupt))
         .options(**options)
@@ -100,6 +124,28 @@ def read_delimited(
     return _blank_to_null(frame)
 
 
+HEADERS_AT_MOST = 100
+
+
+def _files_by_header(spark, path, sep, quote, escape, encoding) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) for each different header row, the most frequent first; empty when no file has one.
+
+    Raises when the rows are not one set of names in different orders. Files are listed only where orders differ.
+    """
+    heads = first_lines(spark, path, encoding_name(encoding))
+    seen = heads.groupBy("line").agg(F.count("*").alias("n"), F.min("path").alias("path")).orderBy(F.desc("n"), "path").limit(HEADERS_AT_MOST + 1).collect()
+    options = {**_read_options(sep, quote, escape, encoding, None, False, None), "header": True}
+    names = [spark.read.options(**options).csv(row["path"]).columns for row in seen]
+    for row, own in zip(seen, names, strict=True):
+        if sorted(own) != sorted(names[0]):
+            raise ValueError(f"header rows differ: {seen[0]['path']} has {names[0]}, {row['path']} has {own}")
+    if len(seen) > HEADERS_AT_MOST:
+        raise ValueError(f"more than {HEADERS_AT_MOST} different header rows")
+    if len(seen) == 1:
+        return [(names[0], [])]
+    return [(own, [r["path"] for r in heads.where(F.col("line") == row["line"]).select("path").collect()]) for row, own in zip(seen, names, strict=True)]
+
+
 @operator("number_lines")
 def number_lines(spark: SparkSession, path: str | Sequence[str], encoding: str | None = None) -> DataFrame:
     """Text lines with their 1-based number inside each file: (file, line_no, value).
@@ -141,11 +187,30 @@ def _number_positions(lines: DataFrame) -> DataFrame:
 
 @operator("skip_leading_rows")
 def skip_leading_rows(
-    spark: SparkSession, path: str | Sequence[str], skip_rows: int, columns: Sequence[str], **options
+    spark: SparkSession,
+    path: str | Sequence[str],
+    skip_rows: int,
+    columns: Sequence[str],
+    encoding: str | None = None,
+    eol: str | None = None,
+    multiline: bool = False,
+    **options,
 ) -> DataFrame:
-    """Drop ``skip_rows`` lines (garbage plus header) at the start of every file, then parse the rest as CSV."""
-    lines = number_lines(spark, path).where(F.col("line_no") > skip_rows)
-    return parse_delimited_lines(lines.select("value"), columns, **options)
+    """Drop ``skip_rows`` lines (garbage plus header) at the start of every file, then parse the rest as CSV.
+
+    Only a file's first split is looked at for them, in the pass that parses; they must lie in it. ``multiline`` allows
+    newlines in quoted cells. Empty lines are no records.
+    """
+    encoding, eol = encoding and encoding_name(encoding), option_character(eol)
+    quote, escape = options.get("quote", '"'), options.get("escape", "\\")
+    if multiline and quote and not encoding_name(encoding or "utf-8").lower().startswith(("utf-16", "utf-32")):
+        lines = quoted_records(
+            spark, path, sep=option_character(options.get("sep", ",")), quote=quote, escape=escape, skip_rows=skip_rows,
+            encoding=encoding, eol=eol,
+        )
+    else:
+        lines = drop_leading_lines(spark, path, skip_rows, encoding, eol)
+    return parse_delimited_lines(lines.where("value <> ''").select("value"), columns, **options)
 
 
 @operator("parse_delimited_lines")
@@ -161,8 +226,7 @@ def parse_delimited_lines(
 ) -> DataFrame:
     """Parse a column of delimited lines into string columns; other columns of the frame are kept."""
     options = {"sep": option_character(sep), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COLUMN}
-    if quote is not None:
-        options["quote"] = quote
+    options["quote"] = quote if quote is not None else ""  # empty: no character is a quote
     if escape is not None:
         options["escape"] = escape
     if null_value is not None:

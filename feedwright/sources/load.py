@@ -141,7 +141,18 @@ def flag_load_rows(
     else:
         if skip_rows:
             frame = skip_leading_rows(
-                spark, path, skip_rows, names, sep=sep, quote=quote, escape=escape, null_value=null_value, corrupt=True
+                spark,
+                path,
+                skip_rows,
+                names,
+                sep=sep,
+                quote=quote,
+                escape=escape,
+                null_value=null_value,
+                encoding=encoding,
+                eol=eol,
+                multiline=quoted_newlines,
+                corrupt=True,
             )
         else:
             frame = read_delimited(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedwright.registry import operator
@@ -11,18 +14,20 @@ from feedwright.registry import operator
 def list_objects(spark: SparkSession, root: str, prefix: str = "", pattern: str | None = None) -> DataFrame:
     """Objects below ``root`` as rows of key, size, path (folder) and file (name).
 
-    Only paths and sizes are read: the content column is pruned, so no object is opened.
+    Only paths and sizes are read: the content column is pruned, so no object is opened. Folders named in ``prefix`` are
+    part of the path that is listed, and its last part is a glob, so nothing beside it is listed. No object, no rows.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    listing = reader.load(root).select(F.col("path").alias("key"), F.col("length").alias("size"))
-    base = root if "://" in root or root.startswith("file:") else None
-    if prefix:
-        start = f"{root.rstrip('/')}/{prefix}"
-        listing = listing.where(
-            F.contains("key", F.lit(start)) if base is None else F.startswith("key", F.lit(start))
-        )
+    start = re.sub(r"([\\{}\[\]*?])", r"\\\1", f"{root.rstrip('/')}/{prefix}")
+    try:
+        listing = reader.load(f"{start}*" if prefix and not prefix.endswith("/") else start)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        listing = spark.createDataFrame([], "path string, length long")
+    listing = listing.select(F.col("path").alias("key"), F.col("length").alias("size"))
     return listing.select(
         "key",
         "size",

@@ -1,10 +1,12 @@
 """Incremental ingestion of feed files.
 
-A stream discovers files (paths and sizes only, no content is read) and adds them to a list of files seen, which is all
-that its checkpoint stands for. A run takes every file seen that the job log does not call complete, whenever it was
-seen: matches file names to feeds, orders all of them by extract date, and goes date by date, checking the load order
-against the log as it is then, logging RUNNING, calling a handler that reads the files in parallel, and logging the
-outcome. Files that failed, matched no feed or were in flight stay on the list for the next run.
+The state is a list of file versions: path, modification time and length. A stream discovers new paths (no content is
+read); a listing adds the versions of paths delivered again, which a stream does not report. A run takes the present
+version of every file that the job log does not call complete in that version, whenever it was seen: matches file names
+to feeds, orders all of them by extract date, and goes date by date, checking the load order against the log as it is
+then, logging RUNNING with a lease, calling a handler for each feed (or file) of the date, and logging each outcome.
+Files that failed, matched no feed or were in flight stay on the list for the next run; so do those of a run that died,
+once its lease is over.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import itertools
 import re
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -24,10 +27,12 @@ from feedwright.operators.quality import datacop
 from feedwright.operators.runlog import COMPLETE, ERROR, READY, RUNNING
 from feedwright.registry import operator
 from feedwright.sources.delimited import read_delimited, write_csv
+from feedwright.sources.records import first_lines
 from feedwright.staging import stage
 
 EXTRACT_DATE = "EXTRACT_DATE"
 FILES_PER_BATCH = 1000
+LEASE_SECONDS = 3600
 FILE_SCHEMA = T.StructType(
     [
         T.StructField("path", T.StringType(), True),
@@ -95,15 +100,11 @@ def match_file_patterns(files: DataFrame, control: DataFrame | Sequence[Row]) ->
 
 @operator("route_by_record_length")
 def route_by_record_length(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, first_line_length): length of the first line of each file, for patterns with a record length."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_position"),
-        F.length("value").alias("_length"),
-    )
-    first = lines.where("_start = 0").groupBy("path").agg(F.min_by("_length", "_position").alias("first_line_length"))
-    return first
+    """(path, first_line_length): length of the first line of each file, for patterns with a record length.
+
+    Of each file only the head is read.
+    """
+    return first_lines(spark, paths).select("path", F.length("line").alias("first_line_length"))
 
 
 @operator("order_by_extract_date")
@@ -166,17 +167,30 @@ def check_load_order(log: DataFrame, files: DataFrame, feed: str = "processing_g
 
 
 @operator("skip_in_flight")
-def skip_in_flight(files: DataFrame, log: DataFrame) -> DataFrame:
-    """Files without a READY or RUNNING job of the same feed and file name."""
-    busy = log.where(F.col("status").isin(READY, RUNNING)).select(
-        "processing_group_name", F.col("identifier").alias("file")
-    ).distinct()
+def skip_in_flight(files: DataFrame, log: DataFrame, now: Column | None = None) -> DataFrame:
+    """Files without a READY or RUNNING job of the same feed and file name.
+
+    Where the log has a column ``lease_until``, a job whose lease is over by ``now`` no longer holds its file: whoever ran
+    it is gone. A job without a lease holds it until its status changes.
+    """
+    held = F.col("status").isin(READY, RUNNING)
+    if "lease_until" in log.columns:
+        moment = now if now is not None else F.current_timestamp()
+        held = held & (F.col("lease_until").isNull() | (F.col("lease_until") > moment))
+    busy = log.where(held).select("processing_group_name", F.col("identifier").alias("file")).distinct()
     return files.join(busy, ["processing_group_name", "file"], "left_anti")
 
 
 def files_of(batch: DataFrame) -> DataFrame:
-    """Path, file name and size of discovered files."""
-    return batch.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.col("length").alias("size"))
+    """Path, file name, size and modification time of discovered files."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1).alias("file")
+    return batch.select("path", name, F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def list_versions(spark: SparkSession, incoming: str) -> DataFrame:
+    """(path, modificationTime, length) of the files that are in the folder now; none is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(incoming)
+    return listed.select("path", "modificationTime", "length")
 
 
 def file_stream(spark: SparkSession, incoming: str, max_files: int = FILES_PER_BATCH) -> DataFrame:
@@ -187,7 +201,7 @@ def file_stream(spark: SparkSession, incoming: str, max_files: int = FILES_PER_B
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", max_files)
     )
-    return reader.load(incoming).select("path", "length")
+    return reader.load(incoming).select("path", "modificationTime", "length")
 
 
 @operator("discover_files")
@@ -213,6 +227,28 @@ def _seen(checkpoint: str) -> str:
     return f"{checkpoint}/seen"
 
 
+VERSION = "path string, modificationTime timestamp, length bigint"
+
+
+def waiting_versions(listed: DataFrame, seen: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(versions to process, versions new to the list of files seen).
+
+    To process is what is in the folder now and seen, or delivered again since, without a complete job of that version. A
+    job or a list entry without a version, from before versions were kept, stands for any.
+    """
+    path = _plain_path("path").alias("path")
+    listed = listed.select(path, "modificationTime", "length")
+    same = (F.col("here.modificationTime") == F.col("there.modificationTime")) & (F.col("here.length") == F.col("there.length"))
+    same = (F.col("here.path") == F.col("there.path")) & (F.col("there.modificationTime").isNull() | same)
+    here = listed.alias("here")
+    seen = seen.select(path, "modificationTime", "length").distinct()
+    known = here.join(seen.select("path").distinct(), "path", "left_semi").alias("here")
+    again = known.join(seen.alias("there"), same, "left_anti")
+    done = log.where(F.col("status") == COMPLETE).select(path, F.col("modified").alias("modificationTime"), F.col("size").alias("length"))
+    waiting = known.join(done.distinct().alias("there"), same, "left_anti")
+    return waiting, again
+
+
 def _read_if_there(spark: SparkSession, schema: str, path: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
@@ -237,31 +273,42 @@ def harvest_stream(
     archive: str | None = None,
     dry_run: bool = False,
     group: str | None = None,
+    job_per: str = "feed",
+    parallel: int = 1,
+    lease_seconds: int = LEASE_SECONDS,
 ) -> DataFrame:
     """Process all waiting files; returns the jobs of this run (path, feed, file, extract_date, batch_id, status).
 
-    ``handler(spark, extract_date, files, batch_id)`` is called once per extract date, dates ascending over all waiting
-    files whatever ``max_files`` is; ``files`` are the rows of that date. The job log is ``log_path`` or a folder beside
-    the checkpoint. An error verdict of the load order or an exception of the handler ends the run; what was done
-    before stays done, the rest waits. Job ids grow with time and do not depend on any setting.
+    ``handler(spark, extract_date, files, batch_id)`` is called for each feed of an extract date, or with ``job_per="file"``
+    for each file, dates ascending over all waiting files whatever ``max_files`` is; ``files`` are the rows of that call.
+    Of one date up to ``parallel`` calls run at once. The job log is ``log_path`` or a folder beside the checkpoint. When a
+    call fails the other calls of its date still run and keep their outcome; then, or at an error verdict of the load
+    order, the run ends with that error and the rest waits. Job ids grow with time and do not depend on any setting.
 
-    ``archive`` moves a file there once it is complete. ``group`` takes only the control rows with that
+    A file delivered again under its name, with another time or length, is a new version and is processed again. A job that
+    began holds its files for ``lease_seconds``, which no call may exceed; a later run takes over what a dead one left.
+
+    ``archive`` moves a file there once it is complete, to the same place below it as below ``incoming``; where another
+    version lies there already, its time is added to the name. ``group`` takes only the control rows with that
     ``grouping_code``. ``dry_run`` lists what is in the folder now and returns the files in their order with status
     ``PLANNED``; it checks the first date and changes no state.
     """
     log_path = log_path or f"{checkpoint}/jobs"
+    log = read_log(spark, log_path)
     if dry_run:
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(incoming).select("path", "length")
+        listed = list_versions(spark, incoming)
+        waiting, _ = waiting_versions(listed, listed, log)
     else:
         stream = discover_files(spark, incoming, checkpoint, max_files)
         stream.awaitTermination()
         if stream.exception() is not None:
             raise stream.exception()
-        listed = _read_if_there(spark, "path string, length bigint", _seen(checkpoint))
+        seen = _read_if_there(spark, VERSION, _seen(checkpoint))
+        waiting, again = waiting_versions(list_versions(spark, incoming), seen, log)
+        again = stage(again, "again")
+        if not again.isEmpty():
+            again.write.parquet(f"{_seen(checkpoint)}/seen_in=again-{time.time_ns()}")
     rows = [row for row in control.collect() if group is None or row["grouping_code"] == group]
-    log = read_log(spark, log_path)
-    done = log.where(F.col("status") == COMPLETE).select(_plain_path("path").alias("path"))
-    waiting = listed.withColumn("path", _plain_path("path")).join(done, "path", "left_anti").distinct()
     files = files_of(waiting)
     if any(row["record_length"] for row in rows if "record_length" in row):
         # Only files that match a feed by name are opened.
@@ -274,7 +321,7 @@ def harvest_stream(
     # The log changes while the run goes on; what is to be done does not.
     plan = stage(dated.withColumn("extract_ts", F.col("extract_date").try_cast("timestamp")), "harvest")
     jobs: list[tuple] = []
-    ordered = plan.orderBy("extract_date", "file").toLocalIterator()
+    ordered = plan.orderBy("extract_date", "file", "path").toLocalIterator()
     for date, dated_files in itertools.groupby(ordered, key=lambda row: row["extract_date"]):
         chosen = list(dated_files)
         if not dry_run or not jobs:
@@ -287,16 +334,35 @@ def harvest_stream(
         if dry_run:
             jobs += [(*job, batch_id, "PLANNED") for job in found]
             continue
-        write_log(spark, log_path, batch_id, [(*job, RUNNING) for job in found])
-        status = ERROR
+        versions = [(row["modified"], row["size"]) for row in chosen]
+        write_log(spark, log_path, batch_id, [(*job, RUNNING) for job in found], versions, lease_seconds)
+        unit = "processing_group_name" if job_per == "feed" else "path"
+        calls: dict[str, list[int]] = {}
+        for n, row in enumerate(chosen):
+            calls.setdefault(row[unit], []).append(n)
+
+        def attempt(own: list[int]) -> Exception | None:
+            try:
+                handler(spark, date, [chosen[n] for n in own], found[own[0]][0])
+            except Exception as error:
+                return error
+            return None
+
+        status = [ERROR] * len(chosen)
         try:
-            handler(spark, date, chosen, batch_id)
-            status = COMPLETE
+            with ThreadPoolExecutor(parallel) as pool:
+                outcomes = list(pool.map(attempt, calls.values()))
+            for own, error in zip(calls.values(), outcomes, strict=True):
+                for n in own:
+                    status[n] = ERROR if error else COMPLETE
         finally:
-            write_log(spark, log_path, batch_id, [(*job, status) for job in found])
+            write_log(spark, log_path, batch_id, [(*job, end) for job, end in zip(found, status, strict=True)], versions)
         if archive:
-            _move(spark, [row["path"] for row in chosen], archive)
-        jobs += [(*job, batch_id, status) for job in found]
+            _move(spark, [row for row, end in zip(chosen, status, strict=True) if end == COMPLETE], incoming, archive)
+        jobs += [(*job, batch_id, end) for job, end in zip(found, status, strict=True)]
+        for error in outcomes:
+            if error:
+                raise error
     schema = (
         "job_id bigint, processing_group_name string, file string, path string, extract_date string, batch_id bigint, "
         "status string"
@@ -304,36 +370,52 @@ def harvest_stream(
     return spark.createDataFrame(jobs, schema)
 
 
-def _move(spark: SparkSession, paths: Sequence[str], target: str) -> None:
+def _move(spark: SparkSession, rows: Sequence[Row], incoming: str, target: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    folder = hadoop.Path(target)
-    folder.getFileSystem(conf).mkdirs(folder)
-    for path in paths:
-        source = hadoop.Path(path)
-        source.getFileSystem(conf).rename(source, hadoop.Path(folder, source.getName()))
+    top = hadoop.Path(incoming)
+    system = top.getFileSystem(conf)
+    top = system.makeQualified(top).toUri().getPath()
+    for row in rows:
+        source = hadoop.Path(row["path"])
+        inside = source.toUri().getPath()
+        inside = inside.removeprefix(top.rstrip("/") + "/") if inside.startswith(top.rstrip("/") + "/") else source.getName()
+        place = hadoop.Path(target, inside)
+        if system.exists(place):
+            place = hadoop.Path(target, f"{inside}.{row['modified']:%Y%m%dT%H%M%S%f}")
+        system.mkdirs(place.getParent())
+        if not system.rename(source, place):
+            raise OSError(f"complete, but not moved to {place}: {row['path']}")
 
 
 def _plain_path(name: str) -> Column:
     return F.regexp_replace(F.col(name), r"^file:/+", "/")
 
 
-def write_log(spark: SparkSession, log_path: str, batch_id: int, rows: list[tuple]) -> None:
-    """Job rows of one extract date: the outcome replaces what was written when the jobs began."""
-    schema = (
-        "job_id bigint, processing_group_name string, identifier string, path string, extract_date string, status string"
-    )
-    frame = spark.createDataFrame(rows, schema).withColumn("extract_ts", F.col("extract_date").try_cast("timestamp"))
+LOG = (
+    "job_id bigint, processing_group_name string, identifier string, path string, {} status string, "
+    "modified timestamp, size bigint, lease_until timestamp"
+)
+
+
+def write_log(
+    spark: SparkSession, log_path: str, batch_id: int, rows: list[tuple], versions: Sequence[tuple] | None = None, lease_seconds: int | None = None
+) -> None:
+    """Job rows of one extract date: the outcome replaces what was written when the jobs began.
+
+    ``versions`` are (modification time, length) of the files. With ``lease_seconds`` the jobs hold their files so long.
+    """
+    versions = versions or [(None, None)] * len(rows)
+    frame = spark.createDataFrame([(*row, *version, None) for row, version in zip(rows, versions, strict=True)], LOG.format("extract_date string,"))
+    frame = frame.withColumn("extract_ts", F.col("extract_date").try_cast("timestamp"))
+    if lease_seconds is not None:
+        frame = frame.withColumn("lease_until", F.current_timestamp() + F.expr(f"interval {int(lease_seconds)} seconds"))
     frame.drop("extract_date").coalesce(1).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
     """The job log; empty when there is none yet."""
-    schema = (
-        "job_id bigint, processing_group_name string, identifier string, path string, status string, "
-        "extract_ts timestamp, batch_id bigint"
-    )
-    return _read_if_there(spark, schema, log_path)
+    return _read_if_there(spark, LOG.format("") + ", extract_ts timestamp, batch_id bigint", log_path)
 
 
 @operator("harvest_datacop")

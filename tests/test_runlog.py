@@ -286,3 +286,73 @@ def test_in_flight(spark, rows):
         [Row(processing_group_name="f", identifier="a", status="RUNNING")],
     )
     assert rows(harvest.skip_in_flight(files, log)) == [("f", "b")]
+
+
+def test_a_file_delivered_again_is_read_again(spark, rows, tmp_path):
+    incoming = str(tmp_path / "incoming")
+    feeds = control(spark, (r"sales_(\d+)", "sales", "EXTRACT_DATE", None, None, 0))
+    put(f"{incoming}/a", "sales_20240101.csv", "k\n1\n")
+    put(f"{incoming}/b", "sales_20240101.csv", "k\n22\n")
+    texts = []
+
+    def handler(session, date, files, batch_id):
+        texts.append(sorted(open(row["path"]).read() for row in files))
+
+    seen, run = harvester(spark, tmp_path, feeds, handler)
+    assert run(archive=str(tmp_path / "done")).count() == 2
+    put(f"{incoming}/a", "sales_20240101.csv", "k\n333\n")
+    os.utime(f"{incoming}/a/sales_20240101.csv", (1_700_000_000,) * 2)
+    assert run(archive=str(tmp_path / "done")).count() == 1
+    assert run(archive=str(tmp_path / "done")).count() == 0
+    assert texts == [["k\n1\n", "k\n22\n"], ["k\n333\n"]]
+    # Same names meet in the archive in their own folders, versions side by side.
+    assert len(os.listdir(tmp_path / "done" / "a")) == 2 and len(os.listdir(tmp_path / "done" / "b")) == 1
+    # Without an archive the same version stays where it is, and is not taken again until it changes.
+    put(incoming, "sales_20240102.csv", "k\n4\n")
+    assert run().count() == 1 and run().count() == 0
+    put(incoming, "sales_20240102.csv", "k\n4\n5\n")
+    assert run().count() == 1 and run().count() == 0
+
+
+def test_an_error_of_one_feed_leaves_the_others_complete(spark, rows, tmp_path):
+    incoming = str(tmp_path / "incoming")
+    feeds = control(spark, (r"sales_(\d+)", "sales", "EXTRACT_DATE", None, None, 0), (r"stock_(\d+)", "stock", "EXTRACT_DATE", None, None, 0))
+    for name in ("sales_20240101.csv", "stock_20240101.csv", "stock_20240101_2.csv", "sales_20240102.csv"):
+        put(incoming, name, "k\n1\n")
+    broken = [True]
+
+    def handler(session, date, files, batch_id):
+        if broken[0] and files[0]["file"] == "stock_20240101.csv":
+            raise RuntimeError("no room")
+
+    seen, run = harvester(spark, tmp_path, feeds, handler)
+    with pytest.raises(RuntimeError, match="no room"):
+        run(job_per="file", parallel=3)
+    log = harvest.read_log(spark, str(tmp_path / "log"))
+    assert rows(log, "identifier", "status") == [("sales_20240101.csv", "COMPLETE"), ("stock_20240101.csv", "ERROR"), ("stock_20240101_2.csv", "COMPLETE")]
+    broken[0] = False
+    assert rows(run(), "file", "status") == [("sales_20240102.csv", "COMPLETE"), ("stock_20240101.csv", "COMPLETE")]
+
+
+def test_a_dead_run_is_taken_up(spark, rows, tmp_path):
+    incoming = str(tmp_path / "incoming")
+    feeds = control(spark, (r"sales_(\d+)", "sales", "EXTRACT_DATE", None, None, 0))
+    put(incoming, "sales_20240101.csv", "k\n1\n")
+
+    class Killed(BaseException):
+        pass
+
+    def die(session, date, files, batch_id):
+        raise Killed
+
+    # What a driver that is gone leaves: RUNNING, with a lease.
+    seen, run = harvester(spark, tmp_path, feeds)
+    job = [(1, "sales", "sales_20240101.csv", f"{incoming}/sales_20240101.csv", "2024-01-01", "RUNNING")]
+    harvest.write_log(spark, str(tmp_path / "log"), 1, job, lease_seconds=600)
+    assert run().count() == 0
+    harvest.write_log(spark, str(tmp_path / "log"), 1, job, lease_seconds=-1)
+    assert rows(run(), "file", "status") == [("sales_20240101.csv", "COMPLETE")] and len(seen) == 1
+    with pytest.raises(Killed):
+        put(incoming, "sales_20240102.csv", "k\n1\n")
+        harvester(spark, tmp_path, feeds, die)[1]()
+    assert rows(run(), "file") == [("sales_20240102.csv",)]

@@ -1,10 +1,11 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F, types as T
 
 from feedwright.operators import maintenance, params, runlog
-from feedwright.sources import catalog, delimited, jdbc, load, logs, objects
+from feedwright.sources import catalog, delimited, jdbc, load, logs, objects, records
 
 
 def write(path, text):
@@ -216,3 +217,79 @@ def test_params_and_audit(spark, rows, tmp_path):
             raise RuntimeError("step failed")
     logged = spark.read.parquet(log)
     assert rows(logged, "sequence_order", "execution_sts", "rows_affected") == [(10, "COMPLETE", 7), (20, "ERROR", None)]
+
+
+def test_headers_in_another_order_are_read_by_name(spark, rows, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,2\n")
+    (folder / "2.csv").write_text("b,a\n3,4\n")
+    assert rows(delimited.read_delimited(spark, str(folder)), "a", "b") == [("1", "2"), ("4", "3")]
+    (folder / "3.csv").write_text("b,c\n3,4\n")
+    with pytest.raises(ValueError, match="header rows differ"):
+        delimited.read_delimited(spark, str(folder))
+
+
+QUOTED = [
+    'a,"b"', '"x\ny",2', 'plain,"two ""doubled"""', 'loose "quote" inside,3', '"last\n\nopen\n,comma",4', ",", '"",""', '"q","r\n"', "e f,5",
+]
+
+
+@pytest.mark.parametrize("escape", ['"', "\\"])
+def test_quoted_newlines_over_many_splits_equal_one_task(spark, rows, tmp_path, escape):
+    rng = random.Random(3)
+    for name in ("1", "2"):
+        lines = ["k,v", *[rng.choice(QUOTED) for _ in range(300)]]
+        if escape == "\\":
+            lines = [line.replace('""doubled""', '\\"escaped\\"') for line in lines]
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    whole = spark.read.options(multiLine=True, escape=escape, header=True, quote='"').schema("k string, v string").csv(f"{tmp_path}/*.csv")
+    want = rows(whole.selectExpr("nullif(k, '') k", "nullif(v, '') v"))
+    sizes = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("97", "400", sizes):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            frame = delimited.read_delimited(spark, f"{tmp_path}/*.csv", escape=escape, multiline=True)
+            assert rows(frame, "k", "v") == want
+            assert size == sizes or frame.rdd.getNumPartitions() > 8
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", sizes)
+
+
+def test_leading_rows_with_all_options(spark, rows, tmp_path):
+    text = "garbage \" here\nk;v\n1;\"two\nlines\"\n2;\u00e4\n"
+    (tmp_path / "one.csv").write_bytes(text.encode("latin-1"))
+    frame = delimited.skip_leading_rows(spark, str(tmp_path / "one.csv"), 2, ["k", "v"], sep=";", encoding="latin1", multiline=True)
+    assert rows(frame) == [("1", "two\nlines"), ("2", "\u00e4")]
+    (tmp_path / "two.csv").write_text('x\n1,"a\n2,b"c"\n')
+    assert rows(delimited.skip_leading_rows(spark, str(tmp_path / "two.csv"), 1, ["k", "v"], quote=None)) == [("1", '"a'), ("2", 'b"c"')]
+    (tmp_path / "three.csv").write_text("junk|k,v|1,2|3,4")
+    assert rows(delimited.skip_leading_rows(spark, str(tmp_path / "three.csv"), 1, ["k", "v"], eol="|")) == [("1", "2"), ("3", "4"), ("k", "v")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5")
+    try:
+        with pytest.raises(Exception, match="beyond its first split"):
+            delimited.skip_leading_rows(spark, str(tmp_path / "one.csv"), 3, ["k", "v"]).count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_first_lines_reads_heads_only(spark, rows, tmp_path):
+    import gzip
+
+    (tmp_path / "long").write_text("x" * 200_000 + "\nrest\n" * 10)
+    (tmp_path / "no_end").write_text("abc")
+    (tmp_path / "empty").write_text("")
+    (tmp_path / "blank").write_text("\n\n")
+    (tmp_path / "zipped.gz").write_bytes(gzip.compress(b"12345\r\n6"))
+    found = records.first_lines(spark, str(tmp_path)).selectExpr("regexp_extract(path, '[^/]*$', 0) f", "length(line) n")
+    assert rows(found) == [("blank", 0), ("long", 200_000), ("no_end", 3), ("zipped.gz", 5)]
+
+
+def test_list_objects_lists_below_the_prefix_only(spark, rows, tmp_path):
+    for name in ("a/1.csv", "ab/2.csv", "b/3.csv", "a[1]/4.csv"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert rows(objects.list_objects(spark, str(tmp_path), prefix="a"), "file") == [("1.csv",), ("2.csv",), ("4.csv",)]
+    assert rows(objects.list_objects(spark, str(tmp_path), prefix="a[1]/"), "file") == [("4.csv",)]
+    assert rows(objects.list_objects(spark, str(tmp_path), prefix="a/", pattern="9*"), "file") == []
+    assert rows(objects.list_objects(spark, str(tmp_path), prefix="none/"), "file") == []
