@@ -369,17 +369,21 @@ def _(i: Inputs):
 
 @query(
     "route_by_record_length",
-    "select o_orderstatus, cast(10 as integer) as first_line_length from orders group by o_orderstatus",
+    """select o_orderstatus, cast(y as varchar) as y, cast(length(arg_min(o_orderpriority, o_orderkey)) as integer) as first_line_length
+       from (select o_orderstatus, year(cast(o_orderdate as date)) as y, o_orderkey, o_orderpriority from orders) o group by all""",
 )
 def _(i: Inputs):
-    """A folder of files per order status; each file starts with lines of ten characters."""
+    """A file per order status and year, whose lines differ in length; of each only the head is read."""
     path = scratch_path(i.spark, "fixed")
-    lines = i.table("orders").select("o_orderstatus", F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("value"))
-    lines.write.partitionBy("o_orderstatus").text(path)
+    lines = i.table("orders").select("o_orderstatus", F.year(F.col("o_orderdate").cast("date")).alias("y"), "o_orderkey", F.col("o_orderpriority").alias("value"))
+    ordered = lines.repartition("o_orderstatus", "y").sortWithinPartitions("o_orderstatus", "y", "o_orderkey")
+    ordered.drop("o_orderkey").write.partitionBy("o_orderstatus", "y").text(path)
     found = harvest.route_by_record_length(i.spark, path)
     return found.select(
-        F.regexp_extract("path", "o_orderstatus=([A-Z])", 1).alias("o_orderstatus"), "first_line_length"
-    ).distinct()
+        F.regexp_extract("path", "o_orderstatus=([A-Z])", 1).alias("o_orderstatus"),
+        F.regexp_extract("path", "y=([0-9]+)", 1).alias("y"),
+        "first_line_length",
+    )
 
 
 @query(

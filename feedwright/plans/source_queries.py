@@ -69,17 +69,21 @@ def _(i: Inputs):
     return rows.agg(F.count("*").alias("n_rows")).withColumn("several_parts", listed.scalar())
 
 
-@query("list_objects", "select 'events.parquet' as file, true as listed, true as sized")
+@query(
+    "list_objects",
+    """select concat('type=', event_type) as folder, count(*) as n_files, sum(n) as n_lines
+       from (select event_type, event_id % 3 as part, count(*) as n from events group by all) f group by all""",
+)
 def _(i: Inputs):
-    """The listing of a folder holding the parts of the events table."""
+    """Files of a few folders, three to a type, found below a prefix; what lies beside it is not listed."""
     base = scratch_path(i.spark, "objects")
-    i.table("events").write.parquet(f"{base}/events.parquet")
-    listed = objects.list_objects(i.spark, base, prefix="events", pattern="part-*")
-    return listed.agg(
-        F.max(F.regexp_extract("path", r"([^/]*)$", 1)).alias("file"),
-        (F.count("*") > 0).alias("listed"),
-        (F.min("size") > 0).alias("sized"),
-    )
+    lines = i.table("events").select("event_type", (F.col("event_id") % 3).alias("part"), F.lit("x").alias("value"))
+    for folder in ("day=1", "night=1"):
+        lines.repartition("event_type", "part").withColumnRenamed("event_type", "type").write.partitionBy("type", "part").text(f"{base}/{folder}")
+    listed = objects.list_objects(i.spark, base, prefix="day=1/", pattern="part-*")
+    folder = F.regexp_extract("path", r"(type=[^/]*)/part=", 1).alias("folder")
+    # Every line of a file is two bytes.
+    return listed.groupBy(folder).agg(F.countDistinct("path").alias("n_files"), (F.sum("size") / 2).cast("long").alias("n_lines"))
 
 
 @query("write_ndjson", "select conv_id, turn, nullif(role, 'user') as role, text from conversations")
@@ -231,13 +235,12 @@ TYPED = "o_orderkey bigint, o_custkey int, o_orderstatus string, o_totalprice de
     "load_file",
     """select count(*) filter (where not bad) as rows_loaded, count(*) filter (where bad) as rows_bad
        from (select (o_custkey is not null and try_cast(o_custkey as integer) is null)
-                 or try_cast(replace(o_totalprice, '1e5', 'x') as decimal(18,2)) is null
+                 or try_cast(o_totalprice as decimal(18,2)) is null
                  or try_cast(o_orderdate as date) is null as bad from {orders_text} t) b""",
 )
 def _(i: Inputs):
     path = scratch_path(i.spark, "load")
-    rows = _orders(i).withColumn("o_totalprice", F.replace("o_totalprice", F.lit("1e5"), F.lit("x")))
-    delimited.write_csv(rows, path)
+    delimited.write_csv(_orders(i), path)
     flagged = load.flag_load_rows(
         i.spark, path, T.StructType.fromDDL(TYPED), header=True, null_value="\\N", date_style="YMD"
     )
@@ -447,13 +450,13 @@ def _(i: Inputs):
               cast(o_totalprice as decimal(18,2)) as o_totalprice, cast(o_orderdate as date) as o_orderdate,
               o_orderpriority
        from {orders_text} t
-       where try_cast(o_custkey as integer) is not null and o_totalprice <> '1e5' and o_orderdate <> 'n/a'""",
+       where try_cast(o_custkey as integer) is not null and o_orderdate <> 'n/a'
+         and try_cast(o_totalprice as decimal(18,2)) is not null""",
 )
 def _(i: Inputs):
     """A tab-separated file loaded into a table; rows that do not fit are counted and left out."""
     path = scratch_path(i.spark, "load")
-    rows = _orders(i).withColumn("o_totalprice", F.replace("o_totalprice", F.lit("1e5"), F.lit("x")))
-    delimited.write_csv(rows, path, sep="\\t", headers=False)
+    delimited.write_csv(_orders(i), path, sep="\\t", headers=False)
     with _scratch_schema(i.spark) as schema:
         table = f"{schema}.orders"
         load.load_file(

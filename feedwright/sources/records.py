@@ -175,10 +175,12 @@ def quoted_records(
     """(file, value): records of delimited files whose quoted cells may hold newlines, read by one task per split.
 
     ``skip_rows`` lines, and with ``header`` the first record after them, are left out of every file; they must lie in its
-    first split. Line ends inside cells become ``eol`` or a newline. A record longer than a split is put together in one
-    task, as it must be.
+    first split. Lines end with ``eol``, else with a newline that a carriage return may precede; inside cells the newline
+    stays. A record longer than a split is put together in one task, as it must be.
     """
-    lines, newline = _source_lines(spark, paths, encoding, eol), eol or "\n"
+    lines, newline = _source_lines(spark, paths, encoding, eol or "\n"), eol or "\n"
+    if not eol:
+        lines = lines.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
 
     def after_skip(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Array, np.ndarray]]:
         """(split, lines, places of those with a quote), the skipped lines left out."""
