@@ -1,7 +1,7 @@
 """Hierarchies kept as (child, parent) rows.
 
 Chains are followed by doubling: after round r every node knows its ancestor 2^r steps up, so a hierarchy of depth d
-takes log2(d) joins, each one row per node. The state of a round is staged, so lineage does not grow. The joins are left
+takes log2(d) joins, each one row per node. The state of a round is staged, so lineage does not grow. These joins are left
 joins with one row per node on the right, which adaptive execution splits when many rows point at one parent.
 """
 
@@ -96,23 +96,35 @@ def root_blocker(edges: DataFrame) -> DataFrame:
     """Per waiting process every blocker that is not itself waiting: (waiting, blocking, root, depth).
 
     One row per direct blocker and root behind it, with the fewest steps. A direct blocker behind which only a wait
-    cycle lies has one row with a NULL root. Rounds follow all paths at once; each place is reached once per direct
-    blocker, so cycles end. What a round has found is staged.
+    cycle lies has one row with a NULL root.
+
+    Pointers are doubled: after round r a process points at what it reaches in exactly 2^r steps, and at every root it
+    reaches in fewer. So there are as many rounds as the logarithm of the longest way, on a chain one pointer per process
+    and round, and a way around a cycle ends when it is longer than there are processes. What a round has found is staged.
     """
     waits = stage(edges.select("waiting", "blocking").distinct(), "waits")
-    step = waits.select(F.col("waiting").alias("_from"), F.col("blocking").alias("_to"))
-    front = waits.select("waiting", "blocking", F.col("blocking").alias("at"), F.lit(1).alias("depth"))
-    seen = front
-    while not front.isEmpty():
-        onward = (
-            front.join(step, F.col("at") == F.col("_from"))
-            .select("waiting", "blocking", F.col("_to").alias("at"), (F.col("depth") + 1).alias("depth"))
-            .distinct()
+    processes = waits.select(F.col("waiting").alias("_waiting")).distinct()
+    first = waits.join(processes, F.col("blocking") == F.col("_waiting"), "left").select(
+        F.col("waiting").alias("node"), F.col("blocking").alias("at"), F.lit(1).cast("long").alias("steps"), F.col("_waiting").isNull().alias("done")
+    )
+    state = stage(first, "waits")
+    rounds = math.ceil(math.log2(max(processes.count(), 2))) + 1
+    finished, going = state.where("done"), state.where("not done")
+    for _ in range(rounds):
+        if going.isEmpty():
+            break
+        onward = finished.unionByName(going).select(*[F.col(name).alias(f"_{name}") for name in state.columns])
+        moved = going.join(onward, F.col("at") == F.col("_node")).select(
+            "node", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done")
         )
-        front = stage(onward.join(seen, ["waiting", "blocking", "at"], "left_anti"), "waits")
-        seen = seen.unionByName(front)
-    waiting = waits.select(F.col("waiting").alias("_waiting")).distinct()
-    ends = seen.join(waiting, F.col("at") == F.col("_waiting"), "left_anti").select(
-        "waiting", "blocking", F.col("at").alias("root"), "depth"
+        state = stage(finished.unionByName(moved).groupBy("node", "at", "done").agg(F.min("steps").alias("steps")), "waits")
+        finished, going = state.where("done"), state.where("not done")
+    roots = finished.select(F.col("node").alias("_node"), F.col("at").alias("_root"), (F.col("steps") + 1).alias("_steps"))
+    direct = waits.join(processes, F.col("blocking") == F.col("_waiting"), "left").join(roots, F.col("blocking") == F.col("_node"), "left")
+    is_root = F.col("_waiting").isNull()
+    return direct.select(
+        "waiting",
+        "blocking",
+        F.when(is_root, F.col("blocking")).otherwise(F.col("_root")).alias("root"),
+        F.when(is_root, 1).otherwise(F.col("_steps")).cast("int").alias("depth"),
     )
-    return waits.join(ends, ["waiting", "blocking"], "left").select("waiting", "blocking", "root", "depth")

@@ -107,12 +107,33 @@ def changed_records(
 ) -> DataFrame:
     """Source rows for which a target row of the same key differs in a compared column.
 
-    A semi join: no pairs of source and target rows are emitted, and adaptive execution can split a hot source key.
+    The target is folded to one row per key, the least and the greatest digest of its compared columns: a source row has a
+    target row that differs exactly when either is not its own. So repeated keys are never paired, and adaptive execution
+    can split a hot source key. A key with a NULL part equals nothing; without compared columns nothing changes.
     """
-    condition = key_condition(target, keys, case_insensitive) & attribute_changed(
-        source, target, ignore, case_insensitive
-    )
-    return source.alias(SOURCE).join(target.alias(TARGET), condition, "left_semi")
+    columns = compared_columns(source, target, ignore)
+    if not columns:
+        return source.limit(0)
+    folded = text_columns(target) if case_insensitive else set()
+
+    def key(name: str) -> Column:
+        return F.lower(quoted(name)) if name in folded else quoted(name)
+
+    def laid_out(df: DataFrame, *more: Column) -> DataFrame:
+        # Both sides under the target's types, so that equal values have equal digests.
+        cells = [(F.lower(quoted(name)) if name in folded else quoted(name)).cast(target.schema[name].dataType).alias(f"_c{k}") for k, name in enumerate(columns)]
+        return df.select(*more, *[key(name).alias(f"_k{k}") for k, name in enumerate(keys)], *cells)
+
+    names = [f"_k{k}" for k in range(len(keys))]
+    present = all_of(F.col(name).isNotNull() for name in names)
+    given = laid_out(target).where(present)
+    cells = [F.col(f"_c{k}") for k in range(len(columns))]
+    # The hash skips NULLs, so where they stand is hashed as well, whatever either side's schema says of them.
+    digest = F.struct(*[F.xxhash64(F.lit(seed), *cells, *[cell.isNull() for cell in cells]) for seed in (1, 2)])
+    ends = given.groupBy(*names).agg(F.min(digest).alias("_least"), F.max(digest).alias("_most"))
+    asked = laid_out(source, F.struct(*[quoted(name) for name in source.columns]).alias("_row"))
+    met = asked.withColumn("_own", digest).join(ends, names).where((F.col("_own") != F.col("_least")) | (F.col("_own") != F.col("_most")))
+    return met.select(*[F.col("_row").getField(name).alias(name) for name in source.columns])
 
 
 @operator("assert_unique_keys")

@@ -11,6 +11,7 @@ from feedwright.functions.text import encrypt_columns, quoted
 from feedwright.operators.joins import semi_by_key
 from feedwright.registry import operator
 from feedwright.sources.delimited import write_csv
+from feedwright.staging import stage
 
 
 
@@ -120,13 +121,14 @@ def cascade_delete(
     """Delete parents by a predicate and everything below them.
 
     ``levels`` goes from the top down: (name, frame, own key, parent's key column in the frame). Only key columns of
-    the deleted rows travel down the chain. Returns the tables after the delete, the parents under ``parents``.
+    the deleted rows travel down the chain, staged level by level, so no level computes those above it again. Returns the
+    tables after the delete, the parents under ``parents``.
     """
     hit = F.coalesce(F.expr(where), F.lit(False))
     result = {"parents": parents.where(~hit)}
     doomed, key = parents.where(hit), None
     for name, frame, own_key, parent_key in levels:
-        gone = doomed.select(quoted(key or parent_key).alias("_gone")).distinct()
+        gone = stage(doomed.select(quoted(key or parent_key).alias("_gone")).distinct(), "gone")
         result[name] = frame.join(gone, quoted(parent_key) == F.col("_gone"), "left_anti")
         doomed = frame.join(gone, quoted(parent_key) == F.col("_gone"), "left_semi")
         key = own_key

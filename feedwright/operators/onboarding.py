@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Sequence
 
@@ -16,6 +17,7 @@ from feedwright.registry import operator
 from feedwright.sources.catalog import publish
 from feedwright.sources.delimited import CORRUPT_COLUMN
 from feedwright.sources.load import cast_rows, typed_columns
+from feedwright.staging import stage
 
 # Shapes of inferred types. A leading zero makes a code, except 0 itself.
 INT_SHAPE = r"^(?:0|-\d*|[1-9]\d*|)$"
@@ -355,11 +357,39 @@ def profile_table(
 
     Only values occurring more than ``min_count`` times, the first ``values_limit`` per column by count then value, and
     only columns whose most frequent value is above ``cutoff_percent``. Share is ``DECIMAL(6,3)`` percent.
+
+    A sketch of heavy hitters per column, over hashes of the values, names candidates; a second pass counts those exactly,
+    so neither pass shuffles more than a bounded number of rows per task and column. A column is settled when its
+    candidates make up all rows, or enough of them are above the error bound of the sketch, or neither they nor the bound
+    reach the cutoff. Only columns that are not settled are counted in full.
     """
     chosen = list(columns or df.columns)
-    counted = _value_counts(df, chosen, min_count)
-    total = df.select(F.count("*")).scalar()
-    percent = (F.col("count_of_field").cast("double") / total.cast("double") * 100).cast("decimal(6,3)")
+    total, candidates = _heavy_hitters(df, chosen)
+    position = F.col("position")
+    cells = df.select(F.posexplode(F.array(*[quoted(name).cast("string") for name in chosen])).alias("position", "value"))
+    likely = cells.withColumn("hash", F.xxhash64("value")).join(F.broadcast(candidates), ["position", "hash"], "left_semi")
+    exact = stage(likely.groupBy("position", "value").agg(F.count("*").alias("count_of_field")), "profile")
+    bound = math.ceil(SKETCH_ERROR * total)
+    facts = exact.groupBy("position").agg(
+        F.sum("count_of_field").alias("seen"), F.max("count_of_field").alias("best"), F.count_if(F.col("count_of_field") > max(bound, min_count)).alias("sure")
+    )
+    by_position = {row["position"]: row for row in facts.collect()}  # one row per column
+
+    def settled(k: int) -> bool:
+        row = by_position.get(k)
+        low = lambda n: 100 * n < total * cutoff_percent
+        if row is None:
+            return low(bound)
+        return row["seen"] == total or row["sure"] >= values_limit or (low(bound) and low(row["best"]))
+
+    done = [k for k in range(len(chosen)) if settled(k)]
+    rest = [name for k, name in enumerate(chosen) if k not in done]
+    counted = exact.where((F.col("count_of_field") > min_count) & position.isin(done)).select(
+        "value", "count_of_field", pick(position, chosen).alias("profiled_field")
+    )
+    if rest:
+        counted = counted.unionByName(_value_counts(df, rest, min_count))
+    percent = (F.col("count_of_field").cast("double") / F.lit(float(total)) * 100).cast("decimal(6,3)")
     order = [F.desc("count_of_field"), F.asc_nulls_last("value")]
     top = top_values(counted, "profiled_field", order, values_limit)
     shares = top.withColumn("value_percent", percent)
@@ -371,6 +401,20 @@ def profile_table(
     )
 
 
+TRACKED_VALUES = 2048
+# Twice the error of a frequent-items sketch whose map has 4096 places: a value with a larger share is always named.
+SKETCH_ERROR = 2 * 3.5 / 4096
+
+
+def _heavy_hitters(df: DataFrame, columns: Sequence[str]) -> tuple[int, DataFrame]:
+    """(number of rows, candidates (position, hash)): one pass, a merged sketch of bounded size per column."""
+    sketches = [F.expr(f"approx_top_k_accumulate(_h{k}, {TRACKED_VALUES})").alias(f"_s{k}") for k in range(len(columns))]
+    hashed = df.select(*[F.xxhash64(quoted(name).cast("string")).alias(f"_h{k}") for k, name in enumerate(columns)])
+    folded = stage(hashed.agg(F.count("*").alias("_n"), *sketches), "sketches")
+    named = [F.expr(f"transform(approx_top_k_estimate(_s{k}, {TRACKED_VALUES}), x -> struct({k} as position, x.item as hash))") for k in range(len(columns))]
+    return folded.first()["_n"], folded.select(F.explode(F.flatten(F.array(*named))).alias("c")).select("c.*")
+
+
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ "
 # Span of generated timestamps (seconds from year 1000) and length of generated text.
 TIMESTAMP_SPAN = 284012524800

@@ -1,7 +1,9 @@
 """Comparing two versions of a table.
 
-Both sides are reduced to (key, digest) and counted per pair, then per key. The counts combine map-side, so duplicate or
-hot keys are never paired, and the result is exact for duplicates: the multisets of a key's rows are compared.
+Both sides are first folded to one line per range of key hashes: its rows and sums of two hashes of key and row. Ranges
+with equal lines are equal; only rows of the others are shuffled, so what moves follows the differences and not the
+tables. Those rows are reduced to (key, digest) and counted per pair, then per key. The counts combine map-side, so
+duplicate or hot keys are never paired, and the result is exact for duplicates: the multisets of a key's rows are compared.
 """
 
 from __future__ import annotations
@@ -17,8 +19,33 @@ from feedwright.registry import operator
 def _compare(
     left: DataFrame, right: DataFrame, keys: Sequence[str], digests: Sequence[str], names: Sequence[str]
 ) -> DataFrame:
-    sides = left.withColumn("_left", F.lit(True)).unionByName(right.withColumn("_left", F.lit(False)))
-    return _compare_tagged(sides, "_left", keys, digests, names)
+    columns = [*map(quoted, keys), *map(quoted, digests)]
+    sides = left.select(*columns, F.lit(True).alias("_left")).unionByName(right.select(*columns, F.lit(False).alias("_left")))
+    return _compare_tagged(unequal_ranges(sides, "_left", keys, digests), "_left", keys, digests, names)
+
+
+RANGES = 1 << 16
+
+
+def unequal_ranges(sides: DataFrame, side: str, keys: Sequence[str], digests: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """Rows of the ranges of key hashes in which the two sides, told apart by a boolean column, are not the same multiset.
+
+    A range is folded on both sides to counts and sums of the halves of two 64-bit hashes of its rows, with map-side
+    combine: ``ranges`` lines per task at most, whatever the tables hold. The list of unequal ranges is at most as long,
+    so it is broadcast.
+    """
+    place = F.pmod(F.xxhash64(*map(quoted, keys)), F.lit(ranges)).cast("int")
+    whole = [*map(quoted, keys), *map(quoted, digests)]
+    hashes = F.xxhash64(*whole), F.xxhash64(F.lit("second"), *whole)
+    sign = F.when(quoted(side), 1).otherwise(-1)
+    halves = [half for h in hashes for half in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+    # 32-bit halves: sums of up to 2^31 rows of a range fit.
+    folded = sides.groupBy(place.alias("_range")).agg(F.sum(sign).alias("_n"), *[F.sum(sign * half).alias(f"_s{k}") for k, half in enumerate(halves)])
+    differs = F.col("_n") != 0
+    for k in range(len(halves)):
+        differs = differs | (F.col(f"_s{k}") != 0)
+    unequal = folded.where(differs).select("_range")
+    return sides.withColumn("_range", place).join(F.broadcast(unequal), "_range", "left_semi").drop("_range")
 
 
 def _compare_tagged(
@@ -85,4 +112,4 @@ def _diff(
     )
     digests = row_digest(sides, columns)
     narrow = sides.select(*[quoted(key) for key in keys], "_base", digests[0].alias("_d1"), digests[1].alias("_d2"))
-    return _compare_tagged(narrow, "_base", keys, ["_d1", "_d2"], names)
+    return _compare_tagged(unequal_ranges(narrow, "_base", keys, ["_d1", "_d2"]), "_base", keys, ["_d1", "_d2"], names)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from feedwright.functions.logic import all_of
 from feedwright.functions.text import names_of, quoted, row_digest, safe_identifier, text_literal
 from feedwright.operators.joins import (
+    assert_unique_keys,
     SOURCE,
     TARGET,
     attribute_changed,
@@ -363,9 +364,13 @@ def scd1_rewrite_changed(
 ) -> DataFrame:
     """Rewrite the target with source attributes where the source row exists, even when they are NULL.
 
-    Surrogate keys stay. Duplicate source keys fan out as they do in the SQL form; run ``assert_unique_keys`` first.
+    Surrogate keys stay. A column of ``extra`` that names a target column takes its place. A source key that occurs twice
+    is an error, for either row could win; one with a NULL part equals nothing.
     """
-    dropped = {surrogate.lower(), *[name.strip().lower() for name in ignore]}
+    folded = text_columns(target) if case_insensitive else set()
+    plain = source.select(*[(F.lower(quoted(key)) if key in folded else quoted(key)).alias(key) for key in keys]).dropna()
+    assert_unique_keys(plain, keys)
+    dropped = {surrogate.lower(), *[name.strip().lower() for name in [*ignore, *(extra or {})]]}
     columns = [name for name in target.columns if name.lower() not in dropped]
     joined = target.alias(TARGET).join(
         source.alias(SOURCE), key_condition(target, keys, case_insensitive), "left"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import time
 import uuid
 from collections.abc import Mapping
 from urllib.parse import unquote
@@ -213,47 +215,136 @@ def publish_partitions(spark: SparkSession, table: str, frame: DataFrame) -> Non
         spark.conf.set(mode, before)
 
 
+INTENTS = "__publish_intents"
+INTENT_SECONDS = 3600
+
+
+class _Intents:
+    """Intent files of publications, in a folder of the warehouse that all sessions share."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.root = self.fs.Path(spark.conf.get("spark.sql.warehouse.dir"), INTENTS)
+        self.system = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str, state: str):
+        return self.fs.Path(self.root, f"{name}.{state}")
+
+    def write(self, name: str, entries: list[dict]) -> None:
+        out = self.system.create(self.path(name, "prepared"), True)
+        out.write(bytearray(json.dumps(entries).encode()))
+        out.close()
+
+    def commit(self, name: str) -> None:
+        """The one rename that decides: from here on the new tables hold."""
+        if not self.system.rename(self.path(name, "prepared"), self.path(name, "committed")):
+            raise RuntimeError(f"publication {name} was undone by another session")
+
+    def remove(self, name: str, state: str) -> None:
+        self.system.delete(self.path(name, state), False)
+
+    def open(self) -> list[tuple[str, str, int, list[dict]]]:
+        """(name, state, age in milliseconds, entries) of publications that are not finished."""
+        if not self.system.exists(self.root):
+            return []
+        found, now = [], time.time() * 1000
+        for status in self.system.listStatus(self.root):
+            name, _, state = status.getPath().getName().rpartition(".")
+            if state not in ("prepared", "committed"):
+                continue
+            source = self.system.open(status.getPath())
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+            source.close()
+            try:
+                found.append((name, state, int(now - status.getModificationTime()), json.loads(text)))
+            except ValueError:
+                if state == "committed":  # a prepared one may be cut short: nothing was swapped yet
+                    raise
+                found.append((name, state, int(now - status.getModificationTime()), []))
+        return found
+
+
+def _swap(spark: SparkSession, entry: dict) -> None:
+    """Put a new table in its place, from whatever step an earlier attempt reached."""
+    table, new, old = entry["table"], entry["new"], entry["old"]
+    if spark.catalog.tableExists(new):
+        if spark.catalog.tableExists(table):
+            spark.sql(f"ALTER TABLE {_sql_name(table)} RENAME TO {_sql_name(old)}")
+        if spark.catalog.tableExists(old):
+            _relocate_partitions(spark, old)  # else dropping it would take files of its successor
+        spark.sql(f"ALTER TABLE {_sql_name(new)} RENAME TO {_sql_name(table)}")
+    _relocate_partitions(spark, table)
+
+
+def _finish(spark: SparkSession, intents: _Intents, name: str, entries: list[dict]) -> None:
+    for entry in entries:
+        _swap(spark, entry)
+    for entry in entries:
+        drop_table(spark, entry["old"])
+    intents.remove(name, "committed")
+
+
+@operator("recover_publications")
+def recover_publications(spark: SparkSession, older_than: float = INTENT_SECONDS) -> dict[str, str]:
+    """Finish publications that were committed and undo those that were not, where the session that made them is gone.
+
+    An intent younger than ``older_than`` seconds may belong to a session at work and is left. Returns what was done,
+    ``finished`` or ``undone``, by publication.
+    """
+    intents, done = _Intents(spark), {}
+    for name, state, age, entries in intents.open():
+        if age < older_than * 1000:
+            continue
+        if state == "committed":
+            _finish(spark, intents, name, entries)
+        else:
+            intents.remove(name, state)
+            for entry in entries:
+                drop_table(spark, entry["new"])
+        done[name] = "finished" if state == "committed" else "undone"
+    return done
+
+
+@operator("published_table")
+def published_table(spark: SparkSession, table: str) -> DataFrame:
+    """A table as the last committed publication left it, also while its names are still being swapped."""
+    for _, state, _, entries in _Intents(spark).open():
+        for entry in entries:
+            if state == "committed" and entry["table"] == table and spark.catalog.tableExists(entry["new"]):
+                return spark.table(entry["new"])
+    return spark.table(table)
+
+
 @operator("publish")
 def publish(spark: SparkSession, frames: Mapping[str, DataFrame], dry_run: bool = False) -> dict[str, DataFrame]:
     """All-or-nothing publication of a step's tables.
 
     Every frame is first written to a staging table, so a frame may read the table it replaces. A table of the same
     columns keeps its partitioning, buckets and properties; one whose columns change keeps the partition columns that
-    are left. Only when all are written are the names swapped; a failure while swapping restores the old tables. ``dry_run`` writes nothing.
+    are left. The names are written to an intent file before, and the rename of that file commits all tables at once: a
+    session that dies before it has changed nothing, and after it the next one completes the swap of names
+    (:func:`recover_publications`; a publication of the same tables does so itself). :func:`published_table` reads the new
+    state from the commit on. ``dry_run`` writes nothing.
     """
     if dry_run:
         return dict(frames)
-    suffix = uuid.uuid4().hex[:12]
-    staged: dict[str, str] = {}
-    swapped: list[tuple[str, str | None]] = []
+    intents, suffix = _Intents(spark), uuid.uuid4().hex[:12]
+    for name, state, _, entries in intents.open():
+        if state == "committed" and {entry["table"] for entry in entries} & set(frames):
+            _finish(spark, intents, name, entries)
+    entries = [{"table": table, "new": f"{table}__new_{suffix}", "old": f"{table}__old_{suffix}"} for table in frames]
     try:
-        for table, frame in frames.items():
-            name = f"{table}__new_{suffix}"
-            staged[table] = name
-            _write_like(spark, frame, name, table)
-        for table, name in staged.items():
-            old = None
-            if spark.catalog.tableExists(table):
-                old = f"{table}__old_{suffix}"
-                spark.sql(f"ALTER TABLE {_sql_name(table)} RENAME TO {_sql_name(old)}")
-                _relocate_partitions(spark, old)  # else dropping it would take files of its successor
-            swapped.append((table, old))
-            spark.sql(f"ALTER TABLE {_sql_name(name)} RENAME TO {_sql_name(table)}")
-            _relocate_partitions(spark, table)
+        intents.write(suffix, entries)
+        for entry in entries:
+            _write_like(spark, frames[entry["table"]], entry["new"], entry["table"])
+        intents.commit(suffix)
     except Exception:
-        for table, old in reversed(swapped):
-            if old and spark.catalog.tableExists(old):
-                drop_table(spark, table)
-                spark.sql(f"ALTER TABLE {_sql_name(old)} RENAME TO {_sql_name(table)}")
-                _relocate_partitions(spark, table)
-            elif old is None:
-                drop_table(spark, table)
-        for name in staged.values():
-            drop_table(spark, name)
+        for entry in entries:
+            drop_table(spark, entry["new"])
+        intents.remove(suffix, "prepared")
         raise
-    for _, old in swapped:
-        if old:
-            drop_table(spark, old)
+    _finish(spark, intents, suffix, entries)
     return {table: spark.table(table) for table in frames}
 
 

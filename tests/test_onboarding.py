@@ -215,3 +215,19 @@ def test_types():
     assert types.nvarchar_to_type(16384).simpleString() == "string"
     assert types.nvarchar_to_type(20).simpleString() == "varchar(20)"
     assert types.varbinary_to_type(51)[0] == "blob" and types.varbinary_to_type(50)[0] == "varbinary"
+
+
+def test_profile_table_settles_columns_from_sketches(spark, rows, monkeypatch):
+    full = []
+    monkeypatch.setattr(onboarding, "_value_counts", lambda df, names, least, plain=onboarding._value_counts: full.append(list(names)) or plain(df, names, least))
+    frame = spark.range(60_000).selectExpr(
+        "id as serial", "cast(id % 3 as string) as few", "case when id % 50 = 0 then 'hot' when id % 7 = 0 then null else cast(id as string) end as mixed",
+    )
+    found = onboarding.profile_table(frame, values_limit=2)
+    assert rows(found, "profiled_field", "value", "count_of_field") == [
+        ("few", "0", 20_000), ("few", "1", 20_000), ("mixed", "hot", 1200), ("mixed", None, 8400),
+    ]
+    assert full == []  # distinct values of no column were shuffled
+    # More values are wanted than the sketch can vouch for: that column is counted in full.
+    assert rows(onboarding.profile_table(frame, values_limit=5, columns=["mixed"], min_count=0), "value")[:1] == [("0",)] or full == [["mixed"]]
+    assert onboarding.profile_table(frame.limit(0)).count() == 0

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from feedwright.operators import hierarchy, runlog
+from feedwright.staging import stage
 from feedwright.streaming import harvest
 
 LINKS = "node bigint, next bigint"
@@ -55,6 +56,21 @@ def test_root_blocker(spark, rows):
     ]
 
 
+def test_root_blocker_of_chains_and_cycles(spark, rows, monkeypatch):
+    written = []
+    monkeypatch.setattr(hierarchy, "stage", lambda df, label: written.append(stage(df, label)) or written[-1])
+    chain = spark.createDataFrame([(k, k + 1) for k in range(64)], "waiting bigint, blocking bigint")
+    found = hierarchy.root_blocker(chain)
+    assert rows(found) == sorted(((k, k + 1, 64, 64 - k) for k in range(64)), key=repr)
+    # Six doublings, and never more than one pointer per process.
+    assert len(written) == 8 and max(frame.count() for frame in written) <= 64
+    # A cycle of three with a way out, two ways of different length to one root.
+    mixed = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 9), (5, 9), (5, 6), (6, 9), (7, 7)], "waiting bigint, blocking bigint")
+    assert rows(hierarchy.root_blocker(mixed)) == [
+        (1, 2, 9, 3), (2, 3, 9, 2), (3, 1, 9, 4), (3, 9, 9, 1), (5, 6, 9, 2), (5, 9, 9, 1), (6, 9, 9, 1), (7, 7, None, None),
+    ]
+
+
 def test_text_parts(spark, rows):
     frame = spark.createDataFrame([(1, "abcdef"), (2, ""), (3, "abcd")], "id int, text string")
     parts = runlog.split_text_parts(frame, "text", 3)

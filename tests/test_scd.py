@@ -123,3 +123,37 @@ def test_merge_new_columns(spark):
     assert scd.merge_new_columns(target, spark.createDataFrame([("a",)], "v string")).columns == ["k", "V"]
     merged = scd.merge_new_columns(target, spark.createDataFrame([(1, 2.0)], "k int, w double"))
     assert merged.columns == ["k", "V", "w"] and merged.first()["w"] is None
+
+
+def test_only_unequal_ranges_are_shuffled(spark, rows):
+    a = spark.range(20_000).selectExpr("id as k", "id % 7 as v")
+    b = a.selectExpr("k", "case when k in (5, 600) then null else v end as v").where("k <> 9000").union(spark.sql("select 3L, 3L"))
+    assert rows(reconcile.reconcile_tables(a, b, ["k"])) == [(3, "different"), (5, "different"), (600, "different"), (9000, "only_source")]
+    sides = a.selectExpr("k", "v as d", "true as left").union(b.selectExpr("k", "v as d", "false as left"))
+    moved = reconcile.unequal_ranges(sides, "left", ["k"], ["d"])
+    assert 8 <= moved.count() <= 30
+    assert reconcile.unequal_ranges(sides.where("left").union(sides.where("left").selectExpr("k", "d", "false")), "left", ["k"], ["d"]).count() == 0
+    # Rows that only trade places, or occur another number of times, are told apart.
+    pairs = spark.createDataFrame([(1, 1, True), (1, 1, True), (1, 2, False), (1, 2, False), (2, 1, True), (2, 1, False), (2, 1, False)], "k int, d int, left boolean")
+    assert reconcile.unequal_ranges(pairs, "left", ["k"], ["d"], ranges=1).count() == 7
+
+
+def test_changed_records_of_repeated_keys(spark, rows):
+    target = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, None), (None, "x")], "k int, v string")
+    source = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, None), (3, "c"), (None, "y"), (9, "z")], "k long, v string")
+    assert rows(joins.changed_records(source, target, ["k"], ["k"])) == [(1, "a"), (2, "b"), (3, "c")]
+    assert rows(joins.changed_records(source.selectExpr("k", "upper(v) v"), target, ["k"], ["k"], True)) == [(1, "A"), (2, "B"), (3, "C")]
+    assert joins.changed_records(source, target, ["k"], ["k", "v"]).count() == 0
+    hot = spark.range(3000).selectExpr("1 as k", "cast(id % 2 as string) as v")
+    assert joins.changed_records(hot, hot, ["k"]).count() == 3000
+
+
+def test_scd1_extra_takes_the_place_of_a_column(spark, rows):
+    from pyspark.sql import functions as F
+
+    target = spark.createDataFrame([(10, 1, "a", "old"), (11, 2, "b", "old")], "sk int, k int, v string, note string")
+    source = spark.createDataFrame([(1, "x", "s"), (None, "y", "s"), (None, "y", "s")], "k int, v string, note string")
+    out = scd.scd1_rewrite_changed(target, source, ["k"], "sk", extra={"note": F.lit("new")})
+    assert sorted(out.columns) == ["k", "note", "sk", "v"] and rows(out.select("sk", "k", "v", "note")) == [(10, 1, "x", "new"), (11, 2, "b", "new")]
+    with pytest.raises(ValueError, match="duplicate key"):
+        scd.scd1_rewrite_changed(target, source.union(source), ["k"], "sk")

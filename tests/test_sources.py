@@ -131,6 +131,63 @@ def test_publish_swaps_and_restores(spark, rows, schema):
     assert spark.table(table).count() == 2
 
 
+class Died(BaseException):
+    pass
+
+
+def test_publish_that_dies_between_any_two_swaps(spark, rows, schema, monkeypatch):
+    a, b, plain = f"{schema}.a", f"{schema}.b", type(spark).sql
+    spark.range(1).selectExpr("id", "id % 2 as p").write.partitionBy("p").saveAsTable(a)
+    for last in range(1, 4):  # b is new at first
+        renames = 3 if last == 1 else 4
+        for step in range(renames + 1):
+            seen = []
+
+            def sql(self, text, *args, **more):
+                if text.startswith("ALTER TABLE") and "RENAME" in text:
+                    seen.append(text)
+                    if len(seen) == step + 1:
+                        raise Died
+                return plain(self, text, *args, **more)
+
+            new = spark.range(last * 10 + step).selectExpr("id", "id % 2 as p")
+            monkeypatch.setattr(type(spark), "sql", sql)
+            if step < renames:
+                with pytest.raises(Died):
+                    catalog.publish(spark, {a: new, b: new})
+            else:
+                catalog.publish(spark, {a: new, b: new})
+            monkeypatch.setattr(type(spark), "sql", plain)
+            # Committed: readers that ask see both new tables, whatever was swapped.
+            assert [catalog.published_table(spark, name).count() for name in (a, b)] == [last * 10 + step] * 2
+            assert catalog.recover_publications(spark) == {}  # it may be at work still
+            assert list(catalog.recover_publications(spark, 0).values()) == ["finished"] * (step < renames)
+            assert [spark.table(name).count() for name in (a, b)] == [last * 10 + step] * 2
+            assert sorted(t.name for t in spark.catalog.listTables(schema) if not t.isTemporary) == ["a", "b"]
+            if last == 1:
+                catalog.drop_table(spark, b)
+                if step == renames:
+                    spark.range(1).selectExpr("id", "id % 2 as p").write.saveAsTable(b)
+
+
+def test_publish_that_dies_before_its_commit(spark, rows, schema, monkeypatch):
+    a = f"{schema}.a"
+    spark.range(3).write.saveAsTable(a)
+
+    def die(self, name):
+        raise Died
+
+    monkeypatch.setattr(catalog._Intents, "commit", die)
+    with pytest.raises(Died):
+        catalog.publish(spark, {a: spark.range(7).toDF("id")})
+    assert catalog.published_table(spark, a).count() == 3 == spark.table(a).count()
+    assert list(catalog.recover_publications(spark, 0).values()) == ["undone"]
+    assert [t.name for t in spark.catalog.listTables(schema) if not t.isTemporary] == ["a"]
+    monkeypatch.undo()
+    catalog.publish(spark, {a: spark.range(7).toDF("id")})
+    assert spark.table(a).count() == 7
+
+
 def test_publish_keeps_the_layout(spark, rows, schema):
     table = f"{schema}.parts"
     frame = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c d/e'"), (4, None)], "id int, v string")
