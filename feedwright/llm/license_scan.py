@@ -84,7 +84,7 @@ def shingles(of: Column) -> Column:
 
 def passages(templates: DataFrame) -> DataFrame:
     """(license, total, passage, shingles) of templates (license, text), cut evenly; those without id or words are left out."""
-    given = templates.where("license is not null").select("license", F.array_distinct(shingles(words("text"))).alias("all"))
+    given = templates.where("license is not null").select("license", F.array_distinct(let(words("text"), shingles)).alias("all"))
     given = given.where(F.size("all") > 0).select("license", "all", F.size("all").alias("total"))
     count = F.ceil(F.col("total") / (SEGMENT + 1)).cast("int")
     size = F.ceil(F.col("total") / count).cast("int")
@@ -172,7 +172,8 @@ def common_shingles(docs: DataFrame, candidates: DataFrame, parts: DataFrame, te
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest"))
     named = candidates.select("doc_id", "digest").distinct()
     chosen = stage(given.join(named, same, "left_semi").dropDuplicates(["_id", "_digest"]), "chosen")
-    placed = chosen.select("_id", "_digest", F.posexplode(shingles(words("_text"))).alias("p", "shingle"))
+    # Words are bound once per text; outer, since an inner explode would be evaluated once more as a filter.
+    placed = chosen.select("_id", "_digest", F.posexplode_outer(let(words("_text"), shingles)).alias("p", "shingle"))
     wanted = parts.select("license", "total", "passage", F.explode("shingles").alias("shingle"))
     hits = placed.join(wanted, "shingle").join(candidates.withColumnRenamed("license", "_license"), same & (F.col("license") == F.col("_license")))
     segment = F.floor(F.col("p") / SEGMENT)
@@ -224,7 +225,7 @@ def find_licenses(docs: DataFrame, templates: DataFrame, *, text: str = "text",
             "doc_id", "digest", "at", "span", F.lit("").alias("license"), F.lit(0).alias("passage")
         )
     # Only a passage that shares a shingle with its window makes a candidate.
-    met = found.join(parts, ["license", "passage"]).where(F.arrays_overlap(shingles(F.col("span")), "shingles"))
+    met = found.join(parts, ["license", "passage"]).where(F.arrays_overlap(let(F.col("span"), shingles), "shingles"))
     candidates = stage(met.select("doc_id", "digest", "license").distinct(), "candidates")
     best = common_shingles(docs, candidates, parts, text, doc_id)
     return (

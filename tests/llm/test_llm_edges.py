@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for every operator and stage."""
 
 import hashlib
+import time
 
 import pytest
 
@@ -254,6 +255,19 @@ def test_license_scan(spark, docs, none):
         license_scan.find_licenses(frame, spark.createDataFrame([("x", "two words")], "license string, text string"))
 
 
+def test_license_in_a_very_long_text(spark):
+    """Work on a text with a license grows with its words: 60,000 of them end soon."""
+    templates = spark.createDataFrame(list(license_scan.TEMPLATES), "license string, text string")
+    name, body = license_scan.TEMPLATES[0]
+    noise = [f"w{k % 977}" for k in range(60_000)]
+    rows = [(1, " ".join([*noise[:40_000], body, *noise[40_000:]])), (2, " ".join(noise))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    found = license_scan.find_licenses(docs, templates).collect()
+    assert [(r["doc_id"], r["license"], r["containment"]) for r in found] == [(1, name, 1.0)]
+    assert time.time() - began < 100
+
+
 def test_license_bands_meet_their_guarantee():
     bands = license_scan.bands_for()
     assert (1 - license_scan.LEAST_SHINGLES / (2 * license_scan.SEGMENT)) ** bands <= license_scan.MISS
