@@ -9,25 +9,28 @@ a small table of slots; each piece finds its own by its rank among the pieces of
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from feedwright.llm.common import chunks, query, table
+from feedwright.llm.word_units import odd_units, ragged, split_units, sums
 from feedwright.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
-# Words and parts of words whose ids a task remembers at a time.
-CACHE_WORDS = 800_000
+# Stems whose ids a task remembers at a time.
+CACHE_WORDS = 600_000
 PUNCTUATION = ".,;:!?#$%&*|"
 
 
@@ -41,9 +44,10 @@ def public_tokenizer() -> str:
 class WordTokenizer:
     """Ids of whole texts from a byte-level BPE tokenizer file, each distinct word encoded once.
 
-    The pre-tokenizer of such a file never joins what stands before a single space or newline between two other
-    characters with what follows, nor letters with the punctuation after them, so a text may be encoded in pieces cut
-    there. Texts with other white space, with more of it in a row, or with the string of an added token are encoded whole.
+    Texts are cut into units (see ``word_units``), and a unit into its stem and the punctuation behind a last letter or
+    digit, which the pre-tokenizer keeps apart too. New stems are encoded in one go, joined as they stand in a text; the ids
+    of all texts are then gathered from those of the stems and marks. Texts with other white space, or with the string of an
+    added token, are encoded whole.
     """
 
     def __init__(self, definition: str):
@@ -52,60 +56,79 @@ class WordTokenizer:
 
         self.encoder = Tokenizer.from_str(definition)
         self.added = [token.content for token in self.encoder.get_added_tokens_decoder().values()]
-        self.newline = self._encoded(["\n"])[0]
-        self.words: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        # A byte-level token has one character for each of its bytes.
+        self.sizes = np.array([len(self.encoder.id_to_token(k) or "") for k in range(self.encoder.get_vocab_size())])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.atoms: dict[str, int] = {}  # stems with what stands before them, and marks
+        self.ids, self.ends = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
 
     def _encoded(self, texts: Sequence[str]) -> list[bytes]:
         found = self.encoder.encode_batch_fast(list(texts), add_special_tokens=False)
         return [array("I", one.ids).tobytes() for one in found]
 
-    def _learn(self, missing: set[str]) -> None:
-        """Remember the ids of words as they stand after a space, or with ``\\n`` in front after a newline."""
-        words = self.words
-        after_space = {word for word in missing if word[-1].isalpha() and word[0] != "\n"}
-        lines, punctuated = [], []
-        for word in missing.difference(after_space):
-            stem = word.rstrip(PUNCTUATION)
-            if word[0] == "\n":
-                lines.append(word)
-            elif len(stem) < len(word) and stem.isalpha():
-                punctuated.append((word, stem, word[len(stem) :]))
-                after_space.add(stem)
-            else:
-                after_space.add(word)
-        new = list(after_space.difference(words))
-        words.update(zip(new, self._encoded([f" {word}" for word in new]), strict=True))
-        marks = list({mark for _, _, mark in punctuated}.difference(self.marks))
-        self.marks.update(zip(marks, self._encoded(marks), strict=True))
-        words.update([(word, words[stem] + self.marks[mark]) for word, stem, mark in punctuated])
-        words.update([(word, self.newline + ids) for word, ids in zip(lines, self._encoded([word[1:] for word in lines]), strict=True)])
+    def _numbers(self, texts: pa.Array, learn: Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Number of each atom; ``learn`` gives the ids of new ones, one after the other, and how many each has."""
+        encoded = texts.dictionary_encode()
+        names = encoded.dictionary.to_pylist()
+        found = np.fromiter(map(self.atoms.get, names, itertools.repeat(-1)), dtype=np.int64, count=len(names))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [names[k] for k in missing]
+            found[missing] = np.arange(len(missing)) + len(self.ends) - 1
+            self.atoms.update(zip(new, found[missing].tolist(), strict=True))
+            ids, lengths = learn(new, pc.binary_length(encoded.dictionary).to_numpy()[missing])
+            self.ids = np.concatenate([self.ids, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        return found[encoded.indices.to_numpy()]
+
+    def _stem_ids(self, stems: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # Joined behind one letter, so that the first stem too stands as in a text.
+        whole = np.array(self.encoder.encode("x" + "".join(stems), add_special_tokens=False).ids, dtype="<u4")
+        bounds = np.searchsorted(np.cumsum(self.sizes[whole]), 1 + np.concatenate([[0], np.cumsum(sizes)]), side="right")
+        return whole[bounds[0] :], np.diff(bounds)
+
+    def _mark_ids(self, marks: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.frombuffer(data, dtype="<u4") for data in self._encoded(marks)]
+        return np.concatenate(found), np.array([len(one) for one in found], dtype=np.int64)
+
+    def _parts(self, units: pa.Array) -> np.ndarray:
+        """Numbers of the stem and the mark of each unit, for units that are not odd."""
+        if len(self.atoms) > CACHE_WORDS:
+            self._forget()
+        stems = pc.utf8_rtrim(units, PUNCTUATION)
+        apart = pc.utf8_is_alnum(pc.utf8_slice_codeunits(stems, -1))
+        stems = pc.if_else(apart, stems, units)
+        marks = pc.if_else(apart, pc.replace_substring_regex(units, f"(?s)^.*[^{PUNCTUATION}]", ""), "")
+        stems = pc.if_else(pc.starts_with(units, "\n"), stems, pc.binary_join_element_wise("", stems, " "))
+        return np.column_stack([self._numbers(stems, self._stem_ids), self._numbers(marks, self._mark_ids)])
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        whole, split = [], {}
-        for k, text in enumerate(texts):
-            plain = text.split()
-            gaps = text.count(" ") + text.count("\n")
-            ordinary = not any(content in text for content in self.added)
-            if ordinary and plain and len(plain) == gaps + 1 and len("".join(plain)) + gaps == len(text):
-                first, *rest = text.replace("\n", " \n").split(" ")
-                split[k] = (first, rest)
-            else:
-                whole.append(k)
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.marks.clear()
-        words = self.words
-        missing = set().union(*[rest for _, rest in split.values()]).difference(words)
-        if missing:
-            self._learn(missing)
-        starts = dict(zip(split, self._encoded([first for first, _ in split.values()]), strict=True))
-        others = dict(zip(whole, self._encoded([texts[k] for k in whole]), strict=True))
-        get = words.__getitem__
-        out = []
-        for k in range(len(texts)):
-            data = others[k] if k in others else starts[k] + b"".join(map(get, split[k][1]))
-            out.append(np.frombuffer(data, dtype="<u4"))
+        if not texts:
+            return []
+        given = pa.array(texts, pa.string())
+        offsets, units, index = split_units(given)
+        odd = odd_units(units)
+        plain = sums(odd[index], offsets) == 0
+        for content in self.added:
+            plain &= ~pc.match_substring(given, content).to_numpy(zero_copy_only=False)
+        rows, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        # The first unit of a text has no space in front of it.
+        heads = self._encoded([units[int(index[offsets[k]])].as_py() for k in rows])
+        counts = np.diff(offsets)[rows] - 1
+        # Odd units stand in other texts only.
+        parts = np.zeros((len(units), 2), dtype=np.int64)
+        parts[~odd] = self._parts(units.filter(pa.array(~odd)))
+        own = parts[index[ragged(offsets[:-1][rows] + 1, counts)]].reshape(-1)
+        starts, lengths = self.ends[:-1][own], np.diff(self.ends)[own]
+        ids = self.ids[ragged(starts, lengths)]
+        bounds = np.concatenate([[0], np.cumsum(sums(lengths, 2 * np.concatenate([[0], np.cumsum(counts)])))])
+        out: list[np.ndarray] = [None] * len(texts)
+        for k, row in enumerate(rows):
+            out[row] = np.concatenate([np.frombuffer(heads[k], dtype="<u4"), ids[bounds[k] : bounds[k + 1]]])
+        for row, data in zip(others, self._encoded([texts[k] for k in others]), strict=True):
+            out[row] = np.frombuffer(data, dtype="<u4")
         return out
 
 

@@ -23,6 +23,15 @@ def odd_unit(unit: str) -> bool:
     return not word or word[0].isspace() or word[-1].isspace() or SPACE_MARK in word
 
 
+def odd_units(units: pa.Array) -> np.ndarray:
+    """:func:`odd_unit` for all units of an array."""
+    words = pc.replace_substring_regex(units, "^\n", "")
+    sizes = pc.binary_length(words)
+    trimmed = pc.binary_length(pc.utf8_trim_whitespace(words))
+    odd = pc.or_(pc.or_(pc.equal(sizes, 0), pc.not_equal(sizes, trimmed)), pc.match_substring(words, SPACE_MARK))
+    return odd.to_numpy(zero_copy_only=False)
+
+
 def split_units(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(offsets per text, distinct units, index of each unit): units carry a newline that stands before them, no space."""
     lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
