@@ -85,6 +85,12 @@ def _joined(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text), ",")
 
 
+def _content(values: pa.Array) -> memoryview:
+    """The bytes of a binary or string array without offsets, one value after the other."""
+    ends, data = np.frombuffer(values.buffers()[1], "<i4")[values.offset :], values.buffers()[2]
+    return memoryview(data or b"").cast("B")[ends[0] : ends[len(values)]]
+
+
 class Aligner:
     """Both tokenizers with the bytes of their tokens; texts are bytes that begin with a space."""
 
@@ -115,8 +121,7 @@ class Aligner:
         first = np.array(self.first.encode(" " + text, add_special_tokens=False).ids, dtype=np.int64)
         second = np.array(self.second.encode(text), dtype=np.int64)
         for ids, tokens in ((first, self.first_bytes), (second, self.second_bytes)):
-            taken = tokens.take(pa.array(ids))
-            if b"".join(taken.to_pylist()) != want:
+            if _content(tokens.take(pa.array(ids))) != want:
                 return None
         return first, second
 
@@ -201,10 +206,11 @@ class TextAligner:
         numbers[3, rows] = sums(lengths, bounds)
         parts = [self.units.pairs[ragged(starts, lengths)]]
         order = [*rows]
-        # Joined strings stay well below the 2 GB that an array holds, however long one text is.
         strings = self.units.strings.take(pa.array(own))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), strings), ";")
+        content, ends = _content(joined), np.frombuffer(joined.buffers()[1], "<i4")
         for k, row in enumerate(rows):
-            digests[row] = _digest(strings.slice(bounds[k], bounds[k + 1] - bounds[k]))
+            digests[row] = hashlib.sha256(content[ends[k] : ends[k + 1]]).hexdigest()
         for row in np.flatnonzero(~plain):
             text = texts[int(row)].as_py() or ""
             ids = self.aligner.encode(text) if text else None
@@ -212,18 +218,13 @@ class TextAligner:
                 continue
             found = self.aligner.align(*ids, [len(text.encode()) + 1])
             numbers[:, row] = (len(ids[0]), len(ids[1]), found.n_groups[0], len(found.pairs))
-            digests[row] = _digest(found.strings)
+            digests[row] = hashlib.sha256(_content(found.strings)).hexdigest()
             parts.append(found.pairs)
             order.append(row)
         pairs = np.concatenate(parts)
         return numbers, digests, pairs, np.repeat(np.array(order, dtype=np.int64), numbers[3, order])
 
 
-def _digest(strings: pa.Array) -> str:
-    """SHA-256 of the strings joined by semicolons."""
-    return hashlib.sha256(";".join(strings.to_pylist()).encode()).hexdigest()
-
-
 def write_run(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys (packed pair, document) with their counts as length-prefixed Zstandard blocks."""
     import zstandard
