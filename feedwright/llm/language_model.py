@@ -1,28 +1,33 @@
 """Language-model scoring with a weighted backoff automaton.
 
-N-grams are counted over the whole training part and those that occur ``LEAST`` times become the automaton, whatever the
-size of the corpus: states are retained contexts, arcs carry discounted log probabilities, and failure arcs carry backoff
-weights to the next shorter context; the root has every word with its add-one probability.
+N-grams up to three words are counted over the whole training part and those that occur ``LEAST`` times become the
+automaton, whatever the size of the corpus: states are retained contexts, arcs carry discounted log probabilities, and
+failure arcs carry backoff weights to the next shorter context; the root has every word with its add-one probability.
 
-The automaton grows with the corpus, so it lies in buckets of hashed n-grams (``score_corpus``). Texts are taken in groups
-of bounded size. A group sends its distinct n-grams to the buckets, which answer with their counts; from these it has its
-arcs. For each retained n-gram one group sends its share of the backoff weight to the bucket of the context, which answers
-with the weights of the contexts that a group fails from.
+The automaton grows with the corpus, so it lies in buckets of hashed n-grams. Texts are taken in groups of bounded size.
+A group first asks for the counts of its words and bigrams. A trigram can only be retained if both its bigrams are, so
+the group then asks for those trigrams alone, at the buckets of their contexts; the buckets answer with counts and with
+the sums that backoff weights are made of. From the answers a group builds its part of the automaton and walks it from
+left to right, one traversal per text; a text of several groups is walked on from its last two words.
 
-``train`` and ``score_texts`` are for an automaton cut to n-grams of a given share, small enough for every task to hold.
+Words are known by the upper 63 bits of their XXH64, n-grams by mixes of these; unequal ones share a key with a
+probability of about 2**-63 per pair.
 
-Words are known by 64-bit hashes (unequal words share one with a probability of 2**-64 per pair), n-grams in buckets by
-63 bits and one that parts words from longer ones.
+A NULL or empty text is an end token alone. Repeated rows are scored each, texts of any length whole, an empty table
+gives no rows. With no training rows every word is unknown. The kept columns are in one struct, so no name can clash.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -30,26 +35,20 @@ from feedwright.llm.common import query, table
 from feedwright.staging import stage
 
 ORDER = 3
-# Least share of the training tokens of a word, and of a longer n-gram, in an automaton that every task holds.
-WORD_SHARE = 1e-6
-GRAM_SHARE = 5e-6
 DISCOUNT = 0.75
-# Least occurrences of a longer n-gram in the distributed automaton.
+# Least occurrences of a longer n-gram in the automaton.
 LEAST = 2
 FOLDS, HELD_OUT = 7, 2
 
-BLOCK_BYTES = 4 << 20
-FLUSH_TOKENS = 3_000_000
-# Bytes of text per bucket of n-gram keys.
-BUCKET_BYTES = 24 << 20
+BLOCK_BYTES = 2 << 20
 # Tokens after which a group of texts ends, and bytes of text per bucket of n-grams that groups ask for.
-GROUP_TOKENS = 400_000
+GROUP_TOKENS = 300_000
 GRAM_BUCKET_BYTES = 8 << 20
 
 # A-Z to lower case, white space to a space.
 FOLD = bytes(byte + 32 if 65 <= byte <= 90 else 32 if 9 <= byte <= 13 else byte for byte in range(256))
 END = np.uint64(0x5EED0E7D0C5EED01)  # key of the end token
-_BASE = 0xA0761D6478BD642F
+ONE = np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,29 +59,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordKeys:
-    """64-bit keys of all words of a text buffer at once, from prefix sums."""
-
-    def __init__(self):
-        self.table = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-        self.power = self.inverse = np.zeros(0, dtype=np.uint64)
-
-    def of(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, first bytes) of the words of folded bytes that end with a space."""
-        n = len(data)
-        if len(self.power) < n:
-            for name, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
-                powers = np.full(max(n, BLOCK_BYTES + (1 << 16)), base, dtype=np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.cumprod(powers, dtype=np.uint64))
-        space = data == 32
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        if n and not space[0]:
-            edge = np.concatenate([[0], edge])
-        start, end = edge[0::2], edge[1::2]
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(self.table[data] * self.power[:n], out=sums[1:])
-        return _mixed((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64)), start
+def word_keys(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(odd keys of all words of folded texts, number of words per text); each distinct word is hashed once."""
+    lists = pc.split_pattern(pa.array(parts, pa.large_binary()), b" ")
+    words = lists.flatten().dictionary_encode()
+    names, index = words.dictionary.to_pylist(), words.indices.to_numpy()
+    keys = np.array([xxhash.xxh64_intdigest(name) for name in names], dtype=np.uint64) | ONE
+    real = np.array([len(name) > 0 for name in names], dtype=bool)[index]
+    counts = np.diff(np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy()])
+    return keys[index[real]], counts
 
 
 @dataclass
@@ -94,16 +79,13 @@ class Block:
     context: int = 0
 
 
-def token_blocks(maker: WordKeys, texts: Sequence[bytes], order: int = ORDER) -> Iterator[Block]:
+def token_blocks(texts: Iterable[bytes], order: int = ORDER) -> Iterator[Block]:
     """Tokens of whole texts, an end after each. A text over ``BLOCK_BYTES`` is cut between words into several blocks,
     each with the last ``order - 1`` tokens before it as context."""
     parts, docs, size = [], [], 0
 
     def block(parts: list[bytes], docs: list[int], ended: bool, before: np.ndarray) -> Block:
-        data = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        key, start = maker.of(data)
-        ends = np.cumsum([len(part) for part in parts])
-        counts = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
+        key, counts = word_keys(parts)
         doc = np.repeat(np.array(docs), counts + ended)
         if ended:
             key = np.insert(key, np.cumsum(counts), END)
@@ -131,356 +113,87 @@ def token_blocks(maker: WordKeys, texts: Sequence[bytes], order: int = ORDER) ->
         yield block(parts, docs, True, nothing)
 
 
-class Vocabulary:
-    """Retained n-grams by order: words by sorted key, longer ones by (index of the prefix, word)."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words  # sorted keys
-        self.grams: list[np.ndarray] = []  # per order from 2: sorted prefix * width + word
-        self.width = max(1, len(words))
-
-    @staticmethod
-    def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(known):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-        return np.where(known[at] == wanted, at, -1)
-
-    def levels(self, block: Block) -> list[np.ndarray]:
-        """Per order the index of the n-gram that ends at each token, or -1."""
-        found = [self._find(self.words, block.key)]
-        for known in self.grams:
-            keys, valid = self.longer(block, found)
-            index = np.full(len(block.key), -1)
-            index[valid] = self._find(known, keys)
-            found.append(index)
-        return found
-
-    def longer(self, block: Block, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, places) of the n-grams of the next order whose two parts are retained."""
-        last = found[-1]
-        n = len(found)
-        valid = np.zeros(len(last), dtype=bool)
-        valid[n:] = (block.doc[n:] == block.doc[:-n]) & (last[n - 1 : -1] >= 0) & (last[n:] >= 0)
-        at = np.flatnonzero(valid)
-        return last[at - 1].astype(np.int64) * self.width + found[0][at], at
-
-
-def _send(keys: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Distinct keys with their counts, one row per bucket."""
-    key, count = np.unique(np.concatenate(keys), return_counts=True)
-    if not len(key):
-        return
-    bucket = (_mixed(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
-    rows = [(int(bucket[order[a]]), key[order[a:b]].tobytes(), count[order[a:b]].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    if rows:
-        columns = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "counts"])
-
-
-def _counted(texts: DataFrame, buckets: int, vocabulary, least: int) -> DataFrame:
-    """(key, n) of the words, or with a broadcast ``vocabulary`` of the n-grams of its next order, that occur ``least`` times."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, keys, size = WordKeys(), [], 0
-        for batch in batches:
-            bodies = [value.as_py() or b"" for value in batch.column("body")]
-            for block in token_blocks(maker, bodies):
-                if vocabulary is None:
-                    found = block.key[block.context :]
-                else:
-                    found, at = vocabulary.value.longer(block, vocabulary.value.levels(block))
-                    found = found[at >= block.context]
-                keys.append(found)
-                size += len(found)
-                if size > FLUSH_TOKENS:
-                    yield from _send(keys, buckets)
-                    keys, size = [], 0
-        if keys:
-            yield from _send(keys, buckets)
-
-    kind = np.dtype("<u8") if vocabulary is None else np.dtype("<i8")
-
-    def total(group: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(data.as_py(), dtype=kind) for data in group["keys"]])
-        count = np.concatenate([np.frombuffer(data.as_py(), dtype="<u4") for data in group["counts"]]).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-        n = np.add.reduceat(count[order], first)
-        keep = n >= least
-        return pa.table({"key": key[order[first]][keep].view(np.int64), "n": n[keep]})
-
-    return texts.mapInArrow(find, "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(total, "key long, n long")
-
-
-def _local(frame: DataFrame, kind) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts, sorted by key, of a frame whose size is bounded by a share."""
-    made = frame.select("key", "n").toArrow()
-    key, n = made["key"].to_numpy().view(kind), made["n"].to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
+def _press(values: np.ndarray) -> bytes:
+    """Bytes of equal weight together, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-@dataclass
-class Model:
-    """The automaton. A state is a retained context; arcs are keyed by state * width + word."""
-
-    vocabulary: Vocabulary
-    root: list[float]  # log10 probability per word
-    after: list[int]  # state after a word from the root
-    arcs: dict[int, tuple[float, int]]
-    back: list[float]  # backoff weight per state
-    fail: list[int]  # next shorter context; the root is 0
-    tokens: int
-    types: int
-
-    def traverse(self, words: list[int], state: int = 0) -> tuple[float, int]:
-        """(log10 probability, last state); a word of -1 adds nothing but the way to the root."""
-        get, root, after, back, fail, width = self.arcs.get, self.root, self.after, self.back, self.fail, self.vocabulary.width
-        total = 0.0
-        for word in words:
-            while state:
-                hit = get(state * width + word) if word >= 0 else None
-                if hit is not None:
-                    total += hit[0]
-                    state = hit[1]
-                    break
-                total += back[state]
-                state = fail[state]
-            else:
-                if word >= 0:
-                    total += root[word]
-                    state = after[word]
-        return total, state
-
-
-def build_model(vocabulary: Vocabulary, counts: list[np.ndarray], tokens: int, types: int, discount: float = DISCOUNT) -> Model:
-    """Absolute discounting with backoff over retained n-grams; the root is add-one over all types and one unknown."""
-    width = vocabulary.width
-    uni = np.log10((counts[0] + 1.0) / (tokens + types + 1.0))
-    levels = [None, *vocabulary.grams]
-    # log p of each retained n-gram, per order from 2.
-    logs = [uni]
-    for k in range(1, len(counts)):
-        logs.append(np.log10((counts[k] - discount) / counts[k - 1][levels[k] // width]))
-    # The n-gram less its first word, per order from 2, as an index of the order below.
-    suffix: list[np.ndarray] = [np.zeros(len(counts[0]), dtype=np.int64)]
-    for k in range(1, len(counts)):
-        prefix, word = levels[k] // width, levels[k] % width
-        suffix.append(word if k == 1 else np.searchsorted(levels[k - 1], suffix[k - 1][prefix] * width + word))
-    # States are the prefixes of longer n-grams.
-    state: list[np.ndarray] = []
-    back, fail, number = [0.0], [0], 1
-    for k in range(len(counts) - 1):
-        prefix = levels[k + 1] // width
-        used = np.unique(prefix)
-        own = np.zeros(len(counts[k]), dtype=np.int64)
-        own[used] = np.arange(number, number + len(used))
-        number += len(used)
-        mass = np.zeros(len(counts[k]))
-        lower = np.zeros(len(counts[k]))
-        np.add.at(mass, prefix, 10.0 ** logs[k + 1])
-        np.add.at(lower, prefix, 10.0 ** logs[k][suffix[k + 1]])
-        back += np.log10((1 - mass[used]) / np.maximum(1 - lower[used], 1e-12)).tolist()
-        shorter = np.zeros(len(used), dtype=np.int64)
-        for j in range(k - 1, -1, -1):
-            # The longest shorter context that is a state.
-            at = used
-            for step in range(k, j, -1):
-                at = suffix[step][at]
-            shorter = np.where(shorter == 0, state[j][at], shorter)
-        fail += shorter.tolist()
-        state.append(own)
-
-    def reached(k: int, index: np.ndarray) -> np.ndarray:
-        """State after an n-gram of order k + 1: its longest suffix that is a state."""
-        out = np.zeros(len(index), dtype=np.int64)
-        for step in range(k, -1, -1):
-            if step < len(state):
-                out = np.where(out == 0, state[step][index], out)
-            if step:
-                index = suffix[step][index]
-        return out
-
-    arcs: dict[int, tuple[float, int]] = {}
-    for k in range(1, len(counts)):
-        source = state[k - 1][levels[k] // width]
-        target = reached(k, np.arange(len(levels[k])))
-        keys = source * width + levels[k] % width
-        arcs.update(zip(keys.tolist(), zip(logs[k].tolist(), target.tolist(), strict=True), strict=True))
-    return Model(vocabulary, uni.tolist(), reached(0, np.arange(len(uni))).tolist(), arcs, back, fail, tokens, types)
-
+def _values(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(width, len(planes) // width).T).view(kind).ravel()
 
-def _body(text: str) -> Column:
-    return F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("body")
 
+def _press_sorted(keys: np.ndarray) -> bytes:
+    return _press(np.diff(keys, prepend=np.uint64(0)))
 
-def texts_bytes(texts: DataFrame, text: str) -> int:
-    return texts.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("n")).first()["n"]
-
-
-def train(texts: DataFrame, text: str = "text", *, order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE):
-    """(model, unigram table with key and n) from every text of the frame; a null text is an end token alone."""
-    spark = texts.sparkSession
-    given = texts.select(_body(text))
-    size = texts_bytes(texts, text)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    unigrams = stage(_counted(given, buckets, None, 1), "unigrams")
-    line = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
-    tokens, types = line["tokens"], line["types"]
-    # At most 1 / share rows come back for each order.
-    words, n = _local(unigrams.where(F.col("n") >= max(1, math.ceil(word_share * tokens))), np.uint64)
-    vocabulary, counts = Vocabulary(words), [n]
-    for _ in range(1, order):
-        shared = spark.sparkContext.broadcast(vocabulary)
-        grams, n = _local(_counted(given, buckets, shared, max(2, math.ceil(gram_share * tokens))), np.int64)
-        vocabulary = Vocabulary(words)
-        vocabulary.grams = [*shared.value.grams, grams]
-        counts.append(n)
-    return build_model(vocabulary, counts, tokens, types), unigrams
-
-
-SCORED = T.StructType(
-    [
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("n_frequent", T.LongType()),
-        T.StructField("base", T.DoubleType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("rare", T.BinaryType()),
-    ]
-)
-
-
-def score_texts(docs: DataFrame, model: Model, unigrams: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with n_tokens, n_known, base_score and score of every row (log10)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    given = docs.select(F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row"), _body(text))
-    schema = T.StructType([given.schema["row"], *SCORED.fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, maker = shared.value, WordKeys()
-        root = np.array(model.root)
-        for batch in batches:
-            bodies = [value.as_py() or b"" for value in batch.column("body")]
-            n = len(bodies)
-            tokens, frequent, base, score = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n)
-            rare: list[list[bytes]] = [[] for _ in range(n)]
-            state, before = 0, -1
-            for block in token_blocks(maker, bodies):
-                key, doc = block.key[block.context :], block.doc[block.context :]
-                word = Vocabulary._find(model.vocabulary.words, key)
-                cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else [0]
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    k, own = int(doc[a]), word[a:b]
-                    total, state = model.traverse(own.tolist(), state if block.context and k == before else 0)
-                    before = k
-                    known = own >= 0
-                    tokens[k] += b - a
-                    frequent[k] += known.sum()
-                    base[k] += root[own[known]].sum()
-                    score[k] += total
-                    rare[k].append(key[a:b][~known].tobytes())
-            arrays = [batch.column("row"), pa.array(tokens), pa.array(frequent), pa.array(base), pa.array(score), pa.array([b"".join(parts) for parts in rare], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    scored = stage(given.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
-
-    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rid, data in zip(batch.column("rid").to_pylist(), batch.column("rare").to_pylist(), strict=True):
-                key, count = np.unique(np.frombuffer(data, dtype="<i8"), return_counts=True)
-                if len(key):
-                    yield pa.RecordBatch.from_pydict({"rid": np.full(len(key), rid), "key": key, "times": count.astype(np.int64)})
-
-    space = float(model.tokens + model.types + 1)
-    occurrences = scored.select("rid", "rare").mapInArrow(rare_words, "rid long, key long, times long")
-    n = F.coalesce("n", F.lit(0))
-    found = (
-        occurrences.join(unigrams, "key", "left")
-        .groupBy("rid")
-        .agg(
-            F.sum(F.col("times") * F.log10((n + 1) / F.lit(space))).alias("rare_score"),
-            F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        )
-    )
-    extra = F.coalesce("rare_score", F.lit(0.0))
-    return scored.join(found, "rid", "left").select(
-        "row",
-        "n_tokens",
-        (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        (F.col("base") + extra).alias("base_score"),
-        (F.col("score") + extra).alias("score"),
-    )
+def _sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_values(data, "<u8"), dtype=np.uint64)
 
 
-# What a group sends to buckets: the group, distinct keys, and counts (kind 0 of ``_arcs``) or sums (kind 0 of ``_contexts``).
-ASKED = "kind int, bucket int, gid long, keys binary, first binary, second binary, size long"
-ASKED_ARROW = pa.schema(
-    [("kind", pa.int32()), ("bucket", pa.int32()), ("gid", pa.int64()), ("keys", pa.binary()), ("first", pa.binary()), ("second", pa.binary()), ("size", pa.int64())]
-)
+# What groups and buckets send each other: which round, the bucket, the group, arrays, and new words of a bucket.
+SENT = "round int, bucket int, gid long, parts array<binary>, types long"
+SENT_ARROW = pa.schema([("round", pa.int32()), ("bucket", pa.int32()), ("gid", pa.int64()), ("parts", pa.list_(pa.binary())), ("types", pa.int64())])
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes of equal weight together, so that what is alike compresses."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()
+def _sent(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(SENT_ARROW)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, SENT_ARROW, strict=True)], schema=SENT_ARROW)
 
 
-def _values(data: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, len(data) // width).T).view(kind).ravel()
+def _cuts(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of sorted keys; a bucket is a range of keys."""
+    if len(keys):
+        bucket = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
+        yield from zip(bucket[edge[:-1]].tolist(), edge[:-1], edge[1:], strict=True)
 
 
-def _asked(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(ASKED_ARROW)
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, ASKED_ARROW, strict=True)], schema=ASKED_ARROW)
+def _joined(rows: list[dict], part: int, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *[_values(row["parts"][part], kind) for row in rows]])
 
 
-def _by_bucket(kind: int, gid: int, keys: np.ndarray, first: np.ndarray | None, second: np.ndarray | None, buckets: int) -> list[tuple]:
-    """Rows of sorted keys, one per bucket (a range of keys), as differences."""
-    bucket = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else np.zeros(1, dtype=int)
-    part = lambda values, a, b: None if values is None else _planes(values[a:b])
-    return [
-        (kind, int(bucket[a]), gid, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), part(first, a, b), part(second, a, b), int(b - a))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
-    ]
+def group_row(key: np.ndarray, doc: np.ndarray, context: int, trained: np.ndarray) -> dict:
+    """A group of tokens as stored: ``doc`` numbers texts from 0, the first ``context`` tokens belong to the group before."""
+    words, index = np.unique(key, return_inverse=True)
+    return {
+        "context": context,
+        "n": int(trained[doc][context:].sum()),
+        "words": _press_sorted(words),
+        "tokens": _press(index.astype("<u4")),
+        "lengths": _press(np.bincount(doc).astype("<i8")),
+        "trained": _press(trained.astype("u1")),
+    }
 
 
-def _keys(row: dict) -> np.ndarray:
-    return np.cumsum(_values(row["keys"], "<u8"), dtype=np.uint64)
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with every field of its structs nullable, as the result schema has it."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(field.name, _nullable(field.type)) for field in kind])
+    return pa.list_(_nullable(kind.value_type)) if pa.types.is_list(kind) else kind
 
 
 def _groups(schema: T.StructType):
     """Map function: texts (row, train, body) as groups of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, part = WordKeys(), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         base = made = 0
         keys, docs, rows, train, context, size = [], [], [], [], 0, 0
 
         def group() -> pa.RecordBatch:
-            key, doc = np.concatenate(keys), np.concatenate(docs)
-            words, index = np.unique(key, return_inverse=True)
-            given = pa.concat_arrays(rows)
-            values = [
-                part << 33 | made,
-                part << 33 | int(doc[0]),
-                context,
-                int(np.concatenate(train)[doc - doc[0]][context:].sum()),
-                words.tobytes(),
-                _planes(index.astype("<u4")),
-                np.bincount(doc - doc[0]).astype("<i8").tobytes(),
-                np.concatenate(train).astype("u1").tobytes(),
-            ]
-            arrays = [pa.array([value]) for value in values]
+            doc, given = np.concatenate(docs), pa.concat_arrays(rows)
+            packed = group_row(np.concatenate(keys), doc - doc[0], context, np.concatenate(train))
+            values = {"gid": part << 33 | made, "rid": part << 33 | int(doc[0]), **packed}
+            arrays = [pa.array([values[name]]) for name in schema.names[:-1]]
             return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array([0, len(given)], pa.int32()), given)], names=schema.names)
 
         for batch in batches:
             row, trained = batch.column("row"), batch.column("train").to_numpy(zero_copy_only=False)
-            for block in token_blocks(maker, [value.as_py() or b"" for value in batch.column("body")]):
+            row = row.cast(_nullable(row.type))
+            for block in token_blocks(value.as_py() or b"" for value in batch.column("body")):
                 lo, hi = int(block.doc[0]), int(block.doc[-1])
                 skip = block.context if size else 0  # the group has these tokens already
                 context = context if size else block.context
@@ -503,183 +216,257 @@ def _groups(schema: T.StructType):
     return run
 
 
-class _Group:
-    """Tokens of a group of texts with the keys of their n-grams; those of words are odd, of longer ones even."""
+class Automaton:
+    """States: the root 0, words from 1, retained bigrams after them. Arcs are keyed by state * width + word; a state
+    without an arc for a word is left by its failure arc, which adds its backoff weight."""
+
+    def __init__(self, root: list[float], after: list[int], arcs: dict[int, int], log: list[float], target: list[int], back: list[float], fail: list[int]):
+        self.root, self.after, self.arcs, self.log, self.target, self.back, self.fail = root, after, arcs, log, target, back, fail
+
+    def walk(self, words: Sequence[int], state: int = 0) -> tuple[float, int]:
+        """(log10 probability of the words after the state, last state)."""
+        get, log, target, back, fail, root, after = self.arcs.get, self.log, self.target, self.back, self.fail, self.root, self.after
+        width, total = len(root), 0.0
+        for word in words:
+            arc = get(state * width + word)
+            while arc is None and state:
+                total += back[state]
+                state = fail[state]
+                arc = get(state * width + word)
+            if arc is None:
+                total += root[word]
+                state = after[word]
+            else:
+                total += log[arc]
+                state = target[arc]
+        return total, state
+
+
+class Group:
+    """Tokens of a group of texts with its distinct words and bigrams; keys of words are odd, of bigrams even."""
 
     def __init__(self, row: dict):
-        self.gid, self.context = row["gid"], row["context"]
-        words = np.frombuffer(row["words"], dtype="<u8")
-        w = words[_values(row["tokens"], "<u4")]
-        lengths = np.frombuffer(row["lengths"], dtype="<i8")
+        self.context = row["context"]
+        self.words, self.one = _sorted(row["words"]), _values(row["tokens"], "<u4").astype(np.int64)
+        lengths = _values(row["lengths"], "<i8")
         self.doc = np.repeat(np.arange(len(lengths)), lengths)
-        self.train = np.frombuffer(row["trained"], dtype="u1")[self.doc].astype(np.int64)
+        self.train = _values(row["trained"], "u1")[self.doc].astype(np.int64)
         self.train[: self.context] = 0  # counted in the group before
-        two = np.zeros(len(w), dtype=np.uint64)
-        three = np.zeros(len(w), dtype=np.uint64)
-        two[1:] = _mixed(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:])
-        three[2:] = _mixed(two[1:-1] * np.uint64(0xD6E8FEB86659FD93) + w[2:])
-        self.at2 = np.flatnonzero(np.concatenate([[False], self.doc[1:] == self.doc[:-1]]))
-        self.at3 = np.flatnonzero(np.concatenate([[False, False], self.doc[2:] == self.doc[:-2]])[: len(w)])
-        every = np.concatenate([w | np.uint64(1), two[self.at2] & ~np.uint64(1), three[self.at3] & ~np.uint64(1)])
-        self.keys, self.index, inverse = np.unique(every, return_index=True, return_inverse=True)
-        n, n2 = len(w), len(self.at2)
-        self.one = inverse[:n]
-        self.two, self.three = np.full(n, -1), np.full(n, -1)
-        self.two[self.at2] = inverse[n : n + n2]
-        self.three[self.at3] = inverse[n + n2 :]
-        weight = np.concatenate([self.train, self.train[self.at2], self.train[self.at3]])
-        self.counts = np.bincount(inverse, weights=weight, minlength=len(self.keys)).astype("<i8")
-
-    def arcs(self, n: np.ndarray, space: float) -> None:
-        """From the counts of the keys the probabilities at each token and the contexts it fails from."""
-        self.known = n[self.one] > 0
-        self.p1 = (n[self.one] + 1.0) / space
-        count2, count3 = np.where(self.two >= 0, n[self.two], 0), np.where(self.three >= 0, n[self.three], 0)
-        self.has2, self.has3 = count2 > 0, count3 > 0
-        self.p2, self.p3 = np.ones(len(self.one)), np.ones(len(self.one))
-        at = np.flatnonzero(self.has2)
-        self.p2[at] = (count2[at] - DISCOUNT) / n[self.one[at - 1]]
-        at = np.flatnonzero(self.has3)
-        self.p3[at] = (count3[at] - DISCOUNT) / count2[at - 1]
-        own = np.arange(len(self.one)) >= self.context
-        self.fails2 = np.flatnonzero(own & (self.three >= 0) & ~self.has3 & np.concatenate([[False], self.has2[:-1]]))
-        self.fails1 = np.flatnonzero(own & (self.two >= 0) & ~self.has2 & np.concatenate([[False], self.known[:-1]]))
-        self.asked = np.unique(np.concatenate([self.two[self.fails2 - 1], self.one[self.fails1 - 1]]))
-
-    def shares(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(contexts, sums of their arcs, sums at the next shorter context) over the retained n-grams that are ``mine``."""
-        n, n2 = len(self.one), len(self.at2)
-        place = self.index[mine]
-        a, b = self.at2[place[(place >= n) & (place < n + n2)] - n], self.at3[place[place >= n + n2] - n - n2]
-        a, b = a[self.has2[a]], b[self.has3[b]]
-        which, inverse = np.unique(np.concatenate([self.one[a - 1], self.two[b - 1]]), return_inverse=True)
-        mass = np.bincount(inverse, weights=np.concatenate([self.p2[a], self.p3[b]]), minlength=len(which))
-        lower = np.bincount(inverse, weights=np.concatenate([self.p1[a], self.p2[b]]), minlength=len(which))
-        return self.keys[which], mass, lower
-
-    def scores(self, back: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(tokens, known, base, score) per text, from the backoff weights of the contexts asked for."""
-        weight = np.zeros(len(self.keys))
-        weight[self.asked] = back
-        base = np.log10(self.p1)
-        score = np.where(self.has2, np.log10(self.p2), base)
-        score[self.fails1] += weight[self.one[self.fails1 - 1]]
-        score = np.where(self.has3, np.log10(self.p3), score)
-        score[self.fails2] += weight[self.two[self.fails2 - 1]]
+        w, same = self.words[self.one], self.doc[1:] == self.doc[:-1]
+        at = np.flatnonzero(same) + 1
+        keys = _mixed(w[at - 1] * np.uint64(0x9E3779B97F4A7C15) + w[at]) & ~ONE
+        self.bigrams, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        self.left, self.right = self.one[at[first] - 1], self.one[at[first]]
+        self.two = np.full(len(w), -1)
+        self.two[at] = inverse
+        self.inside = np.concatenate([[False, False], same[1:] & same[:-1]])[: len(w)]
+        self.at = at
+        self.merged = np.argsort(np.concatenate([self.words, self.bigrams]), kind="stable")
+
+    def ask_counts(self, gid: int, buckets: int) -> list[tuple]:
+        """First round: words and bigrams with their occurrences in training."""
+        n1 = np.bincount(self.one, weights=self.train, minlength=len(self.words))
+        n2 = np.bincount(self.two[self.at], weights=self.train[self.at], minlength=len(self.bigrams))
+        keys, n = np.concatenate([self.words, self.bigrams])[self.merged], np.concatenate([n1, n2]).astype("<u4")[self.merged]
+        return [(1, bucket, gid, [_press_sorted(keys[a:b]), _press(n[a:b])], 0) for bucket, a, b in _cuts(keys, buckets)]
+
+    def learn_counts(self, answers: list[dict]) -> None:
+        n, mine = np.zeros(len(self.merged), dtype=np.int64), np.zeros(len(self.merged), dtype=bool)
+        n[self.merged], mine[self.merged] = _joined(answers, 0, "<i8"), _joined(answers, 1, "u1")
+        self.n1, self.n2 = n[: len(self.words)], n[len(self.words) :]
+        kept2 = (self.two >= 0) & (self.n2[self.two] > 0) if len(self.n2) else np.zeros(len(self.two), dtype=bool)
+        # Trigrams after a retained bigram; those that end with a retained one may be retained themselves.
+        after = np.flatnonzero(self.inside & np.concatenate([[False], kept2[:-1]]))
+        at = after[kept2[after]]
+        keys = _mixed(self.bigrams[self.two[at - 1]] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.one[at]])
+        trigrams, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        order = np.argsort(self.two[at[first] - 1], kind="stable")
+        self.trigrams, place = trigrams[order], at[first[order]]
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.n3 = np.bincount(rank[inverse], weights=self.train[at], minlength=len(order)).astype("<u4")
+        self.state3, self.word3, self.lower3 = self.two[place - 1], self.one[place], self.two[place]
+        # Contexts: words that bigrams of this group are settled for or fail from, and bigrams before trigrams.
+        settled = np.flatnonzero(mine[len(self.words) :] & (self.n2 > 0))
+        fails = np.flatnonzero((self.two >= 0) & ~kept2)
+        self.context1 = np.unique(np.concatenate([self.left[settled], self.one[fails - 1]]))
+        self.context1 = self.context1[self.n1[self.context1] > 1]
+        self.context2 = np.unique(self.two[after - 1])
+        own = np.searchsorted(self.context1, self.left[settled])
+        total = lambda weights: np.bincount(own, weights=weights, minlength=len(self.context1))
+        shares = np.stack([total(self.n2[settled]), total(self.n1[self.right[settled]]), total(np.ones(len(settled)))])
+        self.shares = np.concatenate([shares, np.zeros((3, len(self.context2)))], axis=1).astype("<i8")
+        sizes = np.bincount(np.searchsorted(self.context2, self.state3), minlength=len(self.context2))
+        self.sizes = np.concatenate([np.zeros(len(self.context1)), sizes]).astype("<u4")
+        self.contexts = np.concatenate([self.words[self.context1], self.bigrams[self.context2]])
+        self.merged2 = np.argsort(self.contexts, kind="stable")
+
+    def ask_contexts(self, gid: int, buckets: int) -> list[tuple]:
+        """Second round: contexts with the trigrams after them (occurrences, count of the last bigram) and with shares."""
+        keys, sizes, shares = self.contexts[self.merged2], self.sizes[self.merged2], self.shares[:, self.merged2]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        lower, made = self.n2[self.lower3].astype("<i8"), []
+        for bucket, a, b in _cuts(keys, buckets):
+            lo, hi = ends[a], ends[b]
+            parts = [self.trigrams[lo:hi], self.n3[lo:hi], lower[lo:hi], sizes[a:b], *[np.ascontiguousarray(share[a:b]) for share in shares]]
+            made.append((2, bucket, gid, [_press_sorted(keys[a:b]), *map(_press, parts)], 0))
+        return made
+
+    def automaton(self, answers: list[dict], space: float) -> Automaton:
+        """The part of the automaton that the texts of this group can reach."""
+        n3 = _joined(answers, 0, "<i8")
+        upper, lower, many = np.zeros((3, len(self.contexts)))
+        for part, sums in enumerate((upper, lower, many), 1):
+            sums[self.merged2] = _joined(answers, part, "<i8")
+        width, k1 = len(self.words), len(self.context1)
+        count = np.concatenate([self.n1[self.context1], self.n2[self.context2]])
+        shorter = np.concatenate([np.full(k1, space), self.n1[self.right[self.context2]]])
+        taken = np.concatenate([(lower + many)[:k1], (lower - DISCOUNT * many)[k1:]]) / shorter
+        weight = np.log10((1 - (upper - DISCOUNT * many) / count) / np.maximum(1 - taken, 1e-12))
+        back = np.zeros(1 + width + len(self.bigrams))
+        back[1 + self.context1], back[1 + width + self.context2] = weight[:k1], weight[k1:]
+        two, three = np.flatnonzero(self.n2 > 0), np.flatnonzero(n3 > 0)
+        keys = np.concatenate([(1 + self.left[two]) * width + self.right[two], (1 + width + self.state3[three]) * width + self.word3[three]])
+        p = np.concatenate([(self.n2[two] - DISCOUNT) / self.n1[self.left[two]], (n3[three] - DISCOUNT) / self.n2[self.state3[three]]])
+        target = 1 + width + np.concatenate([two, self.lower3[three]])
+        fail = np.concatenate([np.zeros(1 + width, dtype=np.int64), 1 + self.right])
+        self.base = np.log10((self.n1 + 1.0) / space)
+        after = np.where(self.n1 > 0, np.arange(1, width + 1), 0)
+        arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        return Automaton(self.base.tolist(), after.tolist(), arcs, np.log10(p).tolist(), target.tolist(), back.tolist(), fail.tolist())
+
+    def scores(self, automaton: Automaton) -> tuple[np.ndarray, ...]:
+        """(tokens, known, base, score) per text, walking each from its start or from what the group before ends with."""
+        words = self.one.tolist()
         doc, texts = self.doc[self.context :], int(self.doc[-1]) + 1
-        per = lambda values: np.bincount(doc, weights=values[self.context :], minlength=texts)
-        return np.bincount(doc, minlength=texts), per(self.known).astype(np.int64), per(base), per(score)
+        ends = np.searchsorted(self.doc, np.arange(texts), side="right").tolist()
+        score, start = np.zeros(texts), self.context
+        _, state = automaton.walk(words[:start])
+        for k, end in enumerate(ends):
+            score[k], _ = automaton.walk(words[start:end], state)
+            start, state = end, 0
+        per = lambda values: np.bincount(doc, weights=values[self.one[self.context :]], minlength=texts)
+        return np.bincount(doc, minlength=texts), per(self.n1 > 0).astype(np.int64), per(self.base), score
 
 
-def _ask(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                group = _Group(row)
-                yield from _asked(_by_bucket(0, group.gid, group.keys, group.counts, None, buckets)).to_batches()
-
-    return run
+def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, whether each in order is the first of its key, total per key, total per given one)."""
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(key)]
+    total = np.add.reduceat(count[order], np.flatnonzero(new)) if len(key) else count
+    return order, new, total, np.cumsum(new) - 1
 
 
-def _arcs(least: int):
-    """Group function of a bucket: answers each group with the counts of its keys and which of them it settles."""
+def count_grams(least: int):
+    """Group function of a bucket: the counts of the words and bigrams of each group, and which of them it settles."""
 
     def run(table_: pa.Table) -> pa.Table:
         rows = table_.to_pylist()
-        key = np.concatenate([_keys(row) for row in rows])
-        count = np.concatenate([_values(row["first"], "<i8") for row in rows])
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        n = np.add.reduceat(count[order], np.flatnonzero(new))
-        odd = key[order][new] & np.uint64(1) == 1
+        keys = [_sorted(row["parts"][0]) for row in rows]
+        key = np.concatenate(keys)
+        order, new, n, index = _summed(key, _joined(rows, 1, "<u4").astype("<i8"))
+        odd = key[order][new] & ONE == ONE
         n[~odd & (n < least)] = 0
         types = int((odd & (n > 0)).sum())
-        answer, mine = np.empty(len(key), dtype="<i8"), np.empty(len(key), dtype=bool)
-        answer[order], mine[order] = n[np.cumsum(new) - 1], new
-        ends = np.cumsum([row["size"] for row in rows]).tolist()
-        made = [
-            (0, row["bucket"], row["gid"], None, _planes(answer[end - row["size"] : end]), mine[end - row["size"] : end].astype("u1").tobytes(), types * (k == 0))
-            for k, (row, end) in enumerate(zip(rows, ends, strict=True))
-        ]
-        return _asked(made)
+        answer, mine = np.empty(len(key), dtype="<i8"), np.empty(len(key), dtype="u1")
+        answer[order], mine[order] = n[index], new
+        ends = np.cumsum([len(own) for own in keys]).tolist()
+        starts = [0, *ends[:-1]]
+        return _sent([(1, row["bucket"], row["gid"], [_press(answer[a:b]), _press(mine[a:b])], types * (k == 0)) for k, (row, a, b) in enumerate(zip(rows, starts, ends, strict=True))])
 
     return run
 
 
-def _contexts(table_: pa.Table) -> pa.Table:
-    """Group function of a bucket: answers each group with the backoff weights of the contexts it asks for."""
-    given, asking = [], []
-    for row in table_.to_pylist():
-        (asking if row["kind"] else given).append(row)
-    key = np.concatenate([np.zeros(0, dtype=np.uint64), *[_keys(row) for row in given]])
-    known, inverse = np.unique(key, return_inverse=True)
-    sums = [np.bincount(inverse, weights=np.concatenate([np.zeros(0), *[_values(row[name], "<f8") for row in given]]), minlength=len(known)) for name in ("first", "second")]
-    back = np.log10((1 - sums[0]) / np.maximum(1 - sums[1], 1e-12))
-    made = []
-    for row in asking:
-        at = Vocabulary._find(known, _keys(row))
-        found = np.zeros(len(at))
-        found[at >= 0] = back[at[at >= 0]]
-        made.append((1, row["bucket"], row["gid"], None, _planes(found), None, 0))
-    return _asked(made)
+def sum_contexts(least: int):
+    """Group function of a bucket of contexts: the counts of their trigrams and, per context, over what is retained after
+    it, the sum of counts, the sum of counts after the next shorter context, and how many."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        rows = table_.to_pylist()
+        keys = [_sorted(row["parts"][0]) for row in rows]
+        known, context = np.unique(np.concatenate(keys), return_inverse=True)
+        trigrams = _joined(rows, 1, "<u8")
+        order, new, n, index = _summed(trigrams, _joined(rows, 2, "<u4").astype("<i8"))
+        n[n < least] = 0
+        own = np.repeat(context, _joined(rows, 4, "<u4"))[order][new]
+        total = lambda where, weights: np.bincount(where, weights=weights, minlength=len(known))
+        after = (n, np.where(n > 0, _joined(rows, 3, "<i8")[order][new], 0), n > 0)
+        sums = [(total(own, values) + total(context, _joined(rows, 5 + k, "<i8"))).astype("<i8")[context] for k, values in enumerate(after)]
+        answer = np.empty(len(trigrams), dtype="<i8")
+        answer[order] = n[index]
+        made, at, to = [], 0, 0
+        for row, mine in zip(rows, keys, strict=True):
+            size = int(_values(row["parts"][4], "<u4").sum())
+            made.append((2, row["bucket"], row["gid"], [_press(answer[to : to + size]), *[_press(values[at : at + len(mine)]) for values in sums]], 0))
+            at, to = at + len(mine), to + size
+        return _sent(made)
+
+    return run
 
 
-def _answers(table_: pa.Table, kind: int) -> list[dict]:
-    return sorted((row for row in table_.to_pylist() if row["kind"] == kind), key=lambda row: row["bucket"])
+def _answers(table_: pa.Table, number: int) -> list[dict]:
+    return sorted((row for row in table_.to_pylist() if row["round"] == number), key=lambda row: row["bucket"])
 
 
-def _joined(rows: list[dict], name: str, kind: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, dtype=kind), *[_values(row[name], kind) for row in rows]])
+def _body(text: str) -> Column:
+    return F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("body")
 
 
 def score_corpus(docs: DataFrame, train: Column, text: str = "text", keep: Sequence[str] = ("doc_id",), *, least: int = LEAST) -> tuple[DataFrame, int]:
     """(``keep`` columns as ``row`` with n_tokens, n_known, base_score and score of every row, tokens of training).
 
-    The automaton is trained on the rows where ``train`` holds, with all n-grams that occur ``least`` times in them.
+    The automaton is trained on the rows where ``train`` holds, with all n-grams that occur ``least`` (two or more) times
+    in them.
     """
     spark = docs.sparkSession
     given = docs.select(F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row"), F.coalesce(train, F.lit(False)).alias("train"), _body(text))
+    kept = json.loads(given.schema["row"].dataType.json().replace('"nullable":false', '"nullable":true').replace('"containsNull":false', '"containsNull":true'))
+    kept = T.StructType.fromJson(kept)
     numbers = [T.StructField(name, T.LongType()) for name in ("gid", "rid", "context", "n")]
     packs = [T.StructField(name, T.BinaryType()) for name in ("words", "tokens", "lengths", "trained")]
-    schema = T.StructType([*numbers, *packs, T.StructField("rows", T.ArrayType(given.schema["row"].dataType))])
+    schema = T.StructType([*numbers, *packs, T.StructField("rows", T.ArrayType(kept))])
     groups = stage(given.mapInArrow(_groups(schema), schema), "groups")
-    size = texts_bytes(docs, text)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GRAM_BUCKET_BYTES))
-    counts = stage(groups.drop("rows").mapInArrow(_ask(buckets), ASKED).groupBy("bucket").applyInArrow(_arcs(least), ASKED), "counts")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                yield from _sent(Group(row).ask_counts(row["gid"], buckets)).to_batches()
+
+    counts = stage(groups.drop("rows").mapInArrow(ask, SENT).groupBy("bucket").applyInArrow(count_grams(least), SENT), "counts")
     tokens = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    types = counts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    types = counts.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("n")).first()["n"]
     space = float(tokens + types + 1)
 
-    def fail(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _asked([])
-        group, answers = _Group(left.to_pylist()[0]), _answers(right, 0)
-        group.arcs(_joined(answers, "first", "<i8"), space)
-        mine = np.frombuffer(b"".join(row["second"] for row in answers), dtype=bool)
-        contexts, mass, lower = group.shares(mine)
-        return _asked(_by_bucket(0, group.gid, contexts, mass, lower, buckets) + _by_bucket(1, group.gid, group.keys[group.asked], None, None, buckets))
+    def ask_again(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        group = Group(row)
+        group.learn_counts(_answers(right, 1))
+        return _sent(group.ask_contexts(row["gid"], buckets))
 
-    slim = groups.drop("rows", "n", "rid").groupBy("gid")
-    sent = slim.cogroup(counts.groupBy("gid")).applyInArrow(fail, ASKED)
-    weights = stage(sent.groupBy("bucket").applyInArrow(_contexts, ASKED), "weights")
+    slim = groups.select("gid", "context", "words", "tokens", "lengths", "trained")
+    asked = slim.groupBy("gid").cogroup(counts.groupBy("gid")).applyInArrow(ask_again, SENT)
+    sums = asked.groupBy("bucket").applyInArrow(sum_contexts(least), SENT)
 
-    result = T.StructType([T.StructField("rid", T.LongType()), given.schema["row"], *SCORED.fields[:2], *SCORED.fields[2:4]])
+    measures = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())]
+    result = T.StructType([T.StructField("rid", T.LongType()), T.StructField("row", kept), *[T.StructField(*measure) for measure in measures]])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.drop_columns(["rows"]).to_pylist()[0]
-        group = _Group(row)
-        group.arcs(_joined(_answers(right, 0), "first", "<i8"), space)
-        found = group.scores(_joined(_answers(right, 1), "first", "<f8"))
-        rid = np.arange(len(found[0])) + row["rid"]
-        return pa.table([pa.array(rid), left["rows"].combine_chunks().flatten(), *[pa.array(values) for values in found]], names=result.names)
-
-    answers = counts.unionByName(weights).groupBy("gid")
-    scored = groups.groupBy("gid").cogroup(answers).applyInArrow(score, result)
+        group = Group(row)
+        group.learn_counts(_answers(right, 1))
+        found = group.scores(group.automaton(_answers(right, 2), space))
+        rows = left["rows"].combine_chunks().flatten()
+        return pa.table([pa.array(np.arange(len(rows)) + row["rid"]), rows, *[pa.array(values) for values in found]], names=result.names)
+
+    scored = groups.drop("n").groupBy("gid").cogroup(counts.unionByName(sums).groupBy("gid")).applyInArrow(score, result)
     # A long text has a row in each of its groups.
     whole = scored.groupBy("rid").agg(
         F.first("row").alias("row"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum("n_frequent").alias("n_known"),
+        F.sum("n_known").alias("n_known"),
         F.sum("base").alias("base_score"),
         F.sum("score").alias("score"),
     )

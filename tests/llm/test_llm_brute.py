@@ -243,18 +243,29 @@ def test_language_model_query(spark, docs):
     assert held[1] > held[0]
 
 
-def test_model_probabilities_sum_to_one(spark):
+def test_model_probabilities_sum_to_one():
+    import pyarrow as pa
+
     from feedwright.llm import language_model as lm
 
     rng = np.random.default_rng(4)
-    rows = [(k, " ".join(rng.choice(["a", "b", "c", "d"], 60, p=[0.4, 0.3, 0.2, 0.1]))) for k in range(30)]
-    model, _ = lm.train(spark.createDataFrame(rows, "doc_id long, text string"), gram_share=0.005)
-    words = list(range(len(model.root)))
-    assert max(model.arcs and [state for _, state in model.arcs.values()]) > len(words)  # contexts of two words
-    unknown = 1 / (model.tokens + model.types + 1)
-    for state in range(len(model.back)):
-        total = sum(10 ** model.traverse([word], state)[0] for word in words)
-        missing = unknown * 10 ** model.traverse([-1], state)[0]
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"], 60, p=[0.4, 0.3, 0.2, 0.1])).encode() for _ in range(30)]
+    block = next(iter(lm.token_blocks(texts)))
+    group = lm.Group(lm.group_row(block.key, block.doc, 0, np.ones(30, dtype=bool)))
+    answers = lm.count_grams(2)(lm._sent(group.ask_counts(0, 1))).to_pylist()
+    tokens, types = len(block.key), sum(row["types"] for row in answers)
+    assert (tokens, types) == (30 * 61, 5)
+    group.learn_counts(answers)
+    automaton = group.automaton(lm.sum_contexts(2)(lm._sent(group.ask_contexts(0, 1))).to_pylist(), tokens + types + 1)
+    assert automaton.arcs and max(automaton.target) > types  # contexts of two words
+    unknown = 1 / (tokens + types + 1)
+    for state in {0, *automaton.after, *automaton.target}:
+        total, missing, at = 0.0, unknown, state
+        for word in range(types):
+            total += 10 ** automaton.walk([word], state)[0]
+        while at:
+            missing *= 10 ** automaton.back[at]
+            at = automaton.fail[at]
         assert total + missing == pytest.approx(1, abs=1e-9)
 
 
@@ -343,3 +354,14 @@ def test_score_corpus_keeps_every_repeated_ngram(spark, monkeypatch):
         want = sum(log(tuple(own[max(0, j - 2) : j + 1])) for j in range(len(own)))
         assert got[k]["n_tokens"] == len(own) and got[k]["n_known"] == sum(counts[0][(w,)] > 0 for w in own)
         assert got[k]["score"] == pytest.approx(want, rel=1e-9), k
+
+
+def test_unlike_words_have_unlike_keys():
+    from feedwright.llm import language_model as lm
+
+    one = "a"
+    for _ in range(9):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    key, counts = lm.word_keys([f" {one}  {other} ".encode(), b" ", f"{one} ".encode()])
+    assert counts.tolist() == [2, 0, 1] and key[0] == key[2] != key[1]

@@ -187,21 +187,35 @@ def test_warc_rejects_broken_archives():
 
 
 def test_language_model(docs, none):
-    model, unigrams = language_model.train(docs)
-    scored = language_model.score_texts(docs, model, unigrams)
+    scored, tokens = language_model.score_corpus(docs, F.lit(True))
     got = {(r["row"]["doc_id"], r["n_tokens"]): r for r in scored.collect()}
     assert scored.count() == 10 and got[(2, 1)]["n_known"] == 1 and got[(4, 60_001)]["n_known"] == 60_001
+    assert tokens == sum(r["n_tokens"] for r in scored.collect())
     assert all(r["score"] <= 0 and r["base_score"] <= 0 for r in got.values())
-    empty, counts = language_model.train(none)
-    assert [r["n_known"] for r in language_model.score_texts(docs, empty, counts).collect()] == [0] * 10
-    assert language_model.score_texts(none, model, unigrams).count() == 0
+    untrained, tokens = language_model.score_corpus(docs, F.lit(None).cast("boolean"))
+    assert tokens == 0 and {(r["n_known"], r["score"]) for r in untrained.collect()} == {(0, 0.0)}
+    nothing, tokens = language_model.score_corpus(none, F.lit(True))
+    assert nothing.count() == 0 and tokens == 0
+
+
+def test_language_model_keeps_rows_and_clashing_columns(spark, docs):
+    frame = docs.drop("n_chars")
+    for name in ["rid", "gid", "train", "parts", "n_tokens"]:
+        frame = frame.withColumn(name, F.lit(name))
+    scored, _ = language_model.score_corpus(frame, F.col("train") == "train", keep=frame.columns)
+    assert {tuple(r["row"])[-5:] for r in scored.collect()} == {("rid", "gid", "train", "parts", "n_tokens")}
+    twice = [(r["score"], r["n_tokens"]) for r in scored.where("row.doc_id = 5").collect()]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    required = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    assert [r["n_known"] for r in language_model.score_corpus(required, F.lit(True))[0].collect()] == [3, 3, 3]
 
 
 def test_long_texts_are_scored_alike_in_blocks(spark, docs, monkeypatch):
     texts = spark.createDataFrame([(k, "a b c d " * 40 * (k + 1)) for k in range(4)], "doc_id long, text string")
-    score = lambda: {r["row"]["doc_id"]: (r["n_tokens"], round(r["score"], 6)) for r in language_model.score_texts(texts, *language_model.train(texts)).collect()}
+    score = lambda: {r["row"]["doc_id"]: (r["n_tokens"], round(r["score"], 6)) for r in language_model.score_corpus(texts, F.lit(True))[0].collect()}
     whole = score()
     monkeypatch.setattr(language_model, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(language_model, "GROUP_TOKENS", 50)
     assert score() == whole
 
 
