@@ -10,6 +10,9 @@ the group then asks for those trigrams alone, at the buckets of their contexts;
 the sums that backoff weights are made of. From the answers a group builds its part of the automaton and walks it from
 left to right, one traversal per text; a text of several groups is walked on from its last two words.
 
+The tokens of groups lie in files of the shared folder, one per task, and are read there in every round; only what groups
+ask and what buckets answer is shuffled, and shuffle files of a round go when its answers are written.
+
 Words are known by the upper 63 bits of their XXH64, n-grams by mixes of these; unequal ones share a key with a
 probability of about 2**-63 per pair.
 
@@ -20,19 +23,21 @@ gives no rows. With no training rows every word is unknown. The kept columns are
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from feedwright.llm.common import query, table
-from feedwright.staging import stage
+from feedwright.staging import scratch_path, stage
 
 ORDER = 3
 DISCOUNT = 0.75
@@ -44,6 +49,8 @@ BLOCK_BYTES = 2 << 20
 # Tokens after which a group of texts ends, and bytes of text per bucket of n-grams that groups ask for.
 GROUP_TOKENS = 300_000
 GRAM_BUCKET_BYTES = 8 << 20
+# Parts of the buckets of contexts, asked one after the other so that less lies on disk at once.
+PASSES = 2
 
 # A-Z to lower case, white space to a space.
 FOLD = bytes(byte + 32 if 65 <= byte <= 90 else 32 if 9 <= byte <= 13 else byte for byte in range(256))
@@ -155,6 +162,9 @@ def _joined(rows: list[dict], part: int, kind: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype=kind), *[_values(row["parts"][part], kind) for row in rows]])
 
 
+PACKS = ("words", "tokens", "lengths", "trained")
+
+
 def group_row(key: np.ndarray, doc: np.ndarray, context: int, trained: np.ndarray) -> dict:
     """A group of tokens as stored: ``doc`` numbers texts from 0, the first ``context`` tokens belong to the group before."""
     words, index = np.unique(key, return_inverse=True)
@@ -175,19 +185,37 @@ def _nullable(kind: pa.DataType) -> pa.DataType:
     return pa.list_(_nullable(kind.value_type)) if pa.types.is_list(kind) else kind
 
 
-def _groups(schema: T.StructType):
-    """Map function: texts (row, train, body) as groups of tokens."""
+def load_group(row: dict) -> Group:
+    """A group from its range of a file."""
+    fs, root = pyarrow.fs.FileSystem.from_uri(row["file"])
+    with fs.open_input_file(root) as source:
+        source.seek(row["at"])
+        packs = {name: source.read(size) for name, size in zip(PACKS, row["sizes"], strict=True)}
+    return Group({"context": row["context"], **packs})
+
+
+def _groups(schema: T.StructType, path: str):
+    """Map function: texts (row, train, body) as groups of tokens, written to a file of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
+        name = uuid.uuid4().hex
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+            yield from write(batches, out, f"{path}/{name}")
+
+    def write(batches: Iterator[pa.RecordBatch], out, file: str) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        base = made = 0
+        base = made = at = 0
         keys, docs, rows, train, context, size = [], [], [], [], 0, 0
 
         def group() -> pa.RecordBatch:
             doc, given = np.concatenate(docs), pa.concat_arrays(rows)
             packed = group_row(np.concatenate(keys), doc - doc[0], context, np.concatenate(train))
-            values = {"gid": part << 33 | made, "rid": part << 33 | int(doc[0]), **packed}
-            arrays = [pa.array([values[name]]) for name in schema.names[:-1]]
+            values = {"gid": part << 33 | made, "rid": part << 33 | int(doc[0]), "context": context, "n": packed["n"], "at": at}
+            for name in PACKS:
+                out.write(packed[name])
+            arrays = [*[pa.array([value]) for value in values.values()], pa.array([file]), pa.array([[len(packed[name]) for name in PACKS]], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array([0, len(given)], pa.int32()), given)], names=schema.names)
 
         for batch in batches:
@@ -207,7 +235,7 @@ def _groups(schema: T.StructType):
                 size += len(keys[-1])
                 if size >= GROUP_TOKENS:
                     yield group()
-                    made += 1
+                    at, made = out.tell(), made + 1
                     keys, docs, rows, train, context, size = [], [], [], [], 0, 0
             base += batch.num_rows
         if size:
@@ -301,12 +329,15 @@ class Group:
         self.contexts = np.concatenate([self.words[self.context1], self.bigrams[self.context2]])
         self.merged2 = np.argsort(self.contexts, kind="stable")
 
-    def ask_contexts(self, gid: int, buckets: int) -> list[tuple]:
-        """Second round: contexts with the trigrams after them (occurrences, count of the last bigram) and with shares."""
+    def ask_contexts(self, gid: int, buckets: int, turn: int = 0, passes: int = 1) -> list[tuple]:
+        """Second round: contexts with the trigrams after them (occurrences, count of the last bigram) and with shares;
+        those of every ``passes``-th bucket."""
         keys, sizes, shares = self.contexts[self.merged2], self.sizes[self.merged2], self.shares[:, self.merged2]
         ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         lower, made = self.n2[self.lower3].astype("<i8"), []
         for bucket, a, b in _cuts(keys, buckets):
+            if bucket % passes != turn:
+                continue
             lo, hi = ends[a], ends[b]
             parts = [self.trigrams[lo:hi], self.n3[lo:hi], lower[lo:hi], sizes[a:b], *[np.ascontiguousarray(share[a:b]) for share in shares]]
             made.append((2, bucket, gid, [_press_sorted(keys[a:b]), *map(_press, parts)], 0))
@@ -408,6 +439,17 @@ def _answers(table_: pa.Table, number: int) -> list[dict]:
     return sorted((row for row in table_.to_pylist() if row["round"] == number), key=lambda row: row["bucket"])
 
 
+def _settled(df: DataFrame, label: str) -> DataFrame:
+    """The staged frame; the shuffle files that made it are deleted when it is written."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return stage(df, label)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def _body(text: str) -> Column:
     return F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("body")
 
@@ -422,10 +464,10 @@ def score_corpus(docs: DataFrame, train: Column, text: str = "text", keep: Seque
     given = docs.select(F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row"), F.coalesce(train, F.lit(False)).alias("train"), _body(text))
     kept = json.loads(given.schema["row"].dataType.json().replace('"nullable":false', '"nullable":true').replace('"containsNull":false', '"containsNull":true'))
     kept = T.StructType.fromJson(kept)
-    numbers = [T.StructField(name, T.LongType()) for name in ("gid", "rid", "context", "n")]
-    packs = [T.StructField(name, T.BinaryType()) for name in ("words", "tokens", "lengths", "trained")]
-    schema = T.StructType([*numbers, *packs, T.StructField("rows", T.ArrayType(kept))])
-    groups = stage(given.mapInArrow(_groups(schema), schema), "groups")
+    numbers = [T.StructField(name, T.LongType()) for name in ("gid", "rid", "context", "n", "at")]
+    places = [T.StructField("file", T.StringType()), T.StructField("sizes", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*numbers, *places, T.StructField("rows", T.ArrayType(kept))])
+    groups = stage(given.mapInArrow(_groups(schema, scratch_path(spark, "tokens")), schema), "groups")
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("n")).first()["n"]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GRAM_BUCKET_BYTES))
 
@@ -433,35 +475,40 @@ def score_corpus(docs: DataFrame, train: Column, text: str = "text", keep: Seque
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                yield from _sent(Group(row).ask_counts(row["gid"], buckets)).to_batches()
+                yield from _sent(load_group(row).ask_counts(row["gid"], buckets)).to_batches()
 
-    counts = stage(groups.drop("rows").mapInArrow(ask, SENT).groupBy("bucket").applyInArrow(count_grams(least), SENT), "counts")
+    slim = groups.drop("rows", "rid", "n")
+    counts = _settled(slim.repartition(buckets, "gid").mapInArrow(ask, SENT).groupBy("bucket").applyInArrow(count_grams(least), SENT), "counts")
     tokens = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     types = counts.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("n")).first()["n"]
     space = float(tokens + types + 1)
 
-    def ask_again(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        group = Group(row)
-        group.learn_counts(_answers(right, 1))
-        return _sent(group.ask_contexts(row["gid"], buckets))
+    def ask_again(turn: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            row = left.to_pylist()[0]
+            group = load_group(row)
+            group.learn_counts(_answers(right, 1))
+            return _sent(group.ask_contexts(row["gid"], buckets, turn, PASSES))
+
+        return run
 
-    slim = groups.select("gid", "context", "words", "tokens", "lengths", "trained")
-    asked = slim.groupBy("gid").cogroup(counts.groupBy("gid")).applyInArrow(ask_again, SENT)
-    sums = asked.groupBy("bucket").applyInArrow(sum_contexts(least), SENT)
+    answers = counts
+    for turn in range(PASSES):
+        asked = slim.groupBy("gid").cogroup(counts.groupBy("gid")).applyInArrow(ask_again(turn), SENT)
+        answers = answers.unionByName(_settled(asked.groupBy("bucket").applyInArrow(sum_contexts(least), SENT), "sums"))
 
     measures = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())]
     result = T.StructType([T.StructField("rid", T.LongType()), T.StructField("row", kept), *[T.StructField(*measure) for measure in measures]])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.drop_columns(["rows"]).to_pylist()[0]
-        group = Group(row)
+        group = load_group(row)
         group.learn_counts(_answers(right, 1))
         found = group.scores(group.automaton(_answers(right, 2), space))
         rows = left["rows"].combine_chunks().flatten()
         return pa.table([pa.array(np.arange(len(rows)) + row["rid"]), rows, *[pa.array(values) for values in found]], names=result.names)
 
-    scored = groups.drop("n").groupBy("gid").cogroup(counts.unionByName(sums).groupBy("gid")).applyInArrow(score, result)
+    scored = groups.drop("n").groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(score, result)
     # A long text has a row in each of its groups.
     whole = scored.groupBy("rid").agg(
         F.first("row").alias("row"),
