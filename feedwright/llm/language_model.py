@@ -8,7 +8,7 @@ The automaton grows with the corpus, so it lies in buckets of hashed n-grams. Te
 A group first asks for the counts of its words and bigrams. A trigram can only be retained if both its bigrams are, so
 the group then asks for those trigrams alone, at the buckets of their contexts; the buckets answer with counts and with
 the sums that backoff weights are made of. From the answers a group builds its part of the automaton and walks it from
-left to right, one traversal per text; a text of several groups is walked on from its last two words.
+left to right, carrying the state; a text of several groups is walked on from its last two words.
 
 The tokens of groups lie in files of the shared folder, one per task, and are read there in every round; only what groups
 ask and what buckets answer is shuffled, and shuffle files of a round go when its answers are written.
@@ -51,6 +51,8 @@ GROUP_TOKENS = 300_000
 GRAM_BUCKET_BYTES = 8 << 20
 # Parts of the buckets of contexts, asked one after the other so that less lies on disk at once.
 PASSES = 2
+# Strands of a group that are walked side by side.
+STRANDS = 2048
 
 # A-Z to lower case, white space to a space.
 FOLD = bytes(byte + 32 if 65 <= byte <= 90 else 32 if 9 <= byte <= 13 else byte for byte in range(256))
@@ -248,26 +250,61 @@ class Automaton:
     """States: the root 0, words from 1, retained bigrams after them. Arcs are keyed by state * width + word; a state
     without an arc for a word is left by its failure arc, which adds its backoff weight."""
 
-    def __init__(self, root: list[float], after: list[int], arcs: dict[int, int], log: list[float], target: list[int], back: list[float], fail: list[int]):
-        self.root, self.after, self.arcs, self.log, self.target, self.back, self.fail = root, after, arcs, log, target, back, fail
-
-    def walk(self, words: Sequence[int], state: int = 0) -> tuple[float, int]:
-        """(log10 probability of the words after the state, last state)."""
-        get, log, target, back, fail, root, after = self.arcs.get, self.log, self.target, self.back, self.fail, self.root, self.after
-        width, total = len(root), 0.0
-        for word in words:
-            arc = get(state * width + word)
-            while arc is None and state:
-                total += back[state]
-                state = fail[state]
-                arc = get(state * width + word)
-            if arc is None:
-                total += root[word]
-                state = after[word]
-            else:
-                total += log[arc]
-                state = target[arc]
-        return total, state
+    def __init__(self, root: np.ndarray, after: np.ndarray, arcs: np.ndarray, log: np.ndarray, target: np.ndarray, back: np.ndarray, fail: np.ndarray):
+        order = np.argsort(arcs)
+        # A last key that no word has, so that every search ends at a key.
+        self.arcs = np.concatenate([arcs[order], [np.iinfo(np.int64).max]])
+        self.log, self.target = np.concatenate([log[order], [0.0]]), np.concatenate([target[order], [0]])
+        self.root, self.after, self.back, self.fail = root, after, back, fail
+
+    def walk(self, words: Sequence[int], state: int = 0, fresh: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each word, read from left to right after the state; where ``fresh`` holds a text begins
+        at the root. The words are cut into strands that are walked side by side; a state is at most the last two words,
+        so a strand finds the one it carries on from by walking the two words before it."""
+        words, warm = np.asarray(words, dtype=np.int64), ORDER - 1
+        length = max(-(-len(words) // STRANDS), warm)
+        strands = -(-len(words) // length)
+        place = np.arange(length + warm)[:, None] + np.arange(strands) * length
+        ahead, behind = np.zeros(warm, dtype=np.int64), np.zeros(strands * length - len(words), dtype=np.int64)
+        read = np.concatenate([ahead, words, behind])[place]
+        begins = np.concatenate([ahead, np.zeros(len(words)) if fresh is None else fresh, behind]).astype(bool)[place]
+        at, found = np.zeros(strands, dtype=np.int64), np.zeros(read.shape)
+        for step, (word, new, total) in enumerate(zip(read, begins, found, strict=True)):
+            if step == warm:
+                at[:1] = state
+            at[new] = 0
+            self._step(word, at, total)
+        return found[warm:].T.ravel()[: len(words)]
+
+    def _step(self, word: np.ndarray, at: np.ndarray, total: np.ndarray) -> None:
+        """One word of every strand: failure arcs until a state has an arc for it or is the root."""
+        width, going = len(self.root), np.arange(len(at))
+        while len(going):
+            state, next_ = at[going], word[going]
+            if not state.all():
+                ends, root = going[state == 0], next_[state == 0]
+                total[ends] += self.root[root]
+                at[ends] = self.after[root]
+                going, next_, state = going[state > 0], next_[state > 0], state[state > 0]
+            key = state * width + next_
+            arc = np.searchsorted(self.arcs, key)
+            hit = self.arcs[arc] == key
+            ends, arc = going[hit], arc[hit]
+            total[ends] += self.log[arc]
+            at[ends] = self.target[arc]
+            going, state = going[~hit], state[~hit]
+            total[going] += self.back[state]
+            at[going] = self.fail[state]
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, a place of each, number of each key's distinct one)."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(keys)]
+    inverse = np.empty(len(keys), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return sorted_[new], order[new], inverse
 
 
 class Group:
@@ -283,7 +320,7 @@ class Group:
         w, same = self.words[self.one], self.doc[1:] == self.doc[:-1]
         at = np.flatnonzero(same) + 1
         keys = _mixed(w[at - 1] * np.uint64(0x9E3779B97F4A7C15) + w[at]) & ~ONE
-        self.bigrams, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        self.bigrams, first, inverse = _distinct(keys)
         self.left, self.right = self.one[at[first] - 1], self.one[at[first]]
         self.two = np.full(len(w), -1)
         self.two[at] = inverse
@@ -307,7 +344,7 @@ class Group:
         after = np.flatnonzero(self.inside & np.concatenate([[False], kept2[:-1]]))
         at = after[kept2[after]]
         keys = _mixed(self.bigrams[self.two[at - 1]] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.one[at]])
-        trigrams, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        trigrams, first, inverse = _distinct(keys)
         order = np.argsort(self.two[at[first] - 1], kind="stable")
         self.trigrams, place = trigrams[order], at[first[order]]
         rank = np.empty(len(order), dtype=np.int64)
@@ -317,9 +354,9 @@ class Group:
         # Contexts: words that bigrams of this group are settled for or fail from, and bigrams before trigrams.
         settled = np.flatnonzero(mine[len(self.words) :] & (self.n2 > 0))
         fails = np.flatnonzero((self.two >= 0) & ~kept2)
-        self.context1 = np.unique(np.concatenate([self.left[settled], self.one[fails - 1]]))
-        self.context1 = self.context1[self.n1[self.context1] > 1]
-        self.context2 = np.unique(self.two[after - 1])
+        met1, met2 = np.zeros(len(self.words), dtype=bool), np.zeros(len(self.bigrams), dtype=bool)
+        met1[self.left[settled]] = met1[self.one[fails - 1]] = met2[self.two[after - 1]] = True
+        self.context1, self.context2 = np.flatnonzero(met1 & (self.n1 > 1)), np.flatnonzero(met2)
         own = np.searchsorted(self.context1, self.left[settled])
         total = lambda weights: np.bincount(own, weights=weights, minlength=len(self.context1))
         shares = np.stack([total(self.n2[settled]), total(self.n1[self.right[settled]]), total(np.ones(len(settled)))])
@@ -363,26 +400,20 @@ class Group:
         fail = np.concatenate([np.zeros(1 + width, dtype=np.int64), 1 + self.right])
         self.base = np.log10((self.n1 + 1.0) / space)
         after = np.where(self.n1 > 0, np.arange(1, width + 1), 0)
-        arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        return Automaton(self.base.tolist(), after.tolist(), arcs, np.log10(p).tolist(), target.tolist(), back.tolist(), fail.tolist())
+        return Automaton(self.base, after, keys, np.log10(p), target, back, fail)
 
     def scores(self, automaton: Automaton) -> tuple[np.ndarray, ...]:
         """(tokens, known, base, score) per text, walking each from its start or from what the group before ends with."""
-        words = self.one.tolist()
         doc, texts = self.doc[self.context :], int(self.doc[-1]) + 1
-        ends = np.searchsorted(self.doc, np.arange(texts), side="right").tolist()
-        score, start = np.zeros(texts), self.context
-        _, state = automaton.walk(words[:start])
-        for k, end in enumerate(ends):
-            score[k], _ = automaton.walk(words[start:end], state)
-            start, state = end, 0
+        fresh = np.concatenate([[False], self.doc[1:] != self.doc[:-1]])
+        score = np.bincount(doc, weights=automaton.walk(self.one, 0, fresh)[self.context :], minlength=texts)
         per = lambda values: np.bincount(doc, weights=values[self.one[self.context :]], minlength=texts)
         return np.bincount(doc, minlength=texts), per(self.n1 > 0).astype(np.int64), per(self.base), score
 
 
-def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order, whether each in order is the first of its key, total per key, total per given one)."""
-    order = np.argsort(key, kind="stable")
+def _summed(key: np.ndarray, count: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, whether each in order is the first of its key, total per key, number of each one's key in order)."""
+    order = np.argsort(key, kind=kind)
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(key)]
     total = np.add.reduceat(count[order], np.flatnonzero(new)) if len(key) else count
     return order, new, total, np.cumsum(new) - 1
@@ -395,7 +426,7 @@ def count_grams(least: int):
         rows = table_.to_pylist()
         keys = [_sorted(row["parts"][0]) for row in rows]
         key = np.concatenate(keys)
-        order, new, n, index = _summed(key, _joined(rows, 1, "<u4").astype("<i8"))
+        order, new, n, index = _summed(key, _joined(rows, 1, "<u4").astype("<i8"), "stable")  # sorted runs
         odd = key[order][new] & ONE == ONE
         n[~odd & (n < least)] = 0
         types = int((odd & (n > 0)).sum())
@@ -415,7 +446,7 @@ def sum_contexts(least: int):
     def run(table_: pa.Table) -> pa.Table:
         rows = table_.to_pylist()
         keys = [_sorted(row["parts"][0]) for row in rows]
-        known, context = np.unique(np.concatenate(keys), return_inverse=True)
+        known, _, context = _distinct(np.concatenate(keys))
         trigrams = _joined(rows, 1, "<u8")
         order, new, n, index = _summed(trigrams, _joined(rows, 2, "<u4").astype("<i8"))
         n[n < least] = 0

@@ -257,7 +257,7 @@ def test_model_probabilities_sum_to_one():
     assert (tokens, types) == (30 * 61, 5)
     group.learn_counts(answers)
     automaton = group.automaton(lm.sum_contexts(2)(lm._sent(group.ask_contexts(0, 1))).to_pylist(), tokens + types + 1)
-    assert automaton.arcs and max(automaton.target) > types  # contexts of two words
+    assert len(automaton.arcs) > 1 and max(automaton.target) > types  # contexts of two words
     unknown = 1 / (tokens + types + 1)
     for state in {0, *automaton.after, *automaton.target}:
         total, missing, at = 0.0, unknown, state
@@ -269,6 +269,33 @@ def test_model_probabilities_sum_to_one():
         assert total + missing == pytest.approx(1, abs=1e-9)
 
 
+def test_model_strands_equal_one_traversal(monkeypatch):
+    from feedwright.llm import language_model as lm
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e"], n)).encode() for n in rng.integers(0, 40, 60)]
+    block = next(iter(lm.token_blocks(texts)))
+    group = lm.Group(lm.group_row(block.key, block.doc, 0, np.arange(60) % 3 > 0))
+    answers = lm.count_grams(2)(lm._sent(group.ask_counts(0, 1))).to_pylist()
+    group.learn_counts(answers)
+    automaton = group.automaton(lm.sum_contexts(2)(lm._sent(group.ask_contexts(0, 1))).to_pylist(), 2000.0)
+    fresh = np.concatenate([[False], group.doc[1:] != group.doc[:-1]])
+    arcs = {key: k for k, key in enumerate(automaton.arcs.tolist())}
+    state, expected = 0, []
+    for word, new in zip(group.one.tolist(), fresh.tolist(), strict=True):
+        state, p = 0 if new else state, 0.0
+        while state and state * len(automaton.root) + word not in arcs:
+            p, state = p + automaton.back[state], int(automaton.fail[state])
+        arc = arcs.get(state * len(automaton.root) + word)
+        p += automaton.root[word] if arc is None else automaton.log[arc]
+        state = int(automaton.after[word] if arc is None else automaton.target[arc])
+        expected.append(p)
+    for strands in (1, 2, 7, 300, 5000):
+        monkeypatch.setattr(lm, "STRANDS", strands)
+        assert automaton.walk(group.one, 0, fresh) == pytest.approx(np.array(expected), abs=1e-12)
+    assert len(automaton.walk([])) == 0
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     from feedwright.llm.decontaminate import words_of
