@@ -13,6 +13,7 @@ from feedwright.registry import operator
 from feedwright.sources.delimited import write_csv
 from feedwright.staging import stage
 
+ROWS_PER_PARTITION = 1_000_000
 
 
 @operator("insert_select")
@@ -90,6 +91,16 @@ def scoped_snapshot(
     return snapshot, remaining.select(*[quoted(name) for name in df.columns])
 
 
+def partitions_for(df: DataFrame, least: int | None = None) -> int:
+    """Number of partitions to deal ``df`` out to: one per ``ROWS_PER_PARTITION`` rows, ``least`` or one per core at least.
+
+    Left to Spark, partitions are merged up to a size in bytes as shuffled, and as those are compressed, narrow or equal rows
+    meet in a few tasks. The rows are counted first, for which a Parquet table's footers are enough.
+    """
+    least = df.sparkSession.sparkContext.defaultParallelism if least is None else least
+    return max(least, -(-df.count() // ROWS_PER_PARTITION))
+
+
 @operator("distribute_by_keys")
 def distribute_by_keys(
     df: DataFrame,
@@ -98,12 +109,15 @@ def distribute_by_keys(
     unique: Sequence[Sequence[str]] = (),
     partitions: int | None = None,
 ) -> DataFrame:
-    """Hash-distribute by all of the declared keys, else of the primary key, else of the first unique key."""
+    """Hash-distribute by all of the declared keys, else of the primary key, else of the first unique key.
+
+    Without ``partitions`` their number follows the rows, see :func:`partitions_for`.
+    """
     chosen = list(declared) or list(primary) or (list(unique[0]) if unique else [])
     columns = [quoted(name) for name in chosen]
     if not columns:
         return df
-    return df.repartition(partitions, *columns) if partitions else df.repartition(*columns)
+    return df.repartition(partitions or partitions_for(df), *columns)
 
 
 @operator("write_distributed")

@@ -342,6 +342,19 @@ def test_first_lines_reads_heads_only(spark, rows, tmp_path):
     assert rows(found) == [("blank", 0), ("long", 200_000), ("no_end", 3), ("zipped.gz", 5)]
 
 
+def test_keys_are_dealt_to_as_many_tasks_as_the_rows_need(spark, rows, monkeypatch):
+    monkeypatch.setattr(maintenance, "ROWS_PER_PARTITION", 1000, raising=False)
+    df = spark.range(30_000).selectExpr("id", "id % 3 as k")
+    sizes = [n for _, n in rows(maintenance.distribute_by_keys(df, primary=["id"]).groupBy(F.spark_partition_id()).count())]
+    assert sum(sizes) == 30_000 and len(sizes) == 30 and max(sizes) < 1200
+    # Rows of a key stay together; a given number holds; small tables still use every core.
+    dealt = maintenance.distribute_by_keys(df, declared=["k"]).select("k", F.spark_partition_id().alias("p")).distinct()
+    assert dealt.count() == 3
+    assert maintenance.distribute_by_keys(df, primary=["id"], partitions=5).rdd.getNumPartitions() == 5
+    assert maintenance.distribute_by_keys(df.limit(10), primary=["id"]).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert maintenance.distribute_by_keys(df.limit(0), primary=["id"]).count() == 0
+
+
 def test_list_objects_lists_below_the_prefix_only(spark, rows, tmp_path):
     for name in ("a/1.csv", "ab/2.csv", "b/3.csv", "a[1]/4.csv"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
