@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from feedwright.operators import scd
+from feedwright.operators.maintenance import partitions_for
 from feedwright.operators.onboarding import onboard_feed
 from feedwright.plans.dimension_queries import APPLIED
 from feedwright.plans.fixtures import EXTRACT_DATE, Inputs
@@ -75,11 +76,13 @@ def _(i: Inputs):
        from (select event_type, event_id % 3 as part, count(*) as n from events group by all) f group by all""",
 )
 def _(i: Inputs):
-    """Files of a few folders, three to a type, found below a prefix; what lies beside it is not listed."""
+    """Files in three folders to a type, found below a prefix; what lies beside it is not listed."""
     base = scratch_path(i.spark, "objects")
     lines = i.table("events").select("event_type", (F.col("event_id") % 3).alias("part"), F.lit("x").alias("value"))
+    # A folder's lines lie in one file, or in more when they are many: writing sorts the rows of a task by folder.
+    dealt = lines.repartition(partitions_for(lines, 1)).withColumnRenamed("event_type", "type")
     for folder in ("day=1", "night=1"):
-        lines.repartition("event_type", "part").withColumnRenamed("event_type", "type").write.partitionBy("type", "part").text(f"{base}/{folder}")
+        dealt.write.partitionBy("type", "part").text(f"{base}/{folder}")
     listed = objects.list_objects(i.spark, base, prefix="day=1/", pattern="part-*")
     folder = F.regexp_extract("path", r"(type=[^/]*)/part=", 1).alias("folder")
     # Every line of a file is two bytes.

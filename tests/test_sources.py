@@ -4,6 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F, types as T
 
+import __spark_entry__ as contract
+from feedwright import staging
 from feedwright.operators import maintenance, params, runlog
 from feedwright.sources import catalog, delimited, jdbc, load, logs, objects, records
 
@@ -342,6 +344,19 @@ def test_first_lines_reads_heads_only(spark, rows, tmp_path):
     assert rows(found) == [("blank", 0), ("long", 200_000), ("no_end", 3), ("zipped.gz", 5)]
 
 
+def test_listed_folders_are_written_by_as_many_tasks_as_their_rows_need(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(maintenance, "ROWS_PER_PARTITION", 100, raising=False)
+    events = [(key, "click" if key < 990 else None) for key in range(1000)]
+    spark.createDataFrame(events, "event_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    staged = len(staging._made)
+    listed = contract.queries()["list_objects"](spark, str(tmp_path))
+    assert rows(listed, "folder", "n_files", "n_lines") == [("type=__HIVE_DEFAULT_PARTITION__", 3, 10), ("type=click", 3, 990)]
+    # The files of one task are named by it; 330 lines of a folder no longer meet in one.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{staging._made[staged]}/day=1")
+    task = F.regexp_extract("path", "part-([0-9]+)-", 1).alias("task")
+    assert files.groupBy(task).agg((F.sum("length") / 2).alias("n")).agg(F.max("n")).first()[0] <= 110
+
+
 def test_keys_are_dealt_to_as_many_tasks_as_the_rows_need(spark, rows, monkeypatch):
     monkeypatch.setattr(maintenance, "ROWS_PER_PARTITION", 1000, raising=False)
     df = spark.range(30_000).selectExpr("id", "id % 3 as k")
